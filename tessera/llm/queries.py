@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from tessera.llm.packing import op8_packing
+from tessera.llm.token_files import op2_token_files
 
 
 def queries() -> dict:
-    return {"op8_packing": op8_packing}
+    return {"op2_token_files": op2_token_files, "op8_packing": op8_packing}
 
 
 def oracle_sql() -> dict[str, str]:
