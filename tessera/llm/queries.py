@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 from tessera.llm.packing import op8_packing
+from tessera.llm.simhash import op5_simhash_near_dedup
 from tessera.llm.token_files import op2_token_files
 
 
 def queries() -> dict:
-    return {"op2_token_files": op2_token_files, "op8_packing": op8_packing}
+    return {
+        "op2_token_files": op2_token_files,
+        "op5_simhash_near_dedup": op5_simhash_near_dedup,
+        "op8_packing": op8_packing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
