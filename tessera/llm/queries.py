@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+from tessera.llm.licenses import op10_license_scan
 from tessera.llm.packing import op8_packing
 from tessera.llm.simhash import op5_simhash_near_dedup
 from tessera.llm.token_files import op2_token_files
+from tessera.llm.topk import OP3_SQL, op3_exact_top_k
+from tessera.llm.url_filter import OP1_SQL, op1_url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_url_filter": op1_url_filter,
         "op2_token_files": op2_token_files,
+        "op3_exact_top_k": op3_exact_top_k,
         "op5_simhash_near_dedup": op5_simhash_near_dedup,
         "op8_packing": op8_packing,
+        "op10_license_scan": op10_license_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_url_filter": OP1_SQL, "op3_exact_top_k": OP3_SQL}
