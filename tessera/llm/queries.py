@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tessera.llm.language import op7_language_id
 from tessera.llm.licenses import op10_license_scan
 from tessera.llm.packing import op8_packing
 from tessera.llm.simhash import op5_simhash_near_dedup
@@ -16,6 +17,7 @@ def queries() -> dict:
         "op2_token_files": op2_token_files,
         "op3_exact_top_k": op3_exact_top_k,
         "op5_simhash_near_dedup": op5_simhash_near_dedup,
+        "op7_language_id": op7_language_id,
         "op8_packing": op8_packing,
         "op10_license_scan": op10_license_scan,
     }
