@@ -5,6 +5,7 @@ from __future__ import annotations
 from tessera.llm.language import op7_language_id
 from tessera.llm.licenses import op10_license_scan
 from tessera.llm.packing import op8_packing
+from tessera.llm.secret_scan import op4_secret_scan
 from tessera.llm.simhash import op5_simhash_near_dedup
 from tessera.llm.token_files import op2_token_files
 from tessera.llm.topk import OP3_SQL, op3_exact_top_k
@@ -16,6 +17,7 @@ def queries() -> dict:
         "op1_url_filter": op1_url_filter,
         "op2_token_files": op2_token_files,
         "op3_exact_top_k": op3_exact_top_k,
+        "op4_secret_scan": op4_secret_scan,
         "op5_simhash_near_dedup": op5_simhash_near_dedup,
         "op7_language_id": op7_language_id,
         "op8_packing": op8_packing,
