@@ -12,8 +12,9 @@ from tokenizers import Tokenizer
 
 #: Fixed value: how the byte-level vocabulary cuts a text before merging.
 CUTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Entries of a worker's memory of cut pieces; it starts anew when full, which changes no result.
-MEMORY = 300_000
+#: Entries of a worker's memory of cuts and pieces. When it is full a new one is begun, and entries of
+#: the one before are taken over as they are met again; no result depends on it.
+MEMORY = 250_000
 _workers: dict[str, BatchEncoder] = {}
 
 
@@ -46,23 +47,29 @@ class BatchEncoder:
         self.cuts = regex.compile(CUTS)
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.old_words, self.old_pieces = self.words, self.pieces
 
     def _word(self, word: str) -> bytes:
         if (known := self.words.get(word)) is None:
-            letters = word.encode().decode("latin-1").translate(self.letters)
-            known = np.array([t.id for t in self.model.tokenize(letters)], self.dtype).tobytes()
+            if (known := self.old_words.get(word)) is None:
+                letters = word.encode().decode("latin-1").translate(self.letters)
+                known = np.array([t.id for t in self.model.tokenize(letters)], self.dtype).tobytes()
             self.words[word] = known
         return known
 
     def _piece(self, piece: str) -> bytes:
-        known = self.pieces[piece] = b"".join([self._word(w) for w in self.cuts.findall(piece)])
+        if (known := self.old_pieces.get(piece)) is None:
+            known = b"".join([self._word(w) for w in self.cuts.findall(piece)])
+        self.pieces[piece] = known
         return known
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if len(self.words) > MEMORY or len(self.pieces) > MEMORY:
-            self.words, self.pieces = {}, {}
+        if len(self.words) > MEMORY:
+            self.old_words, self.words = self.words, {}
+        if len(self.pieces) > MEMORY:
+            self.old_pieces, self.pieces = self.pieces, {}
         blanks = text.count(" ") + text.count("\n") + 1
         if "\0" in text or len(text.split()) != blanks:
             return b"".join([self._word(w) for w in self.cuts.findall(text)])
