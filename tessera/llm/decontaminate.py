@@ -12,18 +12,20 @@ from pyspark.sql import functions as F
 from tessera.plans.tables import read_table
 
 #: Hashed words of the vocabulary, latent dimensions kept, and extra ones for the random projection.
-FEATURES, RANK, EXTRA = 1 << 15, 24, 8
-#: Words in a passage; passages of a document start every ``STEP`` words and cover all of it.
-PASSAGE, STEP = 48, 24
-#: Least cosine of a candidate, and least share of an item's words in common order within a passage.
-NEAR, SHARED = 0.35, 0.7
+FEATURES, RANK, EXTRA = 1 << 15, 40, 8
+#: Words in a block; a passage is two blocks in a row, and passages start with every block.
+STEP = 24
+#: Words found in a larger share of blocks are stop words without weight.
+COMMON = 0.01
+#: Least cosine of a candidate, and least share of an item's words in common order around a passage.
+NEAR, SHARED = 0.25, 0.7
 #: Words at the end of an item that count as its answer, and the share of them that must be there.
 ANSWER, ANSWERED = 6, 0.5
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+_VALUE = np.arange(1, 257, dtype=np.uint64)
+_VALUE[65:91] += np.uint64(32)
 _PRIME = np.uint64(1099511628211)
 with np.errstate(over="ignore"):
     _POWERS = np.cumprod(np.full(64, _PRIME), dtype=np.uint64)
@@ -40,11 +42,11 @@ def word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(start):
         return np.zeros(0, np.uint64), start
-    length = end - start
-    place = np.arange(len(raw)) - np.repeat(start, np.diff(np.append(start, len(raw)))) if start[0] == 0 else np.arange(len(raw)) - np.concatenate([np.zeros(start[0], int), np.repeat(start, np.diff(np.append(start, len(raw))))])
-    value = np.where(inside, _LOWER[raw].astype(np.uint64) + np.uint64(1), np.uint64(0)) * _POWERS[place & 63]
-    total = np.add.reduceat(value, start)
-    return (total ^ (total >> np.uint64(29))) * _PRIME + length.astype(np.uint64), start
+    rest = raw[start[0] :]
+    place = np.arange(len(rest)) - np.repeat(start - start[0], np.diff(np.append(start, len(raw))))
+    value = np.where(inside[start[0] :], _VALUE[rest], np.uint64(0)) * _POWERS[place & 63]
+    total = np.add.reduceat(value, start - start[0])
+    return (total ^ (total >> np.uint64(29))) * _PRIME + (end - start).astype(np.uint64), start
 
 
 def features(hashes: np.ndarray) -> np.ndarray:
@@ -52,46 +54,56 @@ def features(hashes: np.ndarray) -> np.ndarray:
 
 
 class Batch:
-    """The words of a batch of texts, and the passages that cover each of them."""
+    """The words of a batch of texts, in blocks of ``STEP`` words that cover each text."""
 
     def __init__(self, texts: pa.Array) -> None:
         raw = [np.frombuffer(t.as_buffer(), np.uint8) if t.is_valid else np.zeros(0, np.uint8) for t in texts.cast(pa.large_binary())]
         gap = np.zeros(1, np.uint8)
         joined = np.concatenate([x for r in raw for x in (r, gap)]) if raw else gap
         self.words, at = word_hashes(joined)
-        ends = np.cumsum([len(r) + 1 for r in raw]) if raw else np.zeros(0, int)
-        last = np.searchsorted(at, ends)  # words of the texts up to each
-        first = np.concatenate([[0], last[:-1]]) if len(last) else last
-        n = last - first
-        passages = np.where(n > 0, np.maximum(1, -(-(n - PASSAGE) // STEP) + 1), 0)
-        self.doc = np.repeat(np.arange(len(raw)), passages)
-        nth = np.arange(len(self.doc)) - np.repeat(np.cumsum(passages) - passages, passages)
-        self.start = np.repeat(first, passages) + nth * STEP
-        self.end = np.minimum(self.start + PASSAGE, np.repeat(last, passages))
         self.ids = features(self.words)
-
-    def sums(self, table: np.ndarray) -> np.ndarray:
-        """For each passage, the sum of ``table`` over its words, by halves that passages share."""
-        blocks = np.concatenate([self.start, self.end, [len(self.ids)]])
-        cuts = np.unique(blocks)
-        cuts = cuts[cuts < len(self.ids)]
-        if not len(cuts):
-            return np.zeros((0, table.shape[1]), np.float32)
-        parts = np.add.reduceat(table[self.ids], cuts, axis=0)
-        running = np.concatenate([np.zeros((1, table.shape[1])), np.cumsum(parts, axis=0, dtype=np.float64)])
-        where = np.append(cuts, len(self.ids))
-        return (running[np.searchsorted(where, self.end)] - running[np.searchsorted(where, self.start)]).astype(np.float32)
-
-    def spread(self, values: np.ndarray, into: np.ndarray) -> None:
-        """Add, for each word of each passage, the passage's row of ``values`` to the word's row."""
-        change = np.zeros((len(self.ids) + 1, values.shape[1]), np.float32)
-        np.add.at(change, self.start, values)
-        np.add.at(change, self.end, -values)
-        per_word = np.cumsum(change[:-1], axis=0)
-        order = np.argsort(self.ids.astype(np.uint16), kind="stable")
-        ids = self.ids[order]
-        first = np.flatnonzero(np.diff(ids, prepend=-1))
-        into[ids[first]] += np.add.reduceat(per_word[order], first, axis=0)
+        self.last = np.searchsorted(at, np.cumsum([len(r) + 1 for r in raw]))  # words up to each text's end
+        self.first = np.concatenate([[0], self.last[:-1]]).astype(np.int64)
+        blocks = -(-(self.last - self.first) // STEP)
+        self.doc = np.repeat(np.arange(len(raw)), blocks)
+        nth = np.arange(len(self.doc)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        self.start = np.repeat(self.first, blocks) + nth * STEP
+        self.block = np.repeat(np.arange(len(self.doc)), np.diff(np.append(self.start, len(self.ids))))
+
+    def weighted(self, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Features and blocks of the words that have a weight."""
+        keep = np.flatnonzero(weight[self.ids] > 0)
+        return self.ids[keep], self.block[keep]
+
+    def sums(self, table: np.ndarray, ids: np.ndarray, block: np.ndarray) -> np.ndarray:
+        """For each block, the sum of ``table`` over its words."""
+        out = np.zeros((len(self.doc), table.shape[1]), np.float32)
+        first = np.flatnonzero(np.diff(block, prepend=-1))
+        if len(first):
+            out[block[first]] = np.add.reduceat(table[ids], first, axis=0)
+        return out
+
+
+def _spread(values: np.ndarray, ids: np.ndarray, block: np.ndarray, into: np.ndarray) -> None:
+    """Add to each feature's row, for each of its words, the row of the word's block."""
+    order = np.argsort(ids.astype(np.uint16), kind="stable")
+    ids = ids[order]
+    first = np.flatnonzero(np.diff(ids, prepend=-1))
+    if len(first):
+        into[ids[first]] += np.add.reduceat(values[block[order]], first, axis=0)
+
+
+def _signatures(words: np.ndarray, groups: np.ndarray, n: int) -> np.ndarray:
+    """For each group, which of 128 bits its words set: two 64-bit numbers."""
+    out = np.zeros((n, 2), np.uint64)
+    bit = np.uint64(1) << (words >> np.uint64(40) & np.uint64(63))
+    half = (words >> np.uint64(50) & np.uint64(1)).astype(np.int64)
+    for h in (0, 1):
+        own = np.flatnonzero(half == h)
+        first = np.flatnonzero(np.diff(groups[own], prepend=-1))
+        if len(first):
+            out[groups[own][first], h] = np.bitwise_or.reduceat(bit[own], first)
+    return out
 
 
 def _slices(batches: Iterator[pa.RecordBatch], size: int = 2_000_000) -> Iterator[pa.RecordBatch]:
@@ -105,55 +117,54 @@ def _slices(batches: Iterator[pa.RecordBatch], size: int = 2_000_000) -> Iterato
                 yield b.slice(s, e - s)
 
 
-def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, passages = np.zeros(FEATURES, np.int64), 0
+def _block_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total, blocks = np.zeros(FEATURES, np.int64), 0
     for b in _slices(batches):
         x = Batch(b.column("text"))
-        passages += len(x.doc)
-        length = x.end - x.start
-        if not len(length):
-            continue
-        at = np.repeat(x.start - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())
-        pairs = np.unique(np.repeat(np.arange(len(x.doc), dtype=np.int64), length) * FEATURES + x.ids[at])
-        total += np.bincount(pairs % FEATURES, minlength=FEATURES)
+        blocks += len(x.doc)
+        pairs = np.sort(x.block.astype(np.int64) * FEATURES + x.ids)
+        total += np.bincount(pairs[np.diff(pairs, prepend=-1) > 0] % FEATURES, minlength=FEATURES)
     used = np.flatnonzero(total)
-    rows = [np.append(used, -1), np.append(total[used], passages)]
+    rows = [np.append(used, -1), np.append(total[used], blocks)]
     yield pa.record_batch([pa.array(r) for r in rows], ["feature", "n"])
 
 
-def _projected(table: np.ndarray) -> Callable:
-    """This task's part of ``A' A table``, A being the weighted passages: one row for each feature."""
+def _projected(table: np.ndarray, weight: np.ndarray) -> Callable:
+    """This task's part of ``A' A table``, A being the weighted blocks: one row for each feature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros_like(table, dtype=np.float32)
         for b in _slices(batches):
             x = Batch(b.column("text"))
-            x.spread(x.sums(table), total)
+            ids, block = x.weighted(weight)
+            _spread(x.sums(table, ids, block), ids, block, total)
         used = np.flatnonzero(np.abs(total).sum(1))
         for k in range(0, len(used), 8192):
             rows = used[k : k + 8192]
-            yield pa.record_batch([pa.array(rows), pa.array(list(total[rows].astype(np.float64)))], ["feature", "row"])
+            flat = pa.array(total[rows].astype(np.float64).ravel())
+            yield pa.record_batch([pa.array(rows), pa.FixedSizeListArray.from_arrays(flat, total.shape[1]).cast(pa.list_(pa.float64()))], ["feature", "row"])
 
     return run
 
 
 def latent_space(docs: DataFrame, seed: int = 11) -> np.ndarray:
-    """A ``FEATURES`` x ``RANK`` matrix that takes hashed words to weighted latent coordinates.
+    """A ``FEATURES`` x ``RANK`` matrix of weighted latent coordinates of hashed words; 0 for stop words.
 
-    Weights are inverse passage frequencies over all texts. The right singular vectors come from a
+    Weights are inverse frequencies over the blocks of all texts, none for stop words. The right singular vectors come from a
     randomised projection of all passages with one power step: each task adds up its part of
     ``A' A R``, the parts are summed feature by feature, and the driver orthogonalises the sum, whose
     size depends on ``FEATURES`` alone.
     """
-    counted = docs.select("text").mapInArrow(_document_counts, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    counted = docs.select("text").mapInArrow(_block_counts, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
     found = {r["feature"]: r["n"] for r in counted.collect()}  # FEATURES + 1 rows at most
-    passages = found.pop(-1, 0)
+    blocks = found.pop(-1, 0)
     weight = np.zeros(FEATURES)
     for f, n in found.items():
-        weight[f] = np.log((1 + passages) / (1 + n)) + 0.1
+        if n <= max(COMMON * blocks, 5):
+            weight[f] = np.log((1 + blocks) / n)
     rng = np.random.default_rng(seed)
     table = (rng.standard_normal((FEATURES, RANK + EXTRA)) * weight[:, None]).astype(np.float32)
-    rows = docs.select("text").mapInArrow(_projected(table), "feature long, row array<double>")
+    rows = docs.select("text").mapInArrow(_projected(table, weight), "feature long, row array<double>")
     summed = rows.groupBy("feature").agg(*[F.sum(F.col("row")[i]).alias(f"c{i}") for i in range(RANK + EXTRA)])
     y = np.zeros((FEATURES, RANK + EXTRA))
     for r in summed.collect():  # FEATURES rows at most
@@ -178,54 +189,68 @@ def common_order(a: np.ndarray, b: np.ndarray) -> int:
 
 
 class Items:
-    """Benchmark items as word hashes, cut into parts of at most a passage, with latent vectors."""
+    """Benchmark items as word hashes, in parts of at most a passage, with latent vectors."""
 
     def __init__(self, rows: list[tuple[int, str]], space: np.ndarray) -> None:
-        self.space, self.item, self.part, vectors = space, [], [], []
+        self.space, self.weight, self.item, self.part = space, np.abs(space).sum(1), [], []
         for item_id, text in rows:
             words, _ = word_hashes(np.frombuffer(text.encode(), np.uint8))
-            for k in range(0, max(1, len(words) - PASSAGE // 2), PASSAGE):
-                part = words[k : k + PASSAGE]
+            for k in range(0, max(1, len(words) - STEP), 2 * STEP):
+                part = words[k : k + 2 * STEP]
                 if len(part) >= 4:
                     self.item.append(item_id)
                     self.part.append(part)
-                    vectors.append(space[features(part)].sum(0))
-        self.vectors = self._unit(np.array(vectors, np.float32).reshape(-1, space.shape[1]))
-
-    @staticmethod
-    def _unit(v: np.ndarray) -> np.ndarray:
-        return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+        groups = np.repeat(np.arange(len(self.part)), [len(p) for p in self.part]).astype(np.int64)
+        words = np.concatenate(self.part) if self.part else np.zeros(0, np.uint64)
+        rare = self.weight[features(words)] > 0
+        self.signs = _signatures(words[rare], groups[rare], len(self.part))
+        vectors = [space[features(p)].sum(0) for p in self.part]
+        self.vectors = _unit(np.array(vectors, np.float32).reshape(-1, space.shape[1]))
+        # parts of stop words alone have no place in the space: every passage is their candidate
+        self.plain = np.flatnonzero((self.signs == 0).all(1))
 
     def found(self, x: Batch) -> list[tuple[int, int]]:
         """``(text, item)`` of each text that holds an item, copied or reworded in part."""
         if not len(x.doc) or not self.item:
             return []
-        near = self._unit(x.sums(self.space)) @ self.vectors.T
+        ids, block = x.weighted(self.weight)
+        vectors = x.sums(self.space, ids, block)
+        rare = np.flatnonzero(self.weight[x.ids] > 0)
+        signs = _signatures(x.words[rare], block, len(x.doc))
+        pair = np.flatnonzero(x.doc[1:] == x.doc[:-1])
+        vectors[pair] += vectors[pair + 1]
+        signs[pair] |= signs[pair + 1]
+        vectors = _unit(vectors)
+        need = np.ceil(np.bitwise_count(self.signs).sum(1) * SHARED * 0.8)
         hits = set()
-        known = np.unique(np.concatenate(self.part))
-        for p, i in zip(*np.nonzero(near >= NEAR)):
-            pair = (int(x.doc[p]), self.item[i])
-            if pair in hits:
-                continue
-            part = self.part[i]
-            low, high = int(x.start[p]), int(x.end[p])
-            own = x.words[low:high]
-            if np.isin(own, part).sum() < SHARED * len(part) * 0.4:
-                continue
-            first, last = max(low - len(part), self._first(x, p)), min(high + len(part), self._last(x, p))
-            window = x.words[first:last]
-            window = window[np.isin(window, known)] if len(window) > 400 else window
-            if common_order(part, window) >= SHARED * len(part):
-                answer = part[-ANSWER:]
-                if common_order(answer, window) >= ANSWERED * len(answer):
-                    hits.add(pair)
+        for k in range(0, len(vectors), 16384):
+            near = vectors[k : k + 16384] @ self.vectors.T >= NEAR
+            near[:, self.plain] = True
+            p, i = np.nonzero(near)
+            both = np.bitwise_count(signs[k + p] & self.signs[i]).sum(1)
+            fine = both >= need[i]
+            for p, i in zip((k + p[fine]).tolist(), i[fine].tolist()):
+                d = int(x.doc[p])
+                if (d, self.item[i]) in hits:
+                    continue
+                n = len(self.part[i])
+                low = max(int(x.start[p]) - n, int(x.first[d]))
+                window = x.words[low : min(int(x.start[p]) + 2 * STEP + n, int(x.last[d]))]
+                if _holds(self.part[i], window):
+                    hits.add((d, self.item[i]))
         return sorted(hits)
 
-    def _first(self, x: Batch, p: int) -> int:
-        return int(x.start[np.searchsorted(x.doc, x.doc[p])])
 
-    def _last(self, x: Batch, p: int) -> int:
-        return int(x.end[np.searchsorted(x.doc, x.doc[p], side="right") - 1])
+def _holds(part: np.ndarray, window: np.ndarray) -> bool:
+    """Whether the window has enough of the part's words in its order, and enough of its answer."""
+    if common_order(part, window) < SHARED * len(part):
+        return False
+    answer = part[-ANSWER:]
+    return common_order(answer, window) >= ANSWERED * len(answer)
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
 
 
 def load_items(benchmark: DataFrame, space: np.ndarray) -> Items:

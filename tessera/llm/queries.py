@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tessera.llm.decontaminate import op9_decontamination
 from tessera.llm.language import op7_language_id
 from tessera.llm.licenses import op10_license_scan
 from tessera.llm.packing import op8_packing
@@ -21,6 +22,7 @@ def queries() -> dict:
         "op5_simhash_near_dedup": op5_simhash_near_dedup,
         "op7_language_id": op7_language_id,
         "op8_packing": op8_packing,
+        "op9_decontamination": op9_decontamination,
         "op10_license_scan": op10_license_scan,
     }
 
