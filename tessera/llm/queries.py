@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from tessera.llm.decontaminate import op9_decontamination
 from tessera.llm.language import op7_language_id
 from tessera.llm.licenses import op10_license_scan
 from tessera.llm.packing import op8_packing
+from tessera.llm.personal_data import op6_personal_data
 from tessera.llm.secret_scan import op4_secret_scan
 from tessera.llm.simhash import op5_simhash_near_dedup
 from tessera.llm.token_files import op2_token_files
@@ -20,10 +22,12 @@ def queries() -> dict:
         "op3_exact_top_k": op3_exact_top_k,
         "op4_secret_scan": op4_secret_scan,
         "op5_simhash_near_dedup": op5_simhash_near_dedup,
+        "op6_personal_data": op6_personal_data,
         "op7_language_id": op7_language_id,
         "op8_packing": op8_packing,
         "op9_decontamination": op9_decontamination,
         "op10_license_scan": op10_license_scan,
+        "pipeline": corpus_pipeline.run,
     }
 
 
