@@ -179,9 +179,9 @@ def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP3_SQL = """
-WITH e AS (SELECT vec_id, list_transform(embedding, c -> floor(256 * CAST(c AS DOUBLE))) AS x FROM embeddings
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS x FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, c -> c IS NULL OR isnan(c) OR isinf(c))) = 0),
+    AND len(list_filter(embedding, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0),
 s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(q.x, v.x) AS BIGINT) AS score
   FROM e q JOIN e v ON q.vec_id % 50 = 0 AND v.vec_id != q.vec_id AND len(q.x) = len(v.x)),
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s)
