@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tessera.functions.sphere import clip
 from tessera.operators.evaluate import rank_auc
 from tessera.operators.prepare import random_holdouts
+from tessera.plans.tables import materialise
 
 c = F.col
 OFFSET_M, KNOTS, DEGREE = 50.0, 6, 3
@@ -64,6 +65,7 @@ def fit_preservation(df: DataFrame, erosion: str = "erosion_m", label: str = "la
     names = [f"_b{i}" for i in range(KNOTS + DEGREE - 1)]
     rows = rows.withColumns(dict(zip(names, bspline_basis(c("_x"), edge["lo"], edge["hi"]))))
     vectors = VectorAssembler(inputCols=names, outputCol="_v").transform(rows).select("_v", c(label).cast("double").alias("_y"), erosion)
+    vectors = materialise(vectors, "basis")  # read in every step of the fit
     model = LogisticRegression(featuresCol="_v", labelCol="_y", regParam=1 / (penalty * edge["n"]), elasticNetParam=0.0, standardization=False, maxIter=200).fit(vectors)
     fit = Preservation(edge["lo"], edge["hi"], [float(k) for k in model.coefficients], float(model.intercept), (0.0, 1.0))
     ends = vectors.agg(F.min(fit.linear(c(erosion))).alias("lo"), F.max(fit.linear(c(erosion))).alias("hi")).first()

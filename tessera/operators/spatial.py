@@ -127,10 +127,11 @@ def polygon_matches(points: DataFrame, polygons: DataFrame, on: list[str], bound
     """Each point with each polygon of equal keys that holds it (a struct ``_p``), through tiles of both."""
     lons, lats = F.transform("ring", lambda v: v["lon"]), F.transform("ring", lambda v: v["lat"])
     tiles = lambda x: F.explode(F.sequence(F.floor(F.array_min(x) / tile), F.floor(F.array_max(x) / tile)))
-    boxed = polygons.select(*on, F.struct(*polygons.columns).alias("_p"), "ring").withColumn("_i", tiles(lons)).withColumn("_j", tiles(lats)).drop("ring")
+    boxed = polygons.withColumn("_i", tiles(lons)).withColumn("_j", tiles(lats))
+    boxed = boxed.select(*on, *[c(x).alias(f"_p_{x}") for x in polygons.columns], "_i", "_j")
     here = points.withColumns({"_i": F.floor(c("lon") / tile), "_j": F.floor(c("lat") / tile)})
-    both = here.join(boxed, [*on, "_i", "_j"])
-    return both.where(inside(c("_p.ring"), c("lon"), c("lat"), boundary)).select(*points.columns, "_p")
+    both = here.join(boxed, [*on, "_i", "_j"]).where(inside(c("_p_ring"), c("lon"), c("lat"), boundary))
+    return both.select(*points.columns, F.struct(*[c(f"_p_{x}").alias(x) for x in polygons.columns if x != "ring"]).alias("_p"))
 
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, on: list[str], boundary: bool = False, pid: str = "point_id") -> DataFrame:

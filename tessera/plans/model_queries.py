@@ -107,7 +107,7 @@ def m19_fit(s):
 
 @query("m21_held_out_auc", "fx_score")
 def m21(s):
-    mean, std = V.held_out_auc(R.exclude_zero(s, "erosion_m"), n=3)
+    mean, std = V.held_out_auc(R.exclude_zero(s, "erosion_m"), n=2)
     return s.agg(F.count("*").alias("n")).select("n", F.lit(mean).alias("mean_auc"), F.lit(std).alias("std_auc"))
 
 

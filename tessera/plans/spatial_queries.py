@@ -162,11 +162,11 @@ def _dot(u, v):
     return "(" + " + ".join(f"({a}) * ({b})" for a, b in zip(u, v)) + ")"
 
 
-_A, _B, _N, _V = (["ax", "ay", "az"], ["bx", "by", "bz"], ["nx", "ny", "nz"], ["px", "py", "pz"])
+_A, _B, _N, _V = ([f"{v}_{k}" for k in "xyz"] for v in "abnv")
 _ENDS = [f"2 * asin(sqrt(least(1.0, pow(sin(radians(s.lat{k} - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(s.lat{k})) * pow(sin(radians(s.lon{k} - p.lon) / 2), 2))))" for k in "12"]
-ZONE = f"""s AS (SELECT *, {', '.join(f'{x} AS a{k}, {y} AS b{k}' for k, x, y in zip('xyz', [z.replace('q.lon', 'lon1').replace('q.lat', 'lat1') for z in xyz('q')], [z.replace('q.lon', 'lon2').replace('q.lat', 'lat2') for z in xyz('q')]))} FROM ({ELIGIBLE})),
-s2 AS (SELECT *, {', '.join(f'{x} AS n{k}' for k, x in zip('xyz', _cross(_A, _B)))} FROM s),
-v AS (SELECT *, {', '.join(f'{x} AS p{k}' for k, x in zip('xyz', [z.replace('q.lon', 'lon').replace('q.lat', 'lat') for z in xyz('q')]))} FROM fx_point),
+ZONE = f"""s AS (SELECT *, {', '.join(f'{x} AS a_{k}, {y} AS b_{k}' for k, x, y in zip('xyz', [z.replace('q.lon', 'lon1').replace('q.lat', 'lat1') for z in xyz('q')], [z.replace('q.lon', 'lon2').replace('q.lat', 'lat2') for z in xyz('q')]))} FROM ({ELIGIBLE})),
+s2 AS (SELECT *, {', '.join(f'{x} AS n_{k}' for k, x in zip('xyz', _cross(_A, _B)))} FROM s),
+v AS (SELECT *, {', '.join(f'{x} AS v_{k}' for k, x in zip('xyz', [z.replace('q.lon', 'lon').replace('q.lat', 'lat') for z in xyz('q')]))} FROM fx_point),
 h AS (SELECT p.point_id, p.plate_id, s.segment_id, s.over_plate, s.polarity, {_dot(_V, _N)} / sqrt({_dot(_N, _N)}) AS height, least({_ENDS[0]}, {_ENDS[1]}) AS ends,
   {_dot(_cross(_N, _A), _V)} >= 0 AND {_dot(_cross(_B, _N), _V)} >= 0 AS between_ends FROM v p JOIN s2 s ON p.age = s.age),
 zone AS (SELECT *, degrees(CASE WHEN between_ends THEN asin(least(abs(height), 1.0)) ELSE ends END) AS deg FROM h WHERE (polarity = 'Left' AND height > 0) OR (polarity <> 'Left' AND height < 0))"""
@@ -213,8 +213,8 @@ def c14_reconstruct_steps(p, r):
 
 
 @query("c15_always_on_continent", "fx_point", "fx_rotation", "fx_ring", sql=f"""
-WITH {STEPS}, sp AS (SELECT *, point_id || ':' || t AS at FROM st WHERE lon IS NOT NULL), {EDGES}, h AS (SELECT DISTINCT at FROM ({inside_sql('sp', 'at')}))
-SELECT DISTINCT point_id FROM fx_point WHERE point_id NOT IN (SELECT point_id FROM sp WHERE at NOT IN (SELECT at FROM h))""")
+WITH {STEPS}, sp AS (SELECT *, point_id || ':' || t AS pt FROM st WHERE lon IS NOT NULL), {EDGES}, h AS (SELECT DISTINCT pt FROM ({inside_sql('sp', 'pt')}))
+SELECT DISTINCT point_id FROM fx_point WHERE point_id NOT IN (SELECT point_id FROM sp WHERE pt NOT IN (SELECT pt FROM h))""")
 def c15_always_on_continent(p, r, ring):
     return S.always_on_continent(S.reconstruct_steps(p, r), polygons(ring), [])
 
