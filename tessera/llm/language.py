@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.tokens import small
 from tessera.plans.tables import read_table
 
 #: N-grams in a profile, and most frequent n-grams of a document that are compared to it.
@@ -61,7 +62,7 @@ def has_letter(text: str | None) -> bool:
 
 def _letter_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(0, np.int64)
-    for b in batches:
+    for b in small(batches):
         for t in b.column(0).to_pylist():
             got = np.bincount(_folded(t or ""))
             if len(got) > len(total):
@@ -81,7 +82,7 @@ def _gram_counts(alphabet: np.ndarray) -> Callable:
             counts = np.bincount(np.concatenate(held.pop(lang)), minlength=GRAMS)
             total[lang] = total[lang] + counts if lang in total else counts
 
-        for b in batches:
+        for b in small(batches):
             for t, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 parts = held.setdefault(lang, [])
                 parts.append(_grams(_folded(t or ""), alphabet))
@@ -145,7 +146,7 @@ def learn_profiles(docs: DataFrame) -> Profiles:
 
 def _predictions(profiles: Profiles) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             names, scores = zip(*[profiles.predict(t) for t in b.column("text").to_pylist()]) if b.num_rows else ((), ())
             rest = [b.column(c) for c in b.schema.names if c != "text"]
             kept = [c for c in b.schema.names if c != "text"]
@@ -182,7 +183,7 @@ def keep_known_languages(docs: DataFrame, least: float = 0.0) -> DataFrame:
     profiles = learn_profiles(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             found = [profiles.predict(t) for t in b.column("text").to_pylist()]
             yield b.filter(pa.array([name != UNKNOWN and score >= least for name, score in found], pa.bool_()))
 

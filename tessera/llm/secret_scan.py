@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.tokens import small
 from tessera.plans.tables import materialise, read_table
 
 #: The contract's kinds and patterns, in its order. ``learnt`` are the method's own.
@@ -215,7 +216,7 @@ def learn_formats(labelled: dict[int, list[str]], others: list[str]) -> Formats:
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string())]))
-    for b in batches:
+    for b in small(batches):
         out = []
         for t in b.column(1):
             text = t.as_py() or ""
@@ -230,7 +231,7 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _judge(formats: Formats) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             out = []
             for doc_id, spans in zip(b.column("doc_id").to_pylist(), b.column("spans").to_pylist()):
                 base = [(KINDS[s["kind"]], s["start"], s["end"]) for s in spans if s["kind"] < 3]
@@ -294,7 +295,7 @@ def redact_secrets(docs: DataFrame, mark: str = "[secret]", sample: int = SAMPLE
         return "".join([*parts, text[at:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             texts = b.column("text").to_pylist()
             new = [t if t is None else clean(t) for t in texts]
             names, columns = b.schema.names, list(b.columns)

@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.tokens import small
 from tessera.plans.components import connected_components
 from tessera.plans.tables import materialise, read_table
 
@@ -44,7 +45,7 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 def _fingerprints(words: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             prints = [fingerprint(shingle_hashes(t.as_py(), words)) for t in b.column(1)]
             yield pa.record_batch([b.column(0), pa.array(prints, pa.int64())], ["doc_id", "fp"])
 
@@ -146,7 +147,7 @@ def op5_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
 
 # --- the pipeline's stage: texts, not fingerprints alone, decide -------------------------------------
 
-SKETCH = "fp long, n long, hashes binary, bands array<long>"
+SKETCH = "id long, fp long, hashes binary, bands array<long>"
 #: Bins of a document's smallest hashes, and bins in a band.
 BINS, BAND = 64, 4
 
@@ -179,25 +180,27 @@ def sketch_bands(hashes: np.ndarray) -> np.ndarray:
 
 def _sketches(words: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             out = []
             for t in b.column(1):
                 hashes = shingle_hashes(t.as_py(), words)
                 own = np.unique(hashes)
                 bands = sketch_bands(own).tolist() if len(own) else []
-                out.append((fingerprint(hashes), len(own), own.tobytes(), bands))
+                id_ = xxhash.xxh64_intdigest(own.tobytes(), len(own))
+                short = np.unique((own >> np.uint64(32)).astype("<u4")).tobytes()
+                out.append((int(np.uint64(id_).view(np.int64)), fingerprint(hashes), short, bands))
             kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
-            yield pa.record_batch([b.column(0), *(pa.array(c, k) for c, k in zip(zip(*out), kinds))], ["doc_id", "fp", "n", "hashes", "bands"])
+            yield pa.record_batch([b.column(0), *(pa.array(c, k) for c, k in zip(zip(*out), kinds))], ["doc_id", "id", "fp", "hashes", "bands"])
 
     return run
 
 
 def _similar(threshold: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             keep = []
             for x, y in zip(b.column("x"), b.column("y")):
-                p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                p, q = np.frombuffer(x.as_py(), "<u4"), np.frombuffer(y.as_py(), "<u4")
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 keep.append(both >= threshold * (len(p) + len(q) - both) - 1e-9)
             yield pa.record_batch([b.column("u"), b.column("v")], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
@@ -228,13 +231,12 @@ def near_copy_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, r
 
     Candidates are pairs within ``radius`` bits by covering hashing, and pairs whose smallest shingle
     hashes agree in a band, as texts that are 0.8 alike commonly differ in 3 to 12 bits, which no
-    affordable radius covers. Either kind counts only if the texts' sets of ``words``-word shingles
+    affordable radius covers. Shingles are compared by 32 bits of their hashes. Either kind counts only if the texts' sets of ``words``-word shingles
     have a Jaccard similarity of at least ``similarity``. Texts with equal shingle sets are one class
     and compared once. Texts without words are copies of each other.
     """
     rows = docs.select("doc_id", "text").mapInArrow(_sketches(words), "doc_id long, " + SKETCH)
-    rows = rows.withColumn("id", F.xxhash64("n", "hashes"))
-    rows = materialise(rows.select("doc_id", "id", "fp", "n", "hashes", "bands"), "sketches")
+    rows = materialise(rows, "sketches")
     light = rows.groupBy("id").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp"), F.min("bands").alias("bands"))
     classes = materialise(light, "classes")
     masks = F.posexplode(F.array(*[F.lit(_signed(m)) for m in covering_masks(radius)])).alias("t", "mask")
@@ -261,12 +263,15 @@ def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -
     Rows that repeat a doc_id that stays are reduced to one; rows with a null doc_id stay.
     """
     groups = near_copy_groups(docs.where("doc_id is not null"), words, similarity)
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    known = docs.join(kept, "doc_id", "left_semi")
-    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id")
-    once = known.join(repeated, "doc_id", "left_anti")
-    many = known.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(many).unionByName(docs.where("doc_id is null")).select(docs.columns)
+    kept = materialise(groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
+    once = docs.join(kept.where("n = 1"), "doc_id", "left_semi")
+    out = once.select(docs.columns)
+    if kept.where("n > 1").limit(1).count():
+        many = docs.join(kept.where("n > 1"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        out = out.unionByName(many.select(docs.columns))
+    if docs.where("doc_id is null").limit(1).count():
+        out = out.unionByName(docs.where("doc_id is null"))
+    return out
 
 
 __all__ = ["covering_masks", "drop_near_copies", "fingerprint", "fingerprints", "links", "near_copy_groups", "near_duplicates", "op5_simhash_near_dedup", "shingle_hashes"]

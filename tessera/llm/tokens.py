@@ -91,6 +91,13 @@ def ids_crc32(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, so that few texts are held as Python objects at once."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
 def per_document(path: str, schema: pa.Schema, rows: Callable[[object, np.ndarray], list[tuple]], end_id: int, step: int = 256) -> Callable:
     """A ``mapInArrow`` function: ``rows(doc_id, ids with end_id)`` for each ``(doc_id, text)``."""
 
