@@ -144,7 +144,8 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "
     parts = pages.withColumn("_url", address).drop(*drop).withColumns({"host": url_parts(F.col("_url"))[0], "path": url_parts(F.col("_url"))[1]}).drop("_url")
     if not rules:
         return parts.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
-    listed = spark.createDataFrame([(k,) for k in verdicts], "key string")
+    table = lambda keys: spark.range(1).select(F.explode(F.lit(sorted(keys)).cast("array<string>")).alias("key"))
+    listed = table(verdicts)
     universe = pages.select(F.explode(F.array_distinct(_keys(host, path, shapes))).alias("key"))
     levels = build_cascade(listed, universe)
     keys = _keys(F.col("host"), F.col("path"), shapes)
@@ -152,9 +153,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "
         return _joined(parts, keys, verdicts, default)
     fit = F.filter(F.array_distinct(keys), lambda k: in_cascade(k, levels))
     longest = F.aggregate(fit, F.lit(None).cast("string"), lambda a, k: F.when(a.isNull() | (F.length(k) > F.length(a)), k).otherwise(a))
-    blocked = spark.createDataFrame([(k,) for k, v in verdicts.items() if v == "block"], "key string")
-    allowed = spark.createDataFrame([(k,) for k, v in verdicts.items() if v != "block"], "key string")
-    which = build_cascade(blocked, blocked.union(allowed))
+    which = build_cascade(table(k for k, v in verdicts.items() if v == "block"), listed)
     judged = parts.withColumn("rule", longest)
     verdict = F.when(F.col("rule").isNull(), F.lit(default)).when(in_cascade(F.col("rule"), which), "block").otherwise("allow")
     return judged.withColumn("verdict", verdict)
@@ -163,7 +162,8 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "
 def _joined(parts: DataFrame, keys: Column, verdicts: dict[str, str], default: str) -> DataFrame:
     """The same for a list that no bounded filter holds: distinct keys meet the rules in a join."""
     spark = parts.sparkSession
-    rules = spark.createDataFrame(list(verdicts.items()), "key string, verdict string")
+    listed = F.create_map(*[F.lit(x) for kv in verdicts.items() for x in kv])
+    rules = spark.range(1).select(F.explode(listed).alias("key", "verdict"))
     places = parts.select("host", "path").distinct()
     fit = places.select("host", "path", F.explode(F.array_distinct(keys)).alias("key")).join(rules, "key")
     best = fit.groupBy("host", "path").agg(F.max(F.struct(F.length("key").alias("n"), F.col("key").alias("rule"), "verdict")).alias("best"))
