@@ -313,10 +313,13 @@ def i01_grid_points(ring, r):
     return back.select("age", "node_index", c("lon").cast("double").alias("lon"), c("lat").cast("double").alias("lat"), F.round("present_lon", 5).alias("present_lon"), F.round("present_lat", 5).alias("present_lat"))
 
 
-@query("i02_random_points", "fx_ring")
-def i02_random_points(ring):
+@query("i02_random_points", "fx_point", "fx_ring")
+def i02_random_points(p, ring):
+    """As many random points on continents for each age of the deposits as there are deposits a hundred."""
     polys = polygons(ring)
-    return R.random_points(ring.sparkSession, [0, 1, 2, 3, 4], 10, lambda df: S.points_in_polygons(df, polys, []))
+    ages = [r["age"] for r in T.distinct_ages(p).orderBy("age").collect()]  # one row a time step
+    n = max(10, p.count() // (100 * max(1, len(ages))))
+    return R.random_points(p.sparkSession, ages, n, lambda df: S.points_in_polygons(df, polys, []))
 
 
 @query("s08_plate_thickness", "fx_trench")
