@@ -12,6 +12,8 @@ from tessera.operators import statistics as T
 from tessera.plans.registry import query
 
 c = F.col
+#: Added before rounding where values are short decimals, so that none lies on a rounding boundary.
+OFF = 1.23e-6
 
 
 def hav(a: str, b: str) -> str:
@@ -96,10 +98,10 @@ WITH {GRID10}, t AS (SELECT a.age, x.i, y.j, (x.i + 0.5) * 36 / 24 - 0.5 AS u, l
 k AS (SELECT age, i, j, ((CAST(floor(u) AS INT) + di + 36) % 36) AS ci, least(CAST(floor(v) AS INT) + dj, 13) AS cj,
   (CASE WHEN di = 1 THEN u - floor(u) ELSE 1 - (u - floor(u)) END) * (CASE WHEN dj = 1 THEN v - floor(v) ELSE 1 - (v - floor(v)) END) AS w
   FROM t CROSS JOIN (VALUES (0), (1)) a(di) CROSS JOIN (VALUES (0), (1)) b(dj))
-SELECT k.age, CAST(k.i AS INT) AS i, CAST(k.j AS INT) AS j, round(CASE WHEN count(g.value) = count(*) THEN sum(g.value * w) END, 4) AS value
+SELECT k.age, CAST(k.i AS INT) AS i, CAST(k.j AS INT) AS j, round(CASE WHEN count(g.value) = count(*) THEN sum(g.value * w) END + {OFF}, 4) AS value
 FROM k LEFT JOIN g ON g.age = k.age AND g.i = ci AND g.j = cj WHERE w > 0 GROUP BY k.age, k.i, k.j""")
 def c06_resample_grid(g):
-    return S.resample_regular(grid10(g), (36, 14), (24, 10), ["age"]).select("age", "i", "j", F.round("value", 4).alias("value"))
+    return S.resample_regular(grid10(g), (36, 14), (24, 10), ["age"]).select("age", "i", "j", F.round(c("value") + OFF, 4).alias("value"))
 
 
 @query("c07_sample_grid", "fx_point", "fx_cell", sql=f"""
@@ -108,14 +110,14 @@ k AS (SELECT point_id, age, ((CAST(floor(u) AS INT) + di + 36) % 36) AS ci, leas
   (CASE WHEN di = 1 THEN u - floor(u) ELSE 1 - (u - floor(u)) END) * (CASE WHEN dj = 1 THEN v - floor(v) ELSE 1 - (v - floor(v)) END) AS w
   FROM t CROSS JOIN (VALUES (0), (1)) a(di) CROSS JOIN (VALUES (0), (1)) b(dj)),
 l AS (SELECT k.point_id, CASE WHEN count(g.value) = count(*) THEN sum(g.value * w) END AS value FROM k LEFT JOIN g ON g.age = k.age AND g.i = ci AND g.j = cj WHERE w > 0 GROUP BY k.point_id)
-SELECT t.point_id, round(g.value, 4) AS nearest, round(l.value, 4) AS linear FROM t JOIN l USING (point_id)
+SELECT t.point_id, round(g.value + {OFF}, 4) AS nearest, round(l.value + {OFF}, 4) AS linear FROM t JOIN l USING (point_id)
 LEFT JOIN g ON g.age = t.age AND g.i = (CAST(floor(u + 0.5) AS INT) + 36) % 36 AND g.j = CAST(floor(v + 0.5) AS INT)""")
 def c07_sample_grid(p, g):
     cells = grid10(g)
     p = p.select("point_id", "age", "lon", "lat")
     one = S.sample_regular(p, cells, -175.0, -65.0, 10.0, 36, 14, ["age"], "nearest", "nearest")
     both = S.sample_regular(one, cells, -175.0, -65.0, 10.0, 36, 14, ["age"], "linear", "linear")
-    return both.select("point_id", F.round("nearest", 4).alias("nearest"), F.round("linear", 4).alias("linear"))
+    return both.select("point_id", F.round(c("nearest") + OFF, 4).alias("nearest"), F.round(c("linear") + OFF, 4).alias("linear"))
 
 
 EDGES = "e AS (SELECT poly_id, plate_id, type_rank, area_rank, lon AS x1, lat AS y1, lead(lon) OVER w AS x2, lead(lat) OVER w AS y2 FROM fx_ring WINDOW w AS (PARTITION BY poly_id ORDER BY seq))"
@@ -265,10 +267,10 @@ def c20_combine_by_key(s, p):
 
 
 @query("c21_occurrence_values", "fx_point", "fx_cell", sql=f"""WITH {GRID10}
-SELECT point_id, round(value, 4) AS value FROM fx_point p JOIN g ON g.age = p.age AND g.i = (CAST(floor((lon + 175) / 10 + 0.5) AS INT) + 36) % 36 AND g.j = least(CAST(floor((least(greatest((lat + 65) / 10, 0.0), 13.0)) + 0.5) AS INT), 13) WHERE label = 1 AND value IS NOT NULL""")
+SELECT point_id, round(value + {OFF}, 4) AS value FROM fx_point p JOIN g ON g.age = p.age AND g.i = (CAST(floor((lon + 175) / 10 + 0.5) AS INT) + 36) % 36 AND g.j = least(CAST(floor((least(greatest((lat + 65) / 10, 0.0), 13.0)) + 0.5) AS INT), 13) WHERE label = 1 AND value IS NOT NULL""")
 def c21_occurrence_values(p, g):
     found = S.sample_regular(p.where("label = 1"), grid10(g), -175.0, -65.0, 10.0, 36, 14, ["age"])
-    return found.where("value is not null").select("point_id", F.round("value", 4).alias("value"))
+    return found.where("value is not null").select("point_id", F.round(c("value") + OFF, 4).alias("value"))
 
 
 @query("c22_strain_radius_mean", "fx_trench", "fx_cell", sql=mean_sql("trench_id", "fx_trench", "p.age = t.age AND t.z <> 0", "3.0", False))
@@ -361,25 +363,25 @@ k AS (SELECT *, wt_sediment * 17.0 * sediment_m * 1e-9 AS c_sediment, wt_crust *
   seafloor_age_myr * 1e-4 + (seafloor_age_myr * 500 - 8e3) * (0.13 * (least(greatest(slab_dip_deg, 0.0), 90.0) / 9 / 100)) * 2900 * 1e-9 AS i_lithosphere FROM w)"""
 
 
-@query("s20_slab_water_storage", "fx_trench", "fx_lookup", sql=f"WITH {SLAB} SELECT trench_id, " + ", ".join(f"round(CASE WHEN c_{k} IS NULL THEN NULL ELSE greatest(i_{k} - least(c_{k}, i_{k}), 0.0) END, 9) AS out_{k}" for k in ("sediment", "crust", "lithosphere")) + " FROM k")
+@query("s20_slab_water_storage", "fx_trench", "fx_lookup", sql=f"WITH {SLAB} SELECT trench_id, " + ", ".join(f"round(CASE WHEN c_{k} IS NULL THEN NULL ELSE greatest(i_{k} - least(c_{k}, i_{k}), 0.0) END * 1e3 + {OFF}, 4) AS out_{k}" for k in ("sediment", "crust", "lithosphere")) + " FROM k")
 def s20_slab_water_storage(t, lookup):
     s = slab_tables(t, lookup)
     capacity = {"sediment": c("wt_sediment") * 17.0 * c("sediment_m") * 1e-9, "crust": c("wt_crust") * 30.0 * 7e3 * 1e-9, "lithosphere": c("wt_lithosphere") * 35.0 * (c("seafloor_age_myr") * 1000 - 7e3) * 1e-9}
     serpentinite = (c("seafloor_age_myr") * 500 - 8e3) * (0.13 * (clip(c("slab_dip_deg"), 0, 90) / 9 / 100)) * 2900 * 1e-9
     incoming = {"sediment": c("slab_dip_deg") * 1e-4, "crust": c("spreading_km_myr") * 1e-5, "lithosphere": c("seafloor_age_myr") * 1e-4 + serpentinite}
-    return s.select("trench_id", *[F.round(P.stored(capacity[k], incoming[k])[1], 9).alias(f"out_{k}") for k in capacity])
+    return s.select("trench_id", *[F.round(P.stored(capacity[k], incoming[k])[1] * 1e3 + OFF, 4).alias(f"out_{k}") for k in capacity])
 
 
 CARBON = {"mantle": "35.0 * (seafloor_age_myr * 1000 - sediment_m - 7e3)", "intrusive": "35.0 * 12e3", "volcanic": "35.0 * 450.0", "sediment": "35.0 * sediment_m", "organic": "35.0 * sediment_m"}
 CARBON_WT = {"mantle": "wt_lithosphere", "intrusive": "wt_lithosphere", "volcanic": "wt_crust", "sediment": "wt_sediment", "organic": "wt_sediment"}
 
 
-@query("s21_slab_carbon_storage", "fx_trench", "fx_lookup", sql=f"WITH {SLAB} SELECT trench_id, " + ", ".join(f"round(CASE WHEN {CARBON_WT[k]} * {v} IS NULL THEN NULL ELSE greatest(slab_dip_deg * 1e-3 - least({CARBON_WT[k]} * {v} * 12.0107 / 44.0095 * 1e-9, slab_dip_deg * 1e-3), 0.0) END, 9) AS out_{k}" for k, v in CARBON.items()) + " FROM k")
+@query("s21_slab_carbon_storage", "fx_trench", "fx_lookup", sql=f"WITH {SLAB} SELECT trench_id, " + ", ".join(f"round(CASE WHEN {CARBON_WT[k]} * {v} IS NULL THEN NULL ELSE greatest(slab_dip_deg * 1e-3 - least({CARBON_WT[k]} * {v} * 12.0107 / 44.0095 * 1e-9, slab_dip_deg * 1e-3), 0.0) END * 1e3 + {OFF}, 4) AS out_{k}" for k, v in CARBON.items()) + " FROM k")
 def s21_slab_carbon_storage(t, lookup):
     s = slab_tables(t, lookup)
     size = {"mantle": 35.0 * (c("seafloor_age_myr") * 1000 - c("sediment_m") - 7e3), "intrusive": F.lit(35.0 * 12e3), "volcanic": F.lit(35.0 * 450.0), "sediment": 35.0 * c("sediment_m"), "organic": 35.0 * c("sediment_m")}
     out = {k: P.stored(c(CARBON_WT[k]) * size[k] * (12.0107 / 44.0095) * 1e-9, c("slab_dip_deg") * 1e-3)[1] for k in size}
-    return s.select("trench_id", *[F.round(v, 9).alias(f"out_{k}") for k, v in out.items()])
+    return s.select("trench_id", *[F.round(v * 1e3 + OFF, 4).alias(f"out_{k}") for k, v in out.items()])
 
 
 @query("s23_melting_rate", "fx_trench", "fx_lookup", sql=f"""
