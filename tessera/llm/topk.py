@@ -25,6 +25,18 @@ def integer_vectors(vectors: DataFrame, vec_id: str, embedding: str, scale: int)
     return vectors.where(fine).select(F.col(vec_id).cast("long").alias("vec_id"), whole.alias("x"))
 
 
+def _matrix(raw: bytes, rows: int, dims: int) -> np.ndarray:
+    """A packed matrix; its size tells how many bytes a number has."""
+    width = len(raw) // (rows * dims) if rows * dims else 8
+    return np.frombuffer(raw, f"<i{width}").reshape(rows, dims).astype("<i8")
+
+
+def _bytes(matrix: np.ndarray) -> bytes:
+    """The numbers in the fewest bytes that hold all of them."""
+    most = int(np.abs(matrix).max(initial=0))
+    return matrix.astype("<i2" if most < 1 << 15 else "<i4" if most < 1 << 31 else "<i8").tobytes()
+
+
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Chunks of rows as one matrix each; the rows of a batch share their number of dimensions."""
     for b in batches:
@@ -35,7 +47,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 part = own.slice(k, CHUNK)
                 flat = part.column("x").flatten().to_numpy(zero_copy_only=False).astype("<i8")
                 ids = part.column("row").to_numpy(zero_copy_only=False).astype("<i8")
-                yield pa.record_batch([pa.array([int(d)], pa.int32()), pa.array([ids.tobytes()]), pa.array([flat.tobytes()])], ["dims", "rows", "matrix"])
+                yield pa.record_batch([pa.array([int(d)], pa.int32()), pa.array([ids.tobytes()]), pa.array([_bytes(flat)])], ["dims", "rows", "matrix"])
 
 
 def _products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -55,8 +67,8 @@ def _local(keep: Callable, nodes: int) -> Callable:
                 r = batch.slice(k, 1).to_pylist()[0]
                 edges = np.linspace(0, r["dims"], nodes + 1).astype(int)
                 queries, rows = np.frombuffer(r["queries"], "<i8"), np.frombuffer(r["rows"], "<i8")
-                q = np.frombuffer(r["query_matrix"], "<i8").reshape(len(queries), -1)
-                v = np.frombuffer(r["matrix"], "<i8").reshape(len(rows), -1)
+                q = _matrix(r["query_matrix"], len(queries), r["dims"])
+                v = _matrix(r["matrix"], len(rows), r["dims"])
                 for node in range(nodes):
                     own = slice(edges[node], edges[node + 1])
                     part = _products(q[:, own], v[:, own])
@@ -157,11 +169,11 @@ def _cut_blocks(blocks: DataFrame) -> DataFrame:
         for batch in batches:
             for r in batch.to_pylist():
                 rows = np.frombuffer(r["rows"], "<i8")
-                matrix = np.frombuffer(r["matrix"], "<i8").reshape(len(rows), -1)
+                matrix = _matrix(r["matrix"], len(rows), r["dims"])
                 for k in range(0, len(rows), QUERIES):
                     part = rows[k : k + QUERIES]
                     block = f"{r['dims']}:{part[0]}"
-                    yield pa.record_batch([pa.array([r["dims"]], pa.int32()), pa.array([block]), pa.array([part.tobytes()]), pa.array([part.tolist()]), pa.array([matrix[k : k + QUERIES].tobytes()])], ["dims", "block", "queries", "query_rows", "query_matrix"])
+                    yield pa.record_batch([pa.array([r["dims"]], pa.int32()), pa.array([block]), pa.array([part.tobytes()]), pa.array([part.tolist()]), pa.array([_bytes(matrix[k : k + QUERIES])])], ["dims", "block", "queries", "query_rows", "query_matrix"])
 
     return blocks.mapInArrow(run, "dims int, block string, queries binary, query_rows array<long>, query_matrix binary")
 
