@@ -216,14 +216,38 @@ def bucket_pairs(keyed: DataFrame, keys: list[str], width: int = 12) -> DataFram
     ids, times a constant. Ids are dealt in shares of a bucket, each ranked on its own, so no task
     holds a whole crowd.
     """
-    first = keyed.groupBy(*keys).agg(F.min("id").alias("v"), F.max("id").alias("most")).where("v < most")
-    stars = keyed.join(first.drop("most"), keys).where("id != v").select(F.col("id").alias("u"), "v")
-    shares = keyed.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 2")
-    dealt = keyed.join(shares, keys).withColumn("share", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / 512)))
+    sizes = keyed.groupBy(*keys).agg(F.count("*").alias("n"), F.min("id").alias("v")).where("n > 1")
+    full = materialise(keyed.join(sizes, keys), "buckets")
+    stars = full.select(F.col("id").alias("u"), "v")
+    dealt = full.where("n > 2").withColumn("share", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / 512)))
     order = Window.partitionBy(*keys, "share").orderBy("id")
     after = F.collect_list("id").over(order.rowsBetween(1, width))
     chains = dealt.select(F.col("id").alias("v"), after.alias("after")).select("v", F.explode("after").alias("u"))
-    return stars.union(chains.select("u", "v")).where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    both = stars.union(chains.select("u", "v")).where("u != v")
+    return both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
+#: Slots of a filter at most, one byte each.
+MOST_SLOTS = 1 << 22
+
+
+def may_be_in(ids: DataFrame, name: str) -> Callable[[Column], Column]:
+    """A test that every id of the table passes, and few others: it keeps rows out of a shuffle.
+
+    The test is one hashed slot an id, of 16 slots for an id up to ``MOST_SLOTS``: its size is bounded
+    whatever the corpus. Rows that pass go on to an exact join, so no result depends on it.
+    """
+    n = ids.count()
+    slots = min(MOST_SLOTS, max(64, 1 << (16 * n).bit_length()))
+    slot = lambda x: F.pmod(F.xxhash64(x), F.lit(slots).cast("long"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.col("at"), F.lit(64)).cast("int"))
+    at = ids.select(slot(F.col(name)).alias("at"))
+    held = at.select(F.floor(F.col("at") / 64).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    words = np.zeros(slots // 64, np.int64)
+    for r in held.collect():  # MOST_SLOTS / 64 rows at most
+        words[r["word"]] = r["bits"]
+    full = F.lit(bytearray(np.unpackbits(words.view(np.uint8), bitorder="little").tobytes()))
+    return lambda x: F.substring(full, (slot(x) + 1).cast("int"), 1) == F.lit(bytearray(b"\x01"))
 
 
 def near_copy_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 2) -> DataFrame:
@@ -244,9 +268,10 @@ def near_copy_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, r
     bands = classes.select("id", F.posexplode("bands").alias("t", "key")).select("id", (F.col("t") + 1000).alias("t"), "key")
     pairs = materialise(bucket_pairs(near.union(bands), ["t", "key"]), "pairs")
     needed = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v"))).distinct()
-    sets = rows.join(needed, "id", "left_semi").select("id", "hashes", "doc_id")
-    sets = sets.join(classes.select("id", "first"), "id").where(F.col("doc_id").eqNullSafe(F.col("first")))
-    sets = materialise(sets.select("id", "hashes").dropDuplicates(["id"]), "sets")
+    needed = materialise(needed, "needed")
+    near_rows = rows.where(may_be_in(needed, "id")(F.col("id"))).select("id", "hashes")
+    sets = near_rows.join(needed, "id", "left_semi").groupBy("id").agg(F.min("hashes").alias("hashes"))
+    sets = materialise(sets, "sets")
     x = pairs.join(sets.select(F.col("id").alias("u"), F.col("hashes").alias("x")), "u")
     both = x.join(sets.select(F.col("id").alias("v"), F.col("hashes").alias("y")), "v")
     edges = both.select("u", "v", "x", "y").mapInArrow(_similar(similarity), "u long, v long")
@@ -263,14 +288,16 @@ def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -
     Rows that repeat a doc_id that stays are reduced to one; rows with a null doc_id stay.
     """
     groups = near_copy_groups(docs.where("doc_id is not null"), words, similarity)
-    kept = materialise(groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
-    once = docs.join(kept.where("n = 1"), "doc_id", "left_semi")
-    out = once.select(docs.columns)
+    info = groups.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("component_id"))
+    info = materialise(info, "groups")
+    special = may_be_in(info.where("doc_id != component_id or n > 1").select("doc_id"), "doc_id")(F.col("doc_id"))
+    out = docs.where(F.col("doc_id").isNull() | ~special)
+    rest = docs.where(F.col("doc_id").isNotNull() & special)
+    kept = info.where("doc_id = component_id")
+    out = out.unionByName(rest.join(kept.where("n = 1"), "doc_id", "left_semi").select(docs.columns))
     if kept.where("n > 1").limit(1).count():
-        many = docs.join(kept.where("n > 1"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        many = rest.join(kept.where("n > 1"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
         out = out.unionByName(many.select(docs.columns))
-    if docs.where("doc_id is null").limit(1).count():
-        out = out.unionByName(docs.where("doc_id is null"))
     return out
 
 

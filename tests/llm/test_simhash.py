@@ -91,7 +91,7 @@ def test_stage_keeps_one_of_each_group_and_all_others(spark):
         b = list(crowd)
         b[k], b[299 - k] = f"x{k}", f"y{k}"
         rows.append((1000 + k, " ".join(b), "en", "s", 1))
-    rows += [(2000, None, "en", "s", 1), (2001, "", "en", "s", 1), (None, "no id", "en", "s", 1)]
+    rows += [(5, rows[5][1], "en", "s", 1), (2000, None, "en", "s", 1), (2001, "", "en", "s", 1), (None, "no id", "en", "s", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     kept = sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in drop_near_copies(docs).collect())
     assert kept == [-1, *range(30), 1000, 2000]
