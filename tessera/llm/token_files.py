@@ -32,7 +32,6 @@ BLOCK, CHUNK = 512, 1 << 16
 IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 CHUNKS = pa.schema([("shard", pa.int32()), ("chunk", pa.int32()), ("before", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int64())), ("checkpoints", pa.list_(pa.int64())), ("payload", pa.binary())])
 CHUNKS_SQL = "shard int, chunk int, before long, doc_ids array<long>, doc_tokens array<long>, checkpoints array<long>, payload binary"
-DECODED_SQL = "shard int, before long, doc_id long, ids binary"
 
 
 def code_lengths(counts: np.ndarray, longest: int = LONGEST) -> np.ndarray:
@@ -164,7 +163,7 @@ def _write_chunks(lengths: np.ndarray, dtype: str):
     return run
 
 
-def _read_chunks(lengths: np.ndarray):
+def _read_chunks(lengths: np.ndarray, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = decode_table(lengths)
         for batch in batches:
@@ -182,21 +181,16 @@ def _read_chunks(lengths: np.ndarray):
                 for r in rows:
                     before = r["before"]
                     for doc_id, n in zip(r["doc_ids"], r["doc_tokens"]):
-                        out.append((r["shard"], before, doc_id, ids[at : at + n].astype("<u4").tobytes()))
+                        own = ids[at : at + n]
+                        out.append((r["shard"], before, doc_id, *((n, ids_crc32(own)) if digest else (own.astype("<u4").tobytes(),))))
                         at, before = at + n, before + n
-                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["shard", "before", "doc_id", "ids"])
+                kinds = [pa.int32(), pa.int64(), pa.int64()] + ([pa.int64(), pa.int64()] if digest else [pa.binary()])
+                names = ["shard", "before", "doc_id"] + (["n_tokens", "ids_crc32"] if digest else ["ids"])
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
 
     return run
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        ids = [np.frombuffer(x.as_py(), "<u4") for x in b.column("ids")]
-        digest = [pa.array([len(x) for x in ids], pa.int64()), pa.array([ids_crc32(x) for x in ids], pa.int64())]
-        yield pa.record_batch([b.column("doc_id"), b.column("start"), *digest], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-
 def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 2) -> None:
     """Write the ids of ``(doc_id, text)``, each document's followed by ``end_id``, under ``path``.
 
@@ -229,8 +223,12 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
     drop_files(ids)
 
 
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """``(doc_id, start, ids)``: the ids as little-endian 32-bit bytes; start counts all ids before."""
+def read_token_files(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
+    """``(doc_id, start, ids)``: the ids as little-endian 32-bit bytes; start counts all ids before.
+
+    With ``digest`` their number and CRC-32, ``n_tokens`` and ``ids_crc32``, stand for the ids, which
+    then don't leave the task that decodes them.
+    """
     code = spark.read.parquet(f"{path}/code").collect()  # one row for each id of the vocabulary
     lengths = np.zeros(len(code), np.uint8)
     for r in code:
@@ -240,11 +238,13 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     ends = ends.groupBy("shard").agg(F.sum("n").alias("n"))  # one row for each file
     first = F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     firsts = ends.select("shard", first.alias("first"))
-    ids = chunks.mapInArrow(_read_chunks(lengths), DECODED_SQL)
-    return ids.join(F.broadcast(firsts), "shard").select("doc_id", (F.col("first") + F.col("before")).alias("start"), "ids")
+    what = "n_tokens long, ids_crc32 long" if digest else "ids binary"
+    ids = chunks.mapInArrow(_read_chunks(lengths, digest), f"shard int, before long, doc_id long, {what}")
+    start = (F.col("first") + F.col("before")).alias("start")
+    return ids.join(F.broadcast(firsts), "shard").select("doc_id", start, *[c for c in ids.columns[3:]])
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "token-files")
     write_token_files(read_table(spark, sf_dir, "documents"), path)
-    return read_token_files(spark, path).mapInArrow(_digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read_token_files(spark, path, digest=True)

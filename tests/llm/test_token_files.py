@@ -60,6 +60,8 @@ def test_files_give_back_all_ids_in_order(spark):
         at += len(r["ids"]) // 4
     want = sorted((r[0], zlib.crc32(np.array([*t.encode(r[1] or "").ids, 2], "<u4").tobytes())) for r in rows)
     assert sorted((r["doc_id"], zlib.crc32(r["ids"])) for r in got) == want
+    digests = read_token_files(spark, path, digest=True).collect()
+    assert sorted((r["start"], r["n_tokens"], r["ids_crc32"]) for r in digests) == [(r["start"], len(r["ids"]) // 4, zlib.crc32(r["ids"])) for r in got]
     empty = new_path(spark, "files")
     write_token_files(docs.limit(0), empty)
     assert read_token_files(spark, empty).count() == 0
