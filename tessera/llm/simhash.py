@@ -209,11 +209,11 @@ def _similar(threshold: float) -> Callable:
 
 
 def bucket_pairs(keyed: DataFrame, keys: list[str], width: int = 12) -> DataFrame:
-    """Pairs ``(u, v)`` of ids that share a bucket: each with the ``width`` next ones and the first.
+    """Pairs ``(u, v)`` of ids that share a bucket.
 
     Buckets of up to ``width + 1`` ids give all their pairs. A larger one is a crowd of copies of one
-    text; its ids are tied together along their order and to the smallest, in as many rows as it has
-    ids, times a constant. Ids are dealt in shares of a bucket, each ranked on its own, so no task
+    text; each of its ids is tied to the next three in order and to the smallest, in as many rows as
+    it has ids, times a constant. Ids are dealt in shares of a bucket, each ranked on its own, so no task
     holds a whole crowd.
     """
     sizes = keyed.groupBy(*keys).agg(F.count("*").alias("n"), F.min("id").alias("v")).where("n > 1")
@@ -222,7 +222,9 @@ def bucket_pairs(keyed: DataFrame, keys: list[str], width: int = 12) -> DataFram
     dealt = full.where("n > 2").withColumn("share", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / 512)))
     order = Window.partitionBy(*keys, "share").orderBy("id")
     after = F.collect_list("id").over(order.rowsBetween(1, width))
-    chains = dealt.select(F.col("id").alias("v"), after.alias("after")).select("v", F.explode("after").alias("u"))
+    most = F.when(F.col("n") <= width + 1, width).otherwise(3)
+    chains = dealt.select(F.col("id").alias("v"), after.alias("after"), most.alias("most"))
+    chains = chains.select("v", F.explode(F.slice("after", F.lit(1), F.col("most"))).alias("u"))
     both = stars.union(chains.select("u", "v")).where("u != v")
     return both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
