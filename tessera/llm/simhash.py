@@ -208,16 +208,24 @@ def _similar(threshold: float) -> Callable:
     return run
 
 
-def bucket_pairs(keyed: DataFrame, keys: list[str], width: int = 12) -> DataFrame:
+def shared_buckets(keyed: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of buckets of two ids or more, each with the bucket's size ``n`` and smallest id ``v``."""
+    sizes = keyed.groupBy(*keys).agg(F.count("*").alias("n"), F.min("id").alias("v")).where("n > 1")
+    return materialise(keyed.join(sizes, keys), "buckets")
+
+
+#: In a bucket each id is first compared with so many next ones and the smallest.
+WIDTH = 12
+
+
+def bucket_pairs(full: DataFrame, keys: list[str], width: int = WIDTH) -> DataFrame:
     """Pairs ``(u, v)`` of ids that share a bucket: each with the ``width`` next ones and the first.
 
-    Buckets of up to ``width + 1`` ids give all their pairs. A larger one is a crowd of copies of one
-    text; its ids are tied together along their order and to the smallest, in as many rows as it has
-    ids, times a constant. Ids are dealt in shares of a bucket, each ranked on its own, so no task
-    holds a whole crowd.
+    Buckets of up to ``width + 1`` ids give all their pairs. In a larger one these links tie a crowd of
+    copies of one text together, in as many rows as it has ids, times a constant; what they leave
+    apart is compared by :func:`crowd_links`. Ids are dealt in shares of a bucket, each ranked on its
+    own, so no task holds a whole crowd.
     """
-    sizes = keyed.groupBy(*keys).agg(F.count("*").alias("n"), F.min("id").alias("v")).where("n > 1")
-    full = materialise(keyed.join(sizes, keys), "buckets")
     stars = full.select(F.col("id").alias("u"), "v")
     dealt = full.where("n > 2").withColumn("share", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / 512)))
     order = Window.partitionBy(*keys, "share").orderBy("id")
@@ -227,6 +235,94 @@ def bucket_pairs(keyed: DataFrame, keys: list[str], width: int = 12) -> DataFram
     return both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
+#: Ids in a block of a crowd, and shingle hashes in it, at most (both but for chance).
+BLOCK, BLOCK_HASHES = 512, 1 << 18
+
+
+def common_counts(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+    """How many values each set of ``xs`` shares with each of ``ys``."""
+    out = np.zeros((len(xs), len(ys)), np.float32)
+    _, place = np.unique(np.concatenate([*xs, *ys]), return_inverse=True)
+    cut = sum(map(len, xs))
+    shared = np.zeros(place.max(initial=-1) + 1, bool)
+    shared[place[:cut]] = True
+    other = np.zeros_like(shared)
+    other[place[cut:]] = True
+    shared &= other
+    column = np.cumsum(shared) - 1
+    sides = []
+    for sets, own in ((xs, place[:cut]), (ys, place[cut:])):
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        keep = shared[own]
+        row, own = row[keep], column[own[keep]]
+        order = np.argsort(own, kind="stable")
+        sides.append((len(sets), row[order], own[order]))
+    for k in range(0, int(shared.sum()), 4096):
+        dense = []
+        for n, row, at in sides:
+            s, e = np.searchsorted(at, [k, k + 4096])
+            table = np.zeros((n, 4096), np.float32)
+            table[row[s:e], at[s:e] - k] = 1
+            dense.append(table)
+        out += dense[0] @ dense[1].T
+    return out
+
+
+def _joined_by(threshold: float) -> Callable:
+    """Of two blocks: the pairs of components that some similar pair of their sets joins."""
+
+    def run(table: pa.Table) -> pa.Table:
+        side, group = table["side"].to_numpy(), table["component"].to_numpy()
+        sets = [np.frombuffer(h, "<u4") for h in table["hashes"].to_pylist()]
+        x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        y = y if len(y) else x  # a block against itself
+        size = np.array([len(s) for s in sets], np.float32)
+        both = common_counts([sets[i] for i in x], [sets[i] for i in y])
+        alike = both >= threshold * (size[x][:, None] + size[y] - both).astype(np.float64) - 1e-9
+        i, j = np.nonzero(alike & (group[x][:, None] != group[y]))
+        found = np.unique(np.sort(np.stack([group[x[i]], group[y[j]]], 1), 1), axis=0)
+        return pa.table({"u": pa.array(found[:, 0], pa.int64()), "v": pa.array(found[:, 1], pa.int64())})
+
+    return run
+
+
+def crowd_links(full: DataFrame, sets: DataFrame, groups: DataFrame, threshold: float, width: int = WIDTH) -> DataFrame | None:
+    """Edges ``(u, v)`` between components of ``groups`` that a similar pair of one bucket joins.
+
+    All pairs of a bucket of over ``width + 1`` ids are compared, but those already in one component.
+    A bucket's ids are dealt into blocks by the size of their sets, the ids of its commonest component
+    apart; block meets block under a key of its own, so a crowd spreads over tasks. Blocks whose sizes
+    can't be similar don't meet, nor two blocks of the commonest component. None if no bucket is split.
+    """
+    keys = ["t", "key"]
+    known = groups.select(F.col("node").alias("id"), "component")
+    large = full.where(F.col("n") > width + 1).select(*keys, "id").join(known, "id", "left")
+    large = large.withColumn("component", F.coalesce("component", "id"))
+    kinds = large.groupBy(*keys, "component").agg(F.count("*").alias("n"))
+    split = kinds.groupBy(*keys).agg(F.count("*").alias("kinds"), F.max_by("component", "n").alias("main")).where("kinds > 1")
+    lengths = sets.select("id", (F.length("hashes") / 4).alias("size"))
+    base = 1 / (threshold - 0.01)  # similar sets are at most one class apart, rounding included
+    rows = large.join(split, keys).join(lengths, "id")
+    rows = rows.withColumn("class", F.floor(F.log(F.greatest("size", F.lit(1.0))) / float(np.log(base))))
+    rows = rows.withColumn("class", F.col("class") * 2 + F.when(F.col("component") == F.col("main"), 1).otherwise(0))
+    rows = materialise(rows.select(*keys, "id", "component", "class"), "crowds")
+    if not rows.limit(1).count():
+        return None
+    most = F.least(F.lit(float(BLOCK)), F.greatest(F.lit(16.0), BLOCK_HASHES / F.pow(F.lit(base), F.floor(F.col("class") / 2) + 1)))
+    counts = rows.groupBy(*keys, "class").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / most)).drop("n")
+    block = F.shiftleft("class", 32) + F.pmod(F.xxhash64("id"), F.col("blocks"))
+    rows = rows.join(counts, [*keys, "class"]).select(*keys, "id", "component", block.alias("block"))
+    names = counts.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("at"), "class")
+    names = names.select(*keys, (F.shiftleft("class", 32) + F.col("at")).alias("left"), F.col("class").alias("c"))
+    others = names.select(*keys, F.col("left").alias("right"), F.col("c").alias("d"))
+    meet = (F.col("left") <= F.col("right")) & (F.abs(F.floor(F.col("c") / 2) - F.floor(F.col("d") / 2)) <= 1) & (F.col("c") % 2 + F.col("d") % 2 < 2)
+    meeting = materialise(names.join(others, keys).where(meet).select(*keys, "left", "right"), "meeting")
+    one = rows.join(meeting.withColumn("block", F.col("left")), [*keys, "block"]).withColumn("side", F.lit(0))
+    two = rows.join(meeting.where("left != right").withColumn("block", F.col("right")), [*keys, "block"]).withColumn("side", F.lit(1))
+    dealt = one.unionByName(two).join(sets, "id").select(*keys, "left", "right", "side", "component", "hashes")
+    return dealt.groupBy(*keys, "left", "right").applyInArrow(_joined_by(threshold), "u long, v long")
+
+
 #: Slots of a filter at most, one byte each.
 MOST_SLOTS = 1 << 22
 
@@ -256,8 +352,9 @@ def near_copy_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, r
     Candidates are pairs within ``radius`` bits by covering hashing, and pairs whose smallest shingle
     hashes agree in a band, as texts that are 0.8 alike commonly differ in 3 to 12 bits, which no
     affordable radius covers. Shingles are compared by 32 bits of their hashes. Either kind counts only if the texts' sets of ``words``-word shingles
-    have a Jaccard similarity of at least ``similarity``. Texts with equal shingle sets are one class
-    and compared once. Texts without words are copies of each other.
+    have a Jaccard similarity of at least ``similarity``. A large bucket is first tied together by a
+    few links a text; then all its pairs that are still in different components are compared. Texts
+    with equal shingle sets are one class and compared once. Texts without words are copies of each other.
     """
     rows = docs.select("doc_id", "text").mapInArrow(_sketches(words), "doc_id long, " + SKETCH)
     rows = materialise(rows, "sketches")
@@ -266,7 +363,8 @@ def near_copy_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, r
     masks = F.posexplode(F.array(*[F.lit(_signed(m)) for m in covering_masks(radius)])).alias("t", "mask")
     near = classes.select("id", "fp", masks).select("id", F.col("t").cast("int"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
     bands = classes.select("id", F.posexplode("bands").alias("t", "key")).select("id", (F.col("t") + 1000).alias("t"), "key")
-    pairs = materialise(bucket_pairs(near.union(bands), ["t", "key"]), "pairs")
+    full = shared_buckets(near.union(bands), ["t", "key"])
+    pairs = materialise(bucket_pairs(full, ["t", "key"]), "pairs")
     needed = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v"))).distinct()
     needed = materialise(needed, "needed")
     near_rows = rows.where(may_be_in(needed, "id")(F.col("id"))).select("id", "hashes")
@@ -277,6 +375,10 @@ def near_copy_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, r
     edges = both.select("u", "v", "x", "y").mapInArrow(_similar(similarity), "u long, v long")
     groups = connected_components(edges)
     found = classes.join(groups, classes.id == groups.node, "left").select("id", "first", F.coalesce("component", "id").alias("component"))
+    more = crowd_links(full, sets, groups, similarity)
+    if more is not None:
+        top = connected_components(more).select(F.col("node").alias("component"), F.col("component").alias("top"))
+        found = found.join(top, "component", "left").select("id", "first", F.coalesce("top", "component").alias("component"))
     least = found.groupBy("component").agg(F.min("first").alias("component_id"))
     ids = found.join(least, "component").select("id", "component_id")
     return rows.select("doc_id", "id").join(ids, "id").select("doc_id", "component_id")

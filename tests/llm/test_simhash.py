@@ -95,3 +95,38 @@ def test_stage_keeps_one_of_each_group_and_all_others(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     kept = sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in drop_near_copies(docs).collect())
     assert kept == [-1, *range(30), 1000, 2000]
+
+
+def test_stage_compares_crowds_in_full(spark):
+    """One template with differing edits: most pairs below 0.8, few just above, far apart in order."""
+    rnd = random.Random(12)
+    template = [f"t{k}" for k in range(240)]
+
+    def edited(words, n, tag):
+        out = list(words)
+        for k in rnd.sample(range(len(words)), n):
+            out[k] = f"{tag}{rnd.randrange(10**6)}"
+        return out
+
+    texts = [edited(template, 6, f"e{k}_") for k in range(700)]
+    texts += [edited(texts[k], 4, "p") for k in range(0, 60)] + [edited(texts[k], 5, "q") for k in range(60, 160)]
+    shingles = [frozenset(tuple(t[i : i + 5]) for i in range(len(t) - 4)) for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    links_ = 0
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        both = len(shingles[i] & shingles[j])
+        if both >= 0.8 * (len(shingles[i]) + len(shingles[j]) - both):
+            links_ += 1
+            a, b = find(i), find(j)
+            parent[max(a, b)] = min(a, b)
+    want = sorted({find(i) for i in range(len(texts))})
+    assert 100 < links_ < 0.01 * len(texts) ** 2 and len(want) > 500
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    kept = drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == want
