@@ -189,17 +189,24 @@ def common_order(a: np.ndarray, b: np.ndarray) -> int:
 
 
 class Items:
-    """Benchmark items as word hashes, in parts of at most a passage, with latent vectors."""
+    """Benchmark items as word hashes, and their parts of at most a passage with latent vectors.
+
+    Parts overlap and cover all words; they only find candidates, which are checked against ``whole``.
+    """
 
     def __init__(self, rows: list[tuple[int, str]], space: np.ndarray) -> None:
         self.space, self.weight, self.item, self.part = space, np.abs(space).sum(1), [], []
+        self.whole, self.at = [], []  # of each part: its item's words, and where in them it starts
         for item_id, text in rows:
             words, _ = word_hashes(np.frombuffer(text.encode(), np.uint8))
-            for k in range(0, max(1, len(words) - STEP), 2 * STEP):
-                part = words[k : k + 2 * STEP]
-                if len(part) >= 4:
-                    self.item.append(item_id)
-                    self.part.append(part)
+            if len(words) < 4:
+                continue
+            last = max(0, len(words) - 2 * STEP)
+            for k in [*range(0, last, STEP), last]:
+                self.item.append(item_id)
+                self.part.append(words[k : k + 2 * STEP])
+                self.whole.append(words)
+                self.at.append(k)
         groups = np.repeat(np.arange(len(self.part)), [len(p) for p in self.part]).astype(np.int64)
         words = np.concatenate(self.part) if self.part else np.zeros(0, np.uint64)
         rare = self.weight[features(words)] > 0
@@ -233,19 +240,19 @@ class Items:
                 d = int(x.doc[p])
                 if (d, self.item[i]) in hits:
                     continue
-                n = len(self.part[i])
-                low = max(int(x.start[p]) - n, int(x.first[d]))
-                window = x.words[low : min(int(x.start[p]) + 2 * STEP + n, int(x.last[d]))]
-                if _holds(self.part[i], window):
+                item, begin = self.whole[i], int(x.start[p]) - self.at[i]  # where the item starts if the part does here
+                low = max(begin - len(self.part[i]), int(x.first[d]))
+                window = x.words[low : min(begin + 2 * STEP + len(item), int(x.last[d]))]
+                if _holds(item, window):
                     hits.add((d, self.item[i]))
         return sorted(hits)
 
 
-def _holds(part: np.ndarray, window: np.ndarray) -> bool:
-    """Whether the window has enough of the part's words in its order, and enough of its answer."""
-    if common_order(part, window) < SHARED * len(part):
+def _holds(item: np.ndarray, window: np.ndarray) -> bool:
+    """Whether the window has enough of the item's words in its order, and enough of its answer."""
+    if common_order(item, window) < SHARED * len(item):
         return False
-    answer = part[-ANSWER:]
+    answer = item[-ANSWER:]
     return common_order(answer, window) >= ANSWERED * len(answer)
 
 

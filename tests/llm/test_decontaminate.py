@@ -60,3 +60,27 @@ def test_copies_and_paraphrases_are_found_and_others_kept(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(r[0] for r in rows if r[0] not in {k for k, _ in want})
     assert contaminated(docs.limit(0), bench).count() == 0 and contaminated(docs, bench.limit(0)).count() == 0
     assert latent_space(docs.limit(0)).shape[1] > 0
+
+
+def some_words(seed, n=4000):
+    rnd = random.Random(seed)
+    return rnd, ["".join(rnd.choices("abcdefghijklmnop", k=rnd.randint(4, 9))) for _ in range(n)]
+
+
+def pairs_of(spark, texts, items):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    return {tuple(r) for r in contaminated(docs, bench).collect()}
+
+
+def test_items_longer_than_a_passage_are_searched_whole(spark):
+    rnd, vocabulary = some_words(21)
+    items = [rnd.choices(vocabulary, k=n) for n in (49, 55, 60, 66, 72, 72, 100, 150)]
+    texts, want = [], set()
+    for i, item in enumerate(items):
+        for at in (0, 7, 30, 49):
+            for copy in (item, item[-int(len(item) * 0.71 + 1) :], item[:-6]):  # whole; the end with the answer; no answer
+                if copy[-6:] == item[-6:]:
+                    want.add((len(texts), i))
+                texts.append(" ".join(rnd.choices(vocabulary, k=at) + copy + rnd.choices(vocabulary, k=60)))
+    assert pairs_of(spark, texts, items) == want
