@@ -93,19 +93,41 @@ def _spread(values: np.ndarray, ids: np.ndarray, block: np.ndarray, into: np.nda
         into[ids[first]] += np.add.reduceat(values[block[order]], first, axis=0)
 
 
-def _signatures(words: np.ndarray, groups: np.ndarray, n: int) -> np.ndarray:
-    """For each group, which of 128 bits its words set: two 64-bit numbers."""
-    out = np.zeros((n, 2), np.uint64)
+def _signatures(words: np.ndarray, rare: np.ndarray, groups: np.ndarray, n: int) -> np.ndarray:
+    """For each group, which of 512 bits its words set: four 64-bit numbers of rare words, four of others."""
+    out = np.zeros((n, 8), np.uint64)
     bit = np.uint64(1) << (words >> np.uint64(40) & np.uint64(63))
-    half = (words >> np.uint64(50) & np.uint64(1)).astype(np.int64)
-    for h in (0, 1):
-        own = np.flatnonzero(half == h)
+    part = (words >> np.uint64(50) & np.uint64(3)).astype(np.int8) + np.where(rare, 0, 4).astype(np.int8)
+    for h in range(8):
+        own = np.flatnonzero(part == h)
         first = np.flatnonzero(np.diff(groups[own], prepend=-1))
         if len(first):
             out[groups[own][first], h] = np.bitwise_or.reduceat(bit[own], first)
     return out
 
 
+class Spans:
+    """The bits set in any run of blocks, from those of runs of 1, 2, 4, ... blocks."""
+
+    def __init__(self, signs: np.ndarray, longest: int) -> None:
+        self.levels = [signs]
+        while 2 << len(self.levels) - 1 <= longest:
+            half, last = 1 << len(self.levels) - 1, self.levels[-1]
+            level = last.copy()
+            level[:-half] |= last[half:]
+            self.levels.append(level)
+
+    def missing(self, signs: np.ndarray, first: np.ndarray, end: np.ndarray, part: slice) -> np.ndarray:
+        """How many of each row's bits no block from ``first`` up to ``end`` sets."""
+        out = np.zeros(len(signs), np.int64)
+        level = np.frexp(end - first)[1] - 1  # of the longest run that fits
+        for k in np.unique(level).tolist():
+            at, table = np.flatnonzero(level == k), self.levels[k]
+            held = table[first[at], part] | table[end[at] - (1 << k), part]
+            out[at] = np.bitwise_count(signs[at, part] & ~held).sum(1)
+        return out
+
+
 def _slices(batches: Iterator[pa.RecordBatch], size: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Batches of about ``size`` bytes of text in the column named text, of whole rows."""
     for b in batches:
@@ -207,14 +229,18 @@ class Items:
                 self.part.append(words[k : k + 2 * STEP])
                 self.whole.append(words)
                 self.at.append(k)
-        groups = np.repeat(np.arange(len(self.part)), [len(p) for p in self.part]).astype(np.int64)
-        words = np.concatenate(self.part) if self.part else np.zeros(0, np.uint64)
-        rare = self.weight[features(words)] > 0
-        self.signs = _signatures(words[rare], groups[rare], len(self.part))
+        n = np.array([len(w) for w in self.whole], np.int64)
+        words = np.concatenate(self.whole) if self.whole else np.zeros(0, np.uint64)
+        self.signs = _signatures(words, self.weight[features(words)] > 0, np.repeat(np.arange(len(n)), n), len(n))
+        # words that an item may lack, so that the rest can still be in common order: no other bound
+        self.spare = n - np.ceil(SHARED * n).astype(np.int64)
+        # blocks before and after a passage's first one that its window reaches
+        at, size = np.array(self.at, np.int64), np.array([len(p) for p in self.part], np.int64)
+        self.before, self.after = -(-(at + size) // STEP), -(-(2 * STEP - at + n) // STEP)
         vectors = [space[features(p)].sum(0) for p in self.part]
         self.vectors = _unit(np.array(vectors, np.float32).reshape(-1, space.shape[1]))
         # parts of stop words alone have no place in the space: every passage is their candidate
-        self.plain = np.flatnonzero((self.signs == 0).all(1))
+        self.plain = np.array([i for i, p in enumerate(self.part) if not (self.weight[features(p)] > 0).any()], np.int64)
 
     def found(self, x: Batch) -> list[tuple[int, int]]:
         """``(text, item)`` of each text that holds an item, copied or reworded in part."""
@@ -222,21 +248,25 @@ class Items:
             return []
         ids, block = x.weighted(self.weight)
         vectors = x.sums(self.space, ids, block)
-        rare = np.flatnonzero(self.weight[x.ids] > 0)
-        signs = _signatures(x.words[rare], block, len(x.doc))
+        signs = _signatures(x.words, self.weight[x.ids] > 0, x.block, len(x.doc))
         pair = np.flatnonzero(x.doc[1:] == x.doc[:-1])
         vectors[pair] += vectors[pair + 1]
-        signs[pair] |= signs[pair + 1]
         vectors = _unit(vectors)
-        need = np.ceil(np.bitwise_count(self.signs).sum(1) * SHARED * 0.8)
+        blocks = np.bincount(x.doc, minlength=len(x.first))
+        end = np.cumsum(blocks)[x.doc]  # of each block's text, in blocks
+        begin = end - blocks[x.doc]
+        spans = Spans(signs, min(int(blocks.max()), int((self.before + self.after).max())))
         hits = set()
         for k in range(0, len(vectors), 16384):
             near = vectors[k : k + 16384] @ self.vectors.T >= NEAR
             near[:, self.plain] = True
             p, i = np.nonzero(near)
-            both = np.bitwise_count(signs[k + p] & self.signs[i]).sum(1)
-            fine = both >= need[i]
-            for p, i in zip((k + p[fine]).tolist(), i[fine].tolist()):
+            p += k
+            for part in (slice(0, 4), slice(0, 8)):  # rare words first, as they rule out most
+                low, high = np.maximum(p - self.before[i], begin[p]), np.minimum(p + self.after[i], end[p])
+                fine = spans.missing(self.signs[i], low, high, part) <= self.spare[i]
+                p, i = p[fine], i[fine]
+            for p, i in zip(p.tolist(), i.tolist()):
                 d = int(x.doc[p])
                 if (d, self.item[i]) in hits:
                     continue

@@ -84,3 +84,33 @@ def test_items_longer_than_a_passage_are_searched_whole(spark):
                     want.add((len(texts), i))
                 texts.append(" ".join(rnd.choices(vocabulary, k=at) + copy + rnd.choices(vocabulary, k=60)))
     assert pairs_of(spark, texts, items) == want
+
+
+def test_copies_at_every_offset_and_reworded_content_are_found(spark):
+    """Every item holds 28 words that all texts use and 20 rare ones; 13 rare ones may be replaced."""
+    rnd, vocabulary = some_words(22, 8000)
+    common = vocabulary[:30]
+    make = lambda n: [rnd.choice(common) if rnd.random() < 0.58 else rnd.choice(vocabulary) for _ in range(n)]
+    items, rare = [], []
+    for _ in range(12):
+        at = sorted(rnd.sample(range(42), 20))
+        rare.append(at)
+        items.append([rnd.choice(vocabulary[30:]) if k in at else rnd.choice(common) for k in range(48)])
+    texts, want = [], set()
+    for i, item in enumerate(items):
+        for offset in range(0, 48, 2):
+            reworded, spread = list(item), list(item)
+            for k in rnd.sample(rare[i], 13):
+                reworded[k] = rnd.choice(vocabulary[30:])
+            for k in rnd.sample(range(44), 13):
+                spread[k] = rnd.choice(vocabulary[30:])
+            for copy in (item, reworded, spread):
+                want.add((len(texts), i))
+                texts.append(" ".join(make(offset) + copy + make(80)))
+    clean = len(texts)
+    texts += [" ".join(make(200)) for _ in range(300)]
+    got = pairs_of(spark, texts, items)
+    whole = [x for x in want if x[0] % 3 == 0]
+    assert not any(t >= clean for t, _ in got) and got <= want
+    assert all(x in got for x in whole)
+    assert len(got) >= 0.99 * len(want)
