@@ -14,8 +14,8 @@ from tessera.plans.tables import materialise, read_table
 
 #: The contract's kinds in order, and ``other`` for the spans of the method.
 KINDS = ("email", "ip", "card", "phone", "other")
-#: Candidates that trees are fitted on, at most: a documented bound of the training sample, in the
-#: order of a hash. Every candidate of every text is judged.
+#: Distinct examples that trees are fitted on, at most, half of each label: a documented bound of the
+#: training sample, in the order of a hash. The threshold rests on all, every candidate is judged.
 SAMPLE = 20_000
 #: A span is added if at least this share of kept-back candidates at its score or above are personal.
 PRECISION = 0.995
@@ -97,7 +97,7 @@ def _count(value: Column, pattern: str) -> Column:
     return F.length(value) - F.length(F.regexp_replace(value, pattern, ""))
 
 
-def _features(c: Column) -> list[Column]:
+def _features(c: Column | dict[str, Column]) -> list[Column]:
     """Format and context of a candidate, as doubles."""
     v, left, digits = c["value"], F.lower(c["left"]), _digits(c["value"])
     flag = lambda x: F.when(x, 1.0).otherwise(0.0)
@@ -153,30 +153,51 @@ def _overlaps(c: Column, spans: list[Column]) -> Column:
     return hit
 
 
+def _examples(c: Column, base: list[Column]) -> Column:
+    """What a candidate teaches: structs of (value, left, right, label), none if it is in doubt.
+
+    Spans that overlap a base span are never added, so they don't stand for what may be: from an
+    address its spelt-out forms are made, from a phone its number without the plus, and these are the
+    positives. Other candidates are negatives, but those in doubt: numbers and addresses after a word
+    that announces one, numbers with a code in brackets, and addresses spelt out in full.
+    """
+    v, left = c["value"], F.lower(c["left"])
+    name, host = F.substring_index(v, "@", 1), F.regexp_replace(F.substring_index(v, "@", -1), "[^A-Za-z0-9]+$", "")
+    example = lambda value, label: F.struct(value.alias("value"), c["left"].alias("left"), c["right"].alias("right"), F.lit(label).alias("label"))
+    spelt = [F.concat(name, F.lit(at), F.regexp_replace(host, r"\.", dot)) for at, dot in ((" at ", " dot "), (" (at) ", " (dot) "), ("[at]", "[dot]"))]
+    none = F.filter(F.array(example(v, 0.0)), lambda x: F.lit(False))
+    made = F.when(v.rlike(r"@.*\."), F.array(*[example(x, 1.0) for x in spelt])).when(v.startswith("+"), F.array(example(F.substr(v, F.lit(2)), 1.0))).otherwise(none)
+    cue = left.rlike(r"(?:tel|phone|call|mobile|fax|mail|contact|write|reach|card|visa|account|iban|pay)[^a-z]*$")
+    doubt = cue | v.rlike(r"\([0-9]+\)") | v.rlike(r"(?i)[(\[{]at[)\]}]|\sat\s.*dot")
+    return F.when(_overlaps(c, base), made).when(doubt, none).otherwise(F.array(example(v, 0.0)))
+
+
 def learn_judge(found: DataFrame, sample: int = SAMPLE, precision: float = PRECISION) -> Judge | None:
-    """Boosted trees that tell candidates that meet a base span from others; None without both kinds.
+    """Boosted trees that tell disguised personal data from other candidates; None without both kinds.
 
-    At most ``sample`` candidates, in the order of a hash, are used. Three of four shares are fitted;
-    the fourth gives the least score at which the share of personal ones is ``precision``.
+    Distinct examples of all candidates are counted. At most half of ``sample`` of each label, in the
+    order of a hash, are fitted, from three of four shares; all of the fourth share, by their counts,
+    give the least score at which the share of personal ones is ``precision``.
     """
     base = [F.col(k) for k in KINDS[:4]]
-    labelled = F.transform("candidates", lambda c: F.struct(c.alias("c"), F.when(_overlaps(c, base), 1.0).otherwise(0.0).alias("label")))
-    rows = found.where(F.size("candidates") > 0).select(F.explode(labelled).alias("x")).select("x.c", "x.label")
-    key = F.xxhash64("c.value", "c.left")
-    names = [f"f{i}" for i in range(23)]
-    features = [f.alias(n) for n, f in zip(names, _features(F.col("c")))]
-    drawn = rows.withColumn("key", key).orderBy("key", "label", "c.value").limit(sample).select("key", "label", *features)
-    drawn = materialise(drawn, "pii-sample")
+    rows = found.where(F.size("candidates") > 0).select(F.explode(F.flatten(F.transform("candidates", lambda c: _examples(c, base)))).alias("c"))
+    rows = rows.select("c.*").groupBy("value", "left", "right", "label").agg(F.count("*").alias("n"))
+    rows = materialise(rows.withColumn("key", F.xxhash64("value", "left")), "pii-examples")
     fold = F.pmod(F.col("key"), F.lit(4)) == 3
-    n = {r["label"]: r["n"] for r in drawn.where(~fold).groupBy("label").agg(F.count("*").alias("n")).collect()}
+    names = [f"f{i}" for i in range(23)]
+    features = [f.alias(n) for n, f in zip(names, _features({k: F.col(k) for k in ("value", "left", "right")}))]
+    parts = [rows.where(~fold & (F.col("label") == k)).orderBy("key", "value", "left", "right").limit(sample // 2) for k in (0.0, 1.0)]
+    drawn = materialise(parts[0].union(parts[1]).select("label", *features), "pii-sample")
+    n = {r["label"]: r["n"] for r in drawn.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(n) < 2 or min(n.values()) < 20:
         return None
-    vectors = VectorAssembler(inputCols=names, outputCol="features").transform(drawn.where(~fold))
+    vectors = VectorAssembler(inputCols=names, outputCol="features").transform(drawn)
     model = GBTClassifier(maxIter=12, maxDepth=4, seed=5).fit(vectors.select("features", "label"))
     trees = [(float(w), _parsed(t.toDebugString.splitlines()[1:])) for w, t in zip(model.treeWeights, model.trees)]
     judge = Judge(trees, 1.01)
+    kept = rows.where(fold).select("label", "n", *features)
     steps = F.floor(judge.score([F.col(c) for c in names]) * 100).alias("step")
-    kept = drawn.where(fold).groupBy(steps).agg(F.sum("label").alias("good"), F.count("*").alias("n"))
+    kept = kept.groupBy(steps).agg(F.sum(F.col("label") * F.col("n")).alias("good"), F.sum("n").alias("n"))
     good = n = 0
     for r in sorted(kept.collect(), key=lambda r: -r["step"]):  # 101 rows at most
         good, n = good + r["good"], n + r["n"]

@@ -64,3 +64,39 @@ def test_spelt_out_addresses_are_proposed_and_sentences_are_not(spark):
     rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
     got = {r.k: [p.value for p in r.p] for r in rows.select("k", places(F.col("t"), SPELT_OUT, F.lit(True)).alias("p")).collect()}
     assert got == {0: ["jo.b (at) mail (dot) org"], 1: ["jo at mail dot org"], 2: ["jo at mail.org"], 3: ["jo[at]mail.org"], 4: [], 5: []}
+
+
+def planted(rnd, k):
+    mail = f"u{rnd.randrange(10**6)}@m{rnd.randrange(50)}.org"
+    phone = f"+{rnd.randint(10, 99)} {rnd.randint(100, 999)} {rnd.randint(1000, 9999)} {rnd.randint(10, 99)}"
+    return k, f"Write to {mail} or call tel: {phone}. Order {rnd.randrange(10**9, 10**10)} of {rnd.randint(1900, 2030)}.{rnd.randint(1000, 9999)}-{rnd.randint(100, 999)}."
+
+
+def others(rows, texts):
+    return {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r.spans if s.kind == 4] for r in rows if r.doc_id in texts}
+
+
+def test_disguised_data_are_added_and_plain_numbers_are_not(spark):
+    rnd = random.Random(18)
+    rows = [planted(rnd, k) for k in range(400)]
+    rows += [(1000 + k, f"Write to jo{k} at mail{k} dot org today.") for k in range(20)]
+    rows += [(2000 + k, f"You may call tel: 4{k % 10} {300 + k} 55{10 + k} 7{k % 10} at noon.") for k in range(20)]
+    rows += [(3000 + k, f"Order {10**9 + 77777 * k} of the year 1999.{1000 + k}-333 came.") for k in range(20)]
+    texts = {k: t for k, t in rows}
+    got = others(find_personal(spark.createDataFrame(rows, "doc_id long, text string")).collect(), texts)
+    for k in range(20):
+        assert got[1000 + k] == [f"jo{k} at mail{k} dot org"]
+        assert got[2000 + k] == [f"4{k % 10} {300 + k} 55{10 + k} 7{k % 10}"]
+        assert got[3000 + k] == []
+
+
+def test_copied_numbers_do_not_fill_the_sample(spark):
+    rnd = random.Random(19)
+    rows = [planted(rnd, k) for k in range(400)]
+    feet = [f"Item {rnd.randrange(10**9, 10**10)} of the list" for _ in range(40)]
+    rows += [(10_000 + k, feet[k % 40]) for k in range(8000)]
+    rows += [(1000 + k, f"Write to jo{k} at mail{k} dot org today.") for k in range(20)]
+    texts = {k: t for k, t in rows}
+    got = others(find_personal(spark.createDataFrame(rows, "doc_id long, text string"), sample=400).collect(), texts)
+    assert all(got[1000 + k] == [f"jo{k} at mail{k} dot org"] for k in range(20))
+    assert not any(got[10_000 + k] for k in range(8000))
