@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.tokens import ids_crc32, per_document, public_vocabulary
+from tessera.llm.tokens import encoded, ids_crc32, public_vocabulary
 from tessera.plans.tables import materialise, read_table, shuffle_partitions
 
 PIECE = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
@@ -77,22 +79,32 @@ def best_fit_decreasing(counts: dict[int, int], window: int) -> tuple[dict[int,
     return plan, used
 
 
-def cut_documents(docs: DataFrame, tokenizer: str, end_id: int, window: int) -> DataFrame:
+def cut_documents(docs: DataFrame, tokenizer: str, end_id: int, window: int, ids: bool = True) -> DataFrame:
     """One row for each piece: full windows from the start of a document, then what is left."""
 
-    def rows(doc_id: int, ids: np.ndarray) -> list[tuple]:
-        parts = [(s, ids[s : s + window]) for s in range(0, len(ids), window)]
-        return [(doc_id, s, len(p), ids_crc32(p), len(ids), p.tobytes()) for s, p in parts]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, every, at in encoded(batches, tokenizer, end_id):
+            n = np.diff(at)
+            pieces = -(-n // window)
+            doc = np.repeat(np.arange(len(n)), pieces)
+            start = (np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * window
+            length = np.minimum(window, n[doc] - start)
+            first = at[doc] + start
+            parts = [every[s : s + k] for s, k in zip(first.tolist(), length.tolist())]
+            raw = [p.tobytes() for p in parts] if ids else [None] * len(parts)
+            columns = [b.column(0).take(pa.array(doc)), start, length, [ids_crc32(p) for p in parts], n[doc], raw]
+            yield pa.record_batch([pa.array(c, f.type) if not isinstance(c, pa.Array) else c.cast(f.type) for c, f in zip(columns, PIECE)], schema=PIECE)
 
-    return docs.select("doc_id", "text").mapInArrow(per_document(tokenizer, PIECE, rows, end_id), PIECE_SQL)
+    return docs.select("doc_id", "text").mapInArrow(run, PIECE_SQL)
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, window: int = 2048) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, window: int = 2048, ids: bool = True) -> DataFrame:
     """Pack documents ``(doc_id, text)`` into sequences of at most ``window`` tokens.
 
     Returns a row for each piece: doc_id, start, length, ids_crc32, doc_tokens, ids (little-endian
-    16-bit, or 32-bit for a larger vocabulary), sequence_id and offset. A null or empty text is its end
-    id alone. Rows that repeat a document are packed each for itself; a null doc_id is kept. Equal
+    16-bit, or 32-bit for a larger vocabulary; null without ``ids``), sequence_id and offset. A sequence
+    gets no padding where its pieces fill ``window`` or another power of two, which the pieces' lengths
+    and offsets tell. A null or empty text is its end id alone; a text of any length is cut whole. Rows that repeat a document are packed each for itself; a null doc_id is kept. Equal
     lengths take places in the order of doc_id within a hashed share. An empty table gives no rows;
     other columns are ignored.
 
@@ -100,7 +112,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, window:
     driver, which plans the bins; a piece finds its place by its rank among the pieces of its length,
     ranked in hashed shares so that a length that many copies have is spread over all tasks.
     """
-    pieces = materialise(cut_documents(docs, tokenizer or public_vocabulary(), end_id, window), "pieces")
+    pieces = materialise(cut_documents(docs, tokenizer or public_vocabulary(), end_id, window, ids), "pieces")
     spark = docs.sparkSession
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     plan, _ = best_fit_decreasing(counts, window)
@@ -126,4 +138,4 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, window:
 
 
 def op8_packing(spark, sf_dir: str) -> DataFrame:
-    return pack(read_table(spark, sf_dir, "documents")).drop("ids")
+    return pack(read_table(spark, sf_dir, "documents"), ids=False).drop("ids")

@@ -21,15 +21,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.tokens import ids_crc32, per_document, public_vocabulary, small
+from tessera.llm.tokens import id_rows, ids_crc32, public_vocabulary, small
 from tessera.plans.tables import drop_files, materialise, new_path, read_table, shuffle_partitions
 
 #: Longest code word in bits. 16 would leave no choice for 50 000 ids; 20 loses under 0.1 % here.
 LONGEST = 20
 #: Ids in a block, and ids after which a chunk is closed at the end of a document.
 BLOCK, CHUNK = 512, 1 << 16
+#: Files whose sizes are added up in one task.
+GROUP = 4096
 
-IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 CHUNKS = pa.schema([("shard", pa.int32()), ("chunk", pa.int32()), ("before", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int64())), ("checkpoints", pa.list_(pa.int64())), ("payload", pa.binary())])
 CHUNKS_SQL = "shard int, chunk int, before long, doc_ids array<long>, doc_tokens array<long>, checkpoints array<long>, payload binary"
 
@@ -193,8 +194,9 @@ def _read_chunks(lengths: np.ndarray, digest: bool):
 def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 2) -> None:
     """Write the ids of ``(doc_id, text)``, each document's followed by ``end_id``, under ``path``.
 
-    A null or empty text is its end id alone; rows that repeat a doc_id are all written; a null doc_id
-    comes first. Other columns are ignored; an empty table gives empty files.
+    A null or empty text is its end id alone; rows that repeat a doc_id are all written, in the order of
+    their ids' CRC-32 and then of the input, so that many of them need not meet in one task; a null
+    doc_id comes first. A text of any length is one document of one chunk. Other columns are ignored; an empty table gives empty files.
 
     Texts are tokenised once into the shared folder. The driver holds a count and a code length for
     each id of the vocabulary, whose size doesn't depend on the corpus. Documents are dealt by ranges of
@@ -205,8 +207,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
 
     size = max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1)
     dtype = "<u2" if size <= 1 << 16 else "<u4"
-    rows = lambda doc_id, ids: [(doc_id, ids.tobytes())]
-    ids = docs.select("doc_id", "text").mapInArrow(per_document(tokenizer, IDS, rows, end_id), "doc_id long, ids binary")
+    ids = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(id_rows(tokenizer, end_id), "doc_id long, ids binary")
     ids = materialise(ids, "ids")
     counted = ids.select("ids").mapInArrow(_count(size, dtype), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     counts = np.zeros(size, np.int64)
@@ -217,8 +218,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
     code = [(i, int(n)) for i, n in enumerate(lengths)]
     spark.createDataFrame(code, "id long, length int").coalesce(1).write.parquet(f"{path}/code")
     parts = max(shuffle_partitions(spark), int(counts.sum()) // 2_000_000 + 1)
-    sorted_ids = ids.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
-    sorted_ids.mapInArrow(_write_chunks(lengths, dtype), CHUNKS_SQL).write.option("compression", "none").parquet(f"{path}/chunks")
+    place = ids.select("doc_id", "ids", F.crc32("ids").alias("crc"), F.monotonically_increasing_id().alias("nth"))
+    sorted_ids = place.repartitionByRange(parts, "doc_id", "crc", "nth").sortWithinPartitions("doc_id", "crc", "nth")
+    sorted_ids.select("doc_id", "ids").mapInArrow(_write_chunks(lengths, dtype), CHUNKS_SQL).write.option("compression", "none").parquet(f"{path}/chunks")
     drop_files(ids)
 
 
@@ -234,13 +236,16 @@ def read_token_files(spark: SparkSession, path: str, digest: bool = False) -> Da
         lengths[r["id"]] = r["length"]
     chunks = spark.read.schema(CHUNKS_SQL).parquet(f"{path}/chunks")
     ends = chunks.select("shard", F.aggregate("doc_tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
-    ends = ends.groupBy("shard").agg(F.sum("n").alias("n"))  # one row for each file
-    first = F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    firsts = ends.select("shard", first.alias("first"))
+    ends = ends.groupBy("shard").agg(F.sum("n").alias("n")).withColumn("group", F.floor(F.col("shard") / GROUP))
+    before = lambda w: F.coalesce(F.sum("n").over(w.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = ends.groupBy("group").agg(F.sum("n").alias("n")).withColumnRenamed("group", "shard")
+    groups = groups.select(F.col("shard").alias("group"), before(Window).alias("base"))  # one row for GROUP files
+    firsts = ends.withColumn("before", before(Window.partitionBy("group"))).join(groups, "group")
+    firsts = firsts.select("shard", (F.col("base") + F.col("before")).alias("first"))
     what = "n_tokens long, ids_crc32 long" if digest else "ids binary"
     ids = chunks.mapInArrow(_read_chunks(lengths, digest), f"shard int, before long, doc_id long, {what}")
     start = (F.col("first") + F.col("before")).alias("start")
-    return ids.join(F.broadcast(firsts), "shard").select("doc_id", start, *[c for c in ids.columns[3:]])
+    return ids.join(firsts, "shard").select("doc_id", start, *[c for c in ids.columns[3:]])
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,20 +2,38 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
-from tokenizers import Tokenizer
-
-#: Fixed value: how the byte-level vocabulary cuts a text before merging.
-CUTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Entries of a worker's memory of cuts and pieces. When it is full a new one is begun, and entries of
-#: the one before are taken over as they are met again; no result depends on it.
-MEMORY = 250_000
-_workers: dict[str, BatchEncoder] = {}
+import pyarrow.compute as pc
+
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
+from tokenizers import Tokenizer  # noqa: E402
+from tokenizers.pre_tokenizers import ByteLevel  # noqa: E402
+
+#: Bytes of pieces and their ids that an encoder remembers, about, and bytes of text cut at once, about.
+MEMORY, STRETCH = 6 << 20, 4 << 20
+
+# A piece may start at one of these white spaces ...
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 13, 32]] = True
+# ... if the character before is surely none: an ASCII sign, or the end of a longer character whose
+# byte before the last is none of those that white spaces of any script have there.
+_SIGN = np.zeros(256, bool)
+_SIGN[33:127] = True
+_END = np.zeros(256, bool)
+_END[128:] = True
+_BEFORE = np.ones(256, bool)
+_BEFORE[[0x80, 0x81, 0x9A, 0xA0, 0xBB, 0xC2]] = False
+# A piece may also start at an ASCII character that is no letter and follows an ASCII letter.
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_OTHER = np.zeros(256, bool)
+_OTHER[:128] = ~_LETTER[:128]
 
 
 def public_vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -24,67 +42,127 @@ def public_vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def _byte_letters() -> dict[int, int]:
-    """The letter by which a byte-level vocabulary writes each byte."""
-    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    rest = [b for b in range(256) if b not in plain]
-    return {b: b for b in plain} | {b: 256 + k for k, b in enumerate(rest)}
+@lru_cache(maxsize=1)
+def _tokenizer(path: str) -> Tokenizer:
+    """The worker's tokenizer: its size is fixed, so it may outlive a task."""
+    return Tokenizer.from_file(path)
 
 
-class BatchEncoder:
-    """Ids of many texts at once, as little-endian 16 or 32-bit bytes.
+def _buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts, null ones being empty, and where each starts and the last one ends."""
+    texts = texts.fill_null("").cast(pa.large_string())
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, np.int64, len(texts) + 1, 8 * texts.offset)
+    raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return raw[at[0] : at[-1]], at - at[0]
+
 
-    A byte-level vocabulary never merges over a cut, so a text's ids are those of its cuts joined.
-    Each distinct cut is given to the tokenizer's model once and remembered. Texts whose only white
-    space is single blanks and line ends are first cut there, which is cheap; all others take the
-    pattern alone. Both give the ids of ``Tokenizer.encode``.
+class BatchEncoder:
+    """Ids of many texts at once: those of ``Tokenizer.encode(text, add_special_tokens=False)``.
+
+    The byte-level pattern ends a token between a letter and what is none, and before every run of
+    white space that follows another character; what comes after depends on the text from there on
+    alone. Texts are cut at such places, each distinct piece of a stretch is given to the tokenizer once,
+    and the ids are put together by array steps. Places where the bytes leave a doubt aren't cut, which
+    changes no id, nor are letters cut off where an added token occurs. Pieces are remembered up to
+    ``MEMORY`` bytes; then those of the last stretch alone are. No result depends on it. Tokenizers
+    of other kinds are given the texts as they are.
     """
 
     def __init__(self, path: str) -> None:
-        tokenizer = Tokenizer.from_file(path)
-        self.model, self.letters = tokenizer.model, _byte_letters()
-        self.dtype = np.dtype("<u2" if tokenizer.get_vocab_size() < 1 << 16 else "<u4")
-        self.cuts = regex.compile(CUTS)
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.old_words, self.old_pieces = self.words, self.pieces
-
-    def _word(self, word: str) -> bytes:
-        if (known := self.words.get(word)) is None:
-            if (known := self.old_words.get(word)) is None:
-                letters = word.encode().decode("latin-1").translate(self.letters)
-                known = np.array([t.id for t in self.model.tokenize(letters)], self.dtype).tobytes()
-            self.words[word] = known
-        return known
-
-    def _piece(self, piece: str) -> bytes:
-        if (known := self.old_pieces.get(piece)) is None:
-            known = b"".join([self._word(w) for w in self.cuts.findall(piece)])
-        self.pieces[piece] = known
-        return known
-
-    def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if len(self.words) > MEMORY:
-            self.old_words, self.words = self.words, {}
-        if len(self.pieces) > MEMORY:
-            self.old_pieces, self.pieces = self.pieces, {}
-        blanks = text.count(" ") + text.count("\n") + 1
-        if "\0" in text or len(text.split()) != blanks:
-            return b"".join([self._word(w) for w in self.cuts.findall(text)])
-        cut = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-        found = list(map(self.pieces.get, cut))
-        if None in found:
-            found = [self._piece(p) if f is None else f for p, f in zip(cut, found)]
-        return b"".join(found)
-
-
-def encoder(path: str) -> BatchEncoder:
-    """The worker process's encoder, kept between tasks."""
-    if path not in _workers:
-        _workers[path] = BatchEncoder(path)
-    return _workers[path]
+        self.tokenizer = _tokenizer(path)
+        size = self.tokenizer.get_vocab_size()
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        before = self.tokenizer.pre_tokenizer
+        self.cuts = isinstance(before, ByteLevel) and before.use_regex and not before.add_prefix_space
+        self.cuts = self.cuts and self.tokenizer.normalizer is None and not any(t.split() != [t] for t in added)
+        self.cuts = self.cuts and not any(t.lstrip or t.rstrip or t.single_word for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.added = [t.encode() for t in added]
+        self.width = np.zeros(size, np.int64)  # bytes of text that each id stands for
+        for token, i in self.tokenizer.get_vocab(True).items():
+            self.width[i] = len(token.encode()) if token in added else len(token)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.pieces, self.size, self.flat = pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, self.dtype)
+
+    def _encoded(self, pieces: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each piece has, and all ids. Pieces that start with a white space and end with an
+        ASCII sign are joined, as they would be cut there again; the ids' widths tell them apart."""
+        raw, at = _buffers(pieces)
+        joined = _BLANK[raw[at[:-1]]] & _SIGN[raw[at[1:] - 1]]
+        chain, alone = np.flatnonzero(joined), np.flatnonzero(~joined)
+        size, parts = np.zeros(len(pieces), np.int64), []
+        for k in range(0, len(chain), 1000):
+            own = chain[k : k + 1000]
+            text = "".join(pieces.take(pa.array(own)).to_pylist())
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+            ends = np.cumsum((at[1:] - at[:-1])[own])
+            size[own] = np.diff(np.searchsorted(np.cumsum(self.width[ids]), ends, "right"), prepend=0)
+            parts.append(ids)
+        for k in range(0, len(alone), 1000):
+            own = alone[k : k + 1000]
+            for i, e in zip(own, self.tokenizer.encode_batch_fast(pieces.take(pa.array(own)).to_pylist(), add_special_tokens=False)):
+                parts.append(np.array(e.ids, self.dtype))
+                size[i] = len(e.ids)
+        flat = np.concatenate(parts) if parts else np.zeros(0, self.dtype)
+        order = np.concatenate([chain, alone])
+        start = np.zeros(len(pieces), np.int64)
+        start[order] = np.cumsum(size[order]) - size[order]
+        return size, _gathered(flat, start, size)
+
+    def _stretch(self, raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of bytes cut at ``starts``, and how many each piece has."""
+        offsets = np.append(starts, len(raw)).astype(np.int32)
+        cut = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(raw)).dictionary_encode()
+        found = pc.index_in(cut.dictionary, value_set=self.pieces)
+        new = cut.dictionary.filter(found.is_null())
+        size, flat = self._encoded(new)
+        at = found.fill_null(-1).to_numpy().astype(np.int64)
+        at[at < 0] = len(self.pieces) + np.arange(len(new))
+        self.pieces = pa.concat_arrays([self.pieces, new])
+        self.size, self.flat = np.concatenate([self.size, size]), np.concatenate([self.flat, flat])
+        own, first = self.size[at], (np.cumsum(self.size) - self.size)[at]
+        which = cut.indices.to_numpy()
+        n = own[which]
+        ids = _gathered(self.flat, first[which], n)
+        if self.pieces.nbytes + self.size.nbytes + self.flat.nbytes > MEMORY:
+            self.pieces, self.size, self.flat = cut.dictionary, own, _gathered(self.flat, first, own)
+            if self.pieces.nbytes + self.size.nbytes + self.flat.nbytes > MEMORY:
+                self._forget()
+        return ids, n
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and for each text the place of its first one; at last their number."""
+        if not self.cuts:
+            found = [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts.fill_null("").to_pylist(), add_special_tokens=False)]
+            return np.concatenate([np.zeros(0, self.dtype), *found]), np.cumsum([0, *map(len, found)])
+        raw, at = _buffers(texts)
+        if not len(raw):
+            return np.zeros(0, self.dtype), np.zeros(len(at), np.int64)
+        now, last = raw[1:], raw[:-1]
+        cut = np.ones(len(raw), bool)
+        cut[1:] = _BLANK[now] & (_SIGN[last] | (_END[last] & np.concatenate([[False], _BEFORE[raw[:-2]]])))
+        if not any(t in raw.tobytes() for t in self.added):
+            cut[1:] |= _OTHER[now] & _LETTER[last]
+        cut[at[:-1][at[:-1] < len(raw)]] = True
+        starts = np.flatnonzero(cut)
+        out, sizes, low = [], [], 0
+        while low < len(starts):
+            high = max(low + 1, int(np.searchsorted(starts, starts[low] + STRETCH)))
+            end = int(starts[high]) if high < len(starts) else len(raw)
+            ids, n = self._stretch(raw[starts[low] : end], starts[low:high] - starts[low])
+            out.append(ids)
+            sizes.append(n)
+            low = high
+        before = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+        return np.concatenate(out), before[np.searchsorted(starts, at)]
+
+
+def _gathered(flat: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The runs of ``n`` numbers that start at ``first``, one after the other."""
+    return flat[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
 
 
 def ids_crc32(ids: np.ndarray) -> int:
@@ -98,18 +176,31 @@ def small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Rec
             yield b.slice(k, rows)
 
 
-def per_document(path: str, schema: pa.Schema, rows: Callable[[object, np.ndarray], list[tuple]], end_id: int, step: int = 256) -> Callable:
-    """A ``mapInArrow`` function: ``rows(doc_id, ids with end_id)`` for each ``(doc_id, text)``."""
+def by_bytes(batches: Iterator[pa.RecordBatch], column: int = 1, size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``size`` bytes in the numbered text column, of whole rows."""
+    for b in batches:
+        _, at = _buffers(b.column(column))
+        cuts = [0, *(np.flatnonzero(np.diff(at[:-1] // size)) + 1).tolist(), b.num_rows]
+        for s, e in zip(cuts, cuts[1:]):
+            if e > s:
+                yield b.slice(s, e - s)
+
+
+def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Of each batch ``(doc_id, text)``, in parts: the part, its ids with ``end_id`` after each text's, and
+    the place of each text's first id, at last their number."""
+    encode = BatchEncoder(path)
+    for b in by_bytes(batches):
+        ids, at = encode(b.column(1))
+        yield b, np.insert(ids, at[1:], end_id), at + np.arange(len(at))
+
+
+def id_rows(path: str, end_id: int) -> Callable:
+    """A ``mapInArrow`` function: ``(doc_id, ids as little-endian bytes)`` for each ``(doc_id, text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
-        end = np.array([end_id], encode.dtype).tobytes()
-        for whole in batches:
-            for k in range(0, whole.num_rows, step):
-                batch, out = whole.slice(k, step), []
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    out += rows(doc_id, np.frombuffer(encode(text) + end, encode.dtype))
-                columns = list(zip(*out)) or [()] * len(schema)
-                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+        for b, ids, at in encoded(batches, path, end_id):
+            offsets = pa.py_buffer((at * ids.itemsize).astype(np.int32))
+            yield pa.record_batch([b.column(0), pa.BinaryArray.from_buffers(pa.binary(), b.num_rows, [None, offsets, pa.py_buffer(ids)])], ["doc_id", "ids"])
 
     return run

@@ -2,9 +2,11 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
+from tessera.llm import tokens
 from tessera.llm.packing import best_fit_decreasing, pack
 from tessera.llm.tokens import BatchEncoder, public_vocabulary
 
@@ -45,13 +47,23 @@ def test_runs_equal_piecewise_best_fit(seed):
     assert sorted(window - sum(n for _, n in s) for s in filled.values()) == plain_best_fit(lengths, window)
 
 
-def test_encoder_equals_the_tokenizer():
+SIGNS = [" ", "  ", "\t", "\n", "\n\n", "\r", "\r\n", "\xa0", "\x85", "\u2009", "\u3000", "\u200b", "\u180e", "\ufeff", "\x1c", "\x0b", "\x0c", "<|endoftext|>", "<|endof", "text|>", "a", "b", "é", "日", "本"]
+SIGNS += ["'s", "'t", "don't", "12", "3", "!", "?", "...", "\u2014", "\0", "\U0001f642", "xxxxx", " ", " ", " ", "\u0627", "\u0100", "©", "ñ", "\u0301"]
+
+
+@pytest.mark.parametrize("memory", [6 << 20, 1000])
+def test_encoder_equals_the_tokenizer(memory, monkeypatch):
+    monkeypatch.setattr(tokens, "MEMORY", memory)
+    monkeypatch.setattr(tokens, "STRETCH", 5000)
     t = Tokenizer.from_file(public_vocabulary())
-    t.encode_special_tokens = True
     e = BatchEncoder(public_vocabulary())
-    texts = ["", " ", "a", "Hello world.\nIt's  two\tblanks", "x y \n z", "a\0b c", "don't\ncan't 12 3,4", "日本 語\r\n<|endoftext|>", " lead", "trail ", "\n", "é" * 40 + " \U0001f600 a", "a\x1cb c"]
-    for x in texts * 2:
-        assert np.frombuffer(e(x), e.dtype).tolist() == t.encode(x, add_special_tokens=False).ids, x
+    rnd = random.Random(3)
+    texts = ["", None, "a\tb\tc\n\n", "x\ty\tz\n\n q", "name\tage\tcity\n\n\nBob", "中\n\xa0", "é" * 40 + " \U0001f600 a", "word " * 5000, "w" * 20000]
+    texts += ["".join(rnd.choice(SIGNS) for _ in range(rnd.randint(0, 14))) for _ in range(20000)]
+    for part in (texts, [x for x in texts if "<|endoftext|>" not in (x or "")], texts[:0], [None, ""]):
+        ids, at = e(pa.array(part, pa.string()))
+        for i, want in enumerate(t.encode_batch_fast([x or "" for x in part], add_special_tokens=False)):
+            assert ids[at[i] : at[i + 1]].tolist() == want.ids, part[i]
 
 
 def test_pack_places_every_id_once(spark):
