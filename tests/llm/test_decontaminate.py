@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 
-from tessera.llm.decontaminate import Batch, common_order, contaminated, drop_contaminated, latent_space, word_hashes
+from tessera.llm.decontaminate import Batch, common_order, contaminated, drop_contaminated, hashed_words, latent_space, singular_vectors, word_hashes, word_places
 
 import pyarrow as pa
 
@@ -18,7 +18,7 @@ def test_word_hashes_are_those_of_the_words():
 
 
 def test_blocks_cover_each_text():
-    x = Batch(pa.array(["a b c", None, "", "w " * 100, "..."]))
+    x = Batch.of_texts(pa.array(["a b c", None, "", "w " * 100, "..."]))
     assert x.doc.tolist() == [0, 3, 3, 3, 3, 3] and len(x.words) == 103
     assert np.bincount(x.block).tolist() == [3, 24, 24, 24, 24, 4]
 
@@ -31,7 +31,18 @@ def test_common_order():
         for i, u in enumerate(a):
             for j, v in enumerate(b):
                 t[i + 1][j + 1] = t[i][j] + 1 if u == v else max(t[i][j + 1], t[i + 1][j])
-        assert common_order(np.array(a), np.array(b)) == t[-1][-1]
+        assert common_order(word_places(np.array(a, int)), len(a), b) == t[-1][-1]
+
+
+def test_singular_vectors_are_those_of_the_matrix():
+    rng = np.random.default_rng(2)
+    left, right = np.linalg.qr(rng.standard_normal((300, 12)))[0], np.linalg.qr(rng.standard_normal((80, 12)))[0]
+    size = 2.0 ** -np.arange(12) * 100
+    a = left * size @ right.T
+    directions = rng.standard_normal((80, 20))
+    vectors, values = singular_vectors(a.T @ (a @ directions), directions)
+    assert np.allclose(values[:6], size[:6], rtol=5e-3)
+    assert np.allclose(np.abs((vectors[:, :6] * right[:, :6]).sum(0)), 1, atol=1e-3)
 
 
 def test_copies_and_paraphrases_are_found_and_others_kept(spark):
@@ -59,7 +70,7 @@ def test_copies_and_paraphrases_are_found_and_others_kept(spark):
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted(r[0] for r in rows if r[0] not in {k for k, _ in want})
     assert contaminated(docs.limit(0), bench).count() == 0 and contaminated(docs, bench.limit(0)).count() == 0
-    assert latent_space(docs.limit(0)).shape[1] > 0
+    assert latent_space(hashed_words(docs.limit(0))).shape[1] > 0
 
 
 def some_words(seed, n=4000):
