@@ -1,9 +1,13 @@
 import random
 import zlib
 
+import unicodedata
+from collections import Counter
+
+import pyarrow as pa
 import pytest
 
-from tessera.llm.language import Profiles, identify, keep_known_languages, learn_profiles, op7_language_id
+from tessera.llm.language import EDGE, PROFILE, TOP, Profiles, identify, keep_known_languages, learn_profiles, op7_language_id
 
 LANGS = {"xx": "abcde", "yy": "cdefg", "zz": "éèabc"}
 
@@ -31,15 +35,82 @@ def test_predictions_and_odd_texts(spark):
     assert [by[k] for k in (900, 901, 902)] == ["und"] * 3 and by[903] == "xx"
     assert sum(by[k] == lang for k, _, lang in rows) > 0.95 * len(rows)
     assert identify(docs.limit(0), profiles, ["doc_id"]).count() == 0
-    assert learn_profiles(docs.limit(0)).predict("abc") == ("und", 0.0)
+    assert learn_profiles(docs.limit(0)).predict(pa.array(["abc"])) == [("und", 0.0)]
     kept = keep_known_languages(docs)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted([k for k, _, _ in rows] + [903, 0])
 
 
+def plain_grams(text):
+    """N-grams of a text, word by word."""
+    out = Counter()
+    folded = "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in (text or "").lower())
+    for word in folded.split(" "):
+        x = [EDGE, *map(ord, word), EDGE]
+        if word:
+            out.update(x[1:-1])
+            out.update(a << 21 | b for a, b in zip(x, x[1:]))
+            out.update(x[i - 1] << 42 | x[i] << 21 | x[i + 1] for i in range(1, len(x) - 1))
+    return out
+
+
+def order(counts, top):
+    return sorted(counts, key=lambda g: (-counts[g], g))[:top]
+
+
+def plain_prediction(text, profiles):
+    own = order(plain_grams(text), TOP)
+    if not profiles or not any(map(str.isalpha, text or "")):
+        return "und", 0.0
+    distance = {}
+    for name, rank in profiles.items():
+        at = {g: i for i, g in enumerate(rank)}
+        distance[name] = sum(abs(at[g] - i) if g in at else PROFILE for i, g in enumerate(own)) / (PROFILE * len(own))
+    best, *rest = sorted(distance, key=lambda n: (distance[n], n))
+    lead = 1 - distance[best] if not rest else 1 - distance[best] / distance[rest[0]] if distance[rest[0]] else 0.0
+    return best, min(1.0, max(0.0, lead))
+
+
+def test_equals_a_plain_version(spark):
+    rnd = random.Random(4)
+    scripts = {"el": "αβγδεζηθικλμ", "ru": "абвгдежзийкл", "en": "abcdefghijklmnopqrstuvwxyz", "zh": [chr(0x4E00 + k) for k in range(300)], "ja": [chr(0x3042 + k) for k in range(60)] + [chr(0x4E00 + k) for k in range(200, 300)], "hi": "कखगघ\u093e\u093f\u0940"}
+    rows = []
+    for k in range(240):
+        lang = rnd.choice(["en"] * 5 + list(scripts))
+        words = ["".join(rnd.choices(scripts[lang], k=rnd.randint(1, 7))) for _ in range(rnd.choice([3, 20, 80]))]
+        rows.append((k, rnd.choice([" ", " – ", "\n", ", “"]).join(words).title(), lang))
+    rows += [(900, None, "en"), (901, "İstanbul ΣΑΣ “…” 42", None), (902, "", "zh"), (903, "漢", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    counts = {}
+    for _, text, lang in rows:
+        if lang and text is not None:
+            counts.setdefault(lang, Counter()).update(plain_grams(text))
+    want = {lang: order(c, PROFILE) for lang, c in counts.items() if c}
+    profiles = learn_profiles(docs)
+    assert profiles.names == sorted(want)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in identify(docs, profiles, ["doc_id"]).collect()}
+    for doc_id, text, _ in rows:
+        name, score = plain_prediction(text, want)
+        assert got[doc_id][0] == name and abs(got[doc_id][1] - score) < 1e-9, (doc_id, text)
+    assert sum(got[d][0] == lang for d, t, lang in rows if lang and t) > 0.95 * 240
+
+
+def test_calls_too_close_are_dropped(spark):
+    """Two languages alike: their calls are more often wrong than right, all others stay."""
+    rnd = random.Random(5)
+    word = lambda letters: "".join(rnd.choices(letters, k=4))
+    rows = [(k, " ".join(word("abcdef") for _ in range(4)), rnd.choice("xyzuv")) for k in range(400)]
+    rows += [(1000 + k, " ".join(word("klmnop") for _ in range(40)), "w") for k in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = [r.doc_id for r in keep_known_languages(docs).collect()]
+    assert sum(k >= 1000 for k in kept) == 100 and sum(k < 1000 for k in kept) < 300
+    assert keep_known_languages(docs.withColumn("lang", docs.lang.substr(9, 1)).replace("", None, "lang")).count() == 500
+    assert keep_known_languages(docs.limit(0)).count() == 0
+
+
 def test_distance_is_out_of_place():
-    p = Profiles([97, 98], {"one": [1, 2], "two": [2, 1]})
-    assert p.predict("aab")[0] == "one" and p.predict("abb")[0] == "two"
+    p = Profiles({"one": [97, 98], "two": [98, 97]})
+    assert p.predict(pa.array(["aab"]))[0][0] == "one" and p.predict(pa.array(["abb"]))[0][0] == "two"
 
 
 @pytest.mark.parametrize("sf", ["/root/testdata/sf0.001"])
