@@ -8,69 +8,97 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.tokens import small
-from tessera.plans.tables import materialise, read_table
+from tessera.llm.tokens import by_bytes
+from tessera.plans.tables import drop_files, materialise, read_table
 
 #: The contract's kinds and patterns, in its order. ``learnt`` are the method's own.
 KINDS = ("assign", "access", "hex", "learnt")
 WORDS = ("passw", "secret", "token", "api")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
-#: What may be a credential: a run of letters, digits and the signs of base64 and of tokens.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-HEX_RUN = re.compile(r"[0-9a-f]{24,}")
-#: Labelled credentials and other candidates that automata are learnt from, at most: a documented
-#: bound of the training sample, taken in the order of a hash. All else covers all documents.
-SAMPLE = 4000
-SPAN = "struct<kind: int, start: long, end: long, value: string>"
-
-
-def base_spans(text: str) -> list[tuple[int, int, int]]:
-    """``(kind, start, end)``, leftmost and without overlap within a kind."""
-    spans, low = [], text.lower()
-    if any(w in low for w in WORDS):
-        spans += [(0, m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
-    if "AKIA" in text:
-        spans += [(1, m.start(), m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
-    return spans
-
-
-def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
-    """Base spans in order, and all candidates ``(start, end)``. Hex runs lie in candidates."""
-    spans, found = base_spans(text), [m.span() for m in CANDIDATE.finditer(text)]
-    for s, e in found:
-        if e - s >= 24:
-            spans += [(2, m.start(), m.end()) for m in HEX_RUN.finditer(text, s, e)]
-    return sorted(spans, key=lambda x: (x[1], x[0])), found
-
-
-def shape(text: str) -> str:
-    """A credential's characters as classes: the automata's alphabet."""
-    return "".join("d" if "0" <= c <= "9" else "h" if "a" <= c <= "f" else "l" if "a" <= c <= "z" else "H" if "A" <= c <= "F" else "L" if "A" <= c <= "Z" else c for c in text)
-
-
-#: How many characters each class stands for.
-WIDTH = {"d": 10, "h": 6, "l": 20, "H": 6, "L": 20}
+HEX = re.compile(r"[0-9a-f]{24,}")
+#: Shortest candidate: as short as a labelled credential can be.
+SHORTEST = 6
+#: Labelled credentials of each kind that automata are learnt from, at most, and the longest of them: a
+#: documented bound of the training sample, taken in the order of a hash. All else covers all documents.
+SAMPLE, LONGEST = 4000, 512
+#: Probability that an added span must have, and share of decoys that added spans may have.
+SURE, DECOYS = 0.9, 0.01
+
+# Characters of candidates, as bits: what a run of them holds tells which letters its format uses.
+_BITS = np.zeros(256, np.uint8)
+for _bit, _chars in ((1, b"abcdef"), (2, b"ghijklmnopqrstuvwxyz"), (4, b"ABCDEF"), (8, b"GHIJKLMNOPQRSTUVWXYZ"), (16, b"0123456789"), (32, b"+/")):
+    _BITS[list(_chars)] = _bit
+_BREAKS = b"_=-."  # signs that stand for themselves and end a run
+_BITS[list(_BREAKS)] = 64
+_INSIDE = _BITS > 0
+_INSIDE[ord(".")] = False  # only inside credentials after a name, not inside other candidates
+_HEX = np.zeros(256, bool)
+_HEX[list(b"0123456789abcdef")] = True
+_DIGIT = _BITS == 16
+
+
+def _symbols() -> tuple[np.ndarray, np.ndarray]:
+    """For each set of bits of a run, the symbol of its characters; for each symbol, how many
+    characters it stands for."""
+    letters = [0, 10, 16, 36, 16, 36, 26, 36, 52, 62]  # by symbol: digits alone, hex, ..., letters of both cases, all
+    table = np.zeros(64, np.int64)
+    for bits in range(64):
+        low, up, hexes, digit = bits & 3, bits & 12, not bits & 10, bits & 16
+        if not low and not up:
+            table[bits] = 1
+        elif low and up:
+            table[bits] = 9 if digit else 8
+        elif low:
+            table[bits] = (2 if hexes else 3) if digit else 6
+        else:
+            table[bits] = (4 if hexes else 5) if digit else 7
+    letters[6] = letters[7] = 26
+    width = np.ones(10 + len(_BREAKS) + 1)
+    width[:10] = np.maximum(letters, 1)
+    return table, width
+
+
+_TABLE, WIDTH = _symbols()
+#: Number of symbols; the one after them stands for the start and the end of a string.
+END = len(WIDTH) - 1
+_SIGN = np.zeros(256, np.int64)
+_SIGN[list(_BREAKS)] = 10 + np.arange(len(_BREAKS))
+
+
+def symbols(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The automata's symbols of strings in a row that start at ``starts``: one a character, by the kind
+    of letters and digits that its run, between signs, holds."""
+    bits = _BITS[raw]
+    sign = bits == 64
+    first = np.zeros(len(raw), bool)
+    first[starts] = True
+    first |= sign
+    first[1:] |= sign[:-1]
+    begin = np.flatnonzero(first)
+    held = np.bitwise_or.reduceat(bits, begin) if len(begin) else bits
+    return np.where(sign, _SIGN[raw], _TABLE[np.repeat(held & 63, np.diff(np.append(begin, len(raw))))])
 
 
 @dataclass
 class State:
-    """Of a prefix tree or automaton: how often strings pass and end here, and where each class leads."""
+    """Of a prefix tree or automaton: how often strings pass and end here, and where each symbol leads."""
 
     passes: int = 0
     ends: int = 0
-    counts: dict[str, int] = field(default_factory=dict)
-    to: dict[str, int] = field(default_factory=dict)
+    counts: dict[int, int] = field(default_factory=dict)
+    to: dict[int, int] = field(default_factory=dict)
 
 
 class Automaton:
     """A deterministic probabilistic automaton, by merging the compatible states of a prefix tree."""
 
-    def __init__(self, strings: list[str], alpha: float = 0.05) -> None:
+    def __init__(self, strings: list[list[int]], alpha: float = 0.5) -> None:
         self.states, self.alpha = [State()], alpha
         for s in strings:
             at = 0
@@ -122,155 +150,311 @@ class Automaton:
                 else:
                     x.to[c] = y.to[c]
 
-    def _step_out(self, settled: list[int]) -> tuple[int, str] | None:
-        """The first step from a settled state to one that isn't."""
-        inside = set(settled)
-        for at in settled:
-            for c in sorted(self.states[at].to):
-                if self.states[at].to[c] not in inside:
-                    return at, c
-        return None
-
     def _merge_all(self) -> None:
-        """Settled states stay; the states they lead to are folded into the first compatible one."""
-        settled = [0]
-        while step := self._step_out(settled):
-            at, c = step
-            b = self.states[at].to[c]
+        """Settled states stay; the states they lead to, in the order of the tree, are folded into the
+        first compatible settled one, or settle."""
+        settled, inside, at = [0], {0}, 0
+        while at < len(settled):
+            open_ = [c for c in sorted(self.states[settled[at]].to) if self.states[settled[at]].to[c] not in inside]
+            if not open_:
+                at += 1
+                continue
+            b = self.states[settled[at]].to[open_[0]]
             for a in settled:
                 if self._compatible(a, b):
-                    self.states[at].to[c] = a
+                    self.states[settled[at]].to[open_[0]] = a
                     self._fold(a, b)
+                    at = 0  # a fold may open steps of states before
                     break
             else:
                 settled.append(b)
+                inside.add(b)
         number = {s: i for i, s in enumerate(settled)}
         self.states = [self.states[s] for s in settled]
         for s in self.states:
             s.to = {c: number[t] for c, t in s.to.items()}
 
-    def likelihood(self, text: str) -> float:
-        """Mean log-probability of a character of ``text``, its classes' widths counted in."""
-        at, total = 0, 0.0
-        for c in shape(text):
-            s = self.states[at] if at is not None else None
-            n = s.counts.get(c, 0) if s else 0
-            total += math.log((n + 0.05) / ((s.passes if s else 0) + 0.05 * 75) / WIDTH.get(c, 1))
-            at = s.to.get(c) if s else None
-        return total / max(1, len(text))
-
+    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each state and symbol (``END``: the string ends), its log-probability and the next state.
 
-class Bigrams:
-    """The background: classes of ordinary candidates, each after the one before."""
-
-    def __init__(self, strings: list[str]) -> None:
-        self.counts: dict[str, dict[str, int]] = {}
-        for s in strings:
-            for a, b in zip("^" + s, s):
-                self.counts.setdefault(a, {})[b] = self.counts.setdefault(a, {}).get(b, 0) + 1
-
-    def likelihood(self, text: str) -> float:
-        s, total = shape(text), 0.0
-        for a, b in zip("^" + s, s):
-            after = self.counts.get(a, {})
-            total += math.log((after.get(b, 0) + 0.5) / (sum(after.values()) + 0.5 * 75) / WIDTH.get(b, 1))
-        return total / max(1, len(s))
+        One more state, where strings that left the format are, takes all symbols for equally likely.
+        """
+        n, away = END + 1, len(self.states)
+        logs, to = np.full((away + 1, n), -math.log(n)), np.full((away + 1, n), away)
+        for i, s in enumerate(self.states):
+            count = np.full(n, 0.05)
+            for c, k in s.counts.items():
+                count[c] += k
+                to[i, c] = s.to[c]
+            count[END] += s.ends
+            logs[i] = np.log(count / count.sum())
+        return logs, to
 
 
 @dataclass
 class Formats:
-    """An automaton for each labelled kind, the background, and the least lead that tells a secret."""
+    """Tables of an automaton for each labelled kind with the log-likelihood ratio that it asks for, the
+    background's log-probabilities of a symbol after another, and the least lead of an added span."""
 
-    automata: list[Automaton]
-    background: Bigrams
+    automata: list[tuple[np.ndarray, np.ndarray, float]]
+    background: np.ndarray
     least: float
 
-    def lead(self, text: str) -> float:
-        """How much likelier a character is under the best format than under the background."""
-        if not self.automata:
-            return -math.inf
-        return max(a.likelihood(text) for a in self.automata) - self.background.likelihood(text)
+    def leads(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """For each string, by how much the log-likelihood ratio of a format to the background exceeds
+        what the format asks for; that of the best format.
+
+        All strings take a step at once; a symbol stands for as many characters in both, so these cancel.
+        """
+        n = np.diff(offsets)
+        if not self.automata or not len(n):
+            return np.full(len(n), -math.inf)
+        x = symbols(raw, offsets[:-1])
+        before = np.concatenate([[END], x[:-1]])
+        before[offsets[:-1]] = END
+        plain = np.add.reduceat(self.background[before, x], offsets[:-1]) + self.background[x[offsets[1:] - 1], END]
+        order = np.argsort(-n, kind="stable")
+        alive = np.searchsorted(-n[order], -np.arange(int(n.max())), side="left")
+        best = np.full(len(n), -math.inf)
+        for logs, to, asked in self.automata:
+            state, total, start = np.zeros(len(n), np.int64), np.zeros(len(n)), offsets[:-1][order]
+            for step, k in enumerate(alive.tolist()):
+                if k < 4:  # few long strings are followed one by one
+                    break
+                c = x[start[:k] + step]
+                total[:k] += logs[state[:k], c]
+                state[:k] = to[state[:k], c]
+            else:
+                step = len(alive)
+            for i in range(int(np.searchsorted(-n[order], -step, side="left")) if step < len(alive) else 0):
+                at, sum_ = int(state[i]), float(total[i])
+                for c in x[start[i] + step : start[i] + n[order[i]]].tolist():
+                    sum_ += logs[at, c]
+                    at = int(to[at, c])
+                state[i], total[i] = at, sum_
+            best[order] = np.maximum(best[order], total + logs[state, END] - plain[order] - asked)
+        return best
+
+
+class Scan:
+    """Of a batch of texts: the base spans of each, and the candidates that overlap none of them.
+
+    ``spans[k]`` are ``(kind, start, end)`` of text k in code points. Candidates are distinct strings,
+    ``raw`` cut at ``offsets``; number ``which[j]`` stands in text ``doc[j]`` at bytes ``begin[j]`` on.
+    """
+
+    def __init__(self, texts: pa.Array) -> None:
+        self.texts = [t or "" for t in texts.to_pylist()]
+        coded = [t.encode() for t in self.texts]
+        self.starts = np.cumsum([0, *(len(c) + 1 for c in coded)])
+        raw = np.frombuffer(b"\n".join([*coded, b""]), np.uint8)
+        self.spans, covered, self._places = [], np.zeros(len(raw) + 1, bool), {}
+        hexes = _runs(_HEX[raw], 24)
+        owner = np.searchsorted(self.starts, hexes[0], side="right") - 1
+        by_text: dict[int, list[tuple[int, int]]] = {}
+        for d, s, e in zip(owner.tolist(), (hexes[0] - self.starts[owner]).tolist(), (hexes[1] - self.starts[owner]).tolist()):
+            by_text.setdefault(d, []).append((s, e))
+        for d, text in enumerate(self.texts):
+            spans, low = [], text.lower()
+            if any(w in low for w in WORDS):
+                spans += [(0, m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+            if "AKIA" in text:
+                spans += [(1, m.start(), m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
+            for s, e in by_text.get(d, ()):
+                first = self._character(d, s)
+                spans.append((2, first, first + e - s))
+            spans.sort(key=lambda x: (x[1], x[0]))
+            for _, s, e in spans:
+                covered[self.starts[d] + self._byte(d, s) : self.starts[d] + self._byte(d, e)] = True
+            self.spans.append(spans)
+        begin, end = _runs(_INSIDE[raw], SHORTEST)
+        if covered.any():
+            before = np.concatenate([[0], np.cumsum(covered)])
+            free = before[end] == before[begin]
+            begin, end = begin[free], end[free]
+        keep = np.zeros(len(raw) + 1, np.int8)
+        keep[begin], keep[end] = 1, -1
+        held = raw[np.cumsum(keep[:-1]) > 0]
+        offsets = np.concatenate([[0], np.cumsum(end - begin)]).astype(np.int32)
+        cut = pa.BinaryArray.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(held)]).dictionary_encode()
+        self.which, self.begin, self.end = cut.indices.to_numpy(), begin, end
+        self.doc = np.searchsorted(self.starts, begin, side="right") - 1
+        n = len(cut.dictionary)
+        self.offsets = np.frombuffer(cut.dictionary.buffers()[1], np.int32, n + 1).astype(np.int64) if n else np.zeros(1, np.int64)
+        self.raw = np.frombuffer(cut.dictionary.buffers()[2], np.uint8, self.offsets[-1]) if n else raw[:0]
+
+    def _bytes_before(self, d: int) -> np.ndarray | None:
+        """The byte at which each character of a text starts; none if they are all of one byte."""
+        if d not in self._places:
+            self._places[d] = None
+            if not self.texts[d].isascii():
+                code = np.frombuffer(self.texts[d].encode("utf-32-le"), "<u4")
+                self._places[d] = np.concatenate([[0], np.cumsum(1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000))])
+        return self._places[d]
+
+    def _byte(self, d: int, character: int) -> int:
+        before = self._bytes_before(d)
+        return character if before is None else int(before[character])
+
+    def _character(self, d: int, byte: int) -> int:
+        before = self._bytes_before(d)
+        return byte if before is None else int(np.searchsorted(before, byte))
+
+    def value(self, d: int, kind: int, start: int, end: int) -> str:
+        """The credential in a base span."""
+        return ASSIGN.match(self.texts[d], start)[2] if kind == 0 else self.texts[d][start:end]
+
+    def likely(self, formats: Formats) -> list[list[tuple[int, int, float, bool]]]:
+        """For each text its candidates of at least ``formats.least``: start, end, lead, has a digit."""
+        leads = formats.leads(self.raw, self.offsets)
+        out: list[list[tuple[int, int, float, bool]]] = [[] for _ in self.texts]
+        for j in np.flatnonzero(leads[self.which] >= formats.least).tolist():
+            d, w = int(self.doc[j]), int(self.which[j])
+            s = self._character(d, int(self.begin[j] - self.starts[d]))
+            digit = bool(_DIGIT[self.raw[self.offsets[w] : self.offsets[w + 1]]].any())
+            out[d].append((s, s + int(self.end[j] - self.begin[j]), float(leads[w]), digit))
+        return out
+
+
+def _runs(inside: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of true values that are at least so long."""
+    edge = np.diff(inside.view(np.int8), prepend=0, append=0)
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    long = end - start >= least
+    return start[long], end[long]
+
+
+def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Credentials of base spans, and how often a symbol of a candidate follows another."""
+    after = np.zeros((END + 1) ** 2, np.int64)
+    names = ["kind", "value", "pair", "n"]
+    for b in by_bytes(batches, 0, 2_000_000):
+        x = Scan(b.column(0))
+        values: dict[tuple[int, str], int] = {}
+        for d, spans in enumerate(x.spans):
+            for k, s, e in spans:
+                key = k, x.value(d, k, s, e)
+                values[key] = values.get(key, 0) + 1
+        if values:
+            kind, value = zip(*values)
+            yield pa.record_batch([pa.array(kind, pa.int32()), pa.array(value), pa.nulls(len(kind), pa.int32()), pa.array(values.values(), pa.int64())], names)
+        if len(x.raw):
+            often = np.bincount(x.which, minlength=len(x.offsets) - 1)
+            n = np.diff(x.offsets)
+            s = symbols(x.raw, x.offsets[:-1])
+            before = np.concatenate([[END], s[:-1]])
+            before[x.offsets[:-1]] = END
+            pairs = np.concatenate([before * (END + 1) + s, s[x.offsets[1:] - 1] * (END + 1) + END])
+            after += np.bincount(pairs, np.concatenate([np.repeat(often, n), often]), len(after)).astype(np.int64)
+    used = np.flatnonzero(after)
+    yield pa.record_batch([pa.nulls(len(used), pa.int32()), pa.nulls(len(used), pa.string()), pa.array(used, pa.int32()), pa.array(after[used])], names)
+
+
+def learn_formats(docs: DataFrame, sample: int = SAMPLE) -> Formats:
+    """Automata of the labelled kinds, from distinct credentials, and the background of all candidates.
+
+    ``docs`` has a column text. A labelled kind is learnt from however few credentials it has, at most
+    ``sample`` of up to ``LONGEST`` characters. The background counts every candidate of all texts that
+    is in no base span. As it holds secrets too that no pattern knows, a string's chance g of being
+    labelled, which follows from how many labelled credentials there are for a candidate, is measured
+    by the mean chance c of the kind's credentials: g / c must be ``SURE`` (positive and unlabelled data).
+    """
+    found = docs.select("text").mapInArrow(_evidence, "kind int, value string, pair int, n long")
+    found = materialise(found.groupBy("kind", "value", "pair").agg(F.sum("n").alias("n")), "evidence")
+    counts = np.zeros((END + 1, END + 1))
+    for r in found.where("pair is not null").select("pair", "n").collect():  # (END + 1)**2 rows at most
+        counts[divmod(r["pair"], END + 1)] = r["n"]
+    background = np.log((counts + 0.5) / (counts + 0.5).sum(1, keepdims=True))
+    automata = []
+    for kind in range(3):
+        own = found.where(F.col("kind") == kind).select("value", "n")
+        labelled = own.agg(F.sum("n").alias("n")).first()["n"] or 0
+        drawn = own.where(F.length("value") <= LONGEST).orderBy(F.xxhash64("value"), "value").limit(sample)
+        strings = [r["value"].encode() for r in drawn.select("value").collect()]
+        if strings:
+            raw, offsets = np.frombuffer(b"".join(strings), np.uint8), np.cumsum([0, *map(len, strings)])
+            x = symbols(raw, offsets[:-1])
+            logs, to = Automaton([x[i:j].tolist() for i, j in zip(offsets, offsets[1:])]).tables()
+            prior = math.log(max(1.0, counts[END].sum()) / labelled)
+            chance = 1 / (1 + np.exp(prior - Formats([(logs, to, 0.0)], background, 0.0).leads(raw, offsets)))
+            bar = SURE * float(chance.mean())
+            automata.append((logs, to, prior + math.log(bar / (1 - bar))))
+    drop_files(found)
+    return Formats(automata, background, 0.0)
+
+
+def least_lead(likely: DataFrame, least: float) -> float:
+    """The lowest lead, from ``least`` up, at which decoys are at most a share ``DECOYS`` of added spans.
+
+    ``likely`` has lead and digit of all candidates of at least ``least``, over all texts. Candidates
+    without a digit are ordinary words but for few, so they stand for what is added by mistake.
+    Infinite if there is no such lead.
+    """
+    step = F.floor((F.col("lead") - least) * 2).cast("long").alias("step")
+    digit = F.sum(F.col("digit").cast("long")).alias("digit")
+    n = decoys = 0
+    lowest = math.inf
+    bins = likely.groupBy(F.least(step, F.lit(2000)).alias("step")).agg(F.count("*").alias("n"), digit)
+    for r in sorted(bins.collect(), key=lambda r: -r["step"]):  # 2001 rows at most
+        n, decoys = n + r["digit"], decoys + r["n"] - r["digit"]
+        if n and decoys <= DECOYS * n:
+            lowest = least + r["step"] / 2
+    return lowest
+
 
+SPANS_SQL = "doc_id long, base array<struct<kind: int, start: long, end: long>>, likely array<struct<start: long, end: long, lead: double, digit: boolean>>"
+_BASE = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))
+_LIKELY = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lead", pa.float64()), ("digit", pa.bool_())]))
 
-def learn_formats(labelled: dict[int, list[str]], others: list[str]) -> Formats:
-    """Automata of the labelled kinds with 20 credentials or more; a kind with fewer has no format.
 
-    Other candidates may hold secrets that no pattern knows, so only those without a digit stand for
-    the background. Every fourth string is kept back: the least lead is the 5th percentile of the
-    credentials kept back, but above that of every background string kept back.
-    """
-    automata, back = [], []
-    for kind in sorted(labelled):
-        strings = labelled[kind]
-        if len(strings) >= 20:
-            automata.append(Automaton([shape(s) for i, s in enumerate(strings) if i % 4]))
-            back += strings[::4]
-    plain = [s for s in others if not any("0" <= c <= "9" for c in s)]
-    formats = Formats(automata, Bigrams([shape(s) for i, s in enumerate(plain) if i % 4 or len(plain) < 20]), 0.0)
-    if automata:
-        good = sorted(map(formats.lead, back))
-        bad = max(map(formats.lead, plain[::4]), default=-math.inf)
-        formats.least = max(good[len(good) // 20], bad + 0.1, 0.3)
-    return formats
-
-
-def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string())]))
-    for b in small(batches):
-        out = []
-        for t in b.column(1):
-            text = t.as_py() or ""
-            base, found = all_spans(text)
-            rows = [{"kind": k, "start": s, "end": e, "value": ASSIGN.match(text, s)[2] if k == 0 else text[s:e]} for k, s, e in base]
-            for s, e in found:
-                if not any(x < e and s < y for _, x, y in base):
-                    rows.append({"kind": 3, "start": s, "end": e, "value": text[s:e]})
-            out.append(rows)
-        yield pa.record_batch([b.column(0), pa.array(out, kind)], ["doc_id", "spans"])
-
-
-def _judge(formats: Formats) -> Callable:
+def _spans(formats: Formats) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small(batches):
-            out = []
-            for doc_id, spans in zip(b.column("doc_id").to_pylist(), b.column("spans").to_pylist()):
-                base = [(KINDS[s["kind"]], s["start"], s["end"]) for s in spans if s["kind"] < 3]
-                more = [(KINDS[3], s["start"], s["end"]) for s in spans if s["kind"] == 3 and formats.lead(s["value"]) >= formats.least]
-                listed = ",".join(f"{k}:{s}:{e}" for k, s, e in base)
-                every = ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(base + more, key=lambda x: (x[1], KINDS.index(x[0]))))
-                out.append((doc_id, *(sum(k == kind for k, _, _ in base) for kind in KINDS[:3]), hashlib.sha256(listed.encode()).hexdigest(), every))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+        for b in by_bytes(batches, 1, 2_000_000):
+            x = Scan(b.column(1))
+            base = [[dict(zip(("kind", "start", "end"), s)) for s in spans] for spans in x.spans]
+            likely = [[dict(zip(("start", "end", "lead", "digit"), s)) for s in spans] for spans in x.likely(formats)]
+            yield pa.record_batch([b.column(0), pa.array(base, _BASE), pa.array(likely, _LIKELY)], ["doc_id", "base", "likely"])
 
     return run
 
 
-FOUND_SQL = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
+def secret_spans(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """``(doc_id, base, added)`` for each row of ``(doc_id, text)``: arrays of (kind, start, end) and of
+    (start, end).
 
+    Spans count code points, end exclusive. Base spans follow the fixed patterns. Candidates are all
+    other runs of ``SHORTEST`` or more letters, digits and signs of base64 and of tokens that overlap no
+    base span; each is scored, and added if some format is likelier than the background by the least
+    lead (see :func:`learn_formats` and :func:`least_lead`). A null or empty text has no spans; a text of
+    any length is read whole; without any labelled credential none is added; repeated rows each give a
+    row; other columns are ignored; an empty table gives no rows.
 
-def find_secrets(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """A row for each row of ``(doc_id, text)``: base counts and digest, and all spans.
+    Texts are read twice: for evidence of formats, then for spans, which are written, far smaller.
+    """
+    formats = learn_formats(docs, sample)
+    found = materialise(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_spans(formats), SPANS_SQL), "spans")
+    lowest = least_lead(found.select(F.explode("likely").alias("s")).select("s.lead", "s.digit"), formats.least)
+    good = F.filter("likely", lambda s: s["lead"] >= lowest)
+    return found.select("doc_id", "base", F.transform(good, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("added"))
 
-    Spans count code points, end exclusive. A candidate that overlaps no base span is added as
-    ``learnt`` if some format is clearly likelier than ordinary candidates are. A null or empty text has
-    no spans; repeated rows each give a row; other columns are ignored; an empty table gives no rows.
 
-    Whole texts are read once; their candidates, far smaller, are written and then scored. Formats are
-    learnt from at most ``sample`` credentials of each kind and ``sample`` other candidates.
-    """
-    read = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_spans, f"doc_id long, spans array<{SPAN}>")
-    read = materialise(read, "candidates")
-    return read.mapInArrow(_judge(_learn(read, sample)), FOUND_SQL)
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        out = []
+        for doc_id, base, added in zip(*(c.to_pylist() for c in b.columns)):
+            base = [(KINDS[s["kind"]], s["start"], s["end"]) for s in base]
+            every = sorted(base + [(KINDS[3], s["start"], s["end"]) for s in added], key=lambda x: (x[1], KINDS.index(x[0])))
+            texts = [",".join(f"{k}:{s}:{e}" for k, s, e in spans) for spans in (base, every)]
+            out.append((doc_id, *(sum(k == kind for k, _, _ in base) for kind in KINDS[:3]), hashlib.sha256(texts[0].encode()).hexdigest(), texts[1]))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 6, kinds)], names)
 
 
-def _learn(read: DataFrame, sample: int) -> Formats:
-    values = read.select(F.explode("spans").alias("s")).select("s.kind", "s.value").distinct()
-    value, labelled = F.col("value"), {}
-    for kind in range(len(KINDS)):
-        drawn = values.where(F.col("kind") == kind).orderBy(F.xxhash64(value), value).limit(sample)
-        labelled[kind] = [r["value"][:256] for r in drawn.select("value").collect()]
-    return learn_formats({k: labelled[k] for k in range(3)}, labelled[3])
+def find_secrets(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """A row for each row of ``(doc_id, text)``: base counts and digest, and all spans, as text; those of
+    :func:`secret_spans`, added ones as ``learnt``."""
+    return secret_spans(docs, sample).mapInArrow(_listed, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -278,15 +462,20 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redact_secrets(docs: DataFrame, mark: str = "[secret]", sample: int = SAMPLE) -> DataFrame:
-    """``docs`` with every span replaced by ``mark``, and ``n_chars`` counted anew where it changed."""
-    read = docs.select(F.lit(0).cast("long").alias("doc_id"), "text").mapInArrow(_spans, f"doc_id long, spans array<{SPAN}>")
-    read = materialise(read.where(F.size("spans") > 0), "candidates")
-    formats = _learn(read, sample)
-
-    def clean(text: str) -> str:
-        base, found = all_spans(text)
-        spans = [(s, e) for _, s, e in base]
-        spans += [x for x in found if not any(s < x[1] and x[0] < e for s, e in spans) and formats.lead(text[slice(*x)]) >= formats.least]
+    """``docs`` with every span of :func:`secret_spans` replaced by ``mark``, and ``n_chars``, where the
+    table has it, counted anew where the text changed.
+
+    Each row is judged by its own text: null and empty texts stay as they are, repeated rows are alike,
+    overlapping spans are replaced as one, all columns are kept whatever their names and types, and an
+    empty table stays empty.
+    """
+    formats = learn_formats(docs, sample)
+    found = docs.select(F.lit(0).cast("long").alias("doc_id"), "text").mapInArrow(_spans(formats), SPANS_SQL)
+    found = materialise(found.where(F.size("likely") > 0).select(F.explode("likely").alias("s")).select("s.lead", "s.digit"), "leads")
+    formats.least = least_lead(found, formats.least)
+    drop_files(found)
+
+    def clean(text: str, spans: list[tuple[int, int]]) -> str:
         parts, at = [], 0
         for s, e in sorted(spans):
             if s >= at:
@@ -295,15 +484,17 @@ def redact_secrets(docs: DataFrame, mark: str = "[secret]", sample: int = SAMPLE
         return "".join([*parts, text[at:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small(batches):
-            texts = b.column("text").to_pylist()
-            new = [t if t is None else clean(t) for t in texts]
-            names, columns = b.schema.names, list(b.columns)
-            columns[names.index("text")] = pa.array(new, pa.string())
-            if "n_chars" in names:
-                at = names.index("n_chars")
-                old = columns[at].to_pylist()
-                columns[at] = pa.array([o if t == u else len(u) for o, t, u in zip(old, texts, new)], pa.int64())
-            yield pa.record_batch(columns, names)
+        for whole in batches:
+            for b in by_bytes(iter([whole]), whole.schema.get_field_index("text"), 2_000_000):
+                x, old = Scan(b.column("text")), b.column("text").to_pylist()
+                spans = [[(s, e) for _, s, e in base] + [s[:2] for s in added] for base, added in zip(x.spans, x.likely(formats))]
+                new = [clean(t, s) if s else t for t, s in zip(old, spans)]
+                names, columns = b.schema.names, list(b.columns)
+                columns[names.index("text")] = pa.array(new, b.column("text").type)
+                if "n_chars" in names:
+                    at = names.index("n_chars")
+                    n = columns[at].to_pylist()
+                    columns[at] = pa.array([o if t == u else len(u) for o, t, u in zip(n, old, new)], columns[at].type)
+                yield pa.record_batch(columns, names)
 
     return docs.mapInArrow(run, docs.schema)
