@@ -17,7 +17,7 @@ KINDS = ("email", "ip", "card", "phone", "other")
 #: Distinct examples that trees are fitted on, at most, half of each label: a documented bound of the
 #: training sample, in the order of a hash. The threshold rests on all, every candidate is judged.
 SAMPLE = 20_000
-#: A span is added if at least this share of kept-back candidates at its score or above are personal.
+#: A span is added if at least this share of all examples at its score or above are personal.
 PRECISION = 0.995
 PLACE = "struct<start: long, end: long, value: string>"
 
@@ -66,31 +66,31 @@ def _all_places(docs: DataFrame, keep: list[str]) -> DataFrame:
     t, digit = F.col("_t"), F.col("_d")
     at, plus = F.contains(t, F.lit("@")), F.contains(t, F.lit("+"))
     raw = {
-        "email": places(t, EMAIL, at),
-        "ip": places(t, IP, digit & t.rlike(r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]")),
-        "card": places(t, CARD, digit & t.rlike(r"[0-9](?:[\x20-]?[0-9]){11}")),
-        "phone": places(t, PHONE, digit & plus),
-        "mail_like": places(t, MAIL_LIKE, at),
-        "spelt": places(t, SPELT_OUT, t.rlike(r"(?i)(?:[(\[{]at[)\]}]|\sat\s)\s?[a-z0-9-]{1,63}(?:\s?[\s(\[{]dot[\s)\]}]|\.[a-z])")),
-        "number": places(t, NUMBER, digit & t.rlike(r"[0-9][0-9\x20().-]{6}")),
+        "_email": places(t, EMAIL, at),
+        "_ip": places(t, IP, digit & t.rlike(r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]")),
+        "_card": places(t, CARD, digit & t.rlike(r"[0-9](?:[\x20-]?[0-9]){11}")),
+        "_phone": places(t, PHONE, digit & plus),
+        "_mail_like": places(t, MAIL_LIKE, at),
+        "_spelt": places(t, SPELT_OUT, t.rlike(r"(?i)(?:[(\[{]at[)\]}]|\sat\s)\s?[a-z0-9-]{1,63}(?:\s?[\s(\[{]dot[\s)\]}]|\.[a-z])")),
+        "_number": places(t, NUMBER, digit & t.rlike(r"[0-9][0-9\x20().-]{6}")),
     }
     rows = rows.select(*keep, "_t", *[c.alias(k) for k, c in raw.items()])
     size = lambda p: F.length(_digits(p["value"]))
     checks = {
-        "email": F.col("email"),
-        "ip": F.filter("ip", lambda p: p["value"].rlike(rf"^{PART}\.{PART}\.{PART}\.{PART}$")),
-        "card": F.filter("card", lambda p: size(p).between(12, 19) & F.call_function("luhn_check", _digits(p["value"]))),
-        "phone": F.filter("phone", lambda p: size(p).between(9, 15)),
+        "_email": F.col("_email"),
+        "_ip": F.filter("_ip", lambda p: p["value"].rlike(rf"^{PART}\.{PART}\.{PART}\.{PART}$")),
+        "_card": F.filter("_card", lambda p: size(p).between(12, 19) & F.call_function("luhn_check", _digits(p["value"]))),
+        "_phone": F.filter("_phone", lambda p: size(p).between(9, 15)),
     }
     # a generator's span may run into blanks and signs; what it proposes ends with a digit or letter
-    every = F.array_distinct(F.concat("mail_like", "spelt", "number"))
+    every = F.array_distinct(F.concat("_mail_like", "_spelt", "_number"))
 
     def around(p: Column) -> Column:
         left = F.substring(F.col("_t"), F.greatest(p["start"] - 23, F.lit(1)).cast("int"), F.least(p["start"], F.lit(24)).cast("int"))
         right = F.substring(F.col("_t"), (p["end"] + 1).cast("int"), F.lit(1))
         return F.struct(p["start"].alias("start"), p["end"].alias("end"), p["value"].alias("value"), left.alias("left"), right.alias("right"))
 
-    return rows.select(*keep, *[c.alias(k) for k, c in checks.items()], F.transform(every, around).alias("candidates"))
+    return rows.select(*keep, *[c.alias(k) for k, c in checks.items()], F.transform(every, around).alias("_candidates"))
 
 
 def _count(value: Column, pattern: str) -> Column:
@@ -173,29 +173,27 @@ def _examples(c: Column, base: list[Column]) -> Column:
 
 
 def learn_judge(found: DataFrame, sample: int = SAMPLE, precision: float = PRECISION) -> Judge | None:
-    """Boosted trees that tell disguised personal data from other candidates; None without both kinds.
+    """Boosted trees that tell disguised personal data from other candidates; None where either is absent.
 
     Distinct examples of all candidates are counted. At most half of ``sample`` of each label, in the
-    order of a hash, are fitted, from three of four shares; all of the fourth share, by their counts,
-    give the least score at which the share of personal ones is ``precision``.
+    order of a hash, are fitted; all examples, by their counts, give the least score at which the share
+    of personal ones is ``precision``, also where they are few.
     """
-    base = [F.col(k) for k in KINDS[:4]]
-    rows = found.where(F.size("candidates") > 0).select(F.explode(F.flatten(F.transform("candidates", lambda c: _examples(c, base)))).alias("c"))
+    base = [F.col(f"_{k}") for k in KINDS[:4]]
+    rows = found.where(F.size("_candidates") > 0).select(F.explode(F.flatten(F.transform("_candidates", lambda c: _examples(c, base)))).alias("c"))
     rows = rows.select("c.*").groupBy("value", "left", "right", "label").agg(F.count("*").alias("n"))
     rows = materialise(rows.withColumn("key", F.xxhash64("value", "left")), "pii-examples")
-    fold = F.pmod(F.col("key"), F.lit(4)) == 3
     names = [f"f{i}" for i in range(23)]
     features = [f.alias(n) for n, f in zip(names, _features({k: F.col(k) for k in ("value", "left", "right")}))]
-    parts = [rows.where(~fold & (F.col("label") == k)).orderBy("key", "value", "left", "right").limit(sample // 2) for k in (0.0, 1.0)]
+    parts = [rows.where(F.col("label") == k).orderBy("key", "value", "left", "right").limit(sample // 2) for k in (0.0, 1.0)]
     drawn = materialise(parts[0].union(parts[1]).select("label", *features), "pii-sample")
-    n = {r["label"]: r["n"] for r in drawn.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    if len(n) < 2 or min(n.values()) < 20:
+    if drawn.select("label").distinct().count() < 2:
         return None
     vectors = VectorAssembler(inputCols=names, outputCol="features").transform(drawn)
     model = GBTClassifier(maxIter=12, maxDepth=4, seed=5).fit(vectors.select("features", "label"))
     trees = [(float(w), _parsed(t.toDebugString.splitlines()[1:])) for w, t in zip(model.treeWeights, model.trees)]
     judge = Judge(trees, 1.01)
-    kept = rows.where(fold).select("label", "n", *features)
+    kept = rows.select("label", "n", *features)
     steps = F.floor(judge.score([F.col(c) for c in names]) * 100).alias("step")
     kept = kept.groupBy(steps).agg(F.sum(F.col("label") * F.col("n")).alias("good"), F.sum("n").alias("n"))
     good = n = 0
@@ -212,7 +210,8 @@ def find_personal(docs: DataFrame, keep: list[str] | None = None, sample: int =
 
     ``kind`` is a place in ``KINDS``; starts and ends count code points, ends exclusive; base spans all
     stay, spans of the method are added where they overlap none. A null or empty text has none;
-    repeated rows each give a row; other columns are ignored; an empty table gives no rows.
+    repeated rows each give a row; other columns are ignored, and ``keep`` may have any names but those
+    that start with an underscore; an empty table gives no rows. A text of any length is searched whole.
 
     Whole texts are read once; places and candidates are written, far smaller, then judged.
     """
@@ -220,10 +219,10 @@ def find_personal(docs: DataFrame, keep: list[str] | None = None, sample: int =
     found = materialise(_all_places(docs, keep), "places")
     judge = learn_judge(found, sample)
     spans = lambda places, kind: F.transform(places, lambda p: F.struct(p["start"].alias("start"), F.lit(kind).alias("kind"), p["end"].alias("end")))
-    parts = [spans(F.col(k), i) for i, k in enumerate(KINDS[:4])]
+    parts = [spans(F.col(f"_{k}"), i) for i, k in enumerate(KINDS[:4])]
     if judge:
-        base = [F.col(k) for k in KINDS[:4]]
-        good = F.filter("candidates", lambda c: ~_overlaps(c, base) & (judge.score(_features(c)) >= judge.least))
+        base = [F.col(f"_{k}") for k in KINDS[:4]]
+        good = F.filter("_candidates", lambda c: ~_overlaps(c, base) & (judge.score(_features(c)) >= judge.least))
         parts.append(spans(good, 4))
     return found.select(*keep, F.array_sort(F.array_distinct(F.concat(*parts))).alias("spans"))
 

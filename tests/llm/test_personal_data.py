@@ -100,3 +100,18 @@ def test_copied_numbers_do_not_fill_the_sample(spark):
     got = others(find_personal(spark.createDataFrame(rows, "doc_id long, text string"), sample=400).collect(), texts)
     assert all(got[1000 + k] == [f"jo{k} at mail{k} dot org"] for k in range(20))
     assert not any(got[10_000 + k] for k in range(8000))
+
+
+def test_few_examples_still_teach(spark):
+    """Three addresses and two phones are enough: no number of examples switches the method off."""
+    rnd = random.Random(20)
+    rows = [planted(rnd, k) for k in range(3)]
+    rows += [(1000 + k, f"Write to jo{k} at mail{k} dot org today.") for k in range(5)]
+    rows += [(3000 + k, f"Order {10**9 + 77777 * k} came.") for k in range(30)]
+    texts = {k: t for k, t in rows}
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, email string")
+    found = find_personal(docs, keep=["doc_id", "email"])
+    assert found.columns == ["doc_id", "email", "spans"]
+    got = others(found.collect(), texts)
+    assert all(got[1000 + k] == [f"jo{k} at mail{k} dot org"] for k in range(5))
+    assert not any(got[3000 + k] for k in range(30))
