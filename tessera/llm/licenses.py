@@ -2,108 +2,20 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.license_rules import Rule, license_rules
 from tessera.plans.tables import read_table
 
-#: Everything that is not part of a word of a lower-cased text.
-BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-
-
-@dataclass(frozen=True)
-class Rule:
-    """``pattern`` matches whole words, each with the blank before it; ``keyword`` must occur first."""
-
-    label: str
-    keyword: str
-    pattern: str
-    priority: int
-    score: float
-    base: bool = False
-
-
-#: The contract's phrases and labels.
-BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-
-#: Label, keyword, and how a license is named, as words of a lower-cased text.
-NAMES = [
-    ("mit", "mit", "mit|expat"),
-    ("apache-1.1", "apache", "apache(?: software)?(?: license)?(?: version| v)? ?1 1"),
-    ("apache-2", "apache", "apache(?: software)?(?: license)?(?: version| v)? ?2(?: 0)?"),
-    ("gpl-2", "gnu", "gnu general public licen[sc]e(?: version| v)? ?2(?: 0)?"),
-    ("gpl-3", "gnu", "gnu general public licen[sc]e(?: version| v)? ?3(?: 0)?"),
-    ("gpl-2", "gpl", "(?:gnu )?gpl(?: version| v)? ?2(?: 0)?"),
-    ("gpl-3", "gpl", "(?:gnu )?gpl(?: version| v)? ?3(?: 0)?"),
-    ("gpl", "gnu", "gnu general public"),
-    ("lgpl-2.1", "lgpl", "(?:gnu )?lgpl(?: version| v)? ?2 1"),
-    ("lgpl-3", "lgpl", "(?:gnu )?lgpl(?: version| v)? ?3(?: 0)?"),
-    ("lgpl", "lesser", "gnu lesser general public"),
-    ("agpl-3", "agpl", "(?:gnu )?agpl(?: version| v)? ?3(?: 0)?"),
-    ("agpl-3", "affero", "gnu affero general public"),
-    ("gfdl", "documentation", "gnu free documentation"),
-    ("bsd-2", "bsd", "(?:2|two) clause bsd|simplified bsd|bsd 2 clause"),
-    ("bsd-3", "bsd", "(?:3|three) clause bsd|(?:new|modified) bsd|bsd 3 clause"),
-    ("bsd-4", "bsd", "(?:4|four) clause bsd|original bsd|bsd 4 clause"),
-    ("isc", "isc", "isc"),
-    ("mpl-1.1", "mozilla", "mozilla public licen[sc]e(?: version| v)? ?1 1"),
-    ("mpl-2", "mozilla", "mozilla public licen[sc]e(?: version| v)? ?2(?: 0)?"),
-    ("epl-1", "eclipse", "eclipse public licen[sc]e(?: version| v)? ?1(?: 0)?"),
-    ("epl-2", "eclipse", "eclipse public licen[sc]e(?: version| v)? ?2(?: 0)?"),
-    ("eupl-1.2", "european", "european union public licen[sc]e(?: version| v)? ?1 2"),
-    ("cddl-1", "common development", "common development and distribution"),
-    ("artistic-2", "artistic", "artistic licen[sc]e(?: version| v)? ?2(?: 0)?"),
-    ("zlib", "zlib", "zlib"),
-    ("boost-1", "boost", "boost software"),
-    ("unlicense", "unlicense", "unlicense"),
-    ("wtfpl", "wtfpl", "wtfpl"),
-    ("python-2", "python software", "python software foundation"),
-    ("cc0", "cc0", "cc0(?: 1 0)?"),
-    ("cc-by", "cc by", "cc by(?: [1-4] 0)?"),
-    ("cc-by-sa", "cc by sa", "cc by sa(?: [1-4] 0)?"),
-    ("cc-by-nd", "cc by nd", "cc by nd(?: [1-4] 0)?"),
-    ("cc-by-nc", "cc by nc", "cc by nc(?: [1-4] 0)?"),
-    ("cc-by-nc-sa", "cc by nc sa", "cc by nc sa(?: [1-4] 0)?"),
-    ("cc-by-nc-nd", "cc by nc nd", "cc by nc nd(?: [1-4] 0)?"),
-    ("cc-by-sa", "sharealike", "creative commons attribution share ?alike"),
-    ("cc-by-nc", "noncommercial", "creative commons attribution non ?commercial"),
-    ("odbl", "open database", "open database"),
-    ("ofl-1.1", "open font", "(?:sil )?open font"),
-]
-#: Priority, score, and how a text points to the license named in its place. Of two
-#: detections where one lies in the other, that of higher priority stays.
-FRAMES = [
-    (90, 1.0, "spdx license identifier {}"),
-    (80, 0.98, "(?:is |are )?(?:dual )?licen[sc]ed under (?:the )?(?:terms of )?(?:the )?(?:{})(?: licen[sc]e)?(?: only| or later)?"),
-    (80, 0.97, "(?:released|distributed|published|available|redistributed|provided|shared) under (?:the )?(?:terms of )?(?:the )?(?:{})(?: licen[sc]e)?"),
-    (70, 0.95, "under (?:the )?(?:terms|conditions) of (?:the )?(?:{})(?: licen[sc]e)?"),
-    (60, 0.9, "(?:governed|covered|protected) by (?:the )?(?:{})(?: licen[sc]e)?"),
-    (60, 0.9, "subject to (?:the )?(?:terms of )?(?:the )?(?:{})(?: licen[sc]e)?"),
-    (50, 0.85, "licen[sc]e (?:is )?(?:{})"),
-    (40, 0.8, "(?:the )?(?:{}) licen[sc]e"),
-]
-#: Label, keyword, pattern and score of notices that name no license.
-NOTICES = [
-    ("public-domain", "public domain", "(?:dedicated to|released into|placed in|in) the public domain", 0.8),
-    ("all-rights-reserved", "all rights reserved", "all rights reserved", 0.6),
-    ("copyright", "copyright", "copyright(?: c)? (?:19|20)[0-9][0-9]", 0.5),
-    ("proprietary", "proprietary", "proprietary and confidential", 0.7),
-]
-
-
-def license_rules() -> list[Rule]:
-    """All rules in order: base phrases, each license name in each frame, then bare notices."""
-    rules = [Rule(label, phrase, f" {phrase}", 100, 1.0, True) for phrase, label in BASE.items()]
-    for priority, score, frame in FRAMES:
-        rules += [Rule(label, key, " " + frame.format(name), priority, score) for label, key, name in NAMES]
-    return rules + [Rule(label, key, f" {pattern}", 20, score) for label, key, pattern, score in NOTICES]
+#: Everything that is not part of a word; letters A-Z count as those of a lower-cased text.
+BREAKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+PLACES = "array<struct<rule: int, start: long, end: long>>"
 
 
 def normalised(text: Column) -> Column:
-    """The words of a text, lower-cased, with one blank before and after each; a blank if none."""
-    words = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), BREAKS, " "))
+    """The words of a text with one blank before and after each; a blank if none."""
+    words = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), BREAKS, " "))
     return F.when(words == "", F.lit(" ")).otherwise(F.concat(F.lit(" "), words, F.lit(" ")))
 
 
@@ -113,10 +25,10 @@ def _blanks(text: Column) -> Column:
 
 def _places(words: Column, rule: Column) -> Column:
     """Detections of one rule in order: its place in the list, first word, and word after the last."""
-    pattern = F.concat(rule["pattern"], F.lit("(?= )"))
+    pattern = F.concat(F.lit("(?i) (?:"), rule["pattern"], F.lit(")(?= )"))  # folds A-Z alone
     gaps = F.transform(F.split(words, pattern, -1), _blanks)
     found = F.transform(F.regexp_extract_all(words, pattern, F.lit(0)), _blanks)
-    none = F.expr("cast(array() as array<struct<rule: int, start: long, end: long>>)")
+    none = F.expr(f"cast(array() as {PLACES})")
 
     def add(state: Column, i: Column) -> Column:
         start = state["at"] + F.get(gaps, i)
@@ -137,21 +49,20 @@ def detect_licenses(docs: DataFrame, rules: list[Rule] | None = None, keep: list
     the first in rule order. A null or empty text has no words and no places; repeated rows each give
     a row; ``docs`` may hold columns of any other names.
 
-    A text is searched only for the rules whose keyword it has, so most texts cost one pass that
-    finds their words and a few substring searches.
+    A text is searched only for the rules whose root and keyword it has, so most texts cost one pass
+    that finds their words and a few substring searches. A text of any length is searched whole.
     """
     rules = rules or license_rules()
-    listed = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(r.keyword).alias("keyword"), F.lit(r.pattern).alias("pattern")) for i, r in enumerate(rules)])
     told = F.array(*[F.struct(F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.lit(r.score).alias("score"), F.lit(r.base).alias("base")) for r in rules])
-    keywords = sorted({r.keyword for r in rules})
-    roots = [k for k in keywords if not any(o != k and o in k for o in keywords)]
     rows = docs.select("doc_id", *(keep or []), normalised(F.col("text")).alias("_words"))
-    gate = F.lit(False)
-    for k in roots:
-        gate = gate | F.contains("_words", F.lit(k))
-    none = F.expr("cast(array() as array<struct<rule: int, start: long, end: long>>)")
-    hits = F.filter(listed, lambda r: F.contains(F.col("_words"), r["keyword"]))
-    found = F.when(gate, F.flatten(F.transform(hits, lambda r: _places(F.col("_words"), r)))).otherwise(none)
+    rows = rows.withColumn("_low", F.lower("_words"))  # for the gates: it folds more than A-Z
+    none = F.expr(f"cast(array() as {PLACES})")
+    parts = []
+    for root in dict.fromkeys(r.root for r in rules):
+        own = [F.struct(F.lit(i).alias("rule"), F.lit(r.keyword).alias("keyword"), F.lit(r.pattern).alias("pattern")) for i, r in enumerate(rules) if r.root == root]
+        hits = F.filter(F.array(*own), lambda r: F.contains(F.col("_low"), r["keyword"]))
+        parts.append(F.when(F.contains("_low", F.lit(root)), F.flatten(F.transform(hits, lambda r: _places(F.col("_words"), r)))).otherwise(none))
+    found = F.concat(*parts)
     rows = rows.select("doc_id", *(keep or []), (F.greatest(_blanks(F.col("_words")), F.lit(1)) - 1).cast("long").alias("n_words"), found.alias("_found"))
 
     def stays(d: Column) -> Column:
