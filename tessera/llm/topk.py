@@ -9,11 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.plans.tables import materialise, read_table, shuffle_partitions
+from tessera.plans.tables import drop_files, materialise, read_table, shuffle_partitions
 
 #: Vectors in a chunk and queries in a block: what one task multiplies at once.
 CHUNK, QUERIES = 2048, 512
-ENTRY_SQL = "query long, node int, row long, part long"
+CHUNK_SQL = "dims int, rows binary, matrix binary, held binary, ids binary"
+ENTRY_SQL = "query long, row long, score long, ids array<long>"
 
 
 def integer_vectors(vectors: DataFrame, vec_id: str, embedding: str, scale: int) -> DataFrame:
@@ -38,7 +39,8 @@ def _bytes(matrix: np.ndarray) -> bytes:
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chunks of rows as one matrix each; the rows of a batch share their number of dimensions."""
+    """Chunks of classes as one matrix each, with their ids; the classes of a chunk share their number of
+    dimensions."""
     for b in batches:
         dims = np.array([len(x) for x in b.column("x")], np.int64)
         for d in np.unique(dims):
@@ -46,8 +48,11 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k in range(0, own.num_rows, CHUNK):
                 part = own.slice(k, CHUNK)
                 flat = part.column("x").flatten().to_numpy(zero_copy_only=False).astype("<i8")
-                ids = part.column("row").to_numpy(zero_copy_only=False).astype("<i8")
-                yield pa.record_batch([pa.array([int(d)], pa.int32()), pa.array([ids.tobytes()]), pa.array([_bytes(flat)])], ["dims", "rows", "matrix"])
+                rows = part.column("row").to_numpy(zero_copy_only=False).astype("<i8")
+                ids = part.column("ids")
+                held = np.array([len(x) for x in ids], "<i4")
+                packed = [pa.array([int(d)], pa.int32()), *(pa.array([x]) for x in (rows.tobytes(), _bytes(flat), held.tobytes(), ids.flatten().to_numpy(zero_copy_only=False).astype("<i8").tobytes()))]
+                yield pa.record_batch(packed, ["dims", "rows", "matrix", "held", "ids"])
 
 
 def _products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -59,7 +64,8 @@ def _products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 
 def _local(keep: Callable, nodes: int) -> Callable:
-    """For each pair of a query block and a chunk, the entries of each node that ``keep`` selects."""
+    """For each pair of a query block and a chunk, the entries that ``keep`` selects from the nodes' parts,
+    each with its full score and the ids of its class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -67,31 +73,45 @@ def _local(keep: Callable, nodes: int) -> Callable:
                 r = batch.slice(k, 1).to_pylist()[0]
                 edges = np.linspace(0, r["dims"], nodes + 1).astype(int)
                 queries, rows = np.frombuffer(r["queries"], "<i8"), np.frombuffer(r["rows"], "<i8")
+                held, ids = np.frombuffer(r["held"], "<i4").astype(np.int64), np.frombuffer(r["ids"], "<i8")
                 q = _matrix(r["query_matrix"], len(queries), r["dims"])
                 v = _matrix(r["matrix"], len(rows), r["dims"])
-                for node in range(nodes):
-                    own = slice(edges[node], edges[node + 1])
-                    part = _products(q[:, own], v[:, own])
-                    at, row = keep(part, r.get("cut"))
-                    columns = [queries[at], np.full(len(at), node, np.int32), rows[row], part[at, row]]
-                    yield pa.record_batch([pa.array(c) for c in columns], ["query", "node", "row", "part"])
+                parts = [_products(q[:, i:j], v[:, i:j]) for i, j in zip(edges, edges[1:])]
+                at, row, score = keep(parts, r.get("cut"))
+                n, first = held[row], (np.cumsum(held) - held)[row]
+                offsets = np.concatenate([[0], np.cumsum(n)])
+                own = ids[np.repeat(first - offsets[:-1], n) + np.arange(offsets[-1])]
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(own))
+                yield pa.record_batch([pa.array(queries[at]), pa.array(rows[row]), pa.array(score), lists], ["query", "row", "score", "ids"])
 
     return run
 
 
 def _best(k: int) -> Callable:
-    def keep(part: np.ndarray, _: object) -> tuple[np.ndarray, np.ndarray]:
-        n = min(k, part.shape[1])
-        if not n:
-            return np.zeros(0, int), np.zeros(0, int)
-        row = np.argpartition(-part, n - 1, axis=1)[:, :n]
-        return np.repeat(np.arange(len(part)), n), row.ravel()
+    """The k best entries of each node's list for each query, scored in full."""
+
+    def keep(parts: list[np.ndarray], _: object) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = min(k, parts[0].shape[1])
+        named = np.zeros(parts[0].shape, bool)
+        for part in parts:
+            np.put_along_axis(named, np.argpartition(-part, n - 1, axis=1)[:, :n], True, axis=1)
+        at, row = np.nonzero(named)
+        return at, row, sum(part[at, row] for part in parts)
 
     return keep
 
 
-def _over(part: np.ndarray, cut: list) -> tuple[np.ndarray, np.ndarray]:
-    return np.nonzero(part >= np.array(cut, np.int64)[:, None])
+def _over(parts: list[np.ndarray], cut: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The entries that reach an equal share of their query's cutoff in some node; of these, resolved in
+    full, those that reach the cutoff."""
+    s = np.array(cut, np.int64)
+    sent = np.zeros(parts[0].shape, bool)
+    for part in parts:
+        sent |= part >= -(-s // len(parts))[:, None]
+    at, row = np.nonzero(sent)
+    score = sum(part[at, row] for part in parts)
+    fine = score >= s[at]
+    return at[fine], row[fine], score[fine]
 
 
 def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, nodes: int = 2, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -106,60 +126,60 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, nodes: int
     shares first, so copies that make up a third of all rows never meet in one task. A score is a sum
     over nodes, a node being a block of dimensions whose list is spread over chunks of classes:
 
-    1. every node names its k best classes for a query; their full scores give a k-th best score s
-       that the k-th best of all can't fall below;
+    1. every node names its k + 1 best classes of a chunk for a query; the k + 1 best of all chunks, by
+       their full scores, give a score s that the k-th best of all can't fall below;
     2. s is the query's cutoff: a class that reaches s must reach s / nodes (rounded up) in some
-       node, so every node sends the entries at or over that;
-    3. the few classes sent are scored in full, and the best are ranked.
+       node, so every node collects the entries at or over that;
+    3. the entries collected are resolved in full where they lie; those that reach s, hardly more than
+       k + 1 for a query, are ranked.
 
-    Blocks of queries meet chunks of classes by a join on the block's name and a salt that spreads the
-    chunks; a block of ``QUERIES`` and a chunk of ``CHUNK`` vectors are multiplied at once.
+    Chunks are dealt by a salt and stay; blocks of queries, far fewer, are sent to every salt. A block of
+    ``QUERIES`` and a chunk of ``CHUNK`` vectors are multiplied at once.
     """
     spark = vectors.sparkSession
-    ids = integer_vectors(vectors, vec_id, embedding, scale).withColumn("row", F.xxhash64("x"))
+    ids = integer_vectors(vectors, vec_id, embedding, scale)
     shares = F.pmod(F.xxhash64("vec_id"), F.lit(max(16, shuffle_partitions(spark))))
-    first = Window.partitionBy("row", "x", "share").orderBy("vec_id")
-    few = ids.withColumn("share", shares).dropDuplicates(["row", "x", "share", "vec_id"]).withColumn("at", F.row_number().over(first)).where(F.col("at") <= k + 1)
-    classes = few.groupBy("row", "x").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    classes = classes.select("row", "x", F.slice("ids", 1, k + 1).alias("ids"))
-    classes = materialise(classes, "classes")
-    asked = materialise(ids.where(is_query).select(F.col("vec_id").alias("query_id"), "row").distinct(), "asked")
+    first = Window.partitionBy("x", "share").orderBy("vec_id")
+    few = ids.withColumn("share", shares).dropDuplicates(["x", "share", "vec_id"]).withColumn("at", F.row_number().over(first)).where(F.col("at") <= k + 1)
+    classes = few.groupBy("x").agg(F.slice(F.sort_array(F.collect_list("vec_id")), 1, k + 1).alias("ids"))
+    classes = materialise(classes.withColumn("row", F.monotonically_increasing_id()), "classes")
+    asked = ids.where(is_query).select(F.col("vec_id").alias("query_id"), "x").distinct()
+    asked = materialise(asked.join(classes.select("x", "row"), "x").select("query_id", "row"), "asked")
     chosen = classes.join(asked.select("row").distinct(), "row", "left_semi")
 
-    packed = "dims int, rows binary, matrix binary"
-    chunks = materialise(classes.select("row", "x").mapInArrow(_packed, packed), "chunks")
-    blocks = chosen.select("row", "x").mapInArrow(_packed, packed)
-    blocks = materialise(_cut_blocks(blocks), "blocks")
-    names = blocks.groupBy("dims").agg(F.collect_list("block").alias("all")).collect()  # a name for QUERIES queries
-    salts = max(1, 2 * shuffle_partitions(spark) // max(1, sum(len(r["all"]) for r in names)))
-    named_blocks = spark.createDataFrame([(r["dims"], r["all"]) for r in names], "dims int, all array<string>")
-    salted = chunks.join(F.broadcast(named_blocks), "dims").withColumn("salt", F.pmod(F.xxhash64("rows"), F.lit(salts)).cast("int"))
-    salted = salted.select("salt", "rows", "matrix", F.explode("all").alias("block"))
+    chunks = materialise(classes.select("row", "x", "ids").mapInArrow(_packed, CHUNK_SQL), "chunks")
+    blocks = materialise(_cut_blocks(chosen.select("row", "x", "ids").mapInArrow(_packed, CHUNK_SQL)), "blocks")
+    salts = max(1, min(chunks.count(), max(2 * shuffle_partitions(spark), chunks.count() // 8)))
+    salted = chunks.withColumn("salt", F.pmod(F.xxhash64("rows"), F.lit(salts)).cast("int"))
     copies = blocks.select("dims", "block", "queries", "query_matrix", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    sides = salted.join(copies, ["block", "salt"])
 
-    best = sides.mapInArrow(_local(_best(k + 1), nodes), ENTRY_SQL)
-    order = Window.partitionBy("query", "node").orderBy(F.desc("part"), "row")
-    named = best.withColumn("at", F.row_number().over(order)).where(F.col("at") <= k + 1)
-    known = _scored(named.select("query", "row").distinct(), classes)
+    def sides(more: DataFrame | None = None) -> DataFrame:
+        return salted.join(copies.join(more, "block") if more is not None else copies, ["dims", "salt"])
+
+    best = sides().mapInArrow(_local(_best(k + 1), nodes), ENTRY_SQL)
+    descending = Window.partitionBy("query").orderBy(F.desc("score"), "row")
     # k + 1 ids, as one of them may be the query's own
-    held = known.join(classes.select("row", F.size("ids").cast("long").alias("held")), "row")
-    descending = Window.partitionBy("query").orderBy(F.desc("score"), "row").rowsBetween(Window.unboundedPreceding, 0)
-    cutoff = held.withColumn("sum", F.sum("held").over(descending)).where(F.col("sum") >= k + 1)
-    cutoff = cutoff.groupBy("query").agg(F.max("score").alias("s"))
-    least = F.coalesce(F.ceil(F.col("s") / nodes), F.lit(-(1 << 62)))
+    few = best.select("query", "row", "score", F.size("ids").cast("long").alias("held")).withColumn("at", F.row_number().over(descending)).where(F.col("at") <= k + 1)
+    few = few.withColumn("sum", F.sum("held").over(descending.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("sum") >= k + 1)
+    cutoff = few.groupBy("query").agg(F.max("score").alias("s"))
     cuts = blocks.select("block", F.posexplode("query_rows").alias("pos", "query")).join(cutoff, "query", "left")
+    least = F.coalesce(F.col("s"), F.lit(-(1 << 62)))
     cuts = cuts.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("pos", least.alias("least")))).alias("all"))
     cuts = materialise(cuts.select("block", F.transform("all", lambda e: e["least"]).alias("cut")), "cutoffs")
-    sent = sides.join(cuts, "block").mapInArrow(_local(_over, nodes), ENTRY_SQL)
-    final = _scored(sent.select("query", "row").distinct(), classes)
-    # only k + 1 ids of each query's best classes can be among its k best
+    final = sides(cuts).mapInArrow(_local(_over, nodes), ENTRY_SQL)
+    # only k + 1 ids of each query's best classes can be among its k best, and so only k + 1 classes
+    ranked = Window.partitionBy("query").orderBy(F.desc("score"), "least")
+    final = final.withColumn("least", F.col("ids")[0]).withColumn("at", F.row_number().over(ranked)).where(F.col("at") <= k + 1)
+    final = final.select("query", "score", F.explode("ids").alias("vec_id"))
     top = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    final = final.join(classes.select("row", "ids"), "row").select("query", "score", F.explode("ids").alias("vec_id"))
     final = final.withColumn("at", F.row_number().over(top)).where(F.col("at") <= k + 1).drop("at")
     answers = asked.join(final, asked.row == final["query"]).where("vec_id != query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return answers.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = answers.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = materialise(found, "top-k")
+    for table in (classes, asked, chunks, blocks, cuts):
+        drop_files(table)
+    return found
 
 
 def _cut_blocks(blocks: DataFrame) -> DataFrame:
@@ -178,14 +198,6 @@ def _cut_blocks(blocks: DataFrame) -> DataFrame:
     return blocks.mapInArrow(run, "dims int, block string, queries binary, query_rows array<long>, query_matrix binary")
 
 
-def _scored(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Full scores of (query, row) pairs."""
-    x = pairs.join(classes.select(F.col("row"), F.col("x").alias("v")), "row")
-    both = x.join(classes.select(F.col("row").alias("query"), F.col("x").alias("q")), "query")
-    score = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0).cast("long"), lambda s, p: s + p)
-    return both.select("query", "row", score.alias("score"))
-
-
 def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
 
