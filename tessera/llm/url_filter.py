@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.plans.tables import drop_files, materialise, read_table
 
-#: Bits that a cascade may hold in all. Beyond it the rules are joined instead (see ``judge_urls``).
+#: Bits that a cascade may hold, about. A longer list is dealt into shares with a cascade each.
 MOST_BITS = 1 << 23
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -76,12 +76,12 @@ def _filled(keys: DataFrame, n: int, rate: float, seed: int) -> Level:
     return Level(tuple(full), level.hashes, seed)
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame) -> list[Level] | None:
+def build_cascade(listed: DataFrame, universe: DataFrame) -> list[Level]:
     """Levels that tell listed keys from all other keys of ``universe`` without error.
 
     Both tables have one column ``key``. The first level is sized by how many unlisted keys there are
     for a listed one, the others let half through. Keys that still need telling apart are written
-    once and shrink with each level. None if the levels would exceed ``MOST_BITS``.
+    once and shrink with each level.
     """
     ours = materialise(listed.where("key is not null").distinct(), "listed")
     n = ours.count()
@@ -90,23 +90,20 @@ def build_cascade(listed: DataFrame, universe: DataFrame) -> list[Level] | None:
     others = universe.where("key is not null")
     m = others.agg(F.approx_count_distinct("key").alias("m")).first()["m"]
     rate = min(0.5, max(1e-6, n * math.sqrt(0.5) / max(m, 1)))
-    if n * -math.log(rate) / math.log(2) ** 2 > MOST_BITS / 4:
-        return None
     levels = [_filled(ours, n, rate, 0)]
-    passed = others.where(_passes(F.col("key"), levels[0])).distinct().join(ours, "key", "left_anti")
+    both = others.where(_passes(F.col("key"), levels[0])).select("key", F.lit(False).alias("ours")).union(ours.select("key", F.lit(True)))
+    passed = both.groupBy("key").agg(F.max("ours").alias("ours")).where("not ours").select("key")
     inside, outside = ours, materialise(passed, "passed")
-    while True:
-        n = outside.count()
-        if not n:
-            return levels
+    while n := outside.count():
         level = _filled(outside, n, 0.5, len(levels))
         levels.append(level)
-        if 64 * sum(len(x.words) for x in levels) > MOST_BITS:
-            return None
         left = materialise(inside.where(_passes(F.col("key"), level)), "passed")
         if inside is not ours:
             drop_files(inside)
         inside, outside = outside, left
+    for table in {id(t): t for t in (ours, inside, outside)}.values():
+        drop_files(table)
+    return levels
 
 
 def _shapes(rules: list[tuple[str, str, str]]) -> list[tuple[int, int]]:
@@ -123,16 +120,18 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "
     """``pages`` with columns host, path, rule and verdict.
 
     ``rules``: (verdict, host, path), verdict ``allow`` or ``block``. A rule fits its host and all
-    subdomains if the path starts with the rule's; the longest that fits wins; a page that none fits
-    gets a null rule and ``default``. A null URL or one without ``://`` has an empty host and path.
-    Columns of ``pages`` that have the names of the new ones are replaced. Rules that repeat a host
-    and path with another verdict are refused. An empty table gives no rows.
+    subdomains if the path starts with the rule's; the longest that fits wins, of equally long ones that
+    of the longer host; a page that none fits gets a null rule and ``default``. A null URL or one without
+    ``://`` has an empty host and path; a URL of any length is read whole. Columns of ``pages`` that have
+    the names of the new ones are replaced. Rules that repeat a host and path are one; with another
+    verdict they are refused. Repeated pages each give a row. An empty table gives no rows.
 
     A page's candidate keys are as many as the rules have shapes (labels, path length). All keys of
     the corpus are the universe of a cascade over the rules, so that looking a key up in it is exact
-    and takes no join: the filters, of a size bounded by ``MOST_BITS``, are literals of the plan. A
-    rule list too long for that bound is joined by key, which is exact too.
+    and takes no join: the filters, of about ``MOST_BITS``, are literals of the plan. A longer list is
+    dealt into shares by a hash; pages are looked up in one share's cascade after the other.
     """
+    rules = [r for r in rules if not r[2] or r[2].startswith("/")]  # no path starts otherwise
     verdicts: dict[str, str] = {}
     for verdict, host, path in rules:
         if verdicts.setdefault(host + path, verdict) != verdict:
@@ -145,30 +144,27 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "
     if not rules:
         return parts.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
     table = lambda keys: spark.range(1).select(F.explode(F.lit(sorted(keys)).cast("array<string>")).alias("key"))
-    listed = table(verdicts)
     universe = pages.select(F.explode(F.array_distinct(_keys(host, path, shapes))).alias("key"))
-    levels = build_cascade(listed, universe)
-    keys = _keys(F.col("host"), F.col("path"), shapes)
-    if levels is None:
-        return _joined(parts, keys, verdicts, default)
-    fit = F.filter(F.array_distinct(keys), lambda k: in_cascade(k, levels))
-    longest = F.aggregate(fit, F.lit(None).cast("string"), lambda a, k: F.when(a.isNull() | (F.length(k) > F.length(a)), k).otherwise(a))
-    which = build_cascade(table(k for k, v in verdicts.items() if v == "block"), listed)
-    judged = parts.withColumn("rule", longest)
-    verdict = F.when(F.col("rule").isNull(), F.lit(default)).when(in_cascade(F.col("rule"), which), "block").otherwise("allow")
-    return judged.withColumn("verdict", verdict)
-
-
-def _joined(parts: DataFrame, keys: Column, verdicts: dict[str, str], default: str) -> DataFrame:
-    """The same for a list that no bounded filter holds: distinct keys meet the rules in a join."""
-    spark = parts.sparkSession
-    listed = F.create_map(*[F.lit(x) for kv in verdicts.items() for x in kv])
-    rules = spark.range(1).select(F.explode(listed).alias("key", "verdict"))
-    places = parts.select("host", "path").distinct()
-    fit = places.select("host", "path", F.explode(F.array_distinct(keys)).alias("key")).join(rules, "key")
-    best = fit.groupBy("host", "path").agg(F.max(F.struct(F.length("key").alias("n"), F.col("key").alias("rule"), "verdict")).alias("best"))
-    found = parts.join(best, ["host", "path"], "left")
-    return found.withColumn("rule", F.col("best.rule")).withColumn("verdict", F.coalesce("best.verdict", F.lit(default))).drop("best")
+    shares = 1 + 32 * len(verdicts) // MOST_BITS  # at some 14 bits a key, all levels together
+    parts = parts.withColumn("_best", F.lit(None).cast("struct<key: string, verdict: string>"))
+    for s in range(shares):
+        own = lambda k: F.pmod(F.xxhash64(k, F.lit("share")), F.lit(shares)) == s  # noqa: E731, B023
+        listed, blocked = (t.where(own(F.col("key"))) for t in (table(verdicts), table(k for k, v in verdicts.items() if v == "block")))
+        levels, which = build_cascade(listed, universe.where(own(F.col("key")))), build_cascade(blocked, listed)
+        keys = F.array_distinct(_keys(F.col("host"), F.col("path"), shapes))
+        fit = F.filter(keys, lambda k: own(k) & in_cascade(k, levels))
+        verdict = lambda k: F.when(in_cascade(k, which), "block").otherwise("allow")  # noqa: E731, B023
+        new = lambda k: F.struct(k.alias("key"), verdict(k).alias("verdict"))  # noqa: E731, B023
+        longest = F.aggregate(fit, F.lit(None).cast("string"), lambda a, k: F.when(a.isNull() | (F.length(k) > F.length(a)), k).otherwise(a))
+        parts = parts.withColumn("_key", longest)
+        labels = lambda k: F.size(F.split(F.substring_index(k, "/", 1), "[.]"))
+        old, k = F.col("_best.key"), F.col("_key")
+        better = old.isNull() | (F.length(k) > F.length(old)) | ((F.length(k) == F.length(old)) & (labels(k) > labels(old)))
+        parts = parts.withColumn("_best", F.when(k.isNotNull() & better, new(k)).otherwise(F.col("_best"))).drop("_key")
+        if shares > 1:
+            parts = materialise(parts, "judged")
+    rule, verdict = F.col("_best.key"), F.coalesce(F.col("_best.verdict"), F.lit(default))
+    return parts.withColumns({"rule": rule, "verdict": verdict}).drop("_best")
 
 
 #: The contract's rules.
@@ -187,13 +183,13 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP1_SQL = """
 WITH u AS (
-  SELECT page_id, CASE WHEN url IS NULL OR strpos(url, '://') = 0 THEN ''
+  SELECT row_number() OVER () AS nth, page_id, CASE WHEN url IS NULL OR strpos(url, '://') = 0 THEN ''
     ELSE regexp_extract(substr(url, strpos(url, '://') + 3), '^[^?#]*') END AS rest FROM pages),
-p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+p AS (SELECT nth, page_id, translate(regexp_extract(rest, '^[^/]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   substr(rest, length(regexp_extract(rest, '^[^/]*')) + 1) AS path FROM u),
 r(verdict, rhost, rpath) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'),
   ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
-f AS (SELECT page_id, max_by(rhost || rpath, length(rhost || rpath)) AS rule, max_by(verdict, length(rhost || rpath)) AS verdict
-  FROM p JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id)
-SELECT p.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN f USING (page_id)
+f AS (SELECT nth, max_by(rhost || rpath, length(rhost || rpath)) AS rule, max_by(verdict, length(rhost || rpath)) AS verdict
+  FROM p JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY nth)
+SELECT p.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN f USING (nth)
 """

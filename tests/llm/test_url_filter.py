@@ -15,9 +15,8 @@ def plain(url, rules, default="allow"):
         host, slash, path = rest.partition("/")
         host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
         path = slash + path
-    fit = [(len(h + p), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
-    best = max(fit, default=(0, None, default))
-    return host, path, best[1], best[2]
+    fit = [(len(h + p), h.count("."), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return host, path, *max(fit, default=(0, 0, None, default))[2:]
 
 
 def urls():
@@ -29,11 +28,11 @@ def urls():
     return out + out[:5]
 
 
-@pytest.mark.parametrize("most", [U.MOST_BITS, 0])
+@pytest.mark.parametrize("most", [U.MOST_BITS, 64])
 def test_verdicts_equal_brute_force(spark, monkeypatch, most):
     monkeypatch.setattr(U, "MOST_BITS", most)
     pages = spark.createDataFrame([(k, u, "x", "y") for k, u in enumerate(urls())], "page_id long, url string, host string, key string")
-    rules = U.OP1_RULES + [("allow", "a.com", ""), ("block", "x", "/")]
+    rules = U.OP1_RULES + [("allow", "a.com", ""), ("block", "x", "/"), ("allow", "a.com", "/e"), ("block", "com", "/en/"), ("block", "c", "om/en")]
     got = U.judge_urls(pages, rules).collect()
     assert sorted((r.page_id, r.host, r.path, r.rule, r.verdict) for r in got) == sorted((k, *plain(u, rules)) for k, u in enumerate(urls()))
     assert U.judge_urls(pages.limit(0), rules).count() == 0
@@ -47,3 +46,9 @@ def test_cascade_tells_all_keys_apart(spark):
     assert len(levels) > 2
     found = universe.where(U.in_cascade(universe.key, levels))
     assert sorted(r.key for r in found.collect()) == sorted(f"k{i * 37}" for i in range(300))
+
+
+def test_repeated_pages_keep_their_own_verdicts(spark):
+    rows = [(1, "http://com/en/1"), (1, "http://a.org/de/1"), (1, "http://com/en/1"), (None, None)]
+    got = U.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), U.OP1_RULES).collect()
+    assert sorted((r.page_id or 0, r.verdict) for r in got) == [(0, "allow"), (1, "allow"), (1, "block"), (1, "block")]
