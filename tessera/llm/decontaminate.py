@@ -202,7 +202,8 @@ def latent_space(words: DataFrame, seed: int = 11) -> np.ndarray:
     the ``RANK`` of largest singular value, span the space.
     """
     counted = words.select("words").mapInArrow(_block_counts, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
-    found = {r["feature"]: r["n"] for r in counted.collect()}  # FEATURES + 1 rows at most
+    counted = counted.toArrow()  # FEATURES + 1 rows at most
+    found = dict(zip(counted["feature"].to_pylist(), counted["n"].to_pylist()))
     blocks = found.pop(-1, 0)
     weight = np.zeros(FEATURES)
     for f, n in found.items():
@@ -213,8 +214,10 @@ def latent_space(words: DataFrame, seed: int = 11) -> np.ndarray:
     rows = words.select("words").mapInArrow(_projected(table, weight), "feature long, row array<float>")
     summed = rows.groupBy("feature").agg(*[F.sum(F.col("row")[i]).alias(f"c{i}") for i in range(RANK + EXTRA)])
     y = np.zeros((FEATURES, RANK + EXTRA))
-    for r in summed.collect():  # FEATURES rows at most
-        y[r["feature"]] = r[1:]
+    summed = summed.toArrow()  # FEATURES rows at most
+    for i in range(RANK + EXTRA):
+        y[summed["feature"].to_numpy(), i] = summed[f"c{i}"].to_numpy()
+    del summed
     vectors, values = singular_vectors(y * weight[:, None], directions)
     keep = vectors[:, :RANK] * (values[:RANK] > 0)
     return (keep * weight[:, None]).astype(np.float32)

@@ -223,12 +223,12 @@ def least_score(judged: DataFrame) -> float:
     return least / 100
 
 
-def keep_known_languages(docs: DataFrame, least: float | None = None) -> DataFrame:
+def keep_known_languages(docs: DataFrame, least: float | None = 0.0) -> DataFrame:
     """``docs`` without the documents that identification rejects: no language, or too close a call.
 
     Profiles are learnt from all rows that have a language. A call is too close if its score is below
-    ``least``; by default that is the score under which labelled documents are more often wrong than
-    right (0 where none is). Null texts and texts without a letter go; without any label, no text with a
+    ``least``: by default none is, so texts of two languages stay; None takes :func:`least_score` of the
+    labelled documents. Null texts and texts without a letter go; without any label, no text with a
     letter does. Repeated rows share their fate; all columns are kept; an empty table stays empty.
     """
     profiles = learn_profiles(docs)
@@ -237,8 +237,8 @@ def keep_known_languages(docs: DataFrame, least: float | None = None) -> DataFra
     rows = docs.select([F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
     text, lang = docs.columns.index("text"), f"c{docs.columns.index('lang')}"
     judged = rows.mapInArrow(_predictions(profiles, text, len(docs.columns)), f"{_fields(rows)}lang_pred string, score double")
-    judged = materialise(judged, "languages")
     if least is None:
+        judged = materialise(judged, "languages")
         least = least_score(judged.select(F.col(lang).alias("lang"), "lang_pred", "score"))
     kept = judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
     return kept.select([F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

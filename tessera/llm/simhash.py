@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.tokens import small
 from tessera.plans.components import connected_components
-from tessera.plans.tables import materialise, read_table
+from tessera.plans.tables import drop_files, materialise, read_table
 
 BITS, SEED = 64, 42
 #: Buckets of up to so many fingerprints are compared pair by pair; larger ones through midpoints.
@@ -86,7 +86,7 @@ def links(prints: DataFrame, radius: int = 2) -> DataFrame:
     pairs within the radius are linked. A larger bucket is linked exactly too, without its pairs:
     for a radius of 2, two fingerprints are within it just if some string is at most one flipped bit
     from both, so all that reach one such midpoint are linked to the smallest of them. For other
-    radii its fingerprints are dealt anew under finer keys (two masks at once), and compared there.
+    radii its fingerprints are dealt into blocks, and each block is compared with each.
     """
     masks = [_signed(m) for m in covering_masks(radius)]
     table = F.posexplode(F.array(*[F.lit(m) for m in masks])).alias("t", "mask")
@@ -104,19 +104,19 @@ def links(prints: DataFrame, radius: int = 2) -> DataFrame:
         least = middle.groupBy("middle").agg(F.min("fp").alias("v"), F.max("fp").alias("most")).where("v < most")
         stars = middle.join(least, "middle").where("fp != v").select(F.col("fp").alias("u"), "v")
     else:
-        stars = _finer(large, radius, masks)
+        stars = _block_pairs(large, radius)
     return pairs.union(stars).distinct()
 
 
-def _finer(large: DataFrame, radius: int, masks: list[int]) -> DataFrame:
-    """Links of oversized buckets: blocks of 256 fingerprints, each block against each of its bucket."""
-    order = Window.partitionBy("t", "key").orderBy("fp")
-    blocks = large.withColumn("block", F.floor((F.row_number().over(order) - 1) / 256))
-    last = F.floor((F.col("n") - 1) / 256)
-    left = blocks.select("t", "key", F.col("fp").alias("u"), F.col("block").alias("i"), F.explode(F.sequence("block", last)).alias("j"))
+def _block_pairs(large: DataFrame, radius: int, size: int = 256) -> DataFrame:
+    """Links of large buckets: their fingerprints in hashed blocks, each block against each of its bucket."""
+    count = F.ceil(F.col("n") / size)
+    blocks = large.withColumn("block", F.pmod(F.xxhash64("fp"), count)).withColumn("last", count - 1)
+    left = blocks.select("t", "key", F.col("fp").alias("u"), F.col("block").alias("i"), F.explode(F.sequence("block", "last")).alias("j"))
     right = blocks.select("t", "key", F.col("fp").alias("v"), F.explode(F.sequence(F.lit(0).cast("long"), "block")).alias("i"), F.col("block").alias("j"))
-    near = (F.col("u") < F.col("v")) & (_distance(F.col("u"), F.col("v")) <= radius)
-    return left.join(right, ["t", "key", "i", "j"]).where(near).select("u", "v")
+    near = (F.col("u") != F.col("v")) & (_distance(F.col("u"), F.col("v")) <= radius)
+    pairs = left.join(right, ["t", "key", "i", "j"]).where(near)
+    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
@@ -215,15 +215,17 @@ def shared_buckets(keyed: DataFrame, keys: list[str]) -> DataFrame:
 
 
 #: In a bucket each id is first compared with so many next ones and the smallest.
-WIDTH = 12
+WIDTH = 2
+#: Buckets of up to so many ids are then compared pair by pair, larger ones block by block.
+CROWD = 13
 
 
 def bucket_pairs(full: DataFrame, keys: list[str], width: int = WIDTH) -> DataFrame:
     """Pairs ``(u, v)`` of ids that share a bucket: each with the ``width`` next ones and the first.
 
-    Buckets of up to ``width + 1`` ids give all their pairs. In a larger one these links tie a crowd of
-    copies of one text together, in as many rows as it has ids, times a constant; what they leave
-    apart is compared by :func:`crowd_links`. Ids are dealt in shares of a bucket, each ranked on its
+    Buckets of up to ``width + 1`` ids give all their pairs. In a larger one these links tie copies of one
+    text together, in as many rows as it has ids, times a constant; what they leave apart is compared
+    by :func:`split_pairs` and :func:`crowd_links`. Ids are dealt in shares of a bucket, each ranked on its
     own, so no task holds a whole crowd.
     """
     stars = full.select(F.col("id").alias("u"), "v")
@@ -235,6 +237,26 @@ def bucket_pairs(full: DataFrame, keys: list[str], width: int = WIDTH) -> DataFr
     return both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
+def split_buckets(full: DataFrame, groups: DataFrame, keys: list[str], most: int | None = None) -> DataFrame:
+    """The rows of buckets of over ``WIDTH + 1`` ids that lie in several components, with ``component``
+    and the bucket's commonest one, ``main``; of up to ``CROWD`` ids, or else of more."""
+    size = F.col("n") > WIDTH + 1
+    size = size & ((F.col("n") <= most) if most else (F.col("n") > CROWD))
+    rows = full.where(size).select(*keys, "id").join(groups.select(F.col("node").alias("id"), "component"), "id", "left")
+    rows = rows.withColumn("component", F.coalesce("component", "id"))
+    kinds = rows.groupBy(*keys, "component").agg(F.count("*").alias("n"))
+    split = kinds.groupBy(*keys).agg(F.count("*").alias("kinds"), F.max_by("component", F.struct("n", "component")).alias("main")).where("kinds > 1")
+    return rows.join(split.select(*keys, "main"), keys)
+
+
+def split_pairs(full: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """All pairs ``(u, v, cu, cv)`` of buckets of up to ``CROWD`` ids whose components ``cu, cv`` differ."""
+    rows = materialise(split_buckets(full, groups, keys, CROWD).drop("main"), "split")
+    one = rows.select(*keys, F.col("id").alias("u"), F.col("component").alias("cu"))
+    two = rows.select(*keys, F.col("id").alias("v"), F.col("component").alias("cv"))
+    return one.join(two, keys).where("u > v and cu != cv").select("u", "v", "cu", "cv").distinct()
+
+
 #: Ids in a block of a crowd, and shingle hashes in it, at most (both but for chance).
 BLOCK, BLOCK_HASHES = 512, 1 << 18
 
@@ -286,23 +308,19 @@ def _joined_by(threshold: float) -> Callable:
     return run
 
 
-def crowd_links(full: DataFrame, sets: DataFrame, groups: DataFrame, threshold: float, width: int = WIDTH) -> DataFrame | None:
-    """Edges ``(u, v)`` between components of ``groups`` that a similar pair of one bucket joins.
+def crowd_links(full: DataFrame, sets: DataFrame, groups: DataFrame, threshold: float) -> DataFrame | None:
+    """Edges ``(u, v)`` between components of ``groups`` that a similar pair of one crowd joins.
 
-    All pairs of a bucket of over ``width + 1`` ids are compared, but those already in one component.
+    All pairs of a bucket of over ``CROWD`` ids are compared, but those already in one component.
     A bucket's ids are dealt into blocks by the size of their sets, the ids of its commonest component
     apart; block meets block under a key of its own, so a crowd spreads over tasks. Blocks whose sizes
     can't be similar don't meet, nor two blocks of the commonest component. None if no bucket is split.
     """
     keys = ["t", "key"]
-    known = groups.select(F.col("node").alias("id"), "component")
-    large = full.where(F.col("n") > width + 1).select(*keys, "id").join(known, "id", "left")
-    large = large.withColumn("component", F.coalesce("component", "id"))
-    kinds = large.groupBy(*keys, "component").agg(F.count("*").alias("n"))
-    split = kinds.groupBy(*keys).agg(F.count("*").alias("kinds"), F.max_by("component", "n").alias("main")).where("kinds > 1")
+    large = split_buckets(full, groups, keys)
     lengths = sets.select("id", (F.length("hashes") / 4).alias("size"))
     base = 1 / (threshold - 0.01)  # similar sets are at most one class apart, rounding included
-    rows = large.join(split, keys).join(lengths, "id")
+    rows = large.join(lengths, "id")
     rows = rows.withColumn("class", F.floor(F.log(F.greatest("size", F.lit(1.0))) / float(np.log(base))))
     rows = rows.withColumn("class", F.col("class") * 2 + F.when(F.col("component") == F.col("main"), 1).otherwise(0))
     rows = materialise(rows.select(*keys, "id", "component", "class"), "crowds")
@@ -340,8 +358,8 @@ def may_be_in(ids: DataFrame, name: str) -> Callable[[Column], Column]:
     at = ids.select(slot(F.col(name)).alias("at"))
     held = at.select(F.floor(F.col("at") / 64).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
     words = np.zeros(slots // 64, np.int64)
-    for r in held.collect():  # MOST_SLOTS / 64 rows at most
-        words[r["word"]] = r["bits"]
+    held = held.toArrow()  # MOST_SLOTS / 64 rows at most
+    words[held["word"].to_numpy()] = held["bits"].to_numpy()
     full = F.lit(bytearray(np.unpackbits(words.view(np.uint8), bitorder="little").tobytes()))
     return lambda x: F.substring(full, (slot(x) + 1).cast("int"), 1) == F.lit(bytearray(b"\x01"))
 
@@ -352,9 +370,10 @@ def near_copy_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, r
     Candidates are pairs within ``radius`` bits by covering hashing, and pairs whose smallest shingle
     hashes agree in a band, as texts that are 0.8 alike commonly differ in 3 to 12 bits, which no
     affordable radius covers. Shingles are compared by 32 bits of their hashes. Either kind counts only if the texts' sets of ``words``-word shingles
-    have a Jaccard similarity of at least ``similarity``. A large bucket is first tied together by a
-    few links a text; then all its pairs that are still in different components are compared. Texts
-    with equal shingle sets are one class and compared once. Texts without words are copies of each other.
+    have a Jaccard similarity of at least ``similarity``. A bucket is first tied together by a few links a
+    text; then all its pairs that are still in different components are compared, however many. Texts
+    with equal shingle sets are one class and compared once; null texts count as empty, a text of any
+    length is read whole, rows that repeat a doc_id are one document. Texts without words are copies of each other.
     """
     rows = docs.select("doc_id", "text").mapInArrow(_sketches(words), "doc_id long, " + SKETCH)
     rows = materialise(rows, "sketches")
@@ -364,21 +383,28 @@ def near_copy_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, r
     near = classes.select("id", "fp", masks).select("id", F.col("t").cast("int"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
     bands = classes.select("id", F.posexplode("bands").alias("t", "key")).select("id", (F.col("t") + 1000).alias("t"), "key")
     full = shared_buckets(near.union(bands), ["t", "key"])
-    pairs = materialise(bucket_pairs(full, ["t", "key"]), "pairs")
+    keys = ["t", "key"]
+    pairs = materialise(bucket_pairs(full, keys), "pairs")
     needed = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v"))).distinct()
     needed = materialise(needed, "needed")
     near_rows = rows.where(may_be_in(needed, "id")(F.col("id"))).select("id", "hashes")
     sets = near_rows.join(needed, "id", "left_semi").groupBy("id").agg(F.min("hashes").alias("hashes"))
     sets = materialise(sets, "sets")
-    x = pairs.join(sets.select(F.col("id").alias("u"), F.col("hashes").alias("x")), "u")
-    both = x.join(sets.select(F.col("id").alias("v"), F.col("hashes").alias("y")), "v")
-    edges = both.select("u", "v", "x", "y").mapInArrow(_similar(similarity), "u long, v long")
-    groups = connected_components(edges)
+
+    def similar(pairs: DataFrame, u: str, v: str) -> DataFrame:
+        x = pairs.join(sets.select(F.col("id").alias("u"), F.col("hashes").alias("x")), "u")
+        both = x.join(sets.select(F.col("id").alias("v"), F.col("hashes").alias("y")), "v")
+        return both.select(F.col(u).alias("u"), F.col(v).alias("v"), "x", "y").mapInArrow(_similar(similarity), "u long, v long")
+
+    groups = connected_components(similar(pairs, "u", "v"))
     found = classes.join(groups, classes.id == groups.node, "left").select("id", "first", F.coalesce("component", "id").alias("component"))
-    more = crowd_links(full, sets, groups, similarity)
-    if more is not None:
-        top = connected_components(more).select(F.col("node").alias("component"), F.col("component").alias("top"))
-        found = found.join(top, "component", "left").select("id", "first", F.coalesce("top", "component").alias("component"))
+    more, crowds = similar(split_pairs(full, groups, keys), "cu", "cv"), crowd_links(full, sets, groups, similarity)
+    top = connected_components(more if crowds is None else more.union(crowds))
+    top = top.select(F.col("node").alias("component"), F.col("component").alias("top"))
+    found = found.join(top, "component", "left").select("id", "first", F.coalesce("top", "component").alias("component"))
+    found = materialise(found, "found")
+    for table in (full, pairs, needed, sets):
+        drop_files(table)
     least = found.groupBy("component").agg(F.min("first").alias("component_id"))
     ids = found.join(least, "component").select("id", "component_id")
     return rows.select("doc_id", "id").join(ids, "id").select("doc_id", "component_id")
@@ -387,7 +413,9 @@ def near_copy_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, r
 def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """Keep the document with the smallest doc_id of each group of near copies.
 
-    Rows that repeat a doc_id that stays are reduced to one; rows with a null doc_id stay.
+    Of rows that repeat a doc_id that stays the smallest, by all columns in turn, stays; rows with a null
+    doc_id stay. A null or empty text is a copy of any other text without words. All columns are kept; an
+    empty table stays empty.
     """
     groups = near_copy_groups(docs.where("doc_id is not null"), words, similarity)
     info = groups.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("component_id"))
@@ -398,8 +426,9 @@ def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -
     kept = info.where("doc_id = component_id")
     out = out.unionByName(rest.join(kept.where("n = 1"), "doc_id", "left_semi").select(docs.columns))
     if kept.where("n > 1").limit(1).count():
-        many = rest.join(kept.where("n > 1"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        out = out.unionByName(many.select(docs.columns))
+        many = rest.join(kept.where("n > 1"), "doc_id", "left_semi")
+        row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        out = out.union(many.groupBy("doc_id").agg(F.min(row).alias("_row")).select("_row.*"))
     return out
 
 

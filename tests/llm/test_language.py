@@ -102,8 +102,9 @@ def test_calls_too_close_are_dropped(spark):
     rows = [(k, " ".join(word("abcdef") for _ in range(4)), rnd.choice("xyzuv")) for k in range(400)]
     rows += [(1000 + k, " ".join(word("klmnop") for _ in range(40)), "w") for k in range(100)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    kept = [r.doc_id for r in keep_known_languages(docs).collect()]
+    kept = [r.doc_id for r in keep_known_languages(docs, least=None).collect()]
     assert sum(k >= 1000 for k in kept) == 100 and sum(k < 1000 for k in kept) < 300
+    assert keep_known_languages(docs).count() == 500
     assert keep_known_languages(docs.withColumn("lang", docs.lang.substr(9, 1)).replace("", None, "lang")).count() == 500
     assert keep_known_languages(docs.limit(0)).count() == 0
 
