@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.plans.ordered import running_sums
+
 c = F.col
 
 
@@ -37,27 +39,28 @@ def classification_report(df: DataFrame, bound: float = 0.5, p: str = "probabili
 def roc_curve(df: DataFrame, p: str = "probability", y: str = "label") -> DataFrame:
     """Rates of true and false positives at each distinct score, from the highest down.
 
-    Rows are first counted by score, so the ordered window has one row for each distinct score.
+    Rows are counted by score, and the counts run up over ranges of scores: no task holds all of them.
     """
+    return _curve(df, p, y).select("threshold", (c("tp") / c("_p")).alias("tpr"), (c("fp") / c("_n")).alias("fpr"))
+
+
+def _curve(df: DataFrame, p: str, y: str) -> DataFrame:
     steps = df.groupBy(c(p).alias("threshold")).agg(F.sum(c(y)).alias("pos"), F.sum(1 - c(y)).alias("neg"))
-    down = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    total = steps.agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    added = steps.withColumns({"tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down)}).crossJoin(F.broadcast(total))
-    return added.select("threshold", (c("tp") / c("_p")).alias("tpr"), (c("fp") / c("_n")).alias("fpr"))
+    added = running_sums(steps, "threshold", {"pos": "tp", "neg": "fp"}, descending=True)
+    return added.crossJoin(F.broadcast(added.agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))))  # one row
 
 
 def roc_auc(df: DataFrame, p: str = "probability", y: str = "label") -> DataFrame:
-    down = Window.orderBy(F.desc("threshold"))
-    rows = roc_curve(df, p, y)
-    area = (c("fpr") - F.coalesce(F.lag("fpr").over(down), F.lit(0.0))) * (c("tpr") + F.coalesce(F.lag("tpr").over(down), F.lit(0.0))) / 2
-    return rows.withColumn("area", area).agg(F.sum("area").alias("auc"))
+    """The area under the curve, by trapezoids; a step's start is its end less its own counts."""
+    area = c("neg") / c("_n") * (2 * c("tp") - c("pos")) / c("_p") / 2
+    return _curve(df, p, y).agg(F.sum(area).alias("auc"))
 
 
 def rank_auc(df: DataFrame, p: str = "probability", y: str = "label") -> DataFrame:
     """Mann-Whitney area with average ranks for ties."""
     steps = df.groupBy(c(p).alias("s")).agg(F.sum(y).alias("pos"), F.count("*").alias("n"))
-    below = F.sum("n").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, 0)) - c("n")
-    ranked = steps.withColumn("rank", below + (c("n") + 1) / 2).agg(F.sum(c("pos") * c("rank")).alias("r"), F.sum("pos").alias("p"), F.sum("n").alias("n"))
+    steps = running_sums(steps, "s", {"n": "to"})
+    ranked = steps.withColumn("rank", c("to") - c("n") + (c("n") + 1) / 2).agg(F.sum(c("pos") * c("rank")).alias("r"), F.sum("pos").alias("p"), F.sum("n").alias("n"))
     return ranked.select(((c("r") - c("p") * (c("p") + 1) / 2) / (c("p") * (c("n") - c("p")))).alias("auc"))
 
 

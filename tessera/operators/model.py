@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassificationModel, RandomForestClassifier
@@ -17,6 +18,8 @@ from tessera.functions.physics import entropy_bits, uncertainty
 from tessera.operators.evaluate import classification_report
 from tessera.operators.prepare import hashed, stratified_folds
 from tessera.operators.statistics import minmax_normalise
+from tessera.plans.ordered import quantiles
+from tessera.plans.tables import materialise
 
 c = F.col
 
@@ -94,7 +97,7 @@ def gini_importance(df: DataFrame, features: list[str], folds: int = 5, repeats:
     """``(repeat, fold, tree, feature, importance)`` of forests fitted without each fold."""
     rows = []
     for r in range(repeats):
-        parts = stratified_folds(df, folds, 1, 42 + r)
+        parts = materialise(stratified_folds(df, folds, 1, 42 + r), "folds")
         for k in range(folds):
             for i, tree in enumerate(fit_forest(parts.where(c("fold") != k), features, trees, 5).trees):
                 rows += [(r, k, i, f, float(x)) for f, x in zip(features, tree.featureImportances.toArray())]
@@ -115,18 +118,51 @@ def permutation_importance(df: DataFrame, model, features: list[str], repeats: i
     return df.sparkSession.createDataFrame(out, "feature string, repeat int, importance double")
 
 
+def permutation_importance_cv(df: DataFrame, features: list[str], folds: int = 5, repeats: int = 10, trees: int = 50, depth: int = 8, key: str = "point_id") -> DataFrame:
+    """``(feature, repeat, fold, importance)``: the loss of F1 on each fold, kept back from the fit."""
+    out = None
+    for r in range(repeats):
+        parts = materialise(stratified_folds(df, folds, 1, 42 + r, key), "folds")
+        for k in range(folds):
+            model = fit_forest(parts.where(c("fold") != k), features, trees, depth, 42 + r)
+            own = permutation_importance(parts.where(c("fold") == k).drop("repeat", "fold"), model, features, 1, key)
+            own = own.select("feature", F.lit(r).alias("repeat"), F.lit(k).alias("fold"), "importance")
+            out = own if out is None else out.unionByName(own)
+    return out
+
+
 def partial_dependence(df: DataFrame, model, features: list[str], feature: str, n: int = 20) -> DataFrame:
     """Weighted mean score with the feature set to each of n values from p1 to p99."""
-    q = df.agg(F.percentile(c(feature), F.array(F.lit(0.01), F.lit(0.99))).alias("q"))
-    grid = q.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: c("q")[0] + (c("q")[1] - c("q")[0]) * i / (n - 1))).alias("_x"))
+    low, high = quantiles(df, feature, [0.01, 0.99])
+    grid = df.sparkSession.range(n).select((F.lit(low) + (high - low) * c("id") / (n - 1)).alias("_x"))
     each = df.crossJoin(F.broadcast(grid)).withColumn(feature, c("_x"))  # n copies of a row
     return probability(each, model, features).groupBy(c("_x").alias("value")).agg((F.sum(c("probability") * c("weight")) / F.sum("weight")).alias("dependence"))
 
 
+def shapley(df: DataFrame, background: DataFrame, model, features: list[str], key: str = "point_id") -> DataFrame:
+    """``(key, feature, attribution)``: exact Shapley values of the score, against the background's medians.
+
+    A row is scored with each subset of its features known and the others at the background's median:
+    ``2 ** len(features)`` copies, so for up to a dozen features; :func:`shapley_sample` is for more.
+    """
+    n = len(features)
+    base = {f: quantiles(background, f, [0.5])[0] for f in features}
+    known = lambda k: F.shiftright(c("_s"), k).bitwiseAND(F.lit(1)) == 1
+    subsets = df.sparkSession.range(1 << n).select(c("id").cast("int").alias("_s"))
+    each = df.select(key, *features).crossJoin(F.broadcast(subsets))
+    each = each.withColumns({f: F.when(known(k), c(f)).otherwise(F.lit(base[f])) for k, f in enumerate(features)} | {"weight": F.lit(1.0)})
+    scored = probability(each, model, features)
+    size = F.bit_count("_s")
+    share = F.array(*[F.lit(math.factorial(s) * math.factorial(n - s - 1) / math.factorial(n)) for s in range(n)])
+    part = lambda k: F.when(known(k), F.get(share, size - 1)).otherwise(-F.get(share, size)) * c("probability")
+    sums = scored.groupBy(key).agg(*[F.sum(part(k)).alias(f) for k, f in enumerate(features)])
+    return sums.select(key, F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), c(f).alias("attribution")) for f in features])))
+
+
 def shapley_sample(df: DataFrame, background: DataFrame, model, features: list[str], permutations: int = 4, seed: int = 42, key: str = "point_id") -> DataFrame:
     """Monte-Carlo attributions: features join the row's own values in random orders, the rest keep the
     background's medians; each gets its mean change of the score."""
-    base = background.agg(*[F.median(f).alias(f) for f in features]).first()
+    base = {f: quantiles(background, f, [0.5])[0] for f in features}
     rnd, out = random.Random(seed), None
     for _ in range(permutations):
         order = rnd.sample(features, len(features))

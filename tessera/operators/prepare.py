@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.plans.ordered import quantiles
+
 c = F.col
 
 
@@ -80,8 +82,8 @@ def valid_only(df: DataFrame) -> DataFrame:
 
 
 def iqr_upper_fence(df: DataFrame, name: str) -> DataFrame:
-    q = F.percentile(c(name), F.array(F.lit(0.25), F.lit(0.75)))
-    return df.agg(q.alias("q")).select((c("q")[1] + 1.5 * (c("q")[1] - c("q")[0])).alias("fence"))
+    q = quantiles(df, name, [0.25, 0.75])
+    return df.sparkSession.range(1).select(F.lit(q[1] + 1.5 * (q[1] - q[0]) if q else None).cast("double").alias("fence"))
 
 
 def exclude_zero(df: DataFrame, name: str) -> DataFrame:
@@ -101,8 +103,8 @@ def impute_median(df: DataFrame, columns: list[str], by: str = "age") -> DataFra
 
 def robust_scale(train: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
     """Centre (median) and scale (interquartile range, 1 where it is 0) of each column."""
-    q = train.agg(*[F.percentile(c(n), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(n) for n in columns]).first()
-    return {n: (q[n][1], (q[n][2] - q[n][0]) or 1.0) for n in columns if q[n]}
+    found = {n: quantiles(train, n, [0.25, 0.5, 0.75]) for n in columns}
+    return {n: (q[1], (q[2] - q[0]) or 1.0) for n, q in found.items() if q}
 
 
 def apply_scale(df: DataFrame, fit: dict[str, tuple[float, float]]) -> DataFrame:
@@ -141,7 +143,7 @@ def downsample(df: DataFrame, n: int, age_bins: int = 50, xy_bins: int = 10, see
     """About n rows, spread over age quantiles and over equal-width cells of each; all rows if fewer."""
     if df.count() < n:
         return df
-    edges = sorted(set(df.agg(F.percentile("age", F.array(*[F.lit(i / age_bins) for i in range(age_bins + 1)])).alias("q")).first()["q"]))
+    edges = sorted(set(quantiles(df, "age", [i / age_bins for i in range(age_bins + 1)]) or [0.0]))
     bin_of = F.greatest(F.aggregate(F.array(*map(F.lit, edges)), F.lit(0), lambda s, e: s + (e < c("age")).cast("int")), F.lit(1))
     rows = df.withColumn("_a", bin_of)
     box = rows.groupBy("_a").agg(*[f(x).alias(f"_{f.__name__}_{x}") for f in (F.min, F.max) for x in ("lon", "lat")])
@@ -220,7 +222,8 @@ def grid_nodes(spark, ages: list[int], res: float) -> DataFrame:
 def random_points(spark, ages: list[int], n: int, inside, seed: int = 42, factor: int = 8) -> DataFrame:
     """Exactly n points of each age, uniform on the sphere, among those that ``inside(df)`` keeps.
 
-    Draws ``factor`` times as many as asked for and more while some age that has any falls short.
+    Draws ``factor`` times as many as asked for, and more while some age falls short; where 4096 times as
+    many don't do, what ``inside`` keeps is too small, and that is an error.
     """
     while True:
         ids = spark.range(len(ages) * n * factor).withColumn("age", F.element_at(F.array(*map(F.lit, ages)), (c("id") % len(ages) + 1).cast("int")))
@@ -229,6 +232,8 @@ def random_points(spark, ages: list[int], n: int, inside, seed: int = 42, factor
         kept = inside(drawn)
         ranked = kept.withColumn("_r", F.row_number().over(Window.partitionBy("age").orderBy("point_id"))).where(c("_r") <= n)
         sizes = [r["n"] for r in ranked.groupBy("age").agg(F.count("*").alias("n")).collect()]
-        if not sizes or min(sizes) == n or factor >= 4096:
+        if len(sizes) == len(ages) and min(sizes, default=n) == n:
             return ranked.drop("_r")
+        if factor >= 4096:
+            raise ValueError(f"fewer than {n} of {n * factor} points of some age are kept")
         factor *= 4

@@ -30,7 +30,8 @@ def bspline_basis(x: Column, low: float, high: float, knots: int = KNOTS, degree
     t = [low + step * (i - degree) for i in range(knots + 2 * degree)]
     x = clip(x, low, high)
     last = knots + degree - 2  # the span that closes at the highest knot
-    basis = [F.when((x >= t[i]) & ((x < t[i + 1]) | ((x <= t[i + 1]) if i == last else F.lit(False))), 1.0).when(x.isNotNull(), 0.0) for i in range(len(t) - 1)]
+    within = lambda i: F.lit(False) if i > last else (x >= t[i]) & ((x <= t[i + 1]) if i == last else (x < t[i + 1]))
+    basis = [F.when(within(i), 1.0).when(x.isNotNull(), 0.0) for i in range(len(t) - 1)]
     for d in range(1, degree + 1):
         basis = [(x - t[i]) / (step * d) * basis[i] + (t[i + d + 1] - x) / (step * d) * basis[i + 1] for i in range(len(basis) - 1)]
     return basis
@@ -79,7 +80,7 @@ def score_summary(spark, fit: Preservation) -> DataFrame:
 
 def held_out_auc(df: DataFrame, n: int = 25, fraction: float = 0.7, erosion: str = "erosion_m") -> tuple[float, float]:
     """Mean and population deviation of the area on rows kept back, over n refits."""
-    splits = random_holdouts(df, n, fraction)
+    splits = materialise(random_holdouts(df, n, fraction), "splits", ["split_id"])
     areas = []
     for i in range(n):
         own = splits.where(c("split_id") == i)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.sphere import EARTH_RADIUS_KM, clip
 from tessera.plans.components import connected_components
+from tessera.plans.ordered import quantiles, running_sums
 from tessera.plans.tables import materialise
 
 c = F.col
@@ -32,7 +33,7 @@ def flux_grid(trench: DataFrame, quantity: str, res: float, skip_null: bool = Tr
 
 def cumulative_flux(grid: DataFrame, ages: DataFrame, lag: int | None = None) -> DataFrame:
     """Per cell and age: the sum from the oldest age down to it, or over the ages up to ``lag`` before it."""
-    full = grid.select("i", "j").distinct().join(F.broadcast(ages.select("age").distinct()))
+    full = grid.select("i", "j").distinct().crossJoin(ages.select("age").distinct())
     full = full.join(grid, ["age", "i", "j"], "left").withColumn("flux", F.coalesce("flux", F.lit(0.0)))
     order = Window.partitionBy("i", "j").orderBy(-c("age"))
     frame = order.rangeBetween(Window.unboundedPreceding if not lag else -lag, 0)
@@ -48,7 +49,7 @@ def spread_by_age(df: DataFrame, name: str, kind: str = "std", scale: bool = Fal
     if kind == "std":
         return df.groupBy("age").agg(F.stddev_samp(name).alias("spread"))
     middle = df.groupBy("age").agg(F.median(name).alias("_m"))
-    away = df.join(F.broadcast(middle), "age").groupBy("age").agg(F.median(F.abs(c(name) - c("_m"))).alias("spread"))
+    away = df.join(middle, "age").groupBy("age").agg(F.median(F.abs(c(name) - c("_m"))).alias("spread"))
     return away.withColumn("spread", c("spread") * (1.4826 if scale else 1.0))
 
 
@@ -78,7 +79,7 @@ def box_stats(df: DataFrame, name: str, group: str, whiskers: tuple[float, float
     q = F.percentile(c(name), F.array(*map(F.lit, (whiskers[0], 0.25, 0.5, 0.75, whiskers[1]))))
     stats = df.groupBy(group).agg(q.alias("q"))
     out = stats.select(group, *[c("q")[i].alias(k) for i, k in enumerate(("low", "q1", "median", "q3", "high"))])
-    outlier = df.join(F.broadcast(out), group).where((c(name) < c("low")) | (c(name) > c("high"))).groupBy(group).agg(F.count("*").alias("n_outliers"))
+    outlier = df.join(out, group).where((c(name) < c("low")) | (c(name) > c("high"))).groupBy(group).agg(F.count("*").alias("n_outliers"))
     return out.join(outlier, group, "left").withColumn("n_outliers", F.coalesce("n_outliers", F.lit(0)))
 
 
@@ -86,8 +87,8 @@ def colour_limits(df: DataFrame, name: str, kind: str = "general") -> DataFrame:
     """Fixed for an obliquity, 0 to p99 for a quantity that is not negative, else p1 to p99."""
     if kind == "obliquity":
         return df.agg(F.lit(-90.0).alias("low"), F.lit(90.0).alias("high"))
-    q = df.agg(F.percentile(c(name), F.array(F.lit(0.01), F.lit(0.99))).alias("q"))
-    return q.select((F.lit(0.0) if kind == "positive" else c("q")[0]).alias("low"), c("q")[1].alias("high"))
+    low, high = quantiles(df, name, [0.01, 0.99]) or (None, None)
+    return df.sparkSession.range(1).select(F.lit(0.0 if kind == "positive" else low).cast("double").alias("low"), F.lit(high).cast("double").alias("high"))
 
 
 CLASSES = ["Very low", "Low", "Moderate", "High", "Very high"]
@@ -139,17 +140,20 @@ def pa_intersection(curve: DataFrame) -> DataFrame:
 
 
 def average_ranks(df: DataFrame, name: str, out: str) -> DataFrame:
-    """Average ranks, by counts of distinct values: one row a value goes through the ordered window."""
+    """Average ranks, by counts of distinct values that run up over ranges of them."""
     counts = df.where(c(name).isNotNull()).groupBy(name).agg(F.count("*").alias("_n"))
-    below = F.sum("_n").over(Window.orderBy(name).rowsBetween(Window.unboundedPreceding, 0)) - c("_n")
-    return df.join(counts.select(name, (below + (c("_n") + 1) / 2).alias(out)), name, "left")
+    counts = running_sums(counts, name, {"_n": "_to"})
+    return df.join(counts.select(name, (c("_to") - c("_n") + (c("_n") + 1) / 2).alias(out)), name, "left")
 
 
 def spearman_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """Long form ``(feature_a, feature_b, rho)``, rounded to 3, over rows complete in the columns."""
-    rows = df.dropna(subset=columns).select(*columns)
-    for x in columns:
-        rows = average_ranks(rows, x, f"_r_{x}")
+    rows = df.dropna(subset=columns).select(F.monotonically_increasing_id().alias("_row"), *[c(x).cast("double").alias(x) for x in columns])
+    rows = materialise(rows, "complete")
+    long = rows.select("_row", F.inline(F.array(*[F.struct(F.lit(i).alias("_x"), c(x).alias("_v")) for i, x in enumerate(columns)])))
+    counts = running_sums(long.groupBy("_x", "_v").agg(F.count("*").alias("_n")), "_v", {"_n": "_to"}, within="_x")
+    ranks = counts.select("_x", "_v", (c("_to") - c("_n") + (c("_n") + 1) / 2).alias("_r"))
+    rows = long.join(ranks, ["_x", "_v"]).groupBy("_row").agg(*[F.max(F.when(c("_x") == i, c("_r"))).alias(f"_r_{x}") for i, x in enumerate(columns)])
     pairs = [(a, b) for a in columns for b in columns]
     one = rows.agg(*[F.corr(f"_r_{a}", f"_r_{b}").alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
     listed = F.array(*[F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.round(f"p{i}", 3).alias("rho")) for i, (a, b) in enumerate(pairs)])

@@ -99,6 +99,22 @@ def m22(s):
     return V.score_summary(s.sparkSession, V.fit_preservation(R.exclude_zero(s, "erosion_m")))
 
 
+GIVEN = LINEAR.replace("log10(erosion_m + 50)", f"least(greatest(log10(e.erosion_m + 50), {LOW!r}), {HIGH - 1e-9!r})")
+
+
+@query("m22_score_summary_given", "fx_score", sql=f"""
+SELECT e.erosion_m, round(least(greatest(({GIVEN} + 0.5) / 1.3, 0.0), 1.0), 5) AS preservation_score, count(s.point_id) AS n
+FROM (VALUES {', '.join(f'(CAST({x!r} AS DOUBLE))' for x in V.SUMMARY)}) e(erosion_m) LEFT JOIN fx_score s ON s.erosion_m <= e.erosion_m GROUP BY e.erosion_m""")
+def m22_given(s):
+    """The summary of a given fit, with how many rows have at most that erosion."""
+    steps = V.score_summary(s.sparkSession, FIT)
+    first = F.array_min(F.filter(F.array(*map(F.lit, V.SUMMARY)), lambda x: x >= c("erosion_m")))
+    counts = s.groupBy(first.alias("first")).agg(F.count("*").alias("m")).where("first is not null")
+    both = steps.join(counts, c("first") <= c("erosion_m"), "left")  # eleven rows each
+    out = both.groupBy("erosion_m", "preservation_score").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("n"))
+    return out.select("erosion_m", F.round("preservation_score", 5).alias("preservation_score"), "n")
+
+
 @query("m19_fit_preservation", "fx_score")
 def m19_fit(s):
     fit = V.fit_preservation(R.exclude_zero(s, "erosion_m"))
@@ -163,8 +179,7 @@ def m13(p):
 
 @query("m14_permutation_importance", "fx_point")
 def m14(p):
-    rows, model = forest(p)
-    return M.permutation_importance(rows, model, FEATURES, repeats=1)
+    return M.permutation_importance_cv(training(p), FEATURES, folds=2, repeats=1, trees=5, depth=4)
 
 
 @query("m15_partial_dependence", "fx_point")
@@ -176,7 +191,7 @@ def m15(p):
 @query("m16_shapley", "fx_point")
 def m16(p):
     rows, model = forest(p)
-    return M.shapley_sample(rows, rows, model, FEATURES, permutations=1)
+    return M.shapley(rows, rows, model, FEATURES)
 
 
 @query("m17_score_points", "fx_point")

@@ -151,9 +151,9 @@ def b15(p, r):
     return reconstruct_steps(p, r).where("t = 2 and lon_t is not null").select("point_id", "weight")
 
 
-@query("m01_impute_median", "fx_point", sql="SELECT point_id, round(coalesce(f2, m, 0.0) + 1.23e-9, 6) AS f2 FROM fx_point JOIN (SELECT age, median(f2) AS m FROM fx_point GROUP BY age) USING (age)")
+@query("m01_impute_median", "fx_point", sql="SELECT point_id, round(coalesce(f2, m, 0.0), 6) AS f2 FROM fx_point JOIN (SELECT age, median(f2) AS m FROM fx_point GROUP BY age) USING (age)")
 def m01(p):
-    return R.impute_median(p, ["f2"]).select("point_id", F.round(c("f2") + 1.23e-9, 6).alias("f2"))  # off rounding boundaries
+    return R.impute_median(p, ["f2"]).select("point_id", F.round(c("f2"), 6).alias("f2"))
 
 
 @query("m03_robust_scale", "fx_point", sql="SELECT point_id, round((f1 - m) / s, 6) AS f1 FROM fx_point CROSS JOIN (SELECT median(f1) AS m, quantile_cont(f1, 0.75) - quantile_cont(f1, 0.25) AS s FROM fx_point WHERE label = 1)")

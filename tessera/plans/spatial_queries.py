@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import physics as P
-from tessera.functions.sphere import clip
 from tessera.operators import prepare as R
 from tessera.operators import spatial as S
 from tessera.operators import statistics as T
+from tessera.operators import subduction as U
 from tessera.plans.registry import query
+from tessera.plans.tables import materialise
 
 c = F.col
-#: Added before rounding where values are short decimals, so that none lies on a rounding boundary.
-OFF = 1.23e-6
 
 
 def hav(a: str, b: str) -> str:
@@ -98,10 +97,10 @@ WITH {GRID10}, t AS (SELECT a.age, x.i, y.j, (x.i + 0.5) * 36 / 24 - 0.5 AS u, l
 k AS (SELECT age, i, j, ((CAST(floor(u) AS INT) + di + 36) % 36) AS ci, least(CAST(floor(v) AS INT) + dj, 13) AS cj,
   (CASE WHEN di = 1 THEN u - floor(u) ELSE 1 - (u - floor(u)) END) * (CASE WHEN dj = 1 THEN v - floor(v) ELSE 1 - (v - floor(v)) END) AS w
   FROM t CROSS JOIN (VALUES (0), (1)) a(di) CROSS JOIN (VALUES (0), (1)) b(dj))
-SELECT k.age, CAST(k.i AS INT) AS i, CAST(k.j AS INT) AS j, round(CASE WHEN count(g.value) = count(*) THEN sum(g.value * w) END + {OFF}, 4) AS value
+SELECT k.age, CAST(k.i AS INT) AS i, CAST(k.j AS INT) AS j, round(CASE WHEN count(g.value) = count(*) THEN sum(g.value * w) END, 4) AS value
 FROM k LEFT JOIN g ON g.age = k.age AND g.i = ci AND g.j = cj WHERE w > 0 GROUP BY k.age, k.i, k.j""")
 def c06_resample_grid(g):
-    return S.resample_regular(grid10(g), (36, 14), (24, 10), ["age"]).select("age", "i", "j", F.round(c("value") + OFF, 4).alias("value"))
+    return S.resample_regular(grid10(g), (36, 14), (24, 10), ["age"]).select("age", "i", "j", F.round("value", 4).alias("value"))
 
 
 @query("c07_sample_grid", "fx_point", "fx_cell", sql=f"""
@@ -110,14 +109,14 @@ k AS (SELECT point_id, age, ((CAST(floor(u) AS INT) + di + 36) % 36) AS ci, leas
   (CASE WHEN di = 1 THEN u - floor(u) ELSE 1 - (u - floor(u)) END) * (CASE WHEN dj = 1 THEN v - floor(v) ELSE 1 - (v - floor(v)) END) AS w
   FROM t CROSS JOIN (VALUES (0), (1)) a(di) CROSS JOIN (VALUES (0), (1)) b(dj)),
 l AS (SELECT k.point_id, CASE WHEN count(g.value) = count(*) THEN sum(g.value * w) END AS value FROM k LEFT JOIN g ON g.age = k.age AND g.i = ci AND g.j = cj WHERE w > 0 GROUP BY k.point_id)
-SELECT t.point_id, round(g.value + {OFF}, 4) AS nearest, round(l.value + {OFF}, 4) AS linear FROM t JOIN l USING (point_id)
+SELECT t.point_id, round(g.value, 4) AS nearest, round(l.value, 4) AS linear FROM t JOIN l USING (point_id)
 LEFT JOIN g ON g.age = t.age AND g.i = (CAST(floor(u + 0.5) AS INT) + 36) % 36 AND g.j = CAST(floor(v + 0.5) AS INT)""")
 def c07_sample_grid(p, g):
     cells = grid10(g)
     p = p.select("point_id", "age", "lon", "lat")
     one = S.sample_regular(p, cells, -175.0, -65.0, 10.0, 36, 14, ["age"], "nearest", "nearest")
     both = S.sample_regular(one, cells, -175.0, -65.0, 10.0, 36, 14, ["age"], "linear", "linear")
-    return both.select("point_id", F.round(c("nearest") + OFF, 4).alias("nearest"), F.round(c("linear") + OFF, 4).alias("linear"))
+    return both.select("point_id", F.round("nearest", 4).alias("nearest"), F.round("linear", 4).alias("linear"))
 
 
 EDGES = "e AS (SELECT poly_id, plate_id, type_rank, area_rank, lon AS x1, lat AS y1, lead(lon) OVER w AS x2, lead(lat) OVER w AS y2 FROM fx_ring WINDOW w AS (PARTITION BY poly_id ORDER BY seq))"
@@ -166,14 +165,18 @@ def _dot(u, v):
 
 _A, _B, _N, _V = ([f"{v}_{k}" for k in "xyz"] for v in "abnv")
 _ENDS = [f"2 * asin(sqrt(least(1.0, pow(sin(radians(s.lat{k} - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(s.lat{k})) * pow(sin(radians(s.lon{k} - p.lon) / 2), 2))))" for k in "12"]
-ZONE = f"""s AS (SELECT *, {', '.join(f'{x} AS a_{k}, {y} AS b_{k}' for k, x, y in zip('xyz', [z.replace('q.lon', 'lon1').replace('q.lat', 'lat1') for z in xyz('q')], [z.replace('q.lon', 'lon2').replace('q.lat', 'lat2') for z in xyz('q')]))} FROM ({ELIGIBLE})),
+def zone_sql(points: str) -> str:
+    return f"""s AS (SELECT *, {', '.join(f'{x} AS a_{k}, {y} AS b_{k}' for k, x, y in zip('xyz', [z.replace('q.lon', 'lon1').replace('q.lat', 'lat1') for z in xyz('q')], [z.replace('q.lon', 'lon2').replace('q.lat', 'lat2') for z in xyz('q')]))} FROM ({ELIGIBLE})),
 s2 AS (SELECT *, {', '.join(f'{x} AS n_{k}' for k, x in zip('xyz', _cross(_A, _B)))} FROM s),
-v AS (SELECT *, {', '.join(f'{x} AS v_{k}' for k, x in zip('xyz', [z.replace('q.lon', 'lon').replace('q.lat', 'lat') for z in xyz('q')]))} FROM fx_point),
+v AS (SELECT *, {', '.join(f'{x} AS v_{k}' for k, x in zip('xyz', [z.replace('q.lon', 'lon').replace('q.lat', 'lat') for z in xyz('q')]))} FROM {points}),
 h AS (SELECT p.point_id, p.plate_id, s.segment_id, s.over_plate, s.polarity, {_dot(_V, _N)} / sqrt({_dot(_N, _N)}) AS height, least({_ENDS[0]}, {_ENDS[1]}) AS ends,
   {_dot(_cross(_N, _A), _V)} >= 0 AND {_dot(_cross(_B, _N), _V)} >= 0 AS between_ends FROM v p JOIN s2 s ON p.age = s.age),
 zone AS (SELECT *, degrees(CASE WHEN between_ends THEN asin(least(abs(height), 1.0)) ELSE ends END) AS deg FROM h WHERE (polarity = 'Left' AND height > 0) OR (polarity <> 'Left' AND height < 0))"""
 
 
+ZONE = zone_sql("fx_point")
+
+
 @query("c10_one_sided", "fx_point", "fx_segment", sql=f"WITH {ZONE} SELECT point_id, segment_id, round(deg, 5) AS deg FROM zone WHERE deg <= 6.0")
 def c10_one_sided(p, s):
     return S.one_sided(p, S.eligible_segments(s)).withColumn("deg", F.round("deg", 5))
@@ -221,7 +224,17 @@ def c15_always_on_continent(p, r, ring):
     return S.always_on_continent(S.reconstruct_steps(p, r), polygons(ring), [])
 
 
-@query("c16_continental_nodes", "fx_ring", "fx_rotation", "fx_segment")
+C16 = f"""n0 AS (SELECT CAST(n AS BIGINT) AS node_index, n % 73 * 5.0 - 180 AS lon, floor(n / 73) * 5.0 - 90 AS lat FROM range(2701) y(n)),
+{EDGES}, hn AS ({inside_sql('n0', 'node_index')}), pn AS (SELECT node_index, CAST(arg_max(poly_plate, (type_rank, area_rank)) AS INT) AS plate_id FROM hn GROUP BY node_index),
+en AS (SELECT n0.node_index * 1000 + a.age AS point_id, n0.node_index, CAST(a.age AS INT) AS age, pn.plate_id, n0.lon, n0.lat FROM n0 JOIN pn USING (node_index) CROSS JOIN (SELECT DISTINCT age FROM fx_rotation) a),
+tn AS (SELECT en.*, {turn_sql('en')} FROM en LEFT JOIN fx_rotation r USING (plate_id, age)),
+mv AS (SELECT point_id, node_index, age, plate_id, lon AS present_lon, lat AS present_lat, CASE WHEN age = 0 THEN lon ELSE rlon END AS lon, CASE WHEN age = 0 THEN lat ELSE rlat END AS lat FROM tn),
+mk AS (SELECT * FROM mv WHERE lon IS NOT NULL), {zone_sql('mk')}, hz AS (SELECT DISTINCT point_id FROM zone WHERE deg <= 6.0),
+mz AS (SELECT * FROM mk WHERE point_id IN (SELECT point_id FROM hz)), hm AS (SELECT DISTINCT point_id FROM ({inside_sql('mz', 'point_id')}))"""
+
+
+@query("c16_continental_nodes", "fx_ring", "fx_rotation", "fx_segment", sql=f"""WITH {C16}
+SELECT node_index, age, CAST(present_lon AS DOUBLE) AS present_lon, CAST(present_lat AS DOUBLE) AS present_lat, round(lon, 5) AS lon, round(lat, 5) AS lat FROM mz WHERE point_id IN (SELECT point_id FROM hm)""")
 def c16_continental_nodes(ring, r, s):
     """A 5-degree grid on present continents, assigned to plates, at each age in the zone and on a continent."""
     polys = polygons(ring)
@@ -230,16 +243,17 @@ def c16_continental_nodes(ring, r, s):
     ages = r.select("age").distinct()
     each = nodes.join(F.broadcast(ages)).withColumn("point_id", c("node_index") * 1000 + c("age"))
     moved = S.reconstruct(each, r).select("point_id", "node_index", "age", "plate_id", c("lon").alias("present_lon"), c("lat").alias("present_lat"), c("rec_lon").alias("lon"), c("rec_lat").alias("lat"))
+    moved = materialise(moved, "moved")
     zone = S.one_sided(moved.where("lon is not null"), S.eligible_segments(s)).select("point_id").distinct()
     kept = S.points_in_polygons(moved.join(zone, "point_id", "left_semi"), polys, [])
-    return kept.select("node_index", "age", "present_lon", "present_lat", F.round("lon", 5).alias("lon"), F.round("lat", 5).alias("lat"))
+    return kept.select("node_index", "age", c("present_lon").cast("double").alias("present_lon"), c("present_lat").cast("double").alias("present_lat"), F.round("lon", 5).alias("lon"), F.round("lat", 5).alias("lat"))
 
 
 LOOKUP = "least(greatest(CAST(floor({x} / 1000.0 + 0.5) AS INT), 0), 9)", "least(greatest(CAST(floor(({x} - 600) / 50.0 + 0.5) AS INT), 0), 19)"
 
 
 @query("c17_lookup_nearest", "fx_trench", "fx_lookup", sql=f"""
-SELECT trench_id, l.value FROM fx_trench t LEFT JOIN fx_lookup l ON l.p_idx = {LOOKUP[0].format(x='(t.slab_dip_deg * 130)')} AND l.t_idx = {LOOKUP[1].format(x='(t.seafloor_age_myr * 9)')}""")
+SELECT trench_id, l.value FROM fx_trench t LEFT JOIN fx_lookup l ON l.table_id = 0 AND l.p_idx = {LOOKUP[0].format(x='(t.slab_dip_deg * 130)')} AND l.t_idx = {LOOKUP[1].format(x='(t.seafloor_age_myr * 9)')}""")
 def c17_lookup_nearest(t, lookup):
     return S.lookup_nearest(t, lookup, 0, c("slab_dip_deg") * 130, c("seafloor_age_myr") * 9, "value").select("trench_id", "value")
 
@@ -267,10 +281,10 @@ def c20_combine_by_key(s, p):
 
 
 @query("c21_occurrence_values", "fx_point", "fx_cell", sql=f"""WITH {GRID10}
-SELECT point_id, round(value + {OFF}, 4) AS value FROM fx_point p JOIN g ON g.age = p.age AND g.i = (CAST(floor((lon + 175) / 10 + 0.5) AS INT) + 36) % 36 AND g.j = least(CAST(floor((least(greatest((lat + 65) / 10, 0.0), 13.0)) + 0.5) AS INT), 13) WHERE label = 1 AND value IS NOT NULL""")
+SELECT point_id, round(value, 4) AS value FROM fx_point p JOIN g ON g.age = p.age AND g.i = (CAST(floor((lon + 175) / 10 + 0.5) AS INT) + 36) % 36 AND g.j = least(CAST(floor((least(greatest((lat + 65) / 10, 0.0), 13.0)) + 0.5) AS INT), 13) WHERE label = 1 AND value IS NOT NULL""")
 def c21_occurrence_values(p, g):
     found = S.sample_regular(p.where("label = 1"), grid10(g), -175.0, -65.0, 10.0, 36, 14, ["age"])
-    return found.where("value is not null").select("point_id", F.round(c("value") + OFF, 4).alias("value"))
+    return found.where("value is not null").select("point_id", F.round("value", 4).alias("value"))
 
 
 @query("c22_strain_radius_mean", "fx_trench", "fx_cell", sql=mean_sql("trench_id", "fx_trench", "p.age = t.age AND t.z <> 0", "3.0", False))
@@ -283,12 +297,20 @@ def c23_first_network(p, r):
     return S.first_network(p, polygons(r), [], ["area_rank"], "poly_id").select("point_id", "area_rank")
 
 
-@query("c24_prepare_deposits", "fx_point", "fx_ring", "fx_rotation", "fx_segment")
+C24 = f"""{EDGES}, hd AS ({inside_sql('fx_point', 'point_id')}), pd AS (SELECT point_id, CAST(arg_max(poly_plate, (type_rank, area_rank)) AS INT) AS plate_id FROM hd GROUP BY point_id),
+dd AS (SELECT p.point_id, p.age, p.lon, p.lat, pd.plate_id FROM fx_point p LEFT JOIN pd USING (point_id)), td AS (SELECT dd.*, {turn_sql('dd')} FROM dd LEFT JOIN fx_rotation r USING (plate_id, age)),
+md AS (SELECT point_id, age, plate_id, lon AS present_lon, lat AS present_lat, CASE WHEN age = 0 THEN lon ELSE rlon END AS lon, CASE WHEN age = 0 THEN lat ELSE rlat END AS lat FROM td),
+mk AS (SELECT * FROM md WHERE lon IS NOT NULL), {zone_sql('mk')}"""
+
+
+@query("c24_prepare_deposits", "fx_point", "fx_ring", "fx_rotation", "fx_segment", sql=f"""WITH {C24}
+SELECT point_id, present_lat, present_lon, age, CAST(1 AS DOUBLE) AS weight, round(lon, 5) AS lon, round(lat, 5) AS lat FROM mk WHERE point_id IN (SELECT point_id FROM zone WHERE deg <= 6.0)""")
 def c24_prepare_deposits(p, ring, r, s):
     """Ages in range, weight, step, plate, palaeo-position, in the zone of the step, sorted by age."""
     here = R.default_weight(R.age_range(p.withColumn("age", c("age").cast("string")).drop("weight"), 0, 4)).withColumn("age", R.snap_to_step(c("age")).cast("int"))
     here = S.assign_plate(here, polygons(ring), None, [], missing=None)
     moved = S.reconstruct(here, r).select("point_id", "age", "weight", "plate_id", c("lon").alias("present_lon"), c("lat").alias("present_lat"), c("rec_lon").alias("lon"), c("rec_lat").alias("lat"))
+    moved = materialise(moved, "moved")
     zone = S.one_sided(moved.where("lon is not null"), S.eligible_segments(s)).select("point_id").distinct()
     kept = moved.join(zone, "point_id", "left_semi")
     return R.sort_output(kept.select("point_id", "present_lat", "present_lon", "age", "weight", F.round("lon", 5).alias("lon"), F.round("lat", 5).alias("lat")))
@@ -298,9 +320,7 @@ def c24_prepare_deposits(p, ring, r, s):
 WITH q AS (SELECT s.segment_id, t.cell_id, row_number() OVER (PARTITION BY s.segment_id ORDER BY abs(t.lon - s.lon1) + abs(t.lat - s.lat1), t.cell_id) AS rn FROM fx_segment s JOIN fx_cell t ON s.age = t.age)
 SELECT segment_id, cell_id FROM q WHERE rn <= 3""")
 def w09_nearest_k(s, g):
-    both = s.join(g.select("age", "cell_id", "lon", "lat"), "age")
-    far = F.abs(c("lon") - c("lon1")) + F.abs(c("lat") - c("lat1"))
-    return S.window_rank(both.withColumn("_far", far), 3, ["segment_id"], [c("_far"), c("cell_id")]).select("segment_id", "cell_id")
+    return S.nearest_k(s, g, 3, ["age"], "segment_id", "cell_id", "lon1", "lat1")
 
 
 @query("i01_grid_points", "fx_ring", "fx_rotation", sql=f"""
@@ -324,82 +344,91 @@ def i02_random_points(p, ring):
     return R.random_points(p.sparkSession, ages, n, lambda df: S.points_in_polygons(df, polys, []))
 
 
-@query("s08_plate_thickness", "fx_trench")
+@query("s08_plate_thickness", "fx_trench", sql="""
+WITH nodes AS (SELECT CAST(a * 2 AS DOUBLE) AS node_age, z * 1000.0 AS z FROM range(92) x(a) CROSS JOIN range(126) y(z)),
+heat AS (SELECT node_age, z, 1350.0 * (z / 125e3 + sum(2 / (n * pi()) * sin(n * pi() * z / 125e3) * exp(-0.804e-6 * (n * n) * pow(pi(), 2) * node_age * 3.15576e13 / pow(125e3, 2)))) AS heat
+  FROM nodes CROSS JOIN range(1, 61) s(n) GROUP BY node_age, z),
+d AS (SELECT node_age, min(z) AS depth FROM heat WHERE heat >= 1150 GROUP BY node_age)
+SELECT trench_id, round(a.depth + (seafloor_age_myr - a.node_age) / 2 * (coalesce(b.depth, a.depth) - a.depth), 3) AS thickness_m
+FROM fx_trench t LEFT JOIN d a ON a.node_age = floor(seafloor_age_myr / 2) * 2 LEFT JOIN d b ON b.node_age = a.node_age + 2""")
 def s08_plate_thickness(t):
-    """Depth of the 1150 degree isotherm from a table that the plate-cooling series gives, interpolated."""
-    spark, plate, t0, t1 = t.sparkSession, 125e3, 0.0, 1350.0
-    nodes = spark.range(0, 181, 2).select(c("id").cast("double").alias("node_age")).crossJoin(spark.range(0, 126).select((c("id") * 1000.0).alias("z")))  # the table's axes
-    decay = lambda n: F.exp(-0.804e-6 * (n * n) * (3.141592653589793**2) * c("node_age") * 3.15576e13 / plate**2)
-    series = F.aggregate(F.sequence(F.lit(1), F.lit(60)), F.lit(0.0), lambda s, n: s + 2 / (n * 3.141592653589793) * F.sin(n * 3.141592653589793 * c("z") / plate) * decay(n))
-    heat = t0 + (t1 - t0) * (c("z") / plate + series)
-    table = nodes.withColumn("heat", heat).where("heat >= 1150").groupBy("node_age").agg(F.min("z").alias("depth"))
-    low = t.withColumn("node_age", F.floor(c("seafloor_age_myr") / 2) * 2.0)
-    one = low.join(F.broadcast(table), "node_age", "left").withColumnsRenamed({"node_age": "_a", "depth": "_d0"})
-    two = one.withColumn("node_age", c("_a") + 2).join(F.broadcast(table), "node_age", "left")
-    w = (c("seafloor_age_myr") - c("_a")) / 2
-    return two.select("trench_id", F.round(c("_d0") + w * (F.coalesce("depth", "_d0") - c("_d0")), 3).alias("thickness_m"))
-
-
-def slab_tables(t, lookup):
-    """Columns of S20 and S21 on the trench fixture: temperatures and capacities from the lookup table."""
-    phi = P.thermal_parameter(c("seafloor_age_myr"), clip(c("conv_rate_orth_cm_yr"), 0) * 100, clip(c("slab_dip_deg"), 1, 90))
-    sediments, volcanics, moho = P.slab_temperatures(phi + 1e-12)
-    out = t
-    for name, temp in (("sediment", sediments), ("crust", volcanics), ("lithosphere", moho)):
-        out = S.lookup_nearest(out, lookup, 0, F.lit(P.MOHO_PRESSURE_BAR), temp + 273.14, f"wt_{name}")
-    return out
-
-
-def lookup_temp(a: str, b: str) -> str:
+    """Depth of the 1150 degree isotherm."""
+    return U.plate_thickness(t).select("trench_id", F.round("thickness_m", 3).alias("thickness_m"))
+
+
+# What comes in with the plate has no fixture of its own: it is made of trench columns, here and in SQL.
+INCOMING = {
+    "thickness_m": ("seafloor_age_myr", 1013.7123451), "brittle_m": ("seafloor_age_myr", 507.3123467), "water_lithosphere": ("slab_dip_deg", 1.23456781357e-4), "water_crust": ("spreading_km_myr", 1.09876543417e-5),
+    "water_sediment": ("slab_dip_deg", 1.12345671893e-4), "carbon_lithosphere": ("slab_dip_deg", 1.34567891237e-3), "carbon_crust": ("spreading_km_myr", 1.01928371239e-4), "carbon_serpentinite": ("slab_dip_deg", 1.12233441237e-5),
+    "carbon_sediment": ("slab_dip_deg", 1.01234561237e-4), "carbon_organic_sediments": ("seafloor_age_myr", 1.03456781237e-5),
+}
+
+
+def samples(t):
+    return t.withColumns({k: c(x) * f for k, (x, f) in INCOMING.items()})
+
+
+def capacity_sql(kinds: dict, sizes: dict[str, str]) -> str:
+    return ", ".join(f"l{table}.value * {per!r} * ({sizes[k]}) * 1e-9 AS c_{k}" for k, (table, _, per) in kinds.items())
+
+
+def released_sql(what: str, k: str) -> str:
+    return f"CASE WHEN c_{k} IS NULL OR in_{k} IS NULL THEN NULL ELSE greatest(in_{k} - least(c_{k}, in_{k}), 0.0) END"
+
+
+def storage_sql(what: str, kinds: dict, sizes: dict[str, str], incoming: dict[str, str]) -> str:
+    """CTEs that end in one of the operator's name: (trench_id, fluxes, outfluxes, total)."""
+    heat = (("1331.0", "58.6"), ("1303.0", "60.23"), ("1622.0", "132.5"))
     phi = "(seafloor_age_myr * 1e6 * (CASE WHEN conv_rate_orth_cm_yr < 0 THEN 0 ELSE conv_rate_orth_cm_yr END * 100) * 1e-5 * sin(radians(least(greatest(slab_dip_deg, 1.0), 90.0))))"
-    return LOOKUP[1].format(x=f"({a} - {b} * ln({phi} + 1e-12) + 273.14)")
+    tables = {table: at for table, at, _ in kinds.values()}
+    joins = " ".join(f"LEFT JOIN fx_lookup l{t} ON l{t}.table_id = {t} AND l{t}.p_idx = 9 AND l{t}.t_idx = {LOOKUP[1].format(x=f'({heat[at][0]} - {heat[at][1]} * ln({phi} + 1e-12) + 273.14)')}" for t, at in tables.items())
+    base = f"(SELECT *, {', '.join(f'{x} * {f!r} AS {k}' for k, (x, f) in INCOMING.items())} FROM fx_trench)"
+    rows = f"{what}_c AS (SELECT s.trench_id, {capacity_sql(kinds, sizes)}, {', '.join(f'{x} AS in_{k}' for k, x in incoming.items())} FROM {base} s {joins})"
+    columns = ", ".join(f"in_{k} AS subduction_{what}_flux_{k}, {released_sql(what, k)} AS slab_{what}_outflux_{k}" for k in kinds)
+    total = " + ".join(released_sql(what, k) for k in kinds)
+    return f"{rows}, {what} AS (SELECT trench_id, {columns}, {total} AS total_slab_{what}_outflux FROM {what}_c)"
 
 
-SLAB = f"""w AS (SELECT t.*, a.value AS wt_sediment, b.value AS wt_crust, d.value AS wt_lithosphere FROM fx_trench t
-  LEFT JOIN fx_lookup a ON a.p_idx = 9 AND a.t_idx = {lookup_temp('1331.0', '58.6')} LEFT JOIN fx_lookup b ON b.p_idx = 9 AND b.t_idx = {lookup_temp('1303.0', '60.23')}
-  LEFT JOIN fx_lookup d ON d.p_idx = 9 AND d.t_idx = {lookup_temp('1622.0', '132.5')}),
-k AS (SELECT *, wt_sediment * 17.0 * sediment_m * 1e-9 AS c_sediment, wt_crust * 30.0 * 7e3 * 1e-9 AS c_crust, wt_lithosphere * 35.0 * (seafloor_age_myr * 1000 - 7e3) * 1e-9 AS c_lithosphere,
-  slab_dip_deg * 1e-4 AS i_sediment, spreading_km_myr * 1e-5 AS i_crust,
-  seafloor_age_myr * 1e-4 + (seafloor_age_myr * 500 - 8e3) * (0.13 * (least(greatest(slab_dip_deg, 0.0), 90.0) / 9 / 100)) * 2900 * 1e-9 AS i_lithosphere FROM w)"""
+BENT = "(brittle_m - 8e3) * (0.13 * (least(greatest(least(greatest(slab_dip_deg, 1.0), 90.0), 0.0), 90.0) / 9 / 100)) * 2900 * 1e-9"
+WATER_SQL = storage_sql("water", U.WATER, {"lithosphere": "thickness_m - 7e3", "crust": "7e3", "sediment": "sediment_m"}, {"lithosphere": f"water_lithosphere + {BENT}", "crust": "water_crust", "sediment": "water_sediment"})
+_SHARE = " * (12.0107 / 44.0095)"
+CARBON_SIZE = {"lithosphere": "(thickness_m - sediment_m - 7e3)", "crust": "12e3", "serpentinite": "450.0", "sediment": "sediment_m", "organic_sediments": "sediment_m"}
+CARBON_SQL = storage_sql("carbon", U.CARBON, {k: v + _SHARE for k, v in CARBON_SIZE.items()}, {k: f"carbon_{k}" for k in U.CARBON})
+MELT_SQL = """mt AS (SELECT t_idx, avg(value) AS f FROM fx_lookup WHERE table_id = 0 AND p_idx BETWEEN 2 AND 6 GROUP BY t_idx),
+melt AS (SELECT trench_id, mt.f / 100 * 3300.0 * 125e3 * 1e-9 AS melting_rate FROM water LEFT JOIN mt ON mt.t_idx = least(greatest(CAST(floor(100 * total_slab_water_outflux * 1e6 / (3300.0 * 125e3 * 1e-3) * 80 + 0.5) AS INT), 0), 19) AND total_slab_water_outflux IS NOT NULL)"""
 
 
-@query("s20_slab_water_storage", "fx_trench", "fx_lookup", sql=f"WITH {SLAB} SELECT trench_id, " + ", ".join(f"round(CASE WHEN c_{k} IS NULL THEN NULL ELSE greatest(i_{k} - least(c_{k}, i_{k}), 0.0) END * 1e3 + {OFF}, 4) AS out_{k}" for k in ("sediment", "crust", "lithosphere")) + " FROM k")
-def s20_slab_water_storage(t, lookup):
-    s = slab_tables(t, lookup)
-    capacity = {"sediment": c("wt_sediment") * 17.0 * c("sediment_m") * 1e-9, "crust": c("wt_crust") * 30.0 * 7e3 * 1e-9, "lithosphere": c("wt_lithosphere") * 35.0 * (c("seafloor_age_myr") * 1000 - 7e3) * 1e-9}
-    serpentinite = (c("seafloor_age_myr") * 500 - 8e3) * (0.13 * (clip(c("slab_dip_deg"), 0, 90) / 9 / 100)) * 2900 * 1e-9
-    incoming = {"sediment": c("slab_dip_deg") * 1e-4, "crust": c("spreading_km_myr") * 1e-5, "lithosphere": c("seafloor_age_myr") * 1e-4 + serpentinite}
-    return s.select("trench_id", *[F.round(P.stored(capacity[k], incoming[k])[1] * 1e3 + OFF, 4).alias(f"out_{k}") for k in capacity])
+def storage_columns(what: str, kinds) -> list[str]:
+    return [f"{a}_{what}_{b}_{k}" for k in kinds for a, b in (("subduction", "flux"), ("slab", "outflux"))] + [f"total_slab_{what}_outflux"]
 
 
-CARBON = {"mantle": "35.0 * (seafloor_age_myr * 1000 - sediment_m - 7e3)", "intrusive": "35.0 * 12e3", "volcanic": "35.0 * 450.0", "sediment": "35.0 * sediment_m", "organic": "35.0 * sediment_m"}
-CARBON_WT = {"mantle": "wt_lithosphere", "intrusive": "wt_lithosphere", "volcanic": "wt_crust", "sediment": "wt_sediment", "organic": "wt_sediment"}
+def rounded_sql(names: list[str]) -> str:
+    return ", ".join(f"round({k}, 9) AS {k}" for k in names)
 
 
-@query("s21_slab_carbon_storage", "fx_trench", "fx_lookup", sql=f"WITH {SLAB} SELECT trench_id, " + ", ".join(f"round(CASE WHEN {CARBON_WT[k]} * {v} IS NULL THEN NULL ELSE greatest(slab_dip_deg * 1e-3 - least({CARBON_WT[k]} * {v} * 12.0107 / 44.0095 * 1e-9, slab_dip_deg * 1e-3), 0.0) END * 1e3 + {OFF}, 4) AS out_{k}" for k, v in CARBON.items()) + " FROM k")
+@query("s20_slab_water_storage", "fx_trench", "fx_lookup", sql=f"WITH {WATER_SQL} SELECT trench_id, {rounded_sql(storage_columns('water', U.WATER))} FROM water")
+def s20_slab_water_storage(t, lookup):
+    out = U.slab_water_storage(samples(t), lookup)
+    return out.select("trench_id", *[F.round(k, 9).alias(k) for k in storage_columns("water", U.WATER)])
+
+
+@query("s21_slab_carbon_storage", "fx_trench", "fx_lookup", sql=f"WITH {CARBON_SQL} SELECT trench_id, {rounded_sql(storage_columns('carbon', U.CARBON))} FROM carbon")
 def s21_slab_carbon_storage(t, lookup):
-    s = slab_tables(t, lookup)
-    size = {"mantle": 35.0 * (c("seafloor_age_myr") * 1000 - c("sediment_m") - 7e3), "intrusive": F.lit(35.0 * 12e3), "volcanic": F.lit(35.0 * 450.0), "sediment": 35.0 * c("sediment_m"), "organic": 35.0 * c("sediment_m")}
-    out = {k: P.stored(c(CARBON_WT[k]) * size[k] * (12.0107 / 44.0095) * 1e-9, c("slab_dip_deg") * 1e-3)[1] for k in size}
-    return s.select("trench_id", *[F.round(v * 1e3 + OFF, 4).alias(f"out_{k}") for k, v in out.items()])
+    out = U.slab_carbon_storage(samples(t), lookup)
+    return out.select("trench_id", *[F.round(k, 9).alias(k) for k in storage_columns("carbon", U.CARBON)])
+
+
+def melt_table(lookup):
+    return lookup.where(c("table_id") == 0).where(c("p_idx").between(2, 6))
 
 
-@query("s23_melting_rate", "fx_trench", "fx_lookup", sql=f"""
-WITH m AS (SELECT t_idx, avg(value) AS f FROM fx_lookup WHERE p_idx BETWEEN 2 AND 6 GROUP BY t_idx)
-SELECT trench_id, round(m.f / 100 * 3300 * 125e3 * 1e-9, 9) AS melting_rate FROM fx_trench LEFT JOIN m ON m.t_idx = least(greatest(CAST(floor(100 * slab_dip_deg * 1e-3 * 1e6 / (3300 * 125e3 * 1e-3) * 80 + 0.5) AS INT), 0), 19)""")
+@query("s23_melting_rate", "fx_trench", "fx_lookup", sql=f"WITH {WATER_SQL}, {MELT_SQL} SELECT trench_id, round(melting_rate, 9) AS melting_rate FROM melt")
 def s23_melting_rate(t, lookup):
-    """Mean melt fraction over five pressures at the water content that leaves the slab, from a table."""
-    water = 100 * c("slab_dip_deg") * 1e-3 * 1e6 / (3300 * 125e3 * 1e-3)
-    melt = lookup.where(c("p_idx").between(2, 6)).groupBy("t_idx").agg(F.avg("value").alias("f"))
-    at = F.least(F.greatest(F.floor(water * 80 + 0.5), F.lit(0)), F.lit(19)).cast("int")
-    return t.withColumn("t_idx", at).join(F.broadcast(melt), "t_idx", "left").select("trench_id", F.round(c("f") / 100 * 3300 * 125e3 * 1e-9, 9).alias("melting_rate"))
+    out = U.melting_rate(U.slab_water_storage(samples(t), lookup), melt_table(lookup))
+    return out.select("trench_id", F.round("melting_rate", 9).alias("melting_rate"))
 
 
-@query("s31_outflux_features", "fx_trench", "fx_lookup")
+@query("s31_outflux_features", "fx_trench", "fx_lookup", sql=f"WITH {WATER_SQL}, {MELT_SQL}, {CARBON_SQL} SELECT trench_id, " + ", ".join(f"round({k} * greatest(conv_rate_orth_cm_yr, 0.0) * 1e6, 4) AS {k}" for k in U.FLUXES) + " FROM fx_trench JOIN water USING (trench_id) JOIN melt USING (trench_id) JOIN carbon USING (trench_id)")
 def s31_outflux_features(t, lookup):
-    """Water and carbon that leave the slab, the melting rate, and their totals in t/m/yr."""
-    keys = t.select("trench_id", "conv_rate_orth_cm_yr")
-    out = keys.join(s20_slab_water_storage(t, lookup).withColumnsRenamed({f"out_{k}": f"water_{k}" for k in ("sediment", "crust", "lithosphere")}), "trench_id")
-    out = out.join(s21_slab_carbon_storage(t, lookup).withColumnsRenamed({f"out_{k}": f"carbon_{k}" for k in CARBON}), "trench_id").join(s23_melting_rate(t, lookup), "trench_id")
-    out = out.withColumns({"water_total": c("water_sediment") + c("water_crust") + c("water_lithosphere"), "carbon_total": sum((c(f"carbon_{k}") for k in CARBON), F.lit(0.0))})
-    return out.select("trench_id", *[F.round(P.outflux(c(k), c("conv_rate_orth_cm_yr")), 6).alias(k) for k in out.columns if k not in ("trench_id", "conv_rate_orth_cm_yr")])
+    out = U.outflux_features(samples(t), lookup, melt_table(lookup))
+    return out.select("trench_id", *[F.round(k, 4).alias(k) for k in U.FLUXES])

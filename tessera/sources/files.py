@@ -6,6 +6,7 @@ import hashlib
 import json
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,8 +38,8 @@ def read_grid(spark: SparkSession, root: str, name: str, ages: list[int] | None,
     path = f"{root}/{name}"
     try:
         grid = spark.read.parquet(path)
-    except Exception:
-        if required:
+    except AnalysisException as e:
+        if required or e.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
     if ages is not None:
@@ -66,15 +67,15 @@ def read_lookup(spark: SparkSession, path: str, table_id: int, skip: int = 12) -
 
 
 def materialise_once(spark: SparkSession, root: str, name: str, config: dict, build: Callable[[], DataFrame]) -> DataFrame:
-    """The stage's table if it was written for this configuration, else built, written and read."""
+    """The stage's table if it was written in full for this configuration, else built, written and read.
+
+    A folder without the mark that Spark leaves after the last task is what a lost run left behind.
+    """
     digest = hashlib.sha256(json.dumps(config, sort_keys=True).encode()).hexdigest()[:16]
     path = f"{root}/{name}-{digest}"
-    try:
-        return spark.read.parquet(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    build().write.mode("overwrite").parquet(path)
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark):
+        build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 

@@ -122,3 +122,79 @@ def test_files_have_their_edges(spark):
     with pytest.raises(FileNotFoundError):
         files.read_grid(spark, root, "carbonate_thickness", [1, 2])
     assert files.read_grid(spark, root, "absent", [1], required=False) is None
+
+
+def test_running_sums_and_quantiles_equal_plain_ones(spark):
+    from tessera.plans.ordered import quantiles, running_sums
+
+    rnd = random.Random(12)
+    rows = [(rnd.choice("ab"), k, rnd.randint(0, 9)) for k in range(500)]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "g string, k int, n int")
+    got = {r.k: (r.up, r.own) for r in running_sums(running_sums(df, "k", {"n": "up"}), "k", {"n": "own"}, descending=True, within="g").collect()}
+    for g, k, _ in rows:
+        assert got[k] == (sum(n for _, j, n in rows if j <= k), sum(n for h, j, n in rows if h == g and j >= k))
+    values = sorted(rnd.choice([rnd.random(), 0.25]) for _ in range(300))
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    shares = [0.0, 0.01, 0.25, 0.5, 0.777, 1.0]
+    want = df.agg(F.percentile("v", F.array(*map(F.lit, shares))).alias("q")).first()["q"]
+    assert quantiles(df, "v", shares) == pytest.approx(want)
+    assert quantiles(df.where("v is null"), "v", [0.5]) is None
+
+
+def test_basis_adds_up_to_one_at_both_ends(spark):
+    from tessera.operators.preserve import bspline_basis
+
+    df = spark.createDataFrame([(x,) for x in (1.0, 1.5, 2.2, 3.1, 3.5, 4.0)], "x double")
+    total = sum(bspline_basis(F.col("x"), 1.5, 3.5), F.lit(0.0))
+    assert all(r.t == pytest.approx(1.0) for r in df.select(total.alias("t")).collect())
+
+
+def test_nearest_of_far_points_and_k_nearest_equal_brute_force(spark):
+    rnd = random.Random(13)
+    line = [(k, 0, -20 + 0.01 * k, 5 + 0.003 * k) for k in range(900)]
+    points = [(k, 0, rnd.uniform(-180, 180), math.degrees(math.asin(rnd.uniform(-1, 1)))) for k in range(150)]
+    p, t = spark.createDataFrame(points, POINT), spark.createDataFrame(line, "trench_id long, age int, lon double, lat double")
+    got = {r.point_id: (r["_t"].trench_id, r.distance_km) for r in S.nearest(p, t, ["age"], "point_id", "trench_id").collect()}
+    assert len(got) == 150
+    for k, _, lon, lat in points:
+        best = min((round(km((lon, lat), (x, y)), 6), j) for j, _, x, y in line)
+        assert got[k][1] == pytest.approx(best[0], abs=1e-5) and got[k][0] == best[1]
+    near = {}
+    for r in S.nearest_k(p, t, 4, ["age"], "point_id", "trench_id").collect():
+        near.setdefault(r.point_id, set()).add(r.trench_id)
+    for k, _, lon, lat in points:
+        far = lambda j: abs(line[j][2] - lon) + abs(line[j][3] - lat)  # noqa: B023, E731
+        assert near[k] == set(sorted(range(900), key=lambda j: (far(j), j))[:4])
+    few = t.where("trench_id < 3")
+    assert S.nearest_k(p, few, 4, ["age"], "point_id", "trench_id").count() == 450
+
+
+def test_random_points_are_as_many_as_asked_for_or_an_error(spark):
+    got = R.random_points(spark, [0, 1], 7, lambda df: df.where("lon > 170"))
+    assert sorted(r["count"] for r in got.groupBy("age").count().collect()) == [7, 7]
+    with pytest.raises(ValueError):
+        R.random_points(spark, [0], 3, lambda df: df.where("lon > 500"))
+
+
+def test_shapley_values_add_up_and_equal_the_definition(spark):
+    from itertools import permutations
+
+    from tessera.operators import model as M
+
+    rnd = random.Random(14)
+    rows = [(k, float(rnd.random()), float(rnd.random()), float(rnd.random()), 1.0) for k in range(300)]
+    rows = [(*r, int(r[1] + r[2] * r[3] > 0.8)) for r in rows]
+    df = spark.createDataFrame(rows, "point_id long, a double, b double, c double, weight double, label int")
+    names = ["a", "b", "c"]
+    forest = M.fit_forest(df, names, trees=5, depth=3)
+    few = df.where("point_id < 6")
+    got = {(r.point_id, r.feature): r.attribution for r in M.shapley(few, df, forest, names).collect()}
+    base = {f: sorted(r[i + 1] for r in rows)[149:151] for i, f in enumerate(names)}
+    base = {f: sum(v) / 2 for f, v in base.items()}
+    cases = [(k, s, *[rows[k][i + 1] if s >> i & 1 else base[f] for i, f in enumerate(names)], 1.0) for k in range(6) for s in range(8)]
+    score = {(r.point_id, r.s): r.probability for r in M.probability(spark.createDataFrame(cases, "point_id long, s int, a double, b double, c double, weight double"), forest, names).collect()}
+    for k in range(6):
+        for i, f in enumerate(names):
+            gains = [score[k, sum(1 << j for j in o[: o.index(i) + 1])] - score[k, sum(1 << j for j in o[: o.index(i)])] for o in permutations(range(3))]
+            assert got[k, f] == pytest.approx(sum(gains) / 6)
