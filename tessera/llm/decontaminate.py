@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.tokens import by_bytes
-from tessera.plans.tables import drop_files, materialise, read_table
+from tessera.plans.tables import drop_files, materialise, read_table, release
 
 #: Hashed words of the vocabulary, latent dimensions kept, and extra ones for the random projection.
 FEATURES, RANK, EXTRA = 1 << 15, 40, 8
@@ -65,7 +65,7 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in by_bytes(batches):
+    for b in by_bytes(batches, size=1_000_000):
         words, at = words_of(b.column(1))
         column = pa.BinaryArray.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer((at * 4).astype(np.int32)), pa.py_buffer(words)])
         yield pa.record_batch([b.column(0), column], ["doc_id", "words"])
@@ -151,13 +151,13 @@ class Spans:
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Batch]]:
-    """Of ``(doc_id, words)``: parts of about 2 MB of words, of whole rows."""
+    """Of ``(doc_id, words)``: parts of about half a MB of words, of whole rows."""
     for b in batches:
         raw = b.column(b.schema.get_field_index("words")).cast(pa.large_binary())
         at = np.frombuffer(raw.buffers()[1], np.int64, len(raw) + 1, 8 * raw.offset)
         every = np.frombuffer(raw.buffers()[2], "<u4") if at[-1] > at[0] else np.zeros(0, np.uint32)
         at = at // 4
-        cuts = [0, *(np.flatnonzero(np.diff((at[:-1] - at[0]) >> 19)) + 1).tolist(), b.num_rows]
+        cuts = [0, *(np.flatnonzero(np.diff((at[:-1] - at[0]) >> 17)) + 1).tolist(), b.num_rows]
         for s, e in zip(cuts, cuts[1:]):
             if e > s:
                 yield b.slice(s, e - s), Batch(every[at[s] : at[e]], at[s : e + 1] - at[s])
@@ -218,6 +218,7 @@ def latent_space(words: DataFrame, seed: int = 11) -> np.ndarray:
     for i in range(RANK + EXTRA):
         y[summed["feature"].to_numpy(), i] = summed[f"c{i}"].to_numpy()
     del summed
+    release(words.sparkSession)
     vectors, values = singular_vectors(y * weight[:, None], directions)
     keep = vectors[:, :RANK] * (values[:RANK] > 0)
     return (keep * weight[:, None]).astype(np.float32)
@@ -400,7 +401,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def _without(items: Items) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in by_bytes(iter([whole]), whole.schema.get_field_index("text")):
+            for b in by_bytes(iter([whole]), whole.schema.get_field_index("text"), 1_000_000):
                 keep = np.ones(b.num_rows, bool)
                 keep[[d for d, _ in items.found(Batch.of_texts(b.column("text")))]] = False
                 yield b.filter(pa.array(keep))

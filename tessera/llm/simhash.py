@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.tokens import small
 from tessera.plans.components import connected_components
-from tessera.plans.tables import drop_files, materialise, read_table
+from tessera.plans.tables import drop_files, materialise, read_table, release
 
 BITS, SEED = 64, 42
 #: Buckets of up to so many fingerprints are compared pair by pair; larger ones through midpoints.
@@ -237,21 +237,19 @@ def bucket_pairs(full: DataFrame, keys: list[str], width: int = WIDTH) -> DataFr
     return both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def split_buckets(full: DataFrame, groups: DataFrame, keys: list[str], most: int | None = None) -> DataFrame:
-    """The rows of buckets of over ``WIDTH + 1`` ids that lie in several components, with ``component``
-    and the bucket's commonest one, ``main``; of up to ``CROWD`` ids, or else of more."""
-    size = F.col("n") > WIDTH + 1
-    size = size & ((F.col("n") <= most) if most else (F.col("n") > CROWD))
-    rows = full.where(size).select(*keys, "id").join(groups.select(F.col("node").alias("id"), "component"), "id", "left")
+def split_buckets(full: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of buckets of over ``WIDTH + 1`` ids that lie in several components, with their number
+    ``n``, ``component``, and the bucket's commonest one, ``main``."""
+    rows = full.where(F.col("n") > WIDTH + 1).select(*keys, "id", "n").join(groups.select(F.col("node").alias("id"), "component"), "id", "left")
     rows = rows.withColumn("component", F.coalesce("component", "id"))
-    kinds = rows.groupBy(*keys, "component").agg(F.count("*").alias("n"))
-    split = kinds.groupBy(*keys).agg(F.count("*").alias("kinds"), F.max_by("component", F.struct("n", "component")).alias("main")).where("kinds > 1")
-    return rows.join(split.select(*keys, "main"), keys)
+    kinds = rows.groupBy(*keys, "component").agg(F.count("*").alias("m"))
+    split = kinds.groupBy(*keys).agg(F.count("*").alias("kinds"), F.max_by("component", F.struct("m", "component")).alias("main")).where("kinds > 1")
+    return materialise(rows.join(split.select(*keys, "main"), keys), "split")
 
 
-def split_pairs(full: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+def split_pairs(split: DataFrame, keys: list[str]) -> DataFrame:
     """All pairs ``(u, v, cu, cv)`` of buckets of up to ``CROWD`` ids whose components ``cu, cv`` differ."""
-    rows = materialise(split_buckets(full, groups, keys, CROWD).drop("main"), "split")
+    rows = split.where(F.col("n") <= CROWD)
     one = rows.select(*keys, F.col("id").alias("u"), F.col("component").alias("cu"))
     two = rows.select(*keys, F.col("id").alias("v"), F.col("component").alias("cv"))
     return one.join(two, keys).where("u > v and cu != cv").select("u", "v", "cu", "cv").distinct()
@@ -308,16 +306,16 @@ def _joined_by(threshold: float) -> Callable:
     return run
 
 
-def crowd_links(full: DataFrame, sets: DataFrame, groups: DataFrame, threshold: float) -> DataFrame | None:
-    """Edges ``(u, v)`` between components of ``groups`` that a similar pair of one crowd joins.
+def crowd_links(split: DataFrame, sets: DataFrame, threshold: float) -> DataFrame | None:
+    """Edges ``(u, v)`` between components that a similar pair of one crowd joins.
 
-    All pairs of a bucket of over ``CROWD`` ids are compared, but those already in one component.
+    All pairs of a split bucket of over ``CROWD`` ids are compared, but those already in one component.
     A bucket's ids are dealt into blocks by the size of their sets, the ids of its commonest component
     apart; block meets block under a key of its own, so a crowd spreads over tasks. Blocks whose sizes
-    can't be similar don't meet, nor two blocks of the commonest component. None if no bucket is split.
+    can't be similar don't meet, nor two blocks of the commonest component. None if there is none.
     """
     keys = ["t", "key"]
-    large = split_buckets(full, groups, keys)
+    large = split.where(F.col("n") > CROWD).drop("n")
     lengths = sets.select("id", (F.length("hashes") / 4).alias("size"))
     base = 1 / (threshold - 0.01)  # similar sets are at most one class apart, rounding included
     rows = large.join(lengths, "id")
@@ -341,27 +339,33 @@ def crowd_links(full: DataFrame, sets: DataFrame, groups: DataFrame, threshold:
     return dealt.groupBy(*keys, "left", "right").applyInArrow(_joined_by(threshold), "u long, v long")
 
 
-#: Slots of a filter at most, one byte each.
-MOST_SLOTS = 1 << 22
+#: Slots of a filter at most, one bit each.
+MOST_SLOTS = 1 << 23
 
 
 def may_be_in(ids: DataFrame, name: str) -> Callable[[Column], Column]:
     """A test that every id of the table passes, and few others: it keeps rows out of a shuffle.
 
     The test is one hashed slot an id, of 16 slots for an id up to ``MOST_SLOTS``: its size is bounded
-    whatever the corpus. Rows that pass go on to an exact join, so no result depends on it.
+    whatever the corpus. Rows that pass go on to an exact join, so no result depends on it; where ids
+    are so many that most slots are taken, it keeps out little.
     """
     n = ids.count()
     slots = min(MOST_SLOTS, max(64, 1 << (16 * n).bit_length()))
     slot = lambda x: F.pmod(F.xxhash64(x), F.lit(slots).cast("long"))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.col("at"), F.lit(64)).cast("int"))
+    bit = F.call_function("shiftleft", F.lit(1), (F.col("at") % 8).cast("int"))
     at = ids.select(slot(F.col(name)).alias("at"))
-    held = at.select(F.floor(F.col("at") / 64).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    words = np.zeros(slots // 64, np.int64)
-    held = held.toArrow()  # MOST_SLOTS / 64 rows at most
-    words[held["word"].to_numpy()] = held["bits"].to_numpy()
-    full = F.lit(bytearray(np.unpackbits(words.view(np.uint8), bitorder="little").tobytes()))
-    return lambda x: F.substring(full, (slot(x) + 1).cast("int"), 1) == F.lit(bytearray(b"\x01"))
+    held = at.select(F.floor(F.col("at") / 8).alias("byte"), bit.alias("bit")).groupBy("byte").agg(F.bit_or("bit").alias("bits"))
+    held = held.toArrow()  # MOST_SLOTS / 8 rows at most
+    full = np.zeros(slots // 8, np.uint8)
+    full[held["byte"].to_numpy()] = held["bits"].to_numpy()
+    literal = F.lit(bytearray(full.tobytes()))
+
+    def passes(x: Column) -> Column:
+        byte = F.conv(F.hex(F.substring(literal, (F.floor(slot(x) / 8) + 1).cast("int"), 1)), 16, 10).cast("int")
+        return byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (slot(x) % 8).cast("int"))) != 0
+
+    return passes
 
 
 def near_copy_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 2) -> DataFrame:
@@ -390,6 +394,7 @@ def near_copy_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, r
     near_rows = rows.where(may_be_in(needed, "id")(F.col("id"))).select("id", "hashes")
     sets = near_rows.join(needed, "id", "left_semi").groupBy("id").agg(F.min("hashes").alias("hashes"))
     sets = materialise(sets, "sets")
+    release(docs.sparkSession)
 
     def similar(pairs: DataFrame, u: str, v: str) -> DataFrame:
         x = pairs.join(sets.select(F.col("id").alias("u"), F.col("hashes").alias("x")), "u")
@@ -398,13 +403,17 @@ def near_copy_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, r
 
     groups = connected_components(similar(pairs, "u", "v"))
     found = classes.join(groups, classes.id == groups.node, "left").select("id", "first", F.coalesce("component", "id").alias("component"))
-    more, crowds = similar(split_pairs(full, groups, keys), "cu", "cv"), crowd_links(full, sets, groups, similarity)
-    top = connected_components(more if crowds is None else more.union(crowds))
-    top = top.select(F.col("node").alias("component"), F.col("component").alias("top"))
-    found = found.join(top, "component", "left").select("id", "first", F.coalesce("top", "component").alias("component"))
+    split = split_buckets(full, groups, keys)
+    release(docs.sparkSession)
+    if split.limit(1).count():
+        more, crowds = similar(split_pairs(split, keys), "cu", "cv"), crowd_links(split, sets, similarity)
+        top = connected_components(more if crowds is None else more.union(crowds))
+        top = top.select(F.col("node").alias("component"), F.col("component").alias("top"))
+        found = found.join(top, "component", "left").select("id", "first", F.coalesce("top", "component").alias("component"))
     found = materialise(found, "found")
-    for table in (full, pairs, needed, sets):
+    for table in (full, pairs, needed, sets, split):
         drop_files(table)
+    release(docs.sparkSession)
     least = found.groupBy("component").agg(F.min("first").alias("component_id"))
     ids = found.join(least, "component").select("id", "component_id")
     return rows.select("doc_id", "id").join(ids, "id").select("doc_id", "component_id")

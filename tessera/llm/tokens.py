@@ -176,7 +176,7 @@ def small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Rec
             yield b.slice(k, rows)
 
 
-def by_bytes(batches: Iterator[pa.RecordBatch], column: int = 1, size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def by_bytes(batches: Iterator[pa.RecordBatch], column: int = 1, size: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``size`` bytes in the numbered text column, of whole rows."""
     for b in batches:
         _, at = _buffers(b.column(column))
@@ -190,7 +190,7 @@ def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterat
     """Of each batch ``(doc_id, text)``, in parts: the part, its ids with ``end_id`` after each text's, and
     the place of each text's first id, at last their number."""
     encode = BatchEncoder(path)
-    for b in by_bytes(batches):
+    for b in by_bytes(batches, size=STRETCH):
         ids, at = encode(b.column(1))
         yield b, np.insert(ids, at[1:], end_id), at + np.arange(len(at))
 
