@@ -8,6 +8,7 @@ the poles; no join pairs all rows with all others.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -237,8 +238,11 @@ def one_sided(points: DataFrame, segments: DataFrame, degrees: float = 6.0, same
     mid = [(p + q) / 2 for p, q in zip(a, b)]
     half = haversine_km(c("lon1"), c("lat1"), c("lon2"), c("lat2")) / 6371.0 / 2
     seg = segments.withColumn("lon", F.degrees(F.atan2(mid[1], mid[0]))).withColumn("lat", F.degrees(F.atan2(mid[2], F.sqrt(mid[0] ** 2 + mid[1] ** 2)))).withColumn("_half", half)
-    reach = degrees + math.degrees(seg.agg(F.max("_half").alias("h")).first()["h"] or 0.0)
-    both = pairs_within(points, seg, chord(reach), ["age"])
+    # a segment is met within the angle and half its length; lengths go by powers of two of the angle
+    seg = seg.withColumn("_class", F.greatest(F.ceil(F.log2(F.degrees("_half") / degrees)), F.lit(0)).cast("int"))
+    classes = [r["_class"] for r in seg.where("_class is not null").select("_class").distinct().collect()]  # eight at most for 1 degree
+    parts = [pairs_within(points, seg.where(c("_class") == k), chord(degrees * (1 + 2**k)), ["age"]) for k in sorted(classes)]
+    both = reduce(DataFrame.unionByName, parts) if parts else pairs_within(points, seg.limit(0), chord(degrees), ["age"])
     s = c("_r")
     a, b, p = xyz(s["lon1"], s["lat1"]), xyz(s["lon2"], s["lat2"]), xyz(c("lon"), c("lat"))
     cross = lambda u, v: (u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0])

@@ -70,10 +70,10 @@ SELECT CAST(floor(CAST(k AS DOUBLE)/200) AS INT) AS table_id, CAST(k % 10 AS INT
 FROM (SELECT p_partkey, p_partkey % 1600 AS k FROM part) q GROUP BY k""",
     "fx_segment": """
 SELECT p_partkey AS segment_id, CAST(p_partkey % 5 AS INT) AS age,
-  CAST((p_partkey*7919) % 3400 AS DOUBLE)/10 - 170 AS lon1,
-  CAST((p_partkey*104729) % 1300 AS DOUBLE)/10 - 65 AS lat1,
-  CAST((p_partkey*7919) % 3400 AS DOUBLE)/10 - 167 AS lon2,
-  CAST((p_partkey*104729) % 1300 AS DOUBLE)/10 - 63 AS lat2,
+  CAST((p_partkey*7919) % 3400 AS DOUBLE)/10 - 170 + 1.1e-2 AS lon1,
+  CAST((p_partkey*104729) % 1300 AS DOUBLE)/10 - 65 + 1.3e-2 AS lat1,
+  CAST((p_partkey*7919) % 3400 AS DOUBLE)/10 - 167 + 1.1e-2 AS lon2,
+  CAST((p_partkey*104729) % 1300 AS DOUBLE)/10 - 63 + 1.3e-2 AS lat2,
   CASE WHEN p_partkey % 3 = 0 THEN 'Left' WHEN p_partkey % 3 = 1 THEN 'Right' ELSE 'None' END AS polarity,
   CAST(p_size % 6 - 1 AS INT) AS over_plate, p_type AS type, p_name AS name
 FROM part""",
