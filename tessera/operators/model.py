@@ -106,7 +106,7 @@ def gini_importance(df: DataFrame, features: list[str], folds: int = 5, repeats:
 
 def permutation_importance(df: DataFrame, model, features: list[str], repeats: int = 3, key: str = "point_id") -> DataFrame:
     """Loss of F1 when a feature's values are dealt anew among rows, in a hashed order."""
-    base = classification_report(probability(df, model, features)).first()["f1"]
+    base = classification_report(probability(df, model, features)).first()["f1"] or 0.0
     from tessera.operators.prepare import _ranked
 
     out, own = [], _ranked(df, [F.lit(0)], key, 0)
