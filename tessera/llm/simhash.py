@@ -257,6 +257,8 @@ def split_pairs(split: DataFrame, keys: list[str]) -> DataFrame:
 
 #: Ids in a block of a crowd, and shingle hashes in it, at most (both but for chance).
 BLOCK, BLOCK_HASHES = 512, 1 << 18
+#: Shares of a crowd that meet its count apart.
+SHARES = 32
 
 
 def common_counts(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
@@ -327,7 +329,10 @@ def crowd_links(split: DataFrame, sets: DataFrame, threshold: float) -> DataFram
     most = F.least(F.lit(float(BLOCK)), F.greatest(F.lit(16.0), BLOCK_HASHES / F.pow(F.lit(base), F.floor(F.col("class") / 2) + 1)))
     counts = rows.groupBy(*keys, "class").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / most)).drop("n")
     block = F.shiftleft("class", 32) + F.pmod(F.xxhash64("id"), F.col("blocks"))
-    rows = rows.join(counts, [*keys, "class"]).select(*keys, "id", "component", block.alias("block"))
+    # a crowd's rows meet its count in shares, not in one task
+    shared = counts.withColumn("share", F.explode(F.array(*map(F.lit, range(SHARES)))))
+    rows = rows.withColumn("share", F.pmod(F.xxhash64(F.lit("share"), "id"), F.lit(SHARES)).cast("int"))
+    rows = rows.join(shared, [*keys, "class", "share"]).select(*keys, "id", "component", block.alias("block"))
     names = counts.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("at"), "class")
     names = names.select(*keys, (F.shiftleft("class", 32) + F.col("at")).alias("left"), F.col("class").alias("c"))
     others = names.select(*keys, F.col("left").alias("right"), F.col("c").alias("d"))
