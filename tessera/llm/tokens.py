@@ -16,7 +16,7 @@ from tokenizers import Tokenizer  # noqa: E402
 from tokenizers.pre_tokenizers import ByteLevel  # noqa: E402
 
 #: Bytes of pieces and their ids that an encoder remembers, about, and bytes of text cut at once, about.
-MEMORY, STRETCH = 6 << 20, 4 << 20
+MEMORY, STRETCH = 16 << 20, 6 << 20
 
 # A piece may start at one of these white spaces ...
 _BLANK = np.zeros(256, bool)
@@ -162,7 +162,8 @@ class BatchEncoder:
 
 def _gathered(flat: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The runs of ``n`` numbers that start at ``first``, one after the other."""
-    return flat[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+    kind = np.int32 if max(len(flat), int(n.sum())) < 1 << 31 else np.int64
+    return flat[np.repeat((first - (np.cumsum(n) - n)).astype(kind), n) + np.arange(int(n.sum()), dtype=kind)]
 
 
 def ids_crc32(ids: np.ndarray) -> int:
