@@ -393,18 +393,17 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     words = hashed_words(docs)
     for items in load_items(benchmark, latent_space(words)):
-        docs = docs.mapInArrow(_without(items), docs.schema)
+        docs = docs.mapInArrow(_without(items, docs.columns.index("text")), docs.schema)
     drop_files(words)
     return docs
 
 
-def _without(items: Items) -> Callable:
+def _without(items: Items, text: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in by_bytes(iter([whole]), whole.schema.get_field_index("text"), 1_000_000):
-                keep = np.ones(b.num_rows, bool)
-                keep[[d for d, _ in items.found(Batch.of_texts(b.column("text")))]] = False
-                yield b.filter(pa.array(keep))
+        for b in by_bytes(batches, text, 1_000_000):
+            keep = np.ones(b.num_rows, bool)
+            keep[[d for d, _ in items.found(Batch.of_texts(b.column(text)))]] = False
+            yield b.filter(pa.array(keep))
 
     return run
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
 import corpus_pipeline
 from tessera.llm.decontaminate import op9_decontamination
 from tessera.llm.language import op7_language_id
@@ -11,12 +15,21 @@ from tessera.llm.personal_data import op6_personal_data
 from tessera.llm.secret_scan import op4_secret_scan
 from tessera.llm.simhash import op5_simhash_near_dedup
 from tessera.llm.token_files import op2_token_files
+from tessera.llm.tokens import bounded_batches
 from tessera.llm.topk import OP3_SQL, op3_exact_top_k
 from tessera.llm.url_filter import OP1_SQL, op1_url_filter
 
 
+def _prepared(query: Callable) -> Callable:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bounded_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict:
-    return {
+    found = {
         "op1_url_filter": op1_url_filter,
         "op2_token_files": op2_token_files,
         "op3_exact_top_k": op3_exact_top_k,
@@ -29,6 +42,7 @@ def queries() -> dict:
         "op10_license_scan": op10_license_scan,
         "pipeline": corpus_pipeline.run,
     }
+    return {key: _prepared(query) for key, query in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:

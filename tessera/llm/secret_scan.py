@@ -475,6 +475,8 @@ def redact_secrets(docs: DataFrame, mark: str = "[secret]", sample: int = SAMPLE
     formats.least = least_lead(found, formats.least)
     drop_files(found)
 
+    at_text = docs.columns.index("text")
+
     def clean(text: str, spans: list[tuple[int, int]]) -> str:
         parts, at = [], 0
         for s, e in sorted(spans):
@@ -484,17 +486,16 @@ def redact_secrets(docs: DataFrame, mark: str = "[secret]", sample: int = SAMPLE
         return "".join([*parts, text[at:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in by_bytes(iter([whole]), whole.schema.get_field_index("text"), 2_000_000):
-                x, old = Scan(b.column("text")), b.column("text").to_pylist()
-                spans = [[(s, e) for _, s, e in base] + [s[:2] for s in added] for base, added in zip(x.spans, x.likely(formats))]
-                new = [clean(t, s) if s else t for t, s in zip(old, spans)]
-                names, columns = b.schema.names, list(b.columns)
-                columns[names.index("text")] = pa.array(new, b.column("text").type)
-                if "n_chars" in names:
-                    at = names.index("n_chars")
-                    n = columns[at].to_pylist()
-                    columns[at] = pa.array([o if t == u else len(u) for o, t, u in zip(n, old, new)], columns[at].type)
-                yield pa.record_batch(columns, names)
+        for b in by_bytes(batches, at_text, 2_000_000):
+            x, old = Scan(b.column(at_text)), b.column(at_text).to_pylist()
+            spans = [[(s, e) for _, s, e in base] + [s[:2] for s in added] for base, added in zip(x.spans, x.likely(formats))]
+            new = [clean(t, s) if s else t for t, s in zip(old, spans)]
+            names, columns = b.schema.names, list(b.columns)
+            columns[at_text] = pa.array(new, b.column(at_text).type)
+            if "n_chars" in names:
+                at = names.index("n_chars")
+                n = columns[at].to_pylist()
+                columns[at] = pa.array([o if t == u else len(u) for o, t, u in zip(n, old, new)], columns[at].type)
+            yield pa.record_batch(columns, names)
 
     return docs.mapInArrow(run, docs.schema)

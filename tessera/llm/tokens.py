@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import zlib
 from collections.abc import Callable, Iterator
@@ -10,13 +11,14 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
 from tokenizers import Tokenizer  # noqa: E402
 from tokenizers.pre_tokenizers import ByteLevel  # noqa: E402
 
 #: Bytes of pieces and their ids that an encoder remembers, about, and bytes of text cut at once, about.
-MEMORY, STRETCH = 16 << 20, 6 << 20
+MEMORY, STRETCH = 8 << 20, 4 << 20
 
 # A piece may start at one of these white spaces ...
 _BLANK = np.zeros(256, bool)
@@ -170,11 +172,28 @@ def ids_crc32(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
+def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Hand at most so many texts at once to Python, where the session keeps Spark's default of 10 000:
+    a batch is held by the executor and by its worker, each in full."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
+def _give_back() -> None:
+    """Return freed memory to the system: a worker lives on, and waits for its next task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """The same rows in small batches, so that few texts are held as Python objects at once."""
     for b in batches:
         for k in range(0, b.num_rows, rows):
             yield b.slice(k, rows)
+    _give_back()
 
 
 def by_bytes(batches: Iterator[pa.RecordBatch], column: int = 1, size: int = 2_000_000) -> Iterator[pa.RecordBatch]:
@@ -185,6 +204,7 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: int = 1, size: int = 2_0
         for s, e in zip(cuts, cuts[1:]):
             if e > s:
                 yield b.slice(s, e - s)
+    _give_back()
 
 
 def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
