@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
+from tessera.llm.best_fit_packing import op12_best_fit_packing
 from tessera.llm.decontaminate import op9_decontamination
 from tessera.llm.language import op7_language_id
 from tessera.llm.licenses import op10_license_scan
@@ -40,6 +41,7 @@ def queries() -> dict:
         "op8_packing": op8_packing,
         "op9_decontamination": op9_decontamination,
         "op10_license_scan": op10_license_scan,
+        "op12_best_fit_packing": op12_best_fit_packing,
         "pipeline": corpus_pipeline.run,
     }
     return {key: _prepared(query) for key, query in found.items()}
