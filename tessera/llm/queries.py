@@ -11,6 +11,7 @@ from tessera.llm.best_fit_packing import op12_best_fit_packing
 from tessera.llm.decontaminate import op9_decontamination
 from tessera.llm.language import op7_language_id
 from tessera.llm.licenses import op10_license_scan
+from tessera.llm.merkle import OP11_SQL, op11_merkle_manifest
 from tessera.llm.packing import op8_packing
 from tessera.llm.personal_data import op6_personal_data
 from tessera.llm.secret_scan import op4_secret_scan
@@ -41,6 +42,7 @@ def queries() -> dict:
         "op8_packing": op8_packing,
         "op9_decontamination": op9_decontamination,
         "op10_license_scan": op10_license_scan,
+        "op11_merkle_manifest": op11_merkle_manifest,
         "op12_best_fit_packing": op12_best_fit_packing,
         "pipeline": corpus_pipeline.run,
     }
@@ -48,4 +50,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1_SQL, "op3_exact_top_k": OP3_SQL}
+    return {"op1_url_filter": OP1_SQL, "op3_exact_top_k": OP3_SQL, "op11_merkle_manifest": OP11_SQL}
