@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
+from tessera.llm.alignment import op13_token_alignment
 from tessera.llm.best_fit_packing import op12_best_fit_packing
 from tessera.llm.decontaminate import op9_decontamination
 from tessera.llm.language import op7_language_id
@@ -44,6 +45,7 @@ def queries() -> dict:
         "op10_license_scan": op10_license_scan,
         "op11_merkle_manifest": op11_merkle_manifest,
         "op12_best_fit_packing": op12_best_fit_packing,
+        "op13_token_alignment": op13_token_alignment,
         "pipeline": corpus_pipeline.run,
     }
     return {key: _prepared(query) for key, query in found.items()}
