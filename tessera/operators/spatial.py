@@ -8,12 +8,12 @@ the poles; no join pairs all rows with all others.
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.sphere import chord, clip, haversine_km, rotated, xyz
+from tessera.operators.lines import eligible_segments, one_sided  # noqa: F401
 from tessera.plans.tables import materialise
 
 c = F.col
@@ -221,45 +221,6 @@ def assign_plate(points: DataFrame, polygons: DataFrame, static: DataFrame | Non
     return out.withColumn("plate_id", F.coalesce(plate, F.lit(missing).cast("int"))).drop("_a", "_b")
 
 
-def eligible_segments(segments: DataFrame) -> DataFrame:
-    """Trench lines with an overriding plate and a polarity that are no slab edges or flat slabs."""
-    polarity = F.when(c("polarity") == "Unknown", "None").otherwise(c("polarity"))
-    fine = ~c("over_plate").isin(-1, 0) & (polarity != "None") & ~F.contains(F.lower("type"), F.lit("slab edge")) & ~F.contains(F.lower("name"), F.lit("flat slab"))
-    return segments.withColumn("polarity", polarity).where(fine)
-
-
-def one_sided(points: DataFrame, segments: DataFrame, degrees: float = 6.0, same_plate: bool = False, pid: str = "point_id") -> DataFrame:
-    """``(pid, segment_id, deg)``: points within an angle of a trench line, on its overriding side.
-
-    The side is that of the great circle's normal for ``Left``, the other for ``Right``. With
-    ``same_plate`` the point must also lie on the overriding plate.
-    """
-    a, b = xyz(c("lon1"), c("lat1")), xyz(c("lon2"), c("lat2"))
-    mid = [(p + q) / 2 for p, q in zip(a, b)]
-    half = haversine_km(c("lon1"), c("lat1"), c("lon2"), c("lat2")) / 6371.0 / 2
-    seg = segments.withColumn("lon", F.degrees(F.atan2(mid[1], mid[0]))).withColumn("lat", F.degrees(F.atan2(mid[2], F.sqrt(mid[0] ** 2 + mid[1] ** 2)))).withColumn("_half", half)
-    # a segment is met within the angle and half its length; lengths go by powers of two of the angle
-    seg = seg.withColumn("_class", F.greatest(F.ceil(F.log2(F.degrees("_half") / degrees)), F.lit(0)).cast("int"))
-    classes = [r["_class"] for r in seg.where("_class is not null").select("_class").distinct().collect()]  # eight at most for 1 degree
-    parts = [pairs_within(points, seg.where(c("_class") == k), chord(degrees * (1 + 2**k)), ["age"]) for k in sorted(classes)]
-    both = reduce(DataFrame.unionByName, parts) if parts else pairs_within(points, seg.limit(0), chord(degrees), ["age"])
-    s = c("_r")
-    a, b, p = xyz(s["lon1"], s["lat1"]), xyz(s["lon2"], s["lat2"]), xyz(c("lon"), c("lat"))
-    cross = lambda u, v: (u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0])
-    dot = lambda u, v: u[0] * v[0] + u[1] * v[1] + u[2] * v[2]
-    n = cross(a, b)
-    size = F.sqrt(dot(n, n))
-    height = dot(p, n) / size
-    between = (dot(cross(n, a), p) >= 0) & (dot(cross(b, n), p) >= 0)
-    ends = F.least(haversine_km(c("lon"), c("lat"), s["lon1"], s["lat1"]), haversine_km(c("lon"), c("lat"), s["lon2"], s["lat2"])) / 6371.0
-    deg = F.degrees(F.when(between, F.asin(clip(F.abs(height), 0, 1))).otherwise(ends))
-    side = F.when(s["polarity"] == "Left", height > 0).otherwise(height < 0)
-    both = both.where(size > 0).withColumn("deg", deg).where(side & (c("deg") <= degrees))
-    if same_plate:
-        both = both.where(c("plate_id") == s["over_plate"])
-    return both.select(pid, s["segment_id"].alias("segment_id"), "deg")
-
-
 def clip_to_extent(points: DataFrame, lon: tuple[float, float], lat: tuple[float, float]) -> DataFrame:
     return points.where(c("lon").between(*lon) & c("lat").between(*lat))
 
