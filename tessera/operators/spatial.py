@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.sphere import chord, clip, haversine_km, rotated, xyz
 from tessera.operators.lines import eligible_segments, one_sided  # noqa: F401
+from tessera.operators.polygons import assign_plate, points_in_polygons, polygon_matches, rings  # noqa: F401
 from tessera.plans.tables import materialise
 
 c = F.col
@@ -168,59 +169,6 @@ def radius_mean(points: DataFrame, grid: DataFrame, degrees: float, on: list[str
     return found.join(near, pid, "left").select(*points.columns, F.coalesce("_mean", c("_t")[value]).alias(out))
 
 
-def rings(vertices: DataFrame, keep: list[str], poly: str = "poly_id") -> DataFrame:
-    """Polygons with their vertices in order as one array, closed."""
-    ring = F.transform(F.array_sort(F.collect_list(F.struct("seq", "lon", "lat"))), lambda v: F.struct(v["lon"].alias("lon"), v["lat"].alias("lat")))
-    return vertices.groupBy(poly, *keep).agg(ring.alias("ring"))
-
-
-def inside(ring: Column, lon: Column, lat: Column, boundary: bool = False) -> Column:
-    """Whether a point lies in a closed ring, by the parity of crossed edges; the edge counts if asked."""
-    n = F.size(ring)
-
-    def edge(a: Column, b: Column) -> Column:
-        cross = (b["lon"] - a["lon"]) * (lat - a["lat"]) - (lon - a["lon"]) * (b["lat"] - a["lat"])
-        on = (cross == 0) & lon.between(F.least(a["lon"], b["lon"]), F.greatest(a["lon"], b["lon"])) & lat.between(F.least(a["lat"], b["lat"]), F.greatest(a["lat"], b["lat"]))
-        cut = ((a["lat"] > lat) != (b["lat"] > lat)) & ((cross > 0) == (b["lat"] > a["lat"]))
-        return F.struct(on.alias("on"), cut.cast("int").alias("cut"))
-
-    edges = F.zip_with(F.slice(ring, 1, n - 1), F.slice(ring, 2, n - 1), edge)
-    touches = F.exists(edges, lambda e: e["on"])
-    odd = F.aggregate(edges, F.lit(0), lambda s, e: s + e["cut"]) % 2 == 1
-    return (odd | touches) if boundary else (odd & ~touches)
-
-
-def polygon_matches(points: DataFrame, polygons: DataFrame, on: list[str], boundary: bool = False, tile: float = 10.0) -> DataFrame:
-    """Each point with each polygon of equal keys that holds it (a struct ``_p``), through tiles of both."""
-    lons, lats = F.transform("ring", lambda v: v["lon"]), F.transform("ring", lambda v: v["lat"])
-    tiles = lambda x: F.explode(F.sequence(F.floor(F.array_min(x) / tile), F.floor(F.array_max(x) / tile)))
-    boxed = polygons.withColumn("_i", tiles(lons)).withColumn("_j", tiles(lats))
-    boxed = boxed.select(*on, *[c(x).alias(f"_p_{x}") for x in polygons.columns], "_i", "_j")
-    here = points.withColumns({"_i": F.floor(c("lon") / tile), "_j": F.floor(c("lat") / tile)})
-    both = here.join(boxed, [*on, "_i", "_j"]).where(inside(c("_p_ring"), c("lon"), c("lat"), boundary))
-    return both.select(*points.columns, F.struct(*[c(f"_p_{x}").alias(x) for x in polygons.columns if x != "ring"]).alias("_p"))
-
-
-def points_in_polygons(points: DataFrame, polygons: DataFrame, on: list[str], boundary: bool = False, pid: str = "point_id") -> DataFrame:
-    """The points that some polygon of equal keys holds."""
-    hit = polygon_matches(points, polygons, on, boundary).select(pid).distinct()
-    return points.join(hit, pid, "left_semi")
-
-
-def assign_plate(points: DataFrame, polygons: DataFrame, static: DataFrame | None, on: list[str], pid: str = "point_id", missing: int | None = -1) -> DataFrame:
-    """The plate of the topmost polygon: highest type rank, then smallest area; then static polygons."""
-    def top(polys: DataFrame, keys: list[str], name: str) -> DataFrame:
-        best = F.max_by(c("_p.plate_id"), F.struct("_p.type_rank", "_p.area_rank"))
-        return polygon_matches(points, polys, keys).groupBy(pid).agg(best.alias(name))
-
-    out = points.drop("plate_id").join(top(polygons, on, "_a"), pid, "left")
-    plate = c("_a")
-    if static is not None:
-        out = out.join(top(static, [], "_b"), pid, "left")
-        plate = F.coalesce("_a", "_b")
-    return out.withColumn("plate_id", F.coalesce(plate, F.lit(missing).cast("int"))).drop("_a", "_b")
-
-
 def clip_to_extent(points: DataFrame, lon: tuple[float, float], lat: tuple[float, float]) -> DataFrame:
     return points.where(c("lon").between(*lon) & c("lat").between(*lat))
 

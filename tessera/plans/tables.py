@@ -62,3 +62,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table that is read in fewer tasks than the session shuffles to, over all of them.
+
+    Costly work on a small table would else run in the few tasks that its files make. Tables that are
+    estimated to fill that many tasks by themselves stay as they are, and nothing is shuffled.
+    """
+    spark = df.sparkSession
+    parts, size = shuffle_partitions(spark), int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    per_task = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return df.repartition(parts) if size < parts * per_task else df
