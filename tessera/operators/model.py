@@ -143,7 +143,8 @@ def shapley(df: DataFrame, background: DataFrame, model, features: list[str], ke
     """``(key, feature, attribution)``: exact Shapley values of the score, against the background's medians.
 
     A row is scored with each subset of its features known and the others at the background's median:
-    ``2 ** len(features)`` copies, so for up to a dozen features; :func:`shapley_sample` is for more.
+    ``2 ** len(features)`` copies, so for up to a dozen features; ``attribution.tree_attributions`` has the
+    values against background rows, of forests over any number of features.
     """
     n = len(features)
     base = {f: quantiles(background, f, [0.5])[0] for f in features}

@@ -6,6 +6,7 @@ from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.sql import functions as F
 
 from tessera.functions import physics as P
+from tessera.operators import attribution as A
 from tessera.operators import evaluate as E
 from tessera.operators import model as M
 from tessera.operators import prepare as R
@@ -123,10 +124,36 @@ def m19_fit(s):
 
 @query("m21_held_out_auc", "fx_score")
 def m21(s):
-    mean, std = V.held_out_auc(R.exclude_zero(s, "erosion_m"), n=2)
+    mean, std = V.held_out_auc(R.exclude_zero(s, "erosion_m"), n=25)
     return s.agg(F.count("*").alias("n")).select("n", F.lit(mean).alias("mean_auc"), F.lit(std).alias("std_auc"))
 
 
+@query("m21_areas_given", "fx_score", sql=f"""
+WITH q AS (SELECT age, label, round(least(greatest(({LINEAR} + 0.5) / 1.3, 0.0), 1.0), 9) AS s FROM fx_score),
+r AS (SELECT age, label, rank() OVER (PARTITION BY age ORDER BY s) + (count(*) OVER (PARTITION BY age, s) - 1) / 2.0 AS rk FROM q), k AS (SELECT age, sum(label) AS p, count(*) AS n, sum(label * rk) AS s FROM r GROUP BY age)
+SELECT age, round((s - p * (p + 1) / 2.0) / (p * (n - p)), 6) AS auc FROM k""")
+def m21_areas(s):
+    """Areas of a given fit by age, all from one pass."""
+    scored = s.withColumn("probability", F.round(FIT.score(c("erosion_m")), 9))
+    return V.split_areas(scored, "age").select("age", F.round("auc", 6).alias("auc"))
+
+
+_B = ["1.0", *[f"b{k}" for k in range(8)]]
+_SUMS = [f"round(sum((label - p) * {b}), 4) AS g{i}" for i, b in enumerate(_B)] + [f"round(sum(p * (1 - p) * {_B[i]} * {_B[k]}), 4) AS h{i}{k}" for i in range(9) for k in range(i, 9)]
+
+
+@query("m19_newton_sums", "fx_score", sql=f"""
+WITH b AS (SELECT age, label, {', '.join(f'{b} AS b{k}' for k, b in enumerate(BASIS))} FROM fx_score),
+q AS (SELECT *, 1 / (1 + exp(-(-0.3 + {' + '.join(f'b{k} * {x}' for k, x in enumerate(COEF))}))) AS p FROM b)
+SELECT age, count(*) AS n, {', '.join(_SUMS)} FROM q GROUP BY age""")
+def m19_sums(s):
+    """Gradient and curvature of the likelihood at given coefficients, of all ages by one aggregation."""
+    rows = s.select("age", V.transform(c("erosion_m")).alias("x"), c("label").alias("y"))
+    given = s.sparkSession.createDataFrame([(k, LOW, HIGH, [-0.3, *COEF]) for k in range(5)], "age int, low double, high double, w array<double>")
+    found = V.newton_sums(rows, given, "age")
+    return found.select("age", "n", *[F.round(x, 4).alias(x) for x in found.columns if x not in ("age", "n")])
+
+
 def training(p):
     return R.impute_median(p, ["f2"]).select("point_id", "age", "weight", "label", *FEATURES)
 
@@ -191,7 +218,34 @@ def m15(p):
 @query("m16_shapley", "fx_point")
 def m16(p):
     rows, model = forest(p)
-    return M.shapley(rows, rows, model, FEATURES)
+    return A.tree_attributions(rows, rows, A.forest_leaves(model), FEATURES, weight="weight")
+
+
+@query("m16_shapley_cv", "fx_point")
+def m16_cv(p):
+    return A.attributions_cv(training(p), FEATURES, folds=5, repeats=1, trees=5, depth=4)
+
+
+UP, DOWN = float("inf"), -float("inf")
+#: Two small trees over the four features, each worth a half.
+GIVEN_LEAVES = [
+    A.leaf(0.1, {0: (DOWN, 10.0), 2: (DOWN, 150000.0)}), A.leaf(0.35, {0: (DOWN, 10.0), 2: (150000.0, UP)}), A.leaf(0.2, {0: (10.0, UP), 1: (DOWN, 0.0)}), A.leaf(0.45, {0: (10.0, UP), 1: (0.0, UP)}),
+    A.leaf(0.05, {3: (DOWN, 50.0)}), A.leaf(0.3, {3: (50.0, UP), 0: (DOWN, 10.0)}), A.leaf(0.15, {3: (50.0, UP), 0: (10.0, UP)}),
+]
+_MIX = "((x.k & s.s) | (z.k & (15 - s.s)))"
+
+
+@query("m16_shapley_given", "fx_point", sql=f"""
+WITH p AS (SELECT point_id, weight, CAST(lon <= 10 AS INT) + 2 * CAST(lat <= 0 AS INT) + 4 * CAST(f1 <= 150000 AS INT) + 8 * CAST(coalesce(f2 <= 50, false) AS INT) AS k FROM fx_point),
+z AS (SELECT k, sum(weight) / (SELECT sum(weight) FROM p) AS w FROM p GROUP BY k),
+v AS (SELECT x.k AS x, s.s, sum(z.w * ((CASE WHEN {_MIX} & 1 = 1 THEN CASE WHEN {_MIX} & 4 = 4 THEN 0.1 ELSE 0.35 END ELSE CASE WHEN {_MIX} & 2 = 2 THEN 0.2 ELSE 0.45 END END)
+  + (CASE WHEN {_MIX} & 8 = 8 THEN 0.05 WHEN {_MIX} & 1 = 1 THEN 0.3 ELSE 0.15 END))) AS v FROM (SELECT DISTINCT k FROM p) x CROSS JOIN (SELECT CAST(s AS INT) AS s FROM range(16) r(s)) s CROSS JOIN z GROUP BY ALL),
+a AS (SELECT v.x, i.i, sum((CASE bit_count(v.s) WHEN 0 THEN 1.0 / 4 WHEN 3 THEN 1.0 / 4 ELSE 1.0 / 12 END) * (u.v - v.v)) AS a FROM v JOIN (SELECT CAST(i AS INT) AS i FROM range(4) r(i)) i ON (v.s >> i.i) & 1 = 0 JOIN v u ON u.x = v.x AND u.s = v.s | (1 << i.i) GROUP BY ALL)
+SELECT point_id, CASE i WHEN 0 THEN 'lon' WHEN 1 THEN 'lat' WHEN 2 THEN 'f1' ELSE 'f2' END AS feature, round(CAST(a AS DOUBLE), 6) + 0.0 AS attribution FROM p JOIN a ON a.x = p.k""")
+def m16_given(p):
+    """Attributions of a given forest's score against all points, by the definition over sets of features."""
+    found = A.tree_attributions(p, p, GIVEN_LEAVES, FEATURES, weight="weight")
+    return found.select("point_id", "feature", (F.round("attribution", 6) + 0.0).alias("attribution"))
 
 
 @query("m17_score_points", "fx_point")
