@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.selection import parts
 from tessera.plans.ordered import quantiles
+from tessera.plans.tables import materialise
 
 c = F.col
 
@@ -120,7 +123,7 @@ def hashed(key: str, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), c(key))
 
 
-def _ranked(df: DataFrame, by: list[Column], key: str, seed: int, shares: int = 64) -> DataFrame:
+def _ranked(df: DataFrame, by: list[Column], key: str, seed: int) -> DataFrame:
     """``df`` with ``_rank``: the place of a row within its group in hashed order, from 1.
 
     Ranks are found in hash ranges, with counts of the ranges before, so a group may be of any size.
@@ -139,8 +142,10 @@ def _ranked(df: DataFrame, by: list[Column], key: str, seed: int, shares: int =
     return ranked.withColumn("_rank", c("_rank") + c("_before")).select(*df.columns, "_rank")
 
 
-def downsample(df: DataFrame, n: int, age_bins: int = 50, xy_bins: int = 10, seed: int = 42, key: str = "point_id") -> DataFrame:
-    """About n rows, spread over age quantiles and over equal-width cells of each; all rows if fewer."""
+def downsample(df: DataFrame, n: int, age_bins: int = 50, xy_bins: int = 10, seed: int = 42, key: str = "point_id", order: Column | None = None) -> DataFrame:
+    """About n rows, spread over age quantiles and over equal-width cells of each; all rows if fewer.
+
+    A cell gives its first rows in the order of ``order``, by default a hash of the key."""
     if df.count() < n:
         return df
     edges = sorted(set(quantiles(df, "age", [i / age_bins for i in range(age_bins + 1)]) or [0.0]))
@@ -151,41 +156,46 @@ def downsample(df: DataFrame, n: int, age_bins: int = 50, xy_bins: int = 10, see
     cell = lambda x: F.least(F.floor((c(x) - c(f"_min_{x}")) / F.nullif(c(f"_max_{x}") - c(f"_min_{x}"), F.lit(0.0)) * xy_bins), F.lit(xy_bins - 1))
     rows = rows.withColumn("_cell", F.struct("_a", F.coalesce(cell("lon"), F.lit(0)).alias("i"), F.coalesce(cell("lat"), F.lit(0)).alias("j")))
     cells = rows.groupBy("_a").agg(F.count_distinct("_cell").alias("_k"))
-    rows = rows.join(F.broadcast(cells), "_a")
     most = F.greatest(F.lit(1), F.floor(F.floor(F.lit(n) / (len(edges) - 1 or 1)) / c("_k")))
-    ranked = _ranked(rows.withColumn("_most", most), [c("_cell")], key, seed)
-    return ranked.where("_rank <= _most").select(*df.columns)
+    ranks = rows.select("_a", "_cell").distinct().join(F.broadcast(cells), "_a").select("_cell", most.alias("rank"))  # age_bins x xy_bins ** 2 at most
+    return parts(rows, ["_cell"], ranks, hashed(key, seed) if order is None else order).where("_part = 0").select(*df.columns)
 
 
 def split(df: DataFrame, fractions: list[float], seed: int = 42, key: str = "point_id") -> DataFrame:
     """``df`` with ``part`` 0, 1, ...: exact shares in hashed order."""
-    n = df.count()
-    ranked = _ranked(df, [F.lit(0)], key, seed)
-    part, total = F.lit(len(fractions) - 1), 0.0
-    bounds = []
+    n, total, bounds = df.count(), 0.0, []
     for f in fractions[:-1]:
         total += f
-        bounds.append(round(total * n))
-    for i, b in reversed(list(enumerate(bounds))):
-        part = F.when(c("_rank") <= b, i).otherwise(part)
-    return ranked.withColumn("part", part).drop("_rank")
+        bounds.append((round(total * n),))
+    ranks = df.sparkSession.createDataFrame(bounds, "rank long")
+    return parts(df, [], ranks, hashed(key, seed)).withColumnRenamed("_part", "part")
+
 
+def stratified_folds(df: DataFrame, k: int = 5, repeats: int = 1, seed: int = 42, key: str = "point_id", label: str = "label", order: Callable[[int], Column] | None = None) -> DataFrame:
+    """``df`` once for each repeat, with ``repeat`` and ``fold``; labels are spread evenly over folds.
 
-def stratified_folds(df: DataFrame, k: int = 5, repeats: int = 1, seed: int = 42, key: str = "point_id", label: str = "label") -> DataFrame:
-    """``df`` once for each repeat, with ``repeat`` and ``fold``; labels are spread evenly over folds."""
-    out = None
+    A label's rows are cut into k equal parts of a hashed order, which ``order`` may give for a repeat."""
+    out, sizes = None, df.groupBy(label).agg(F.count("*").alias("_n"))  # a row for each label
+    ends = F.array(*[F.floor(c("_n") * i / k) for i in range(1, k)] or [F.lit(1 << 62)])
     for r in range(repeats):
-        rows = _ranked(df, [c(label)], key, seed + r).withColumns({"repeat": F.lit(r), "fold": ((c("_rank") - 1) % k).cast("int")}).drop("_rank")
+        ranks = sizes.select(label, F.explode(F.array_distinct(ends)).alias("rank"))
+        rows = parts(df, [label], ranks, order(r) if order else hashed(key, seed + r))
+        # small labels have several folds that end at one rank
+        marks = sizes.select(c(label).alias("_label"), F.array_sort(F.array_distinct(ends)).alias("_d"), ends.alias("_e"))
+        rows = rows.join(F.broadcast(marks), c(label).eqNullSafe(c("_label")))
+        past = F.filter("_e", lambda e: (c("_part") > 0) & (e <= F.get("_d", c("_part") - 1)))
+        rows = rows.select(*df.columns, F.lit(r).alias("repeat"), F.size(past).alias("fold"))
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
 def random_holdouts(df: DataFrame, n: int = 25, fraction: float = 0.7, seed: int = 42, key: str = "point_id") -> DataFrame:
     """``df`` once for each split, with ``split_id`` and ``train``."""
-    total = df.count()
-    each = df.crossJoin(F.broadcast(df.sparkSession.range(n).withColumnRenamed("id", "split_id"))).withColumn("_key", F.xxhash64("split_id", key))
-    ranked = _ranked(each, [c("split_id")], "_key", seed)
-    return ranked.withColumn("train", c("_rank") <= int(fraction * total)).drop("_rank", "_key")
+    splits = df.sparkSession.range(n).withColumnRenamed("id", "split_id")
+    each = df.crossJoin(F.broadcast(splits))  # n copies of a row
+    ranks = splits.select("split_id", F.lit(int(fraction * df.count())).alias("rank"))
+    found = parts(each, ["split_id"], ranks, F.xxhash64(F.lit(seed), F.xxhash64("split_id", key)))
+    return found.withColumn("train", c("_part") == 0).drop("_part")
 
 
 def stack_labelled(deposits: DataFrame, unlabelled: DataFrame) -> DataFrame:
@@ -195,8 +205,8 @@ def stack_labelled(deposits: DataFrame, unlabelled: DataFrame) -> DataFrame:
 def balance_union(df: DataFrame, seed: int = 42, key: str = "point_id") -> DataFrame:
     """All positives and as many negatives in hashed order; rows of label 2 go."""
     positive = df.where("label = 1")
-    n = positive.count()
-    negative = _ranked(df.where("label = 0"), [F.lit(0)], key, seed).where(c("_rank") <= n).drop("_rank")
+    ranks = df.sparkSession.createDataFrame([(positive.count(),)], "rank long")
+    negative = parts(df.where("label = 0"), [], ranks, hashed(key, seed)).where("_part = 0").drop("_part")
     return positive.unionByName(negative)
 
 
@@ -222,18 +232,21 @@ def grid_nodes(spark, ages: list[int], res: float) -> DataFrame:
 def random_points(spark, ages: list[int], n: int, inside, seed: int = 42, factor: int = 8) -> DataFrame:
     """Exactly n points of each age, uniform on the sphere, among those that ``inside(df)`` keeps.
 
-    Draws ``factor`` times as many as asked for, and more while some age falls short; where 4096 times as
-    many don't do, what ``inside`` keeps is too small, and that is an error.
+    Draws ``factor`` times as many as asked for, and further ones while some age falls short; where 4096
+    times as many don't do, what ``inside`` keeps is too small, and that is an error.
     """
+    kept, start = None, 0
     while True:
-        ids = spark.range(len(ages) * n * factor).withColumn("age", F.element_at(F.array(*map(F.lit, ages)), (c("id") % len(ages) + 1).cast("int")))
+        end = len(ages) * n * factor
+        ids = spark.range(start, end).withColumn("age", F.element_at(F.array(*map(F.lit, ages)), (c("id") % len(ages) + 1).cast("int")))
         u = [(F.pmod(F.xxhash64(F.lit(seed + k), "id"), F.lit(1 << 53)) + 0.5) / float(1 << 53) for k in (0, 1)]
         drawn = ids.select(c("id").alias("point_id"), "age", (u[0] * 360 - 180).alias("lon"), F.degrees(F.asin(2 * u[1] - 1)).alias("lat"), F.lit(1.0).alias("weight"))
-        kept = inside(drawn)
-        ranked = kept.withColumn("_r", F.row_number().over(Window.partitionBy("age").orderBy("point_id"))).where(c("_r") <= n)
-        sizes = [r["n"] for r in ranked.groupBy("age").agg(F.count("*").alias("n")).collect()]
-        if len(sizes) == len(ages) and min(sizes, default=n) == n:
-            return ranked.drop("_r")
+        new = materialise(inside(drawn), "drawn")
+        kept = new if kept is None else kept.unionByName(new)
+        sizes = {r["age"]: r["n"] for r in kept.groupBy("age").agg(F.count("*").alias("n")).collect()}
+        if all(sizes.get(a, 0) >= n for a in ages):
+            ranks = spark.createDataFrame([(a, n) for a in ages], f"age {kept.schema['age'].dataType.simpleString()}, rank long")
+            return parts(kept, ["age"], ranks, hashed("point_id", seed)).where("_part = 0").drop("_part")
         if factor >= 4096:
             raise ValueError(f"fewer than {n} of {n * factor} points of some age are kept")
-        factor *= 4
+        start, factor = end, factor * 4

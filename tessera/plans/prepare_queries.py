@@ -178,9 +178,25 @@ def u02(p):
     return R.balance_union(positive.unionByName(most)).groupBy("label").agg(F.count("*").alias("n"))
 
 
-@query("i03_downsample", "fx_point")
+def order_by(seed: int):
+    """A hashed order of points that SQL has as well."""
+    return F.conv(F.substring(F.md5(F.concat(c("point_id").cast("string"), F.lit(f":{seed}"))), 1, 15), 16, 10).cast("long")
+
+
+def order_sql(seed: str) -> str:
+    return f"CAST('0x' || substr(md5(point_id || ':' || {seed}), 1, 15) AS BIGINT)"
+
+
+@query("i03_downsample", "fx_point", sql=f"""
+WITH e AS (SELECT list_sort(list_distinct(quantile_cont(CAST(age AS DOUBLE), [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]))) AS e FROM fx_point),
+a AS (SELECT p.*, len(e) AS m, greatest(len(list_filter(e, lambda x: x < p.age)), 1) AS b FROM fx_point p CROSS JOIN e),
+g AS (SELECT *, min(lon) OVER w AS x0, max(lon) OVER w AS x1, min(lat) OVER w AS y0, max(lat) OVER w AS y1 FROM a WINDOW w AS (PARTITION BY b)),
+k AS (SELECT *, coalesce(least(floor((lon - x0) / nullif(x1 - x0, 0) * 4), 3), 0) AS i, coalesce(least(floor((lat - y0) / nullif(y1 - y0, 0) * 4), 3), 0) AS j FROM g),
+n AS (SELECT b, count(DISTINCT (i, j)) AS k FROM k GROUP BY b),
+r AS (SELECT k.*, greatest(1, floor(floor(500 / greatest(m - 1, 1)) / n.k)) AS most, row_number() OVER (PARTITION BY b, i, j ORDER BY {order_sql("42")}) AS rk FROM k JOIN n USING (b))
+SELECT point_id, age, lon, lat FROM r WHERE rk <= most""")
 def i03(p):
-    return R.downsample(p, 500, 5, 4).select("point_id", "age", "lon", "lat")
+    return R.downsample(p, 500, 5, 4, order=order_by(42)).select("point_id", "age", "lon", "lat")
 
 
 @query("i04_split", "fx_point", sql="""
@@ -190,9 +206,11 @@ def i04(p):
     return R.split(p, [0.6, 0.2, 0.2]).groupBy("part").agg(F.count("*").alias("n"))
 
 
-@query("i05_stratified_folds", "fx_point")
+@query("i05_stratified_folds", "fx_point", sql=f"""
+WITH r AS (SELECT point_id, label, t.r, row_number() OVER (PARTITION BY label, t.r ORDER BY {order_sql("(42 + t.r)")}) AS rk, count(*) OVER (PARTITION BY label, t.r) AS n FROM fx_point CROSS JOIN (SELECT CAST(r AS INT) AS r FROM range(2) q(r)) t)
+SELECT point_id, label, r AS "repeat", CAST((rk > n * 1 // 5) AS INT) + CAST((rk > n * 2 // 5) AS INT) + CAST((rk > n * 3 // 5) AS INT) + CAST((rk > n * 4 // 5) AS INT) AS fold FROM r""")
 def i05(p):
-    return R.stratified_folds(p, 5, 2).select("point_id", "label", "repeat", "fold")
+    return R.stratified_folds(p, 5, 2, order=lambda r: order_by(42 + r)).select("point_id", "label", "repeat", "fold")
 
 
 @query("i06_random_holdouts", "fx_point", sql="SELECT CAST(s AS BIGINT) AS split_id, (SELECT CAST(floor(0.7 * count(*)) AS BIGINT) FROM fx_point) AS n FROM range(5) t(s)")
