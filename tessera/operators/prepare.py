@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.selection import parts
-from tessera.plans.ordered import quantiles
+from tessera.plans.ordered import grouped_quantiles, quantiles
 from tessera.plans.tables import materialise
 
 c = F.col
@@ -96,9 +96,10 @@ def exclude_zero(df: DataFrame, name: str) -> DataFrame:
 def impute_median(df: DataFrame, columns: list[str], by: str = "age") -> DataFrame:
     """NULL becomes the median of the row's age, or 0 where an age has no value.
 
-    Medians come from one aggregation by age, so no age's rows meet in one task.
+    Medians of all columns and ages come from one pass over counts of values; no age's rows meet in one task.
     """
-    medians = df.groupBy(by).agg(*[F.median(n).alias(f"_m_{n}") for n in columns])
+    found = grouped_quantiles(df, by, columns, [0.5])
+    medians = found.groupBy(by).agg(*[F.max(F.when(c("name") == n, c("q")[0])).alias(f"_m_{n}") for n in columns])
     both = df.join(medians, by, "left")
     filled = {n: F.coalesce(c(n), c(f"_m_{n}"), F.lit(0.0)) for n in columns}
     return both.withColumns(filled).select(*df.columns)

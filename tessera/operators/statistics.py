@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.sphere import EARTH_RADIUS_KM, clip
 from tessera.plans.components import connected_components
-from tessera.plans.ordered import quantiles, running_sums
+from tessera.plans.ordered import grouped_quantiles, quantiles, running_sums
 from tessera.plans.tables import materialise
 
 c = F.col
@@ -48,9 +48,11 @@ def spread_by_age(df: DataFrame, name: str, kind: str = "std", scale: bool = Fal
     """Sample standard deviation, or median absolute deviation, optionally scaled to one."""
     if kind == "std":
         return df.groupBy("age").agg(F.stddev_samp(name).alias("spread"))
-    middle = df.groupBy("age").agg(F.median(name).alias("_m"))
-    away = df.join(middle, "age").groupBy("age").agg(F.median(F.abs(c(name) - c("_m"))).alias("spread"))
-    return away.withColumn("spread", c("spread") * (1.4826 if scale else 1.0))
+    rows = df.select("age", c(name).cast("double").alias("_v"))
+    middle = grouped_quantiles(rows, "age", ["_v"], [0.5]).select("age", c("q")[0].alias("_m"))
+    away = grouped_quantiles(rows.join(middle, "age").select("age", F.abs(c("_v") - c("_m")).alias("_v")), "age", ["_v"], [0.5])
+    spread = away.select("age", (c("q")[0] * (1.4826 if scale else 1.0)).alias("spread"))
+    return df.where(c("age").isNotNull()).select("age").distinct().join(spread, "age", "left")
 
 
 def mean_by_location(df: DataFrame, columns: list[str], high: str | None = None) -> DataFrame:
@@ -76,8 +78,9 @@ def density_histogram(df: DataFrame, name: str, bins: int, reference: Column, gr
 
 
 def box_stats(df: DataFrame, name: str, group: str, whiskers: tuple[float, float] = (0.05, 0.95)) -> DataFrame:
-    q = F.percentile(c(name), F.array(*map(F.lit, (whiskers[0], 0.25, 0.5, 0.75, whiskers[1]))))
-    stats = df.groupBy(group).agg(q.alias("q"))
+    """Whiskers, quartiles and the number of values beyond the whiskers, by group."""
+    q = grouped_quantiles(df, group, [name], [whiskers[0], 0.25, 0.5, 0.75, whiskers[1]])
+    stats = df.select(c(group).alias("_k")).distinct().join(q, c("_k").eqNullSafe(c(group)), "left").select(c("_k").alias(group), "q")
     out = stats.select(group, *[c("q")[i].alias(k) for i, k in enumerate(("low", "q1", "median", "q3", "high"))])
     outlier = df.join(out, group).where((c(name) < c("low")) | (c(name) > c("high"))).groupBy(group).agg(F.count("*").alias("n_outliers"))
     return out.join(outlier, group, "left").withColumn("n_outliers", F.coalesce("n_outliers", F.lit(0)))
@@ -96,10 +99,10 @@ CLASSES = ["Very low", "Low", "Moderate", "High", "Very high"]
 
 def quantile_breaks(df: DataFrame, name: str, k: int = 5) -> list[float]:
     """k + 1 quantile edges; equal width if some fall together; an error without values."""
-    row = df.where(c(name).isNotNull() & ~F.isnan(name)).agg(F.percentile(c(name), F.array(*[F.lit(i / k) for i in range(k + 1)])).alias("q"), F.min(name).alias("lo"), F.max(name).alias("hi")).first()
-    if row["q"] is None:
+    q = quantiles(df.where(~F.isnan(name)), name, [i / k for i in range(k + 1)])
+    if q is None:
         raise ValueError("no finite values")
-    return list(row["q"]) if len(set(row["q"])) == k + 1 else [row["lo"] + (row["hi"] - row["lo"]) * i / k for i in range(k + 1)]
+    return q if len(set(q)) == k + 1 else [q[0] + (q[-1] - q[0]) * i / k for i in range(k + 1)]
 
 
 def classify(df: DataFrame, name: str, edges: list[float]) -> DataFrame:
@@ -239,8 +242,9 @@ def minmax_normalise(df: DataFrame, name: str, out: str | None = None) -> DataFr
 
 
 def order_by_median(df: DataFrame, columns: list[str]) -> DataFrame:
-    one = df.agg(*[F.median(x).alias(x) for x in columns])
-    rows = one.select(F.inline(F.array(*[F.struct(F.lit(x).alias("feature"), c(x).alias("median")) for x in columns])))
+    found = grouped_quantiles(df.select(F.lit(0).alias("_all"), *columns), "_all", columns, [0.5])
+    every = df.sparkSession.createDataFrame([(x,) for x in columns], "feature string")
+    rows = every.join(found.select(c("name").alias("feature"), c("q")[0].alias("median")), "feature", "left")
     return rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc("median"), "feature")))  # one row a feature
 
 

@@ -45,4 +45,24 @@ def quantiles(df: DataFrame, name: str, shares: list[float]) -> list[float] | No
     row = run.agg(*[F.min(F.when(F.col("to") > r, F.col("v"))).alias(f"r{r}") for r in ranks]).first()
     drop_files(run)
     at = lambda r: row[f"r{int(r)}"]
-    return [at(x) if x == math.floor(x) else (math.ceil(x) - x) * at(math.floor(x)) + (x - math.floor(x)) * at(math.ceil(x)) for x in places]
+    return [at(math.floor(x)) + (x - math.floor(x)) * (at(math.ceil(x)) - at(math.floor(x))) for x in places]  # equal ends stay as they are
+
+
+def grouped_quantiles(df: DataFrame, by: str, columns: list[str], shares: list[float]) -> DataFrame:
+    """``(by, name, q)``: exact quantiles of each column within each group, interpolated between the two
+    nearest ranks, for all groups and columns at once; a group without a value of a column has no row.
+
+    Values are counted by group and column, the counts run up by ranges of both, and one aggregation takes
+    the values at the ranks asked for: no buffer holds a group's values, and no task a whole group.
+    """
+    each = F.inline(F.array(*[F.struct(F.lit(x).alias("name"), F.col(x).cast("double").alias("v")) for x in columns]))
+    rows = df.select(F.col(by).alias("_by"), each).where("v is not null")
+    counts = rows.groupBy(F.struct("_by", "name").alias("_g"), "v").agg(F.count("*").alias("n"))
+    run = materialise(running_sums(counts, "v", {"n": "to"}, within="_g"), "counts")
+    both = run.join(run.groupBy("_g").agg((F.max("to") - 1).alias("_last")), "_g")
+    at = lambda rank: F.min(F.when(F.col("to") > rank, F.col("v")))
+    ends = [x.alias(f"_{k}{i}") for i, p in enumerate(shares) for k, x in (("a", at(F.floor(p * F.col("_last")))), ("b", at(F.ceil(p * F.col("_last")))))]
+    found = both.groupBy("_g").agg(F.first("_last").alias("_last"), *ends)
+    part = lambda p: p * F.col("_last") - F.floor(p * F.col("_last"))
+    between = [F.when(part(p) == 0, F.col(f"_a{i}")).otherwise(F.col(f"_a{i}") + part(p) * (F.col(f"_b{i}") - F.col(f"_a{i}"))) for i, p in enumerate(shares)]
+    return found.select(F.col("_g._by").alias(by), F.col("_g.name").alias("name"), F.array(*between).alias("q"))
