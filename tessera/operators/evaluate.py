@@ -56,6 +56,33 @@ def roc_auc(df: DataFrame, p: str = "probability", y: str = "label") -> DataFram
     return _curve(df, p, y).agg(F.sum(area).alias("auc"))
 
 
+def class_curves(df: DataFrame, scores: dict[int, str], y: str = "label") -> DataFrame:
+    """``(class, threshold, pos, neg, tp, fp, tpr, fpr)`` at each distinct score of each class, from the
+    highest down: a class against all others by its own score column in ``scores``.
+
+    All classes are counted in one pass and their counts run up over ranges of class and score. Rates of a
+    class that has no rows, or all of them, are null.
+    """
+    each = F.inline(F.array(*[F.struct(F.lit(k).alias("class"), c(s).cast("double").alias("threshold"), (c(y) == k).cast("int").alias("hit")) for k, s in scores.items()]))
+    steps = df.select(each).groupBy("class", "threshold").agg(F.sum("hit").alias("pos"), F.sum(1 - c("hit")).alias("neg"))
+    added = running_sums(steps, "threshold", {"pos": "tp", "neg": "fp"}, descending=True, within="class")
+    totals = added.groupBy("class").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))  # a row for each class
+    both = added.join(F.broadcast(totals), "class")
+    rates = {"tpr": c("tp") / F.nullif("_p", F.lit(0)), "fpr": c("fp") / F.nullif("_n", F.lit(0))}
+    return both.withColumns(rates).withColumn("_step", c("neg") / F.nullif("_n", F.lit(0)) * (2 * c("tp") - c("pos")) / F.nullif("_p", F.lit(0)) / 2)
+
+
+def roc_by_class(df: DataFrame, scores: dict[int, str], y: str = "label") -> DataFrame:
+    """``(class, threshold, tpr, fpr)``: a curve for each class."""
+    return class_curves(df, scores, y).select("class", "threshold", "tpr", "fpr")
+
+
+def auc_by_class(df: DataFrame, scores: dict[int, str], y: str = "label") -> DataFrame:
+    """``(class, auc)``: the area for each class, and that of class null, the mean over classes (macro)."""
+    own = class_curves(df, scores, y).groupBy("class").agg(F.sum("_step").alias("auc"))
+    return own.unionByName(own.agg(F.lit(None).cast("int").alias("class"), F.avg("auc").alias("auc")))
+
+
 def rank_auc(df: DataFrame, p: str = "probability", y: str = "label") -> DataFrame:
     """Mann-Whitney area with average ranks for ties."""
     steps = df.groupBy(c(p).alias("s")).agg(F.sum(y).alias("pos"), F.count("*").alias("n"))

@@ -192,6 +192,15 @@ def reconstruct_steps(points: DataFrame, rotation: DataFrame, step: int = 1) ->
     return reconstruct(each, rotation, "t").withColumnsRenamed({"rec_lon": "lon_t", "rec_lat": "lat_t"})
 
 
+def wide_positions(steps: DataFrame, ages: list[int], keep: list[str], pid: str = "point_id") -> DataFrame:
+    """One row a point with ``lon_{t}`` and ``lat_{t}`` for each age, NULL beyond its own, from a row a step.
+
+    Columns of ``keep`` are the same in all steps of a point.
+    """
+    at = lambda x, t: F.max(F.when(c("t") == t, c(f"{x}_t"))).alias(f"{x}_{t}")
+    return steps.groupBy(pid, *keep).agg(*[at(x, t) for t in ages for x in ("lon", "lat")])
+
+
 def always_on_continent(steps: DataFrame, continents: DataFrame, on: list[str], pid: str = "point_id") -> DataFrame:
     """The points of which every known position is in a continent."""
     known = steps.where("lon_t is not null and lat_t is not null").select(pid, "t", *[k for k in on if k != "t"], c("lon_t").alias("lon"), c("lat_t").alias("lat"))

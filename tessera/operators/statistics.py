@@ -248,13 +248,14 @@ def order_by_median(df: DataFrame, columns: list[str]) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc("median"), "feature")))  # one row a feature
 
 
-def age_trend(df: DataFrame, name: str, ages: DataFrame, fwhm: float, high: str | None = None) -> DataFrame:
-    """Mean by age of (high) rows, gaps filled, smoothed, with the spread beside it."""
+def age_trend(df: DataFrame, name: str, ages: DataFrame, fwhm: float, high: str | None = None, kind: str = "std", scale: bool = False) -> DataFrame:
+    """Mean by age of (high) rows, gaps filled, smoothed, with the spread beside it, of the kind and scale
+    of :func:`spread_by_age`."""
     from tessera.operators.spatial import complete_ages
 
     rows = df if high is None else df.where(c(high) > 0.5)
     mean = materialise(complete_ages(mean_by_age(rows, [name]), ages, name), "trend")
-    return gaussian_smooth(mean, name, fwhm).join(spread_by_age(rows, name), "age", "left")
+    return gaussian_smooth(mean, name, fwhm).join(spread_by_age(rows, name, kind, scale), "age", "left")
 
 
 # --- grids ---------------------------------------------------------------------------------------

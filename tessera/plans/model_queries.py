@@ -56,6 +56,28 @@ def m12_auc(s):
     return E.roc_auc(s).select(F.round("auc", 6).alias("auc"))
 
 
+def three_classes(s):
+    return s.select((c("point_id") % 3).cast("int").alias("kind"), "probability", (c("erosion_m") / 997).alias("s1"), (c("weight") / 3).alias("s2"))
+
+
+SCORES = {0: "probability", 1: "s1", 2: "s2"}
+BY_CLASS = """e AS (SELECT CAST(k AS INT) AS k, CASE k WHEN 0 THEN probability WHEN 1 THEN erosion_m / 997 ELSE weight / 3 END AS s, CAST(point_id % 3 = k AS INT) AS hit FROM fx_score CROSS JOIN range(3) t(k)),
+g AS (SELECT k, s, sum(hit) AS pos, sum(1 - hit) AS neg FROM e GROUP BY k, s),
+r AS (SELECT k, s, sum(pos) OVER w / (SELECT sum(pos) FROM g h WHERE h.k = g.k) AS tpr, sum(neg) OVER w / (SELECT sum(neg) FROM g h WHERE h.k = g.k) AS fpr FROM g WINDOW w AS (PARTITION BY k ORDER BY s DESC))"""
+
+
+@query("m12_roc_by_class", "fx_score", sql=f"""WITH {BY_CLASS} SELECT k AS "class", round(s, 6) AS threshold, round(tpr, 6) AS tpr, round(fpr, 6) AS fpr FROM r""")
+def m12_by_class(s):
+    found = E.roc_by_class(three_classes(s), SCORES, "kind")
+    return found.select("class", *[F.round(x, 6).alias(x) for x in ("threshold", "tpr", "fpr")])
+
+
+@query("m12_auc_by_class", "fx_score", sql=f"""WITH {BY_CLASS}, d AS (SELECT k, fpr - coalesce(lag(fpr) OVER w, 0) AS dx, tpr + coalesce(lag(tpr) OVER w, 0) AS y FROM r WINDOW w AS (PARTITION BY k ORDER BY s DESC)),
+a AS (SELECT k, sum(dx * y / 2) AS auc FROM d GROUP BY k) SELECT k AS "class", round(auc, 6) AS auc FROM a UNION ALL SELECT NULL, round(avg(auc), 6) FROM a""")
+def m12_auc_by_class(s):
+    return E.auc_by_class(three_classes(s), SCORES, "kind").withColumn("auc", F.round("auc", 6))
+
+
 @query("w06_rank_auc", "fx_score", sql="""
 WITH r AS (SELECT label, rank() OVER (ORDER BY probability) + (count(*) OVER (PARTITION BY probability) - 1) / 2.0 AS rk FROM fx_score), k AS (SELECT sum(label) AS p, count(*) AS n, sum(label * rk) AS s FROM r)
 SELECT round((s - p * (p + 1) / 2.0) / (p * (n - p)), 6) AS auc FROM k""")
@@ -194,9 +216,15 @@ def m07(p):
     return M.probability(rows, model, FEATURES).select("point_id", "label", "probability")
 
 
-@query("m08_calibrate_isotonic", "fx_score")
+@query("m08_calibrate_isotonic", "fx_score", sql="""
+WITH s AS (SELECT probability AS p, sum(weight) AS w, sum(weight * label) AS y FROM fx_score GROUP BY probability),
+q AS (SELECT p, w, y, row_number() OVER (ORDER BY p) AS i, sum(w) OVER (ORDER BY p) AS cw, sum(y) OVER (ORDER BY p) AS cy FROM s),
+m AS (SELECT a.i AS a, b.i AS i, min((b.cy - a.cy + a.y) / (b.cw - a.cw + a.w)) OVER (PARTITION BY a.i ORDER BY b.i DESC) AS low FROM q a JOIN q b ON a.i <= b.i),
+f AS (SELECT i, max(low) AS calibrated FROM m GROUP BY i)
+SELECT point_id, probability, round(calibrated, 6) AS calibrated FROM fx_score JOIN q ON q.p = probability JOIN f USING (i)""")
 def m08(s):
-    return M.calibrate_isotonic(s).transform(s).select("point_id", "probability", "calibrated")
+    """Spark pools violators in ranges of scores, then the blocks of all ranges; SQL has the min-max formula."""
+    return M.calibrate_isotonic(s).transform(s).select("point_id", "probability", F.round("calibrated", 6).alias("calibrated"))
 
 
 @query("m13_gini_importance", "fx_point")

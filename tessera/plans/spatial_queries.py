@@ -217,6 +217,15 @@ def c14_reconstruct_steps(p, r):
     return S.reconstruct_steps(p, r).select("point_id", "t", F.round("lon_t", 5).alias("lon"), F.round("lat_t", 5).alias("lat"))
 
 
+_WIDE = ", ".join(f"round(max(st.{x}) FILTER (st.t = {t}), 5) AS {x}_{t}" for t in range(5) for x in ("lon", "lat"))
+
+
+@query("c14_wide_positions", "fx_point", "fx_rotation", sql=f"WITH {STEPS} SELECT point_id, p.age, {_WIDE} FROM st JOIN fx_point p USING (point_id) GROUP BY point_id, p.age")
+def c14_wide_positions(p, r):
+    wide = S.wide_positions(S.reconstruct_steps(p, r), list(range(5)), ["age"])
+    return wide.select("point_id", "age", *[F.round(f"{x}_{t}", 5).alias(f"{x}_{t}") for t in range(5) for x in ("lon", "lat")])
+
+
 @query("c15_always_on_continent", "fx_point", "fx_rotation", "fx_ring", sql=f"""
 WITH {STEPS}, sp AS (SELECT *, point_id || ':' || t AS pt FROM st WHERE lon IS NOT NULL), {EDGES}, h AS (SELECT DISTINCT pt FROM ({inside_sql('sp', 'pt')}))
 SELECT DISTINCT point_id FROM fx_point WHERE point_id NOT IN (SELECT point_id FROM sp WHERE pt NOT IN (SELECT pt FROM h))""")

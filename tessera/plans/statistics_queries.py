@@ -212,6 +212,12 @@ def d22(s):
     return _r(T.age_trend(s, "erosion_m", s, 2.5, "probability"), erosion_m=c("erosion_m"), spread=c("spread"))
 
 
+@query("d22_age_trend_mad", "fx_score", sql=f"""WITH h AS (SELECT * FROM fx_score WHERE probability > 0.5), m AS (SELECT a.age, coalesce(b.v, (SELECT avg(v) FROM (SELECT avg(erosion_m) AS v FROM h GROUP BY age))) AS v FROM (SELECT DISTINCT age FROM fx_score) a LEFT JOIN (SELECT age, avg(erosion_m) AS v FROM h GROUP BY age) b USING (age)), {SMOOTH.format(f='2.5')}
+SELECT s.age, round(s.v, 6) AS erosion_m, round(d.spread * 1.4826, 6) AS spread FROM s LEFT JOIN (SELECT age, mad(erosion_m) AS spread FROM h GROUP BY age) d USING (age)""")
+def d22_mad(s):
+    return _r(T.age_trend(s, "erosion_m", s, 2.5, "probability", "mad", True), erosion_m=c("erosion_m"), spread=c("spread"))
+
+
 @query("w05_minmax_normalise", "fx_score", sql="SELECT point_id, round((erosion_m - lo) / (hi - lo), 6) AS erosion_m FROM fx_score CROSS JOIN (SELECT min(erosion_m) AS lo, max(erosion_m) AS hi FROM fx_score)")
 def w05(s):
     return T.minmax_normalise(s, "erosion_m").select("point_id", F.round("erosion_m", 6).alias("erosion_m"))
