@@ -14,6 +14,8 @@ RHO_WATER = 1020.0
 SURFACE_POROSITY, POROSITY_DECAY_M = 0.66, 1333.0
 BOUND_FRACTION, RHO_SEDIMENT = 0.07, 1700.0
 LAYERS_M = (300.0, 300.0, 1400.0, 5000.0)
+#: A and b of a / (half rate + b), fitted beforehand to the low and to the high published
+#: water contents of the mantle lithosphere by spreading rate.
 MANTLE_LOW, MANTLE_HIGH = (362099.0448, 1.1506428), (273166.6559, 0.8576631)
 ARC_DEPTH_KM = 125.0
 MOHO_PRESSURE_BAR = 125e3 * 9.81 * 3500e3 * 1e-8
@@ -41,6 +43,7 @@ def sedimentary_water(thickness_m: Column) -> tuple[Column, Column]:
 
 def _layers(age: Column) -> list[tuple[Column, Column]]:
     """Porosity and grain density of the four crustal layers at a sea-floor age."""
+    # fixed values: published fits of porosity (%) and grain density (g/cm3) by layer to the crust's age
     macro, log = 13.01 - 5.625 * F.log10(age), F.log10(age)
     porosity = [7.8 + macro, 5.1 + macro / 2, F.lit(2.2 + 0.84), F.lit(0.7)]
     grain = [3.01 - 0.0631 * log, 3.01 - 0.5 * 0.0631 * log, F.lit(2.98), F.lit(2.99)]
@@ -62,6 +65,7 @@ def crustal_pore_water(age: Column, fixed: bool = False) -> Column:
 
 
 def crustal_bound_water(age: Column, fixed: bool = False) -> Column:
+    # fixed values: published bound water (%) by layer
     macro = 13.01 - 5.625 * F.log10(age)
     total = F.lit(0.0)
     for i, ((porosity, grain), height) in enumerate(zip(_layers(age), LAYERS_M)):
@@ -77,6 +81,7 @@ def mantle_lithosphere_water(half_rate: Column) -> Column:
 
 
 def base_lithosphere_water(half_rate: Column) -> Column:
+    # fixed values: a published line of serpentinised mantle by spreading rate
     u = F.abs(half_rate)
     return clip((0.8807 + 0.262 * (u - 3.0)) / F.nullif(u * 1e-2, F.lit(0.0)) * 1e3 / RHO_WATER, 0)
 
@@ -125,6 +130,7 @@ def thermal_parameter(age: Column, velocity: Column, dip_deg: Column) -> Column:
 
 def slab_temperatures(phi: Column) -> tuple[Column, Column, Column]:
     """Sediments, volcanics and Moho in degrees Celsius."""
+    # fixed values: published fits to the thermal parameter
     return 1331.0 - 58.6 * F.log(phi), 1303.0 - 60.23 * F.log(phi), 1622.0 - 132.5 * F.log(phi)
 
 
