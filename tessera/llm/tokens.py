@@ -207,10 +207,16 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: int = 1, size: int = 2_0
     _give_back()
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> BatchEncoder:
+    """The worker's encoder: what it remembers is bounded, so it may outlive a task and serve the next."""
+    return BatchEncoder(path)
+
+
 def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Of each batch ``(doc_id, text)``, in parts: the part, its ids with ``end_id`` after each text's, and
     the place of each text's first id, at last their number."""
-    encode = BatchEncoder(path)
+    encode = _encoder(path)
     for b in by_bytes(batches, size=STRETCH):
         ids, at = encode(b.column(1))
         yield b, np.insert(ids, at[1:], end_id), at + np.arange(len(at))
