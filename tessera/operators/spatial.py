@@ -12,8 +12,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.sphere import chord, clip, haversine_km, rotated, xyz
+from tessera.functions.sphere import chord, clip, rotated, xyz
 from tessera.operators.lines import eligible_segments, one_sided  # noqa: F401
+from tessera.operators.octree import nearest_ids
 from tessera.operators.polygons import assign_plate, points_in_polygons, polygon_matches, rings  # noqa: F401
 from tessera.plans.tables import materialise
 
@@ -39,76 +40,20 @@ def pairs_within(left: DataFrame, right: DataFrame, side: float, on: list[str])
     return both.withColumn("_d2", d2).where(c("_d2") <= side * side * (1 + 1e-12)).select(*left.columns, "_r", "_d2")
 
 
-def _km(lon: str = "lon", lat: str = "lat") -> Column:
-    return haversine_km(c(lon), c(lat), c("_r")["lon"], c("_r")["lat"])
-
-
 def nearest(points: DataFrame, targets: DataFrame, on: list[str], pid: str, tid: str, lon: str = "lon", lat: str = "lat") -> DataFrame:
     """``(pid, _t, distance_km)``: the nearest target of equal keys as a struct; ties to the smaller id.
 
-    A first pass looks in cubes that hold some ten targets around a point; what it finds within a
-    cube's side is final. The points left look among occupied cubes instead of targets, in ever wider
-    surroundings: the nearest cube bounds how far the nearest target is, and only targets of the cubes
-    within that bound are compared. So a point far from all targets never meets all of them. Ids are
-    unique within their keys; only ids and places are copied into neighbouring cubes. Points without
-    coordinates or without a target of their keys are absent.
+    Ids are unique within their keys; only ids and places go through the octree of the targets (see
+    :func:`tessera.operators.octree.nearest_ids`). Points without coordinates or without a target of
+    their keys are absent.
     """
     targets = targets.where(c("lon").isNotNull() & c("lat").isNotNull())
-    lean = targets.select(*on, c(tid).alias("_id"), "lon", "lat")
     points = points.where(c(lon).isNotNull() & c(lat).isNotNull()).select(pid, *on, c(lon).alias("lon"), c(lat).alias("lat"))
-    n = targets.groupBy(*on).agg(F.count("*").alias("n")).agg(F.avg("n").alias("n")).first()["n"] or 1.0
-    side = min(1.0, math.sqrt(12 * 4 * math.pi / (9 * n)))
-
-    def best(both: DataFrame) -> DataFrame:
-        least = F.min(F.struct(F.round(_km(), 6).alias("km"), c("_r._id").alias("id"), _km().alias("exact")))
-        return materialise(both.groupBy(pid, *on).agg(least.alias("b")).select(pid, *on, c("b.id").alias(tid), c("b.exact").alias("distance_km")), "nearest")
-
-    found = best(pairs_within(points, lean, side, on))
-    rest = materialise(points.join(found.select(pid), pid, "left_anti"), "far")
-    if rest.limit(1).count():
-        own = _cubes(lean, side, False)
-        cube = [c(f"_c{a}").alias(f"_k{a}") for a in "xyz"]
-        cubes = materialise(own.select(*on, *cube).distinct(), "cubes")
-        near = _near_cubes(rest, cubes, side, on, pid)
-        inside_ = own.select(*on, *cube, F.struct("_id", "lon", "lat").alias("_r"))
-        found = found.unionByName(best(near.join(inside_, [*on, "_kx", "_ky", "_kz"])))
+    found = nearest_ids(points, targets, on, pid, tid)
     full = targets.dropDuplicates([*on, tid]).select(*on, tid, F.struct(*targets.columns).alias("_t"))
     return found.join(full, [*on, tid]).select(pid, "_t", "distance_km")
 
 
-def _near_cubes(points: DataFrame, cubes: DataFrame, side: float, on: list[str], pid: str) -> DataFrame:
-    """Each point with the occupied cubes ``_kx, _ky, _kz`` that its nearest target may lie in.
-
-    If the nearest centre of a cube is at a distance d, a target is at most d and half a diagonal away,
-    and so in a cube whose centre is at most d and a whole diagonal away. A point is settled in the first
-    width, of ever four times the last, that covers this.
-    """
-    diagonal = side * math.sqrt(3)
-    centre = [(c(f"_k{a}") + 0.5) * side for a in "xyz"]
-    mid = cubes.withColumns({f"_{a}": x for a, x in zip("uvw", centre)})
-    rest, out, width = points, None, 2 * side
-    while True:
-        last = width > 2 + 2 * diagonal
-        cell = {f"_c{a}": F.floor(c(f"_{b}") / width) for a, b in zip("xyz", "uvw")}
-        right = mid.withColumns(cell)
-        left = rest.withColumns(dict(zip(("_x", "_y", "_z"), xyz(c("lon"), c("lat")))))
-        left = left.withColumns({f"_c{a}": F.floor(c(f"_{a}") / width) for a in "xyz"})
-        for a in "xyz":  # the points are the fewer ones here
-            left = left.withColumn(f"_c{a}", F.explode(F.array(*[c(f"_c{a}") + d for d in (-1, 0, 1)])))
-        far = F.sqrt((c("_x") - c("_u")) ** 2 + (c("_y") - c("_v")) ** 2 + (c("_z") - c("_w")) ** 2)
-        both = left.join(right, [*on, "_cx", "_cy", "_cz"]).select(*points.columns, "_kx", "_ky", "_kz", far.alias("_d"))
-        bound = F.min("_d").over(Window.partitionBy(pid)) + diagonal * 1.001
-        got = both.withColumn("_bound", bound).where(c("_d") <= c("_bound"))
-        got = materialise((got if last else got.where(c("_bound") <= width)).drop("_d", "_bound"), "near-cubes")
-        out = got if out is None else out.unionByName(got)
-        if last:
-            return out
-        rest = materialise(rest.join(got.select(pid).distinct(), pid, "left_anti"), "far")
-        if not rest.limit(1).count():
-            return out
-        width *= 4
-
-
 def nearest_k(points: DataFrame, targets: DataFrame, k: int, on: list[str], pid: str, tid: str, lon: str = "lon", lat: str = "lat") -> DataFrame:
     """``(pid, tid)``: the k targets of equal keys with the least sum of differences in degrees, ties to
     the smaller id.
