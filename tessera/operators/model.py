@@ -85,12 +85,30 @@ def pu_bagging(df: DataFrame, features: list[str], bags: int = 10, share: float
     return rows.select(key, "label", (votes / bags).alias("probability"))
 
 
-def tune(df: DataFrame, features: list[str], settings: int = 5, folds: int = 3, metric: str = "f1", seed: int = 42):
-    """Cross-validated choice among sampled settings of a forest: F1, or area under the ROC curve."""
+def tune(df: DataFrame, features: list[str], settings: int = 50, folds: int = 5, metric: str = "f1", seed: int = 42, rungs: int = 3, keep: int = 3, trees: tuple[int, int] = (10, 50), depth: tuple[int, int] = (3, 10), key: str = "point_id"):
+    """Cross-validated choice among sampled settings of a forest: F1, or area under the ROC curve.
+
+    Successive halving: the first rung grows a part of each setting's trees, the best one in ``keep`` goes
+    on to the next rung with ``keep`` times as many, the last rung grows all. Every rung uses all rows, in
+    the same stratified folds of one written table. ``rungs=1`` is the full search.
+
+    Returns the last rung's model and all scores, ``(rung, setting, trees, depth, score, kept)``, best first;
+    ties go to the setting drawn first.
+    """
     forest, rnd = RandomForestClassifier(seed=seed, weightCol="weight"), random.Random(seed)
-    maps = [{forest.numTrees: rnd.randrange(10, 50), forest.maxDepth: rnd.randrange(3, 10)} for _ in range(settings)]
+    left = [(k, rnd.randrange(*trees), rnd.randrange(*depth)) for k in range(settings)]
     judge = MulticlassClassificationEvaluator(metricName="f1") if metric == "f1" else BinaryClassificationEvaluator()
-    return CrossValidator(estimator=forest, estimatorParamMaps=maps, evaluator=judge, numFolds=folds, parallelism=4, seed=seed).fit(with_vector(df, features))
+    rows = with_vector(materialise(stratified_folds(df, folds, 1, seed, key), "folds"), features).select("features", "label", "weight", "fold")
+    scores, fitted = [], None
+    for rung in range(rungs):
+        grown = [max(1, math.ceil(n / keep ** (rungs - 1 - rung))) for _, n, _ in left]
+        maps = [{forest.numTrees: n, forest.maxDepth: d} for n, (_, _, d) in zip(grown, left)]
+        fitted = CrossValidator(estimator=forest, estimatorParamMaps=maps, evaluator=judge, numFolds=folds, foldCol="fold", parallelism=4, seed=seed).fit(rows)
+        order = sorted(range(len(left)), key=lambda i: (-fitted.avgMetrics[i], left[i][0]))
+        on = 1 if rung == rungs - 1 else math.ceil(len(left) / keep)
+        scores += [(rung, left[i][0], grown[i], left[i][2], float(fitted.avgMetrics[i]), at < on) for at, i in enumerate(order)]
+        left = [left[i] for i in sorted(order[:on])]
+    return fitted, df.sparkSession.createDataFrame(scores, "rung int, setting int, trees int, depth int, score double, kept boolean")
 
 
 def gini_importance(df: DataFrame, features: list[str], folds: int = 5, repeats: int = 1, trees: int = 10) -> DataFrame:
