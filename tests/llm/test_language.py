@@ -7,6 +7,7 @@ from collections import Counter
 import pyarrow as pa
 import pytest
 
+import corpus_pipeline
 from tessera.llm.language import EDGE, PROFILE, TOP, Profiles, identify, keep_known_languages, learn_profiles, op7_language_id
 
 LANGS = {"xx": "abcde", "yy": "cdefg", "zz": "éèabc"}
@@ -109,6 +110,49 @@ def test_calls_too_close_are_dropped(spark):
     assert keep_known_languages(docs.limit(0)).count() == 0
 
 
+def test_pipeline_stage_rejects_by_language(spark):
+    """The stage keeps what a plain version keeps: all clear texts, no close call, no script that nothing is learnt of."""
+    rnd = random.Random(9)
+    words = lambda letters, n: ["".join(rnd.choices(letters, k=rnd.randint(2, 6))) for _ in range(n)]
+    letters = {"x": "abcdefg", "y": "klmnopq", "z": "stuvwxy"}
+    rows = [(k, " ".join(words(letters["xyz"[k % 3]], 40)), "xyz"[k % 3]) for k in range(150)]
+    for k in range(200, 260):  # two languages in turn, under the name of either or of the third
+        a, b, c = rnd.sample("xyz", 3)
+        rows.append((k, " ".join(w for p in zip(words(letters[a], 20), words(letters[b], 20)) for w in p), rnd.choice([a, b, c, None])))
+    rows += [(300, " ".join(words("αβγδε", 30)), None), (301, " ".join(words(letters["y"], 30)), None), (302, "12 !", "x"), (303, None, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    counts = {}
+    for _, text, lang in rows:
+        if lang and text is not None:
+            counts.setdefault(lang, Counter()).update(plain_grams(text))
+    profiles = {lang: order(c, PROFILE) for lang, c in counts.items()}
+    calls = {k: plain_prediction(text, profiles) for k, text, _ in rows}
+    own = [(int(calls[k][1] * 100), calls[k][0] == lang, zlib.crc32(text.encode()) % 2) for k, text, lang in rows if lang and calls[k][0] != "und"]
+    ahead = lambda cut, half: sum(1 - 2 * right for step, right, h in own if step < cut and h == half)
+    cuts = [c for c in range(102) if min(ahead(c, 0), ahead(c, 1)) > 0]
+    least = max(cuts, key=lambda c: (ahead(c, 0) + ahead(c, 1), -c), default=0) / 100
+    want = sorted(k for k, (name, score) in calls.items() if name != "und" and score > 0 and score >= least)
+    got = sorted(r.doc_id for r in dict(corpus_pipeline.STAGES)["language_id"](spark, docs, "").collect())
+    assert got == want and set(range(150)) | {301} <= set(got)
+    assert 300 not in got and least > 0 and sum(200 <= k < 260 for k in got) < 40
+
+
+def test_a_stray_label_drops_nothing(spark):
+    rows = [(k, "abc bca " * (k % 3 + 1), "x") for k in range(9)] + [(10 + k, "klm mlk " * (k % 3 + 1), "y") for k in range(9)] + [(20, "abc bca klm", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert keep_known_languages(docs, least=None).count() == len(rows)
+
+
+def test_scripts_without_a_language_are_dropped(spark):
+    """No labelled call is wrong, so none is too close, but a text that is as far from all languages has none."""
+    rows = [(k, " ".join(["abc", "bca", "ab"][: k % 3 + 1]), "x") for k in range(9)] + [(10 + k, "klm mlk", "y") for k in range(9)]
+    rows += [(30, "αβγ βγα", None), (31, "klm", None), (32, "дом", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in keep_known_languages(docs, least=None).collect()} == {k for k, *_ in rows} - {30, 32}
+    assert keep_known_languages(docs).count() == len(rows)
+    assert {r.doc_id for r in keep_known_languages(docs.where("lang is null or lang = 'x'"), least=None).collect()} == set(range(9))
+
+
 def test_distance_is_out_of_place():
     p = Profiles({"one": [97, 98], "two": [98, 97]})
     assert p.predict(pa.array(["aab"]))[0][0] == "one" and p.predict(pa.array(["abb"]))[0][0] == "two"
