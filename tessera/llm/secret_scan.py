@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,9 +25,6 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: Shortest candidate: as short as a labelled credential can be.
 SHORTEST = 6
-#: Labelled credentials of each kind that automata are learnt from, at most, and the longest of them: a
-#: documented bound of the training sample, taken in the order of a hash. All else covers all documents.
-SAMPLE, LONGEST = 4000, 512
 #: Probability that an added span must have, and share of decoys that added spans may have.
 SURE, DECOYS = 0.9, 0.01
 
@@ -96,24 +94,60 @@ class State:
 
 
 class Automaton:
-    """A deterministic probabilistic automaton, by merging the compatible states of a prefix tree."""
+    """A deterministic probabilistic automaton, by merging the compatible states of a prefix tree.
 
-    def __init__(self, strings: list[list[int]], alpha: float = 0.5) -> None:
-        self.states, self.alpha = [State()], alpha
-        for s in strings:
+    ``times`` tells how often each string occurs. ``_run`` of a state of the tree is how many steps on there
+    is but one symbol, ``_first``, and no end; it is 0 where another symbol or an end may come first, and
+    where a fold has changed what follows. ``_clean`` states can't go on by that symbol after these steps.
+    """
+
+    def __init__(self, strings: list[list[int]], alpha: float = 0.5, times: list[int] | None = None) -> None:
+        self.states, self.alpha, self._parent = [State()], alpha, [-1]
+        for s, n in zip(strings, times or [1] * len(strings)):
             at = 0
             for c in s:
                 state = self.states[at]
-                state.passes += 1
-                state.counts[c] = state.counts.get(c, 0) + 1
+                state.passes += n
+                state.counts[c] = state.counts.get(c, 0) + n
                 if c not in state.to:
                     state.to[c] = len(self.states)
                     self.states.append(State())
+                    self._parent.append(at)
                 at = state.to[c]
-            self.states[at].passes += 1
-            self.states[at].ends += 1
+            self.states[at].passes += n
+            self.states[at].ends += n
+        self._measure()
         self._merge_all()
 
+    def _measure(self) -> None:
+        n = len(self.states)
+        self._run, self._first, self._clean = np.zeros(n, np.int64), np.full(n, -1), np.zeros(n, bool)
+        self._passes = np.array([max(1, s.passes) for s in self.states], np.float64)
+        for i in range(n - 1, -1, -1):  # states come after those that lead to them
+            s = self.states[i]
+            if len(s.to) == 1 and not s.ends:
+                (c, t), = s.to.items()
+                on = self._first[t] == c
+                self._first[i], self._run[i] = c, 1 + (self._run[t] if on else 0)
+                self._clean[i] = self._clean[t] if on else c not in self.states[t].to
+
+    def _changed(self, t: int) -> None:
+        """Runs through a state that a fold changes, or whose way does, are known no more."""
+        far = 0
+        while t >= 0 and (not far or self._run[t] >= far):
+            self._run[t] = 0
+            t, far = self._parent[t], far + 1
+
+    def _may_fit(self, settled: np.ndarray, b: int) -> np.ndarray:
+        """Settled states without those that differ from b for sure: their runs are of other symbols, or one
+        ends before the other does."""
+        if not self._run[b]:
+            return settled
+        run, other = self._run[settled], self._first[settled] != self._first[b]
+        shorter = np.where(run < self._run[b], self._clean[settled], self._clean[b]) & (run != self._run[b])
+        bound = math.sqrt(0.5 * math.log(2 / self.alpha)) * (1 / np.sqrt(self._passes[settled]) + 1 / np.sqrt(self._passes[b]))
+        return settled[~((run > 0) & (other | shorter) & (bound < 1))]
+
     def _differ(self, f: int, n: int, g: int, m: int) -> bool:
         """Whether two observed frequencies differ by more than their Hoeffding bound."""
         if not n or not m:
@@ -141,6 +175,7 @@ class Automaton:
         while pairs:
             a, b = pairs.pop()
             x, y = self.states[a], self.states[b]
+            self._changed(a)
             x.passes += y.passes
             x.ends += y.ends
             for c, n in y.counts.items():
@@ -154,19 +189,22 @@ class Automaton:
         """Settled states stay; the states they lead to, in the order of the tree, are folded into the
         first compatible settled one, or settle."""
         settled, inside, at = [0], {0}, 0
+        array = np.zeros(len(self.states), np.int64)
         while at < len(settled):
             open_ = [c for c in sorted(self.states[settled[at]].to) if self.states[settled[at]].to[c] not in inside]
             if not open_:
                 at += 1
                 continue
             b = self.states[settled[at]].to[open_[0]]
-            for a in settled:
+            for a in self._may_fit(array[: len(settled)], b).tolist():
                 if self._compatible(a, b):
+                    self._changed(settled[at])
                     self.states[settled[at]].to[open_[0]] = a
                     self._fold(a, b)
                     at = 0  # a fold may open steps of states before
                     break
             else:
+                array[len(settled)] = b
                 settled.append(b)
                 inside.add(b)
         number = {s: i for i, s in enumerate(settled)}
@@ -206,10 +244,13 @@ class Formats:
 
         All strings take a step at once; a symbol stands for as many characters in both, so these cancel.
         """
+        return self.leads_of(symbols(raw, offsets[:-1]) if len(raw) else np.zeros(0, np.int64), offsets)
+
+    def leads_of(self, x: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The same, of the strings' symbols."""
         n = np.diff(offsets)
         if not self.automata or not len(n):
             return np.full(len(n), -math.inf)
-        x = symbols(raw, offsets[:-1])
         before = np.concatenate([[END], x[:-1]])
         before[offsets[:-1]] = END
         plain = np.add.reduceat(self.background[before, x], offsets[:-1]) + self.background[x[offsets[1:] - 1], END]
@@ -350,11 +391,27 @@ def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.nulls(len(used), pa.int32()), pa.nulls(len(used), pa.string()), pa.array(used, pa.int32()), pa.array(after[used])], names)
 
 
-def learn_formats(docs: DataFrame, sample: int = SAMPLE) -> Formats:
+def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The symbols of credentials, a byte each; how many credentials have them, how often these occur."""
+    for b in batches:
+        shapes: dict[tuple[int, bytes], list[int]] = {}
+        for kind, value, n in zip(*(c.to_pylist() for c in b.columns)):
+            shape = symbols(np.frombuffer(value.encode(), np.uint8), np.zeros(1, np.int64)).astype(np.uint8).tobytes()
+            of = shapes.setdefault((kind, shape), [0, 0])
+            of[0] += 1
+            of[1] += n
+        if shapes:
+            kind, shape = zip(*shapes)
+            values, n = zip(*shapes.values())
+            yield pa.record_batch([pa.array(kind, pa.int32()), pa.array(shape, pa.binary()), pa.array(values, pa.int64()), pa.array(n, pa.int64())], ["kind", "shape", "times", "n"])
+
+
+def learn_formats(docs: DataFrame) -> Formats:
     """Automata of the labelled kinds, from distinct credentials, and the background of all candidates.
 
-    ``docs`` has a column text. A labelled kind is learnt from however few credentials it has, at most
-    ``sample`` of up to ``LONGEST`` characters. The background counts every candidate of all texts that
+    ``docs`` has a column text. A labelled kind is learnt from all its credentials, however few, many or
+    long: automata read symbols alone, so distinct sequences of symbols with how many credentials have each
+    are all that the driver gets. The background counts every candidate of all texts that
     is in no base span. As it holds secrets too that no pattern knows, a string's chance g of being
     labelled, which follows from how many labelled credentials there are for a candidate, is measured
     by the mean chance c of the kind's credentials: g / c must be ``SURE`` (positive and unlabelled data).
@@ -365,19 +422,18 @@ def learn_formats(docs: DataFrame, sample: int = SAMPLE) -> Formats:
     for r in found.where("pair is not null").select("pair", "n").collect():  # (END + 1)**2 rows at most
         counts[divmod(r["pair"], END + 1)] = r["n"]
     background = np.log((counts + 0.5) / (counts + 0.5).sum(1, keepdims=True))
+    own = found.where("kind is not null").select("kind", "value", "n").mapInArrow(_shapes, "kind int, shape binary, times long, n long")
+    own = own.groupBy("kind", "shape").agg(F.sum("times").alias("times"), F.sum("n").alias("n")).toArrow().sort_by([("kind", "ascending"), ("shape", "ascending")])
     automata = []
     for kind in range(3):
-        own = found.where(F.col("kind") == kind).select("value", "n")
-        labelled = own.agg(F.sum("n").alias("n")).first()["n"] or 0
-        drawn = own.where(F.length("value") <= LONGEST).orderBy(F.xxhash64("value"), "value").limit(sample)
-        strings = [r["value"].encode() for r in drawn.select("value").collect()]
-        if strings:
-            raw, offsets = np.frombuffer(b"".join(strings), np.uint8), np.cumsum([0, *map(len, strings)])
-            x = symbols(raw, offsets[:-1])
-            logs, to = Automaton([x[i:j].tolist() for i, j in zip(offsets, offsets[1:])]).tables()
-            prior = math.log(max(1.0, counts[END].sum()) / labelled)
-            chance = 1 / (1 + np.exp(prior - Formats([(logs, to, 0.0)], background, 0.0).leads(raw, offsets)))
-            bar = SURE * float(chance.mean())
+        part = own.filter(pa.compute.equal(own["kind"], kind))
+        if part.num_rows:
+            shapes, times = part["shape"].to_pylist(), part["times"].to_pylist()
+            x, offsets = np.frombuffer(b"".join(shapes), np.uint8).astype(np.int64), np.cumsum([0, *map(len, shapes)])
+            logs, to = Automaton([list(s) for s in shapes], times=times).tables()
+            prior = math.log(max(1.0, counts[END].sum()) / sum(part["n"].to_pylist()))
+            chance = 1 / (1 + np.exp(prior - Formats([(logs, to, 0.0)], background, 0.0).leads_of(x, offsets)))
+            bar = SURE * float(np.average(chance, weights=times))
             automata.append((logs, to, prior + math.log(bar / (1 - bar))))
     drop_files(found)
     return Formats(automata, background, 0.0)
@@ -418,7 +474,7 @@ def _spans(formats: Formats) -> Callable:
     return run
 
 
-def secret_spans(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def secret_spans(docs: DataFrame) -> DataFrame:
     """``(doc_id, base, added)`` for each row of ``(doc_id, text)``: arrays of (kind, start, end) and of
     (start, end).
 
@@ -431,7 +487,7 @@ def secret_spans(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
     Texts are read twice: for evidence of formats, then for spans, which are written, far smaller.
     """
-    formats = learn_formats(docs, sample)
+    formats = learn_formats(docs)
     found = materialise(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_spans(formats), SPANS_SQL), "spans")
     lowest = least_lead(found.select(F.explode("likely").alias("s")).select("s.lead", "s.digit"), formats.least)
     good = F.filter("likely", lambda s: s["lead"] >= lowest)
@@ -451,17 +507,17 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 6, kinds)], names)
 
 
-def find_secrets(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def find_secrets(docs: DataFrame) -> DataFrame:
     """A row for each row of ``(doc_id, text)``: base counts and digest, and all spans, as text; those of
     :func:`secret_spans`, added ones as ``learnt``."""
-    return secret_spans(docs, sample).mapInArrow(_listed, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return secret_spans(docs).mapInArrow(_listed, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(read_table(spark, sf_dir, "documents"))
 
 
-def redact_secrets(docs: DataFrame, mark: str = "[secret]", sample: int = SAMPLE) -> DataFrame:
+def redact_secrets(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """``docs`` with every span of :func:`secret_spans` replaced by ``mark``, and ``n_chars``, where the
     table has it, counted anew where the text changed.
 
@@ -469,7 +525,7 @@ def redact_secrets(docs: DataFrame, mark: str = "[secret]", sample: int = SAMPLE
     overlapping spans are replaced as one, all columns are kept whatever their names and types, and an
     empty table stays empty.
     """
-    formats = learn_formats(docs, sample)
+    formats = learn_formats(docs)
     found = docs.select(F.lit(0).cast("long").alias("doc_id"), "text").mapInArrow(_spans(formats), SPANS_SQL)
     found = materialise(found.where(F.size("likely") > 0).select(F.explode("likely").alias("s")).select("s.lead", "s.digit"), "leads")
     formats.least = least_lead(found, formats.least)

@@ -125,3 +125,29 @@ def test_planted_secrets_are_added_to_given_texts(spark):
     got = {r.doc_id: r.spans for r in find_secrets(planted).collect()}
     assert sum(got[10**6 + k] == "learnt:13:53" for k in range(0, 40, 2)) >= 19
     assert not any("learnt" in s for d, s in got.items() if d < 10**6)
+
+
+def test_formats_are_learnt_from_all_credentials(spark):
+    """More than any bound of a sample, and longer than any."""
+    rnd = random.Random(12)
+    keys = ["".join(rnd.choices("0123456789ABCDEF", k=rnd.choice([24, 24, 32]))) for _ in range(5000)]
+    docs = spark.createDataFrame([(k, f"password = {x} and otherwords") for k, x in enumerate(keys)], "doc_id long, text string")
+    (logs, to, _), = learn_formats(docs).automata
+    want = Automaton([coded(k) for k in keys]).tables()
+    assert np.array_equal(to, want[1]) and np.allclose(logs, want[0])
+    long = [(k, f"token = {''.join(rnd.choices('0123456789ABCDEF', k=700))} otherwords") for k in range(40)]
+    (logs, to, _), = learn_formats(spark.createDataFrame(long, "doc_id long, text string")).automata
+    assert len(logs) == 702 and logs[700, END] > -0.1  # a state for each place, and that of strings off the format
+
+
+def test_states_skipped_by_their_runs_would_differ(monkeypatch):
+    rnd = random.Random(13)
+    for n in (5, 60, 300):
+        strings = [[rnd.choice([1, 2])] * rnd.choice([3, 8, 9]) + [rnd.choice([3, 4])] * rnd.choice([2, 5]) + [1] * rnd.choice([0, 2, 6]) for _ in range(n)]
+        got = Automaton(strings[: n // 2] + strings[: n // 2], times=None).tables()
+        twice = Automaton(strings[: n // 2], times=[2] * (n // 2)).tables()
+        with monkeypatch.context() as m:
+            m.setattr(Automaton, "_may_fit", lambda self, settled, b: settled)
+            want = Automaton(strings[: n // 2] * 2).tables()
+        for x in (got, twice):
+            assert np.array_equal(x[0], want[0]) and np.array_equal(x[1], want[1])
