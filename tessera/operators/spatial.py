@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tessera.functions.sphere import chord, clip, rotated, xyz
 from tessera.operators.lines import eligible_segments, one_sided  # noqa: F401
 from tessera.operators.octree import nearest_ids
-from tessera.operators.polygons import assign_plate, points_in_polygons, polygon_matches, rings  # noqa: F401
+from tessera.operators.polygons import assign_plate, points_in_polygons, polygon_matches, rings, top_polygon  # noqa: F401
 from tessera.plans.tables import materialise
 
 c = F.col
@@ -148,11 +148,9 @@ def wide_positions(steps: DataFrame, ages: list[int], keep: list[str], pid: str
 
 def always_on_continent(steps: DataFrame, continents: DataFrame, on: list[str], pid: str = "point_id") -> DataFrame:
     """The points of which every known position is in a continent."""
-    known = steps.where("lon_t is not null and lat_t is not null").select(pid, "t", *[k for k in on if k != "t"], c("lon_t").alias("lon"), c("lat_t").alias("lat"))
-    known = known.withColumn("_at", F.struct(pid, "t"))
-    held = polygon_matches(known, continents, on).select("_at").distinct()
-    bad = known.join(held, "_at", "left_anti").select(pid).distinct()
-    return steps.select(pid).distinct().join(bad, pid, "left_anti")
+    known = steps.select(pid, "t", *[k for k in on if k != "t"], c("lon_t").alias("lon"), c("lat_t").alias("lat"))
+    held = top_polygon(known, continents, on, []).withColumn("_fine", c("lon").isNull() | c("lat").isNull() | c("_top").isNotNull())
+    return held.groupBy(pid).agg(F.bool_and("_fine").alias("_fine")).where("_fine").select(pid)
 
 
 def lookup_nearest(df: DataFrame, lookup: DataFrame, table: int, p: Column, t: Column, out: str) -> DataFrame:
@@ -197,9 +195,8 @@ def strain_radius_mean(points: DataFrame, samples: DataFrame, degrees: float, va
 
 def first_network(points: DataFrame, networks: DataFrame, on: list[str], carry: list[str], order: str, pid: str = "point_id") -> DataFrame:
     """The columns of the first network polygon, in list order, that holds the point; else NULL."""
-    best = F.min_by(F.struct(*[c("_p")[x].alias(x) for x in carry]), c("_p")[order])
-    found = polygon_matches(points, networks, on).groupBy(pid).agg(best.alias("_n"))
-    return points.join(found, pid, "left").select(*points.columns, *[c("_n")[x].alias(x) for x in carry])
+    found = top_polygon(points, networks.where(c(order).isNotNull()), on, carry, [-c(order)])
+    return found.select(*points.columns, *[c("_top")[x].alias(x) for x in carry])
 
 
 def grid_index(lon: Column, lat: Column, lon0: float, lat0: float, res: float) -> tuple[Column, Column]:

@@ -85,3 +85,36 @@ def test_a_long_ring_is_copied_into_no_cell(spark):
     sure = {x["point_id"] for x in p.where(far < 30 - 1e-6).collect()}
     never = {x["point_id"] for x in p.where(far > 30).collect()}
     assert sure <= got and not never & got
+
+
+@pytest.mark.parametrize("most", [5, 12])
+def test_topmost_polygon_without_the_ones_below(spark, most):
+    points, rings = scene()
+    p = spark.createDataFrame([(k, k % 2, *map(float, x)) for k, x in enumerate(points)] + [(-1, 0, None, 3.0), (-2, 0, 3.0, None)], POINT)
+    r = spark.createDataFrame([(k, 0, [tuple(map(float, v)) for v in ring]) for k, ring in rings.items()], RING)
+    want = {}
+    for k, x in enumerate(points):
+        want[k] = max((i * 7 % 11, i) for i in [*(i for i, ring in rings.items() if len(ring) > 1 and plain(*x, ring)), 0])[1]
+    got = {x["point_id"]: x["poly_id"] or 0 for x in G.top_polygon(p, r, [], ["poly_id"], [F.col("poly_id") * 7 % 11], most=most).select("point_id", "_top.poly_id").collect()}
+    assert got == want | {-1: 0, -2: 0}
+    keyed = G.top_polygon(p, r, ["age"], ["poly_id"], [F.col("poly_id") * 7 % 11], most=most).select("point_id", "_top.poly_id").collect()
+    assert {x["point_id"]: x["poly_id"] or 0 for x in keyed} == {k: v if k % 2 == 0 else 0 for k, v in got.items()}
+    assert G.top_polygon(p, r.limit(0), [], ["poly_id"]).where("_top is null").count() == len(points) + 2 and G.top_polygon(p.limit(0), r, [], []).count() == 0
+
+
+def test_polygons_upon_each_other_leave_few_in_a_cell(spark):
+    """However many lie there, a cell holds those above the topmost that holds all of it."""
+    r = spark.range(3000).selectExpr("CAST(id AS INT) AS poly_id", "id * 7919 % 400 / 10.0D AS x", "id * 104729 % 400 / 10.0D AS y", "3.0D + id % 7 AS w")
+    corner = lambda x, y: f"named_struct('lon', {x}, 'lat', {y})"
+    ring = [corner("x - w", "y"), corner("x", "y - w"), corner("x + w", "y"), corner("x", "y + w"), corner("x - w", "y")]
+    r = r.withColumn("ring", F.expr(f"array({', '.join(ring)})"))
+    p = spark.range(3000).selectExpr("id AS point_id", "id * 6007 % 5000 / 100.0D - 5 + 0.00371D AS lon", "id * 3571 % 4999 / 100.0D - 5 + 0.0017D AS lat")
+    known = r.selectExpr("CAST(poly_id AS LONG) AS _key", "named_struct('a', poly_id) AS _rank", "named_struct('a', poly_id) AS _p", "ring")
+    found, levels = G.top_cells(known, [])
+    size = found.select(F.avg(F.size("_list")).alias("mean"), F.sum(F.size("_list")).alias("all")).first()
+    assert size["mean"] < 6 and size["all"] < 20000  # all cells of all polygons are more than 50 000
+    got = {x["point_id"]: x["poly_id"] for x in G.top_polygon(p, r, [], ["poly_id"], [F.col("poly_id")]).select("point_id", "_top.poly_id").collect()}
+    want = p.join(r, F.abs(p.lon - r.x) + F.abs(p.lat - r.y) < r.w, "left").groupBy("point_id").agg(F.max("poly_id").alias("top"))
+    want = {x["point_id"]: x["top"] for x in want.collect()}
+    assert got == want and sum(v is not None for v in want.values()) > 2000
+    assert {x["point_id"] for x in G.points_in_polygons(p, r, []).collect()} == {k for k, v in want.items() if v is not None}
