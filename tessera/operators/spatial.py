@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.sphere import chord, clip, rotated, xyz
-from tessera.operators.lines import eligible_segments, one_sided  # noqa: F401
+from tessera.operators.lines import eligible_segments, in_zone, one_sided  # noqa: F401
 from tessera.operators.octree import nearest_ids
 from tessera.operators.polygons import assign_plate, points_in_polygons, polygon_matches, rings, top_polygon  # noqa: F401
 from tessera.plans.tables import materialise
@@ -58,12 +58,17 @@ def nearest_k(points: DataFrame, targets: DataFrame, k: int, on: list[str], pid:
     """``(pid, tid)``: the k targets of equal keys with the least sum of differences in degrees, ties to
     the smaller id.
 
-    Targets meet points in tiles; a point that finds k within a tile's width is done, the rest look in
+    Targets at one place are met as one, by their k smallest ids, and so are points at one place. Places
+    meet in tiles; one that finds k targets within a tile's width is done, the rest look in
     tiles four times as wide, up to the whole plane for those that have fewer than k.
     """
-    lean = targets.select(*on, c(tid).alias("_id"), c("lon").alias("_u"), c("lat").alias("_v"))
-    rest = points.select(pid, *on, c(lon).alias("_x"), c(lat).alias("_y"))
-    n = targets.groupBy(*on).agg(F.count("*").alias("n")).agg(F.avg("n").alias("n")).first()["n"] or 1.0
+    spot = [*on, "_u", "_v"]
+    each = targets.select(*on, c(tid).alias("_id"), c("lon").alias("_u"), c("lat").alias("_v"))
+    lean = materialise(window_rank(each, k, spot, [c("_id")]).groupBy(*spot).agg(F.collect_list("_id").alias("_ids")), "places")
+    where = points.select(pid, *on, c(lon).alias("_x"), c(lat).alias("_y"))
+    here = [*on, "_x", "_y"]
+    rest = where.select(*here).distinct()
+    n = lean.groupBy(*on).agg(F.count("*").alias("n")).agg(F.avg("n").alias("n")).first()["n"] or 1.0
     width, out = math.sqrt(360 * 180 * 2 * k / n), None
     while True:
         last = width >= 540
@@ -71,17 +76,18 @@ def nearest_k(points: DataFrame, targets: DataFrame, k: int, on: list[str], pid:
         right = lean.withColumn("_i", tiles[0]).withColumn("_j", tiles[1])
         both = rest.withColumns({"_i": F.floor(c("_x") / width), "_j": F.floor(c("_y") / width)}).join(right, [*on, "_i", "_j"])
         both = both.withColumn("_far", F.abs(c("_u") - c("_x")) + F.abs(c("_v") - c("_y"))).where(c("_far") <= width)
-        ranked = window_rank(both.select(pid, "_id", "_far"), k, [pid], [c("_far"), c("_id")])
+        ranked = window_rank(both.select(*here, "_far", F.explode("_ids").alias("_id")), k, here, [c("_far"), c("_id")])
+        got = materialise(ranked.groupBy(*here).agg(F.collect_list("_id").alias("_found")), "nearest-k")
         if not last:
-            ranked = ranked.withColumn("_n", F.count("*").over(Window.partitionBy(pid))).where(c("_n") == k)
-        got = materialise(ranked.select(pid, c("_id").alias(tid)), "nearest-k")
+            got = got.where(F.size("_found") == k)
         out = got if out is None else out.union(got)
         if last:
-            return out
-        rest = materialise(rest.join(got.select(pid).distinct(), pid, "left_anti"), "far")
+            break
+        rest = materialise(rest.join(got.select(*here), here, "left_anti"), "far")
         if not rest.limit(1).count():
-            return out
+            break
         width *= 4
+    return where.join(out, here).select(pid, F.explode("_found").alias(tid))
 
 
 def nearest_trench(points: DataFrame, trench: DataFrame, max_deg: float | None = None, pid: str = "point_id", tid: str = "trench_id") -> DataFrame:
