@@ -60,8 +60,14 @@ def forest_votes(df: DataFrame, model, features: list[str], key: str = "point_id
 
 
 def calibrate_isotonic(df: DataFrame, p: str = "probability"):
-    """An isotonic map of scores to labels, weighted."""
-    return IsotonicRegression(featuresCol=p, labelCol="label", weightCol="weight", predictionCol="calibrated").fit(df.select(p, c("label").cast("double"), "weight"))
+    """An isotonic map of scores to labels, weighted.
+
+    Rows of equal scores are one with their mean label, as in the fit itself, which holds all rows of a range
+    of scores in one task: a forest gives few scores to any number of rows.
+    """
+    rows = df.where(c(p).isNotNull() & ~F.isnan(p) & (c("weight") > 0)).groupBy(p)
+    rows = rows.agg((F.sum(c("label") * c("weight")) / F.sum("weight")).alias("label"), F.sum("weight").cast("double").alias("weight"))
+    return IsotonicRegression(featuresCol=p, labelCol="label", weightCol="weight", predictionCol="calibrated").fit(rows)
 
 
 def score_points(df: DataFrame, model, isotonic, features: list[str], key: str = "point_id") -> DataFrame:

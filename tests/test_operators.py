@@ -198,3 +198,29 @@ def test_shapley_values_add_up_and_equal_the_definition(spark):
         for i, f in enumerate(names):
             gains = [score[k, sum(1 << j for j in o[: o.index(i) + 1])] - score[k, sum(1 << j for j in o[: o.index(i)])] for o in permutations(range(3))]
             assert got[k, f] == pytest.approx(sum(gains) / 6)
+
+
+def test_k_nearest_of_many_at_one_place(spark):
+    """Targets that share places are met as one: each place stands for its k smallest ids."""
+    t = spark.range(40_000).selectExpr("id AS trench_id", "0 AS age", "CAST(id % 4 AS DOUBLE) AS lon", "CAST(id % 2 AS DOUBLE) AS lat")
+    p = spark.createDataFrame([(k, 0, 0.1 + k % 3, 0.2) for k in range(3000)], POINT)
+    got = {}
+    for r in S.nearest_k(p, t, 3, ["age"], "point_id", "trench_id").collect():
+        got.setdefault(r.point_id, set()).add(r.trench_id)
+    places = {(k % 4, k % 2): sorted(range(k, 20, 4)) for k in range(4)}
+    for x in range(3):
+        best = sorted((abs(u - x - 0.1) + abs(v - 0.2), i) for (u, v), ids in places.items() for i in ids)
+        assert all(got[k] == {i for _, i in best[:3]} for k in range(3000) if k % 3 == x)
+
+
+def test_isotonic_fit_takes_each_score_once(spark, monkeypatch):
+    from tessera.operators import model as M
+
+    seen = []
+    fit = M.IsotonicRegression.fit
+    monkeypatch.setattr(M.IsotonicRegression, "fit", lambda self, df: seen.append(df.count()) or fit(self, df))
+    rows = spark.range(5000).selectExpr("id AS point_id", "CAST(id % 7 AS DOUBLE) / 7 AS probability", "CAST(id * 31 % 100 < 10 + 10 * (id % 7) AS INT) AS label", "CAST(id % 3 AS DOUBLE) AS weight")
+    fitted = M.calibrate_isotonic(rows)
+    plain = fit(M.IsotonicRegression(featuresCol="probability", labelCol="label", weightCol="weight", predictionCol="calibrated"), rows.selectExpr("probability", "CAST(label AS DOUBLE) AS label", "weight"))
+    got, want = ([(r.probability, r.calibrated) for r in m.transform(rows.limit(50)).orderBy("point_id").collect()] for m in (fitted, plain))
+    assert seen == [7] and all(a == b and x == pytest.approx(y) for (a, x), (b, y) in zip(got, want))
