@@ -133,7 +133,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, nodes: int
     3. the entries collected are resolved in full where they lie; those that reach s, hardly more than
        k + 1 for a query, are ranked.
 
-    Chunks are dealt by a salt and stay; blocks of queries, far fewer, are sent to every salt. A block of
+    Chunks are dealt by a salt and stay; blocks of queries, far fewer, are sent to every salt, by a shuffle:
+    nothing that grows with the vectors or queries is broadcast. A block of
     ``QUERIES`` and a chunk of ``CHUNK`` vectors are multiplied at once.
     """
     spark = vectors.sparkSession
@@ -144,17 +145,19 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, nodes: int
     classes = few.groupBy("x").agg(F.slice(F.sort_array(F.collect_list("vec_id")), 1, k + 1).alias("ids"))
     classes = materialise(classes.withColumn("row", F.monotonically_increasing_id()), "classes")
     asked = ids.where(is_query).select(F.col("vec_id").alias("query_id"), "x").distinct()
-    asked = materialise(asked.join(classes.select("x", "row"), "x").select("query_id", "row"), "asked")
-    chosen = classes.join(asked.select("row").distinct(), "row", "left_semi")
+    asked = materialise(asked.join(classes.select("x", "row").hint("merge"), "x").select("query_id", "row"), "asked")
+    chosen = classes.join(asked.select("row").distinct().hint("merge"), "row", "left_semi")
 
     chunks = materialise(classes.select("row", "x", "ids").mapInArrow(_packed, CHUNK_SQL), "chunks")
     blocks = materialise(_cut_blocks(chosen.select("row", "x", "ids").mapInArrow(_packed, CHUNK_SQL)), "blocks")
     salts = max(1, min(chunks.count(), max(2 * shuffle_partitions(spark), chunks.count() // 8)))
     salted = chunks.withColumn("salt", F.pmod(F.xxhash64("rows"), F.lit(salts)).cast("int"))
-    copies = blocks.select("dims", "block", "queries", "query_matrix", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-
     def sides(more: DataFrame | None = None) -> DataFrame:
-        return salted.join(copies.join(more, "block") if more is not None else copies, ["dims", "salt"])
+        own = blocks.select("dims", "block", "queries", "query_matrix")
+        own = own.join(more.hint("merge"), "block") if more is not None else own
+        copies = own.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        # blocks look small on disk, their copies are not: a broadcast would bring them all to the driver
+        return salted.join(copies.hint("merge"), ["dims", "salt"])
 
     best = sides().mapInArrow(_local(_best(k + 1), nodes), ENTRY_SQL)
     descending = Window.partitionBy("query").orderBy(F.desc("score"), "row")
@@ -162,7 +165,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, nodes: int
     few = best.select("query", "row", "score", F.size("ids").cast("long").alias("held")).withColumn("at", F.row_number().over(descending)).where(F.col("at") <= k + 1)
     few = few.withColumn("sum", F.sum("held").over(descending.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("sum") >= k + 1)
     cutoff = few.groupBy("query").agg(F.max("score").alias("s"))
-    cuts = blocks.select("block", F.posexplode("query_rows").alias("pos", "query")).join(cutoff, "query", "left")
+    cuts = blocks.select("block", F.posexplode("query_rows").alias("pos", "query")).join(cutoff.hint("merge"), "query", "left")
     least = F.coalesce(F.col("s"), F.lit(-(1 << 62)))
     cuts = cuts.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("pos", least.alias("least")))).alias("all"))
     cuts = materialise(cuts.select("block", F.transform("all", lambda e: e["least"]).alias("cut")), "cutoffs")
@@ -173,7 +176,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, nodes: int
     final = final.select("query", "score", F.explode("ids").alias("vec_id"))
     top = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     final = final.withColumn("at", F.row_number().over(top)).where(F.col("at") <= k + 1).drop("at")
-    answers = asked.join(final, asked.row == final["query"]).where("vec_id != query_id")
+    answers = asked.join(final.hint("merge"), asked.row == final["query"]).where("vec_id != query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     found = answers.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
     found = materialise(found, "top-k")

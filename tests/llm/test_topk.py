@@ -32,3 +32,14 @@ def test_equal_to_brute_force_with_ties_copies_and_bad_rows(spark, monkeypatch,
     rows = [(i, v) for i, v in rows]
     assert sorted(map(tuple, got)) == brute(rows, 5, 10)
     assert T.top_k(df.limit(0), F.col("vec_id") % 10 == 0).count() == 0
+
+
+def test_nothing_is_broadcast(spark, monkeypatch):
+    """Blocks look small on disk; copied to every salt they'd all meet at the driver."""
+    from tessera.llm import topk
+
+    plans, write = [], topk.materialise
+    monkeypatch.setattr(topk, "materialise", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, name))
+    rows = [(k, [((k * 31 + i * 7) % 100) / 100.0 for i in range(8)]) for k in range(300)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), "vec_id % 50 = 0")
+    assert got.count() == 30 and len(plans) == 6 and not any("Broadcast" in p for p in plans)
